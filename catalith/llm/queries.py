@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import byte_bpe, token_counts, token_files
+from catalith.llm import byte_bpe, exact_dedup, packing, quality, simhash, token_counts, token_files
 from catalith.llm.common import fresh_path
 
 
@@ -22,6 +22,22 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digest(_documents(spark, sf_dir))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(_documents(spark, sf_dir)).drop("host_rate")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), window=1024)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_files.write_token_files(_documents(spark, sf_dir), path)
@@ -31,6 +47,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_simhash": op5_simhash,
+    "op6_packing": op6_packing,
     "op9_token_files": op9_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
