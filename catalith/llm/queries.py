@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import byte_bpe, exact_dedup, packing, quality, simhash, token_counts, token_files
+from catalith.llm import byte_bpe, exact_dedup, html_extract, langid, packing, quality, simhash, suffix_dedup, token_counts, token_files
 from catalith.llm.common import fresh_path
 
 
@@ -38,12 +38,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), window=1024)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     token_files.write_token_files(_documents(spark, sf_dir), path)
     return token_files.file_digest(spark, path)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_digest(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
@@ -51,6 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_language_id": op7_language_id,
+    "op8_html_extract": op8_html_extract,
     "op9_token_files": op9_token_files,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
