@@ -324,3 +324,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def repeats_digest(docs: DataFrame) -> DataFrame:
     found = without_repeats(docs)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["__id", "__text"])
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """All rows and columns of ``docs``, whose ids don't repeat and aren't null, the text without repeats and its size in characters.
+
+    A character of which a part was removed goes as a whole.
+    """
+    left = without_repeats(docs, id_col, text_col).select(id_col, "kept").mapInArrow(_decoded, "__id long, __text string")
+    joined = docs.drop(text_col).join(left, docs[id_col] == F.col("__id"))
+    sized = {text_col: F.col("__text"), size_col: F.char_length("__text").cast("long")}
+    return joined.select(*[sized[c].alias(c) if c in sized else F.col(c) for c in docs.columns])
