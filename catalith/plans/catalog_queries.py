@@ -1 +1,604 @@
-"""Queries of the catalog operators over the test tables."""
+"""Queries of the catalog operators over the test tables, each with the SQL that it must equal where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from catalith.functions import identity, normalize
+from catalith.operators import enrich, golden, graph, linking, quality, review, search
+from catalith.plans import catalog
+from catalith.plans.catalog import ATTRIBUTES_SQL, METHOD_SQL, OBSERVATIONS_SQL, PRECEDENCE_SQL, PRODUCTS_SQL, table
+from catalith.registry import query
+from catalith.sinks import exports
+from catalith.sources import files
+from catalith.streaming import events
+
+
+def _round(x: str, places: int) -> str:
+    return f"(sign({x}) * floor(abs({x}) * {10 ** places}.0::DOUBLE + 0.5::DOUBLE) / {10 ** places}.0::DOUBLE)"
+
+
+_AGREE = "abs(y - x[1]) <= 0.02::DOUBLE * greatest(abs(y), abs(x[1]))"
+_NUMBER_GROUPS = f"""
+obs AS ({OBSERVATIONS_SQL}),
+firsts AS (SELECT product_id, discount AS v, min(obs_seq) AS fs FROM obs GROUP BY ALL),
+lists AS (SELECT product_id, list(v ORDER BY fs) AS numbers FROM firsts GROUP BY ALL),
+led AS (SELECT product_id, list_reduce(list_transform(numbers, lambda v: [v]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: {_AGREE})) > 0 THEN acc ELSE list_concat(acc, x) END) AS leaders FROM lists),
+grouped AS (SELECT o.*, o.discount AS value_number, list_position(list_transform(leaders, lambda y: abs(y - o.discount) <= 0.02::DOUBLE * greatest(abs(y), abs(o.discount))), true) AS grp FROM obs o JOIN led USING (product_id))"""
+_WINNERS = f"""
+ranked AS (SELECT *, {PRECEDENCE_SQL} AS prec, {METHOD_SQL} AS meth FROM grouped),
+best AS (SELECT *, row_number() OVER (PARTITION BY product_id, grp ORDER BY prec DESC, meth DESC, obs_seq) AS r FROM ranked),
+stats AS (SELECT product_id, grp, max(prec) AS gp, count(DISTINCT source_id) AS gs, max(meth) AS gm FROM ranked GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY gp DESC, gs DESC, gm DESC, grp) AS place FROM stats),
+nextp AS (SELECT product_id, max(gp) FILTER (WHERE place > 1) AS np, sum(gs)::BIGINT AS total, count(*) AS n FROM placed GROUP BY ALL),
+nextm AS (SELECT p.product_id, max(p.gm) AS nm FROM placed p JOIN nextp x ON p.product_id = x.product_id AND p.place > 1 AND p.gp = x.np GROUP BY ALL),
+won AS (SELECT b.*, t.gs AS agreeing, x.total - t.gs AS disagreeing, x.n AS n_groups,
+  CASE WHEN x.n = 1 THEN NULL WHEN t.gp > x.np THEN 'source precedence' WHEN t.gs > 1 THEN 'corroboration' ELSE 'method reliability' END AS rule,
+  CASE WHEN x.n = 1 THEN NULL WHEN t.gp = x.np AND abs(t.gm - m.nm) < 0.15 THEN 'critical' ELSE 'warning' END AS severity
+  FROM placed t JOIN best b ON t.product_id = b.product_id AND t.grp = b.grp AND t.place = 1 AND b.r = 1 JOIN nextp x ON x.product_id = t.product_id LEFT JOIN nextm m ON m.product_id = t.product_id)"""
+_CORROBORATION = "CASE WHEN disagreeing > 0 AND agreeing <= 1 THEN 0.55 WHEN disagreeing > 0 THEN 0.75 WHEN agreeing >= 3 THEN 1.0 WHEN agreeing = 2 THEN 0.97 ELSE 0.9 END"
+_SCORE = f"((1 - (1 - meth)) * (1 - (1 - CASE WHEN quote_verified THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END)) * (1 - 0.6::DOUBLE * (1 - (0.65::DOUBLE + 0.35::DOUBLE * prec / 100))) * (1 - 0.8::DOUBLE * (1 - ({_CORROBORATION})::DOUBLE)))"
+
+
+@query("golden_records", f"WITH {_NUMBER_GROUPS}, {_WINNERS} SELECT product_id, 'discount' AS code, value_number, source_id, agreeing, disagreeing, n_groups, rule, severity, {_round(_SCORE, 4)} AS confidence FROM won")
+def golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = golden.golden_records(catalog.observations(spark, sf_dir))
+    return records.select("product_id", "code", "value_number", "source_id", "agreeing", "disagreeing", F.col("groups").alias("n_groups"), "rule", "severity", "confidence")
+
+
+@query("agg_arbitrate_numeric", f"WITH {_NUMBER_GROUPS} SELECT product_id, grp, count(*) AS n, min(obs_seq) AS first_seq FROM grouped GROUP BY ALL")
+def agg_arbitrate_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.number_groups(catalog.observations(spark, sf_dir)).groupBy("product_id", "grp").agg(F.count("*").alias("n"), F.min("obs_seq").alias("first_seq"))
+
+
+_TEXTS = f"texts AS (SELECT product_id, obs_seq, source_id, source_kind, method, CASE WHEN obs_seq % 2 = 0 THEN upper('tax ' || floor(tax * 100 + 0.5::DOUBLE)::BIGINT) ELSE ' tax ' || floor(tax * 100 + 0.5::DOUBLE)::BIGINT END AS value_text, quote_verified FROM ({OBSERVATIONS_SQL})), grouped AS (SELECT *, min(obs_seq) OVER (PARTITION BY product_id, lower(trim(value_text))) AS grp FROM texts)"
+
+
+@query("agg_arbitrate_text", f"WITH {_TEXTS}, {_WINNERS} SELECT product_id, value_text, agreeing, disagreeing, n_groups, rule, severity FROM won")
+def agg_arbitrate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.winners(golden.text_groups(catalog.text_observations(spark, sf_dir))).select("product_id", "value_text", "agreeing", "disagreeing", F.col("groups").alias("n_groups"), "rule", "severity")
+
+
+@query("agg_conflicts", f"WITH {_NUMBER_GROUPS}, {_WINNERS} SELECT product_id, 'discount' AS code, source_id, n_groups - 1 AS losing_groups, rule, severity FROM won WHERE rule IS NOT NULL")
+def agg_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.conflicts(golden.golden_records(catalog.observations(spark, sf_dir)))
+
+
+@query("rev_human_wins", f"SELECT product_id, arg_max(discount, obs_seq) AS value_number, max(obs_seq) AS obs_seq FROM ({OBSERVATIONS_SQL}) WHERE source_id % 5 = 0 GROUP BY ALL")
+def rev_human_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = catalog.observations(spark, sf_dir).withColumn("method", F.when(F.col("source_id") % 5 == 0, "human").otherwise(F.col("method")))
+    return golden.last_human(rows).select("product_id", "value_number", "obs_seq")
+
+
+_PEERS = "first AS (SELECT p_type, median(p_retailprice) AS median, count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part GROUP BY ALL HAVING count(*) >= 4), peers AS (SELECT f.*, (SELECT median(abs(p.p_retailprice - f.median)) FROM part p WHERE p.p_type = f.p_type) AS mad FROM first f)"
+
+
+@query("agg_peer_stats", f"WITH {_PEERS} SELECT p_type, n, low, high, {_round('median', 4)} AS median, {_round('mad', 4)} AS mad FROM peers")
+def agg_peer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.peer_stats(table(spark, sf_dir, "part"), ["p_type"], "p_retailprice")
+    return found.select("p_type", "n", "low", "high", *[normalize.round_half_up(F.col(c), 4).alias(c) for c in ("median", "mad")])
+
+
+@query("agg_outliers", "WITH v AS (SELECT l_partkey, l_orderkey, l_linenumber, l_extendedprice AS price FROM lineitem), m AS (SELECT l_partkey, median(price) AS med, count(*) AS n FROM v GROUP BY ALL HAVING count(*) >= 4), d AS (SELECT l_partkey, median(abs(price - med)) AS mad FROM v JOIN m USING (l_partkey) GROUP BY ALL) SELECT l_partkey, count(*) FILTER (WHERE CASE WHEN mad = 0 THEN med <> 0 AND (price > 10 * med OR price < med / 10) ELSE abs(0.6745::DOUBLE * (price - med) / mad) > 3.5 END) AS outliers, count(*) AS n FROM v JOIN m USING (l_partkey) JOIN d USING (l_partkey) GROUP BY l_partkey")
+def agg_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("price"))
+    return quality.outliers(rows, ["l_partkey"], "price").where("outlier is not null").groupBy("l_partkey").agg(F.count_if("outlier").alias("outliers"), F.count("*").alias("n"))
+
+
+_STATUS = f"""products AS ({PRODUCTS_SQL}), attributes AS ({ATTRIBUTES_SQL}),
+needs(channel, code, variant_defining) AS (VALUES ('core','name',false),('core','size',true),('ecommerce','name',false),('ecommerce','size',true),('ecommerce','price',false),('enhanced','name',false),('enhanced','size',true),('enhanced','price',false)),
+status AS (SELECT p.product_id, p.category_id, p.is_family, n.channel, n.code, a.product_id IS NOT NULL AS filled FROM products p CROSS JOIN needs n LEFT JOIN attributes a ON a.product_id = p.product_id AND a.code = n.code WHERE NOT (p.is_family AND n.variant_defining))"""
+_COMPLETE = f"complete AS (SELECT product_id, any_value(is_family) AS is_family, {', '.join(_round(f'avg(filled::INT) FILTER (WHERE channel = {c!r})', 4) + f' AS completeness_{c}' for c in quality.CHANNELS)} FROM status GROUP BY product_id)"
+
+
+@query("agg_completeness", f"WITH {_STATUS}, {_COMPLETE} SELECT product_id, completeness_core, completeness_ecommerce, completeness_enhanced FROM complete")
+def agg_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.completeness(catalog.products(spark, sf_dir), catalog.attributes(spark, sf_dir), catalog.required(spark, sf_dir))
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = catalog.products(spark, sf_dir)
+    rules = quality.evaluate_rules(p, _rules(p.columns))
+    return rules.groupBy("product_id").agg(F.count_if("passed").alias("passed"), F.count("*").alias("applicable"), F.count_if(~F.col("passed")).alias("errors")).withColumns({"outliers": F.lit(0), "numeric": F.lit(2)})
+
+
+def _rules(columns: list[str]) -> dict:
+    return {
+        "price_over_size": quality.rule_condition("size * 30 < price", columns),
+        "name_present": quality.implication("size >= 25", columns, then_present=["price"]),
+        "large_price": quality.implication("category_id == 'PROMO'", columns, then_min={"price": 950.0}),
+    }
+
+
+_RULE_ROWS = """rules AS (SELECT product_id, 'price_over_size' AS rule_id, size * 30 < price AS passed FROM products UNION ALL SELECT product_id, 'name_present', CASE WHEN size >= 25 THEN price IS NOT NULL END FROM products UNION ALL SELECT product_id, 'large_price', CASE WHEN category_id = 'PROMO' THEN coalesce(price >= 950, true) END FROM products)"""
+_RULES = f"products AS ({PRODUCTS_SQL}), {_RULE_ROWS}"
+
+
+@query("val_rules", f"WITH {_RULES} SELECT product_id, rule_id, passed FROM rules WHERE passed IS NOT NULL")
+def val_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = catalog.products(spark, sf_dir)
+    return quality.evaluate_rules(p, _rules(p.columns))
+
+
+_QUALITY = f"""{_STATUS}, {_COMPLETE}, {_RULE_ROWS},
+checks AS (SELECT product_id, count(*) FILTER (WHERE passed) AS passed, count(*) AS applicable, count(*) FILTER (WHERE NOT passed) AS errors FROM rules WHERE passed IS NOT NULL GROUP BY ALL),
+facts AS (SELECT product_id, count(*) FILTER (WHERE NOT generated AND NOT inferred) AS sourced, count(*) FILTER (WHERE NOT generated AND NOT inferred AND verified) AS verified FROM attributes GROUP BY ALL),
+scores AS (SELECT c.product_id, c.is_family, completeness_core, completeness_ecommerce, completeness_enhanced,
+ {_round('CASE WHEN coalesce(sourced, 0) > 0 THEN f.verified::DOUBLE / sourced ELSE 0.0 END', 4)} AS accuracy,
+ {_round('greatest((CASE WHEN coalesce(applicable, 0) > 0 THEN passed::DOUBLE / applicable ELSE CASE WHEN coalesce(errors, 0) > 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END END) - least(0.5::DOUBLE, 0.1::DOUBLE * coalesce(errors, 0)), 0.0::DOUBLE)', 4)} AS consistency,
+ 1.0::DOUBLE AS distinctiveness, coalesce(errors, 0) AS errors FROM complete c LEFT JOIN facts f USING (product_id) LEFT JOIN checks k USING (product_id)),
+quality AS (SELECT * EXCLUDE (errors), {_round('(0.40::DOUBLE * completeness_ecommerce + 0.25::DOUBLE * accuracy + 0.25::DOUBLE * consistency + 0.10::DOUBLE * distinctiveness)', 4)} AS overall, NOT is_family AND completeness_ecommerce = 1.0 AND errors = 0 AND accuracy >= 0.5 AS channel_ready FROM scores)"""
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(catalog.products(spark, sf_dir), catalog.attributes(spark, sf_dir), catalog.required(spark, sf_dir), _checks(spark, sf_dir))
+
+
+@query("agg_quality", f"WITH {_QUALITY} SELECT * FROM quality")
+def agg_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quality(spark, sf_dir)
+
+
+_MEANS = ["completeness_core", "completeness_ecommerce", "accuracy", "consistency", "distinctiveness", "overall"]
+
+
+@query("agg_scorecard", f"WITH {_QUALITY} SELECT count(*) AS products, count(*) FILTER (WHERE NOT is_family) AS sellable, count(*) FILTER (WHERE channel_ready) AS ready, {_round('(count(*) FILTER (WHERE channel_ready))::DOUBLE / count(*) FILTER (WHERE NOT is_family)', 4)} AS ready_share, {', '.join(_round(f'avg({c})', 4) + f' AS mean_{c}' for c in _MEANS)} FROM quality")
+def agg_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scorecard(_quality(spark, sf_dir))
+
+
+@query("agg_by_category", f"WITH {_QUALITY} SELECT p.category_id, count(*) AS products, count(*) FILTER (WHERE channel_ready) AS ready, {_round('avg(completeness_ecommerce)', 4)} AS mean_completeness FROM quality q JOIN products p USING (product_id) GROUP BY ALL")
+def agg_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rollup(_quality(spark, sf_dir).join(catalog.products(spark, sf_dir).select("product_id", "category_id"), "product_id"), "category_id")
+
+
+@query("agg_by_manufacturer", f"WITH {_QUALITY} SELECT p.manufacturer, count(*) AS products, count(*) FILTER (WHERE channel_ready) AS ready, {_round('avg(completeness_ecommerce)', 4)} AS mean_completeness FROM quality q JOIN products p USING (product_id) GROUP BY ALL")
+def agg_by_manufacturer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rollup(_quality(spark, sf_dir).join(catalog.products(spark, sf_dir).select("product_id", "manufacturer"), "product_id"), "manufacturer")
+
+
+@query("agg_coverage", f"WITH {_STATUS} SELECT code, count(*) AS applicable, count(*) FILTER (WHERE filled) AS filled, {_round('(count(*) FILTER (WHERE filled))::DOUBLE / count(*)', 4)} AS coverage FROM status WHERE channel = 'ecommerce' AND NOT is_family GROUP BY ALL")
+def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.coverage(catalog.products(spark, sf_dir), catalog.attributes(spark, sf_dir), catalog.required(spark, sf_dir))
+
+
+@query("jn_missing_required", f"WITH {_STATUS} SELECT product_id, code FROM status WHERE channel = 'ecommerce' AND NOT filled")
+def jn_missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.missing_required(catalog.products(spark, sf_dir), catalog.attributes(spark, sf_dir), catalog.required(spark, sf_dir), "ecommerce")
+
+
+@query("val_status", f"WITH {_QUALITY} SELECT q.product_id, CASE WHEN coalesce(k.errors, 0) > 0 OR completeness_ecommerce < 1 THEN 'needs_review' WHEN consistency < 0.85 THEN 'enriched' ELSE 'published' END AS status FROM quality q LEFT JOIN checks k USING (product_id)")
+def val_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _quality(spark, sf_dir).join(_checks(spark, sf_dir).select("product_id", "errors"), "product_id", "left")
+    return rows.select("product_id", quality.status(F.coalesce("errors", F.lit(0)), (F.col("completeness_ecommerce") < 1).cast("int"), F.col("consistency"), F.lit(0)).alias("status"))
+
+
+_KEYWORDS = {"a.metal": ["ing", "the or"], "b.wood": ["heit", "ver"], "c.glass": ["ment", "tion ou"], "d.none": []}
+_HITS = ", ".join(f"{' + '.join(f'{1.5 * len(w.split())}::DOUBLE * len(regexp_extract_all(lower(text), {chr(39)}(^|[^a-z0-9]){w}{chr(39)}))' for w in words) if words else '0.0::DOUBLE'} AS s{k}" for k, (name, words) in enumerate(sorted(_KEYWORDS.items())))
+_CASES = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS category, s{k} AS score FROM hits" for k, name in enumerate(sorted(_KEYWORDS)))
+
+
+@query("agg_keyword_classify", f"WITH hits AS (SELECT doc_id, {_HITS} FROM documents), scores AS ({_CASES}), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS r FROM scores) SELECT a.doc_id, CASE WHEN a.score > 0 THEN a.category END AS category, a.score, b.score AS runner_up FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND a.r = 1 AND b.r = 2")
+def agg_keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.keyword_category(table(spark, sf_dir, "documents"), "doc_id", "text", _KEYWORDS)
+
+
+@query("agg_learned_defaults", "SELECT p_brand, p_size, count(*) AS times FROM part GROUP BY ALL HAVING count(*) >= 3")
+def agg_learned_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.learned_defaults(table(spark, sf_dir, "part"), ["p_brand"], "p_size")
+
+
+# review
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("product_id"), F.col("event_type").alias("code"), "value")
+    errors, views = e.where("code = 'error'"), e.where("code = 'view' and value > 90")
+    return review.flags(
+        review.producer(errors.groupBy("product_id", "code").agg(F.max("value").alias("value")), "validation_error:event", "critical", F.least(F.col("value") / 100, F.lit(1.0))),
+        review.producer(views.groupBy("product_id", "code").agg(F.max("value").alias("value")), "outlier", "warning", F.lit(0.4)),
+    )
+
+
+_FLAGS = """flags AS (SELECT *, 'flag_' || left(sha256(product_id || '|' || code || '|' || reason), 12) AS flag_id FROM (
+ SELECT user_id::VARCHAR AS product_id, event_type AS code, 'validation_error:event' AS reason, 'critical' AS severity, least(max(value) / 100, 1.0::DOUBLE) AS confidence FROM events WHERE event_type = 'error' GROUP BY ALL UNION ALL
+ SELECT user_id::VARCHAR, event_type, 'outlier', 'warning', 0.4::DOUBLE FROM events WHERE event_type = 'view' AND value > 90 GROUP BY ALL))"""
+
+
+@query("rev_flags", f"WITH {_FLAGS} SELECT * FROM flags")
+def rev_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir)
+
+
+@query("rev_priority", f"WITH {_FLAGS}, p AS (SELECT flag_id, reason, CASE reason WHEN 'outlier' THEN 0.65::DOUBLE ELSE 0.85::DOUBLE END * CASE severity WHEN 'critical' THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END * (1 - least(confidence, 0.99::DOUBLE)) AS priority FROM flags) SELECT flag_id, reason, {_round('priority', 6)} AS priority FROM p ORDER BY priority DESC, flag_id LIMIT 100")
+def rev_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.prioritised(_flags(spark, sf_dir), 100).select("flag_id", "reason", normalize.round_half_up(F.col("priority"), 6).alias("priority"))
+
+
+@query("rev_stats", f"WITH {_FLAGS} SELECT split_part(reason, ':', 1) AS reason, severity, count(*) AS flags, count(DISTINCT product_id) AS products FROM flags GROUP BY ALL")
+def rev_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.stats(_flags(spark, sf_dir))
+
+
+@query("rev_merge", f"WITH {_FLAGS}, q AS (SELECT *, product_id::BIGINT % 3 = 0 AS resolved FROM flags WHERE product_id::BIGINT % 2 = 0) SELECT flag_id, coalesce(q.resolved, false) AS resolved FROM flags LEFT JOIN q USING (flag_id)")
+def rev_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh = _flags(spark, sf_dir)
+    queue = fresh.where("cast(product_id as long) % 2 = 0").withColumn("resolved", F.col("product_id").cast("long") % 3 == 0)
+    return review.merged(queue, fresh).select("flag_id", "resolved")
+
+
+# scalar functions
+
+
+@query("fn_mpn_normalize", "SELECT DISTINCT p_brand, upper(regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g')) AS mpn FROM part")
+def fn_mpn_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_brand", identity.normalize_mpn(F.concat(F.lit("P/N"), "p_brand")).alias("mpn")).distinct()
+
+
+@query("fn_product_id", "SELECT p_partkey, 'prod_' || left(sha256(upper(p_brand) || '|' || 'CB' || p_partkey), 16) AS product_id FROM part")
+def fn_product_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", identity.product_id(F.concat("p_brand", F.lit(" Inc.")), F.concat(F.lit("cb-"), F.col("p_partkey").cast("string"))).alias("product_id"))
+
+
+@query("fn_manufacturer_normalize", "SELECT s_suppkey, s_name AS maker FROM supplier")
+def fn_manufacturer_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (" Ltd.", ", Inc", " GmbH")]), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", identity.normalize_manufacturer(F.concat(F.col("s_name"), suffix)).alias("maker"))
+
+
+@query("fn_parse_number", "SELECT p_partkey, p_partkey::DOUBLE + CASE WHEN p_size BETWEEN 2 AND 6 OR p_size IN (8, 10, 12, 16, 32, 64) THEN 1.0::DOUBLE / p_size ELSE 0.0::DOUBLE END AS value FROM part")
+def fn_parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("about "), F.format_number("p_partkey", 0), F.lit(" 1/"), F.col("p_size").cast("string"), F.lit(" in"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.parse_number(text).alias("value"))
+
+
+@query("fn_unit_convert", f"SELECT p_partkey, {_round('CASE p_size % 4 WHEN 0 THEN p_size * 25.4::DOUBLE WHEN 1 THEN p_size * 10.0::DOUBLE WHEN 2 THEN p_size::DOUBLE ELSE p_size * 304.8::DOUBLE END', 6)} AS mm, {_round('(p_size - 32) * 5::DOUBLE / 9', 6)} AS celsius FROM part")
+def fn_unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    unit = F.element_at(F.array(*[F.lit(x) for x in ("in", "cm", "mm", "feet")]), (F.col("p_size") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.quantity(F.concat(size, F.lit(" "), unit), "length").alias("mm"), normalize.quantity(F.concat(size, F.lit(" °F")), "temperature").alias("celsius"))
+
+
+@query("fn_heal_numbers", "SELECT p_partkey, p_size || '15,719 and 8,927 and 1,200' AS healed FROM part WHERE p_size < 10")
+def fn_heal_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.col("p_size").cast("string"), F.lit(" 15,719 and 8 ,927 and 1, 200"))
+    return table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey", normalize.heal_split_numbers(text).alias("healed"))
+
+
+@query("fn_split_range", "SELECT p_partkey, -p_size::DOUBLE AS low, (p_size + 40)::DOUBLE AS high FROM part")
+def fn_split_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("-"), F.col("p_size").cast("string"), F.lit(" to +"), (F.col("p_size") + 40).cast("string"), F.lit(" C"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.split_range(text).alias("r")).select("p_partkey", "r.low", "r.high")
+
+
+@query("fn_render_g", "SELECT DISTINCT l_discount, CASE WHEN l_discount = 0 THEN '0' ELSE rtrim(rtrim(printf('%.2f', l_discount), '0'), '.') END AS shown FROM lineitem")
+def fn_render_g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_discount").distinct().select("l_discount", normalize.render_number(F.col("l_discount")).alias("shown"))
+
+
+@query("fn_label", "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' (In) ' || p_type), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS label FROM part")
+def fn_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.label(F.concat_ws(" ", "p_name", F.lit("(In)"), "p_type")).alias("label"))
+
+
+@query("fn_enum_normalize", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Brass' WHEN 1 THEN 'Stainless Steel 316' WHEN 2 THEN 'PTFE' END AS material FROM part")
+def fn_enum_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("forged brass", "SS316", " teflon ", "unobtainium")]), (F.col("p_size") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.enum_value(raw, ["Brass", "Stainless Steel 316", "PTFE"], {"forged brass": "Brass", "ss316": "Stainless Steel 316", "teflon": "PTFE"}).alias("material"))
+
+
+@query("fn_cert_normalize", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'UL 489|cULus|CE|RoHS' ELSE 'CE|house mark' END AS labels FROM part")
+def fn_cert_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.when(F.col("p_size") % 2 == 0, F.lit("UL489, cULus; CE / RoHS compliant, ce")).otherwise(F.lit("CE marked; house mark"))
+    canonical = {"ul489": "UL 489", "ul": "UL Listed", "culus": "cULus", "ce": "CE", "rohs": "RoHS", "rohs compliant": "RoHS"}
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(normalize.certifications(raw, canonical), "|").alias("labels"))
+
+
+@query("fn_mpn_candidates", "SELECT p_partkey, 'cb-' || p_partkey || '|VX' || p_size || '-2P-C20' AS found FROM part")
+def fn_mpn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Use VX"), F.col("p_size").cast("string"), F.lit("-2P-C20 or model: cb-"), F.col("p_partkey").cast("string"), F.lit(" at 240/415 V"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(identity.mpn_candidates(text), "|").alias("found"))
+
+
+@query("fn_variant_base", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'SERIES' WHEN 1 THEN 'VX' || p_partkey ELSE 'A-B' END AS base FROM part")
+def fn_variant_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 3
+    mpn = F.when(k == 1, F.concat(F.lit("VX"), F.col("p_partkey").cast("string"), F.lit("-1P-C06"))).otherwise(F.lit("A-B/C-D"))
+    return table(spark, sf_dir, "part").select("p_partkey", identity.variant_base(mpn, F.when(k == 0, F.lit("SERIES"))).alias("base"))
+
+
+@query("src_kind_infer", "SELECT DISTINCT l_suppkey % 4 AS k, CASE l_suppkey % 4 WHEN 0 THEN 'datasheet' WHEN 1 THEN 'price_file' WHEN 2 THEN 'manufacturer_web' ELSE 'image' END AS kind FROM lineitem")
+def src_kind_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.element_at(F.array(*[F.lit(x) for x in ("/a/b/c/spec/x.csv", "/spec/a/b/c/x.csv", "/d/x.HTML", "/d/hero.png")]), (F.col("k") + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 4).alias("k")).distinct().select("k", identity.source_kind(path).alias("kind"))
+
+
+@query("src_checksum_ids", "SELECT doc_id, 'src_' || left(sha256(text), 16) AS source_id FROM documents")
+def src_checksum_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", identity.source_id(F.col("text")).alias("source_id"))
+
+
+@query("src_html_headings", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS heading FROM pages")
+def src_html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", files.headings(F.col("html")).alias("heading"))
+
+
+@query("src_html_fragments")
+def src_html_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_pages(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("src_incremental_skip", "WITH m AS (SELECT DISTINCT 'src_' || left(sha256(text), 16) AS source_id FROM documents WHERE doc_id % 3 = 0) SELECT doc_id FROM documents WHERE 'src_' || left(sha256(text), 16) NOT IN (SELECT source_id FROM m)")
+def src_incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", identity.source_id(F.col("text")).alias("source_id"))
+    return files.pending(found, found.where("doc_id % 3 = 0").select("source_id", F.lit("completed").alias("status"))).select("doc_id")
+
+
+@query("fn_quote_verify", "WITH d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS t, regexp_replace(lower(CASE WHEN doc_id % 2 = 0 THEN substr(text, 11, 40) ELSE substr(text, 11, 12) || ' qqxxjj' END), '[^a-z0-9]', '', 'g') AS q FROM documents), w AS (SELECT *, length(q) AS n, greatest(floor(length(q) * 0.85::DOUBLE)::INT, 10) AS width FROM d) SELECT doc_id, q <> '' AND (contains(t, q) OR (n >= 8 AND n > width AND len(list_filter(range(0, n - width + 1, greatest(width // 8, 1)), lambda i: contains(t, substr(q, (i + 1)::INT, width)))) > 0)) AS verified FROM w")
+def fn_quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    quote = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 11, 40)).otherwise(F.concat(F.substring("text", 11, 12), F.lit(" qqxxjj")))
+    quotes = d.select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("source_id"), quote.alias("quote"))
+    return linking.verified_quotes(quotes, d.select(F.col("doc_id").alias("source_id"), "text")).select(F.col("quote_id").alias("doc_id"), "verified")
+
+
+# joins
+
+
+@query("jn_near_duplicates", "WITH m AS (SELECT DISTINCT p_brand AS maker, replace(p_name, ' ', '') AS mpn FROM part WHERE length(replace(p_name, ' ', '')) >= 4), pairs AS (SELECT a.maker, a.mpn, b.mpn AS near_mpn, levenshtein(a.mpn, b.mpn) AS edits FROM m a JOIN m b ON a.maker = b.maker AND a.mpn <> b.mpn WHERE abs(length(a.mpn) - length(b.mpn)) <= 2), ok AS (SELECT *, row_number() OVER (PARTITION BY maker, mpn ORDER BY edits, near_mpn) AS r FROM pairs WHERE edits <= 2 AND edits <= 0.2 * greatest(length(mpn), length(near_mpn))) SELECT p_partkey AS id, mpn, near_mpn, edits FROM ok JOIN part ON p_brand = maker AND replace(p_name, ' ', '') = mpn WHERE r = 1")
+def jn_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").withColumn("mpn", F.replace("p_name", F.lit(" "), F.lit("")))
+    return linking.near_part_numbers(p, "p_brand", "mpn", "p_partkey")
+
+
+_ALIASES = [("green", "color"), ("almond", "color"), ("steel", "finish"), ("blue", "color"), ("ink", "kind"), ("small", "size")]
+
+
+@query("jn_alias_match", f"WITH a(alias, code) AS (VALUES {', '.join(map(str, _ALIASES))}), l AS (SELECT p_partkey AS label_id, lower(p_name || ' ' || p_type) AS label FROM part), j AS (SELECT label_id, code, length(alias) + CASE WHEN label = alias THEN 100 ELSE 0 END AS score FROM l JOIN a ON contains(' ' || label || ' ', ' ' || alias || ' ')), r AS (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY score DESC, code DESC) AS r FROM j) SELECT label_id, code, score FROM r WHERE r = 1")
+def jn_alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("label_id"), normalize.label(F.concat_ws(" ", "p_name", "p_type")).alias("label"))
+    return linking.label_codes(labels, spark.createDataFrame(_ALIASES, "alias string, code string"))
+
+
+@query("jn_family_pairs", "SELECT a.p_brand AS base_id, a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey")
+def jn_family_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.concat_ws("|", "p_brand", "p_size", "p_type").alias("base_id"), F.col("p_partkey").alias("product_id"))
+    return graph.family_pairs(p).withColumn("base_id", F.substring_index("base_id", "|", 1))
+
+
+_FAMILY = """fam AS (SELECT p_partkey AS product_id, CASE WHEN p_partkey % 2 = 1 THEN p_partkey - 1 END AS base_id, CASE WHEN p_partkey % 7 <> 0 THEN p_size::DOUBLE END AS size FROM part), att AS (SELECT product_id, 'size' AS code, size AS value_number FROM fam WHERE size IS NOT NULL), miss AS (SELECT product_id, 'size' AS code FROM fam WHERE size IS NULL)"""
+
+
+def _family(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    fam = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey") - 1).alias("base_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_size").cast("double")).alias("size"))
+    att = fam.where("size is not null").select("product_id", F.lit("size").alias("code"), F.col("size").alias("value_number"), F.lit(None).cast("string").alias("value_text"), F.lit(0.8).alias("confidence"))
+    return fam.select("product_id", "base_id"), att, fam.where("size is null").select("product_id", F.lit("size").alias("code"))
+
+
+@query("jn_family_inherit", f"WITH {_FAMILY} SELECT m.product_id, f.base_id, a.value_number, 0.8::DOUBLE * 0.85::DOUBLE AS confidence FROM miss m JOIN fam f USING (product_id) JOIN att a ON a.product_id = f.base_id")
+def jn_family_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linking.inherited(*_family(spark, sf_dir)).select("product_id", "base_id", "value_number", "confidence")
+
+
+@query("jn_sibling_consensus", "WITH v AS (SELECT p_partkey AS product_id, p_brand || p_size AS base_id, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS kind FROM part), agreed AS (SELECT base_id, count(*) AS siblings, min(kind) AS value FROM v WHERE kind IS NOT NULL GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT kind) = 1) SELECT product_id, value, siblings FROM v JOIN agreed USING (base_id) WHERE kind IS NULL")
+def jn_sibling_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.concat(F.col("p_brand"), F.col("p_size").cast("string")).alias("base_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_type")).alias("kind"))
+    att = v.where("kind is not null").select("product_id", F.lit("kind").alias("code"), F.col("kind").alias("value_text"), F.lit(None).cast("double").alias("value_number"))
+    return linking.sibling_consensus(v, att, v.where("kind is null").select("product_id", F.lit("kind").alias("code"))).select("product_id", "value", "siblings")
+
+
+@query("enr_fill_gaps", f"WITH {_FAMILY}, base AS (SELECT m.product_id, a.value_number AS value, 'base_product' AS strategy FROM miss m JOIN fam f USING (product_id) JOIN att a ON a.product_id = f.base_id) SELECT * FROM base")
+def enr_fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.fill_gaps(*_family(spark, sf_dir)).select("product_id", F.col("value").cast("double").alias("value"), "strategy")
+
+
+@query("jn_upsert", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part UNION ALL SELECT p_partkey + 1000000, p_name, p_retailprice * 2 FROM part WHERE p_partkey % 10 = 1")
+def jn_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("price"))
+    changed = base.where("p_partkey % 10 in (0, 1)").select((F.col("p_partkey") + F.when(F.col("p_partkey") % 10 == 1, 1000000).otherwise(0)).alias("p_partkey"), "p_name", (F.col("price") * 2).alias("price"))
+    return linking.upsert(base, changed, "p_partkey")
+
+
+@query("jn_asset_containment", "WITH k AS (SELECT DISTINCT p_size AS product_id, 'k' || p_size || 'x' AS name_key FROM part), a AS (SELECT p_partkey AS asset_id, 'img_k' || p_size || 'x_' || p_partkey || 'k' || (p_size % 10) || 'x' AS stem FROM part), h AS (SELECT asset_id, product_id, name_key, max(length(name_key)) OVER (PARTITION BY asset_id) AS m FROM a JOIN k ON contains(stem, name_key)) SELECT asset_id, product_id, name_key FROM h WHERE length(name_key) = m")
+def jn_asset_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size").cast("string")
+    keys = p.select(F.col("p_size").alias("product_id"), F.concat(F.lit("k"), size, F.lit("x")).alias("name_key")).distinct()
+    stem = F.concat(F.lit("img_k"), size, F.lit("x_"), F.col("p_partkey").cast("string"), F.lit("k"), (F.col("p_size") % 10).cast("string"), F.lit("x"))
+    return linking.attached_assets(p.select(F.col("p_partkey").alias("asset_id"), stem.alias("stem")), keys)
+
+
+# filters, lists, search
+
+
+@query("flt_product_list", f"WITH {_QUALITY} SELECT q.product_id, overall FROM quality q JOIN products p USING (product_id) WHERE contains(lower(product_name), 're') AND category_id = (SELECT min(p_type) FROM part) ORDER BY overall DESC, product_id LIMIT 50")
+def flt_product_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "part").agg(F.min("p_type").alias("category_id"))
+    p = catalog.products(spark, sf_dir).join(F.broadcast(first), "category_id", "left_semi").where(F.contains(F.lower("product_name"), F.lit("re")))
+    return _quality(spark, sf_dir).join(p.select("product_id"), "product_id").select("product_id", "overall").orderBy(F.desc("overall"), "product_id").limit(50)
+
+
+@query("flt_structured_search", "SELECT p_partkey AS product_id, p_retailprice AS quality_overall FROM part WHERE p_partkey % 7 <> 0 AND p_size >= 20 AND p_partkey % 5 <> 0 AND p_retailprice < 1500 AND lower(p_brand) = lower('brand#11') ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+def flt_structured_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = catalog.products(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_retailprice").alias("quality_overall"), F.lit("").alias("mpn")), "product_id")
+    wanted = [search.Predicate("size", ">=", 20.0), search.Predicate("price", "<", 1500.0)]
+    return search.structured(p, catalog.attributes(spark, sf_dir), wanted, 20, manufacturer="BRAND#11").select("product_id", "quality_overall")
+
+
+@query("sem_topk", f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, {_round('score', 5)} AS score FROM r WHERE rank <= 10")
+def sem_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    asked = [(r.vec_id, list(r.embedding)) for r in v.where("vec_id < 20").collect()]
+    found = search.nearest(v, asked, 10, "vec_id", "embedding")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", normalize.round_half_up(F.col("score"), 5).alias("score"))
+
+
+_HYBRID = f"att AS (SELECT product_id, sum(CASE WHEN contains(lower(coalesce(value_text, '')), 'green') THEN CASE WHEN variant_defining THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(coalesce(value_text, '')), '20') THEN CASE WHEN variant_defining THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END ELSE 0.0::DOUBLE END + CASE WHEN abs(value_number - 20) <= 0.01 THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END) AS found FROM ({ATTRIBUTES_SQL}) GROUP BY ALL)"
+
+
+@query("sem_hybrid", f"WITH {_HYBRID}, a AS (SELECT product_id, least(found / 4, 1.0::DOUBLE) AS s FROM att WHERE found > 0), v AS (SELECT vec_id AS product_id, label / 10.0::DOUBLE AS m FROM embeddings) SELECT coalesce(a.product_id, v.product_id) AS product_id, {_round('CASE WHEN m IS NULL THEN s ELSE least(1.0::DOUBLE, m + coalesce(s, 0.0::DOUBLE) / 2) END', 6)} AS score FROM a FULL JOIN v ON a.product_id = v.product_id ORDER BY score DESC, product_id LIMIT 100")
+def sem_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = catalog.products(spark, sf_dir).withColumn("identity", F.col("manufacturer"))
+    scores = search.token_scores(p, catalog.attributes(spark, sf_dir), ["green", "20"])
+    semantic = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("product_id"), (F.col("label") / 10.0).alias("semantic_score"))
+    return search.hybrid(scores, semantic, 100).select("product_id", normalize.round_half_up(F.col("score"), 6).alias("score"))
+
+
+@query("sem_answer", f"WITH a AS ({ATTRIBUTES_SQL}) SELECT product_id, code, coalesce(value_text, value_number::VARCHAR) AS value, source_id FROM a WHERE code IN ('name', 'size') AND product_id IN (SELECT p_partkey FROM part WHERE p_size > 40)")
+def sem_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("product_id"))
+    return search.cited_answers(hits, catalog.attributes(spark, sf_dir), ["name"])
+
+
+# enrichment
+
+
+@query("enr_template_copy", "SELECT p_partkey, left(p_brand || ' ' || p_name || ' - ' || p_type || ' size: ' || p_size || ', kind: ' || p_type, 300) AS short_description, left(p_brand || ' ' || p_name || ' | ' || p_type, 70) AS seo_title FROM part")
+def enr_template_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = F.array(F.concat(F.lit("size: "), F.col("p_size").cast("string")), F.concat(F.lit("kind: "), F.col("p_type")))
+    copy = enrich.template_copy(F.col("p_brand"), F.col("p_name"), F.col("p_type"), facts)
+    return table(spark, sf_dir, "part").select("p_partkey", copy["short_description"].alias("short_description"), copy["seo_title"].alias("seo_title"))
+
+
+@query("enr_unverified_numbers", "SELECT p_partkey, CASE WHEN p_size = 25 THEN '' ELSE '25' END AS unverified FROM part")
+def enr_unverified_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(enrich.unverified_numbers(F.concat(F.lit("up to 25 or "), size), F.concat(F.lit("size "), size)), ",").alias("unverified"))
+
+
+@query("fn_product_text", "SELECT p_partkey, p_brand || ' | ' || p_type || ' | ' || 'kind: ' || p_type || '; size: ' || p_size AS text FROM part")
+def fn_product_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = F.array(F.concat(F.lit("size: "), F.col("p_size").cast("string")), F.concat(F.lit("kind: "), F.col("p_type")))
+    return table(spark, sf_dir, "part").select("p_partkey", enrich.document_text([F.col("p_brand"), F.col("p_type")], facts).alias("text"))
+
+
+# graph
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    key = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    rows = p.select(key.alias("product_id"), F.col("p_type").alias("category_id"), F.concat(F.lit("b:"), F.col("p_brand")).alias("base_id"))
+    sources = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("product_id"), F.concat(F.lit("src_"), F.col("l_suppkey").cast("string")).alias("source_id"))
+    certs = p.where("p_size % 5 = 0").select(key.alias("product_id"), F.concat(F.lit("C"), (F.col("p_size") % 3).cast("string")).alias("label"))
+    return graph.build(rows, sources, certs)
+
+
+_EDGES = """edges AS (SELECT 'p' || p_partkey AS src, 'belongs_to' AS predicate, p_type AS dst, 1.0::DOUBLE AS confidence FROM part UNION ALL SELECT 'p' || p_partkey, 'variant_of', 'b:' || p_brand, 0.9::DOUBLE FROM part UNION ALL
+ SELECT DISTINCT 'p' || l_partkey, 'documented_in', 'src_' || l_suppkey, 1.0::DOUBLE FROM lineitem UNION ALL SELECT 'p' || p_partkey, 'certified_by', 'cert:C' || (p_size % 3), 1.0::DOUBLE FROM part WHERE p_size % 5 = 0)"""
+
+
+@query("gr_edges", f"WITH {_EDGES} SELECT * FROM edges")
+def gr_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)
+
+
+@query("gr_stats", f"WITH {_EDGES} SELECT predicate, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM edges GROUP BY ALL")
+def gr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stats(_edges(spark, sf_dir))
+
+
+_HOPS = "hops AS (SELECT 'c' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'c' || s_nationkey FROM supplier UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region)"
+
+
+@query("gr_bfs", f"WITH RECURSIVE {_HOPS}, walk AS (SELECT 's' || s_suppkey AS start, 's' || s_suppkey AS node, 0 AS depth FROM supplier UNION SELECT start, dst, depth + 1 FROM walk JOIN hops ON src = node WHERE depth < 3) SELECT start, node, min(depth) AS depth FROM walk GROUP BY ALL")
+def gr_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    nation = table(spark, sf_dir, "nation").select(tag("c", "n_nationkey").alias("src"), tag("r", "n_regionkey").alias("dst"))
+    supplier = table(spark, sf_dir, "supplier").select(tag("s", "s_suppkey").alias("src"), tag("c", "s_nationkey").alias("dst"))
+    region = table(spark, sf_dir, "region").select(tag("r", "r_regionkey").alias("src"), F.lit("world").alias("dst"))
+    hops = nation.unionByName(supplier).unionByName(region).withColumn("predicate", F.lit("in"))
+    return graph.reachable(hops, supplier.select(F.col("src").alias("start")), 3)
+
+
+@query("gr_siblings", "SELECT 'n' || a.n_regionkey AS base, a.n_nationkey::VARCHAR AS product, b.n_nationkey::VARCHAR AS sibling FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+def gr_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("src"), F.lit("variant_of").alias("predicate"), F.concat(F.lit("n"), F.col("n_regionkey").cast("string")).alias("dst"))
+    return graph.siblings(n)
+
+
+# exports
+
+
+@query("exp_csv_pivot", f"WITH a AS ({ATTRIBUTES_SQL}) SELECT p_partkey AS product_id, p_brand AS manufacturer, max(CASE WHEN code = 'name' THEN value_text END) AS name, max(CASE WHEN code = 'size' THEN value_number::INT::VARCHAR END) AS size FROM part LEFT JOIN a ON product_id = p_partkey GROUP BY ALL")
+def exp_csv_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = catalog.products(spark, sf_dir).select("product_id", "manufacturer")
+    return exports.wide_feed(p, catalog.attributes(spark, sf_dir), ["size", "name"])
+
+
+@query("exp_trade_items")
+def exp_trade_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = catalog.products(spark, sf_dir).select("product_id", "manufacturer", F.col("product_name").alias("mpn"))
+    return exports.trade_items(p, catalog.attributes(spark, sf_dir))
+
+
+# plain SQL over registered tables
+
+
+def _sql(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
+    @query(name, duck_sql or spark_sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from catalith.session import read_sql, register
+
+        register({t: table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem", "orders", "nation", "region", "customer")})
+        return read_sql(spark, spark_sql)
+
+
+_sql("sql_window", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
+_sql("sql_rollup", "SELECT p_brand, p_type, count(*) AS n, sum(CAST(p_size AS BIGINT)) AS size FROM part GROUP BY ROLLUP (p_brand, p_type)", "SELECT p_brand, p_type, count(*) AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY ROLLUP (p_brand, p_type)")
+_sql("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+_sql("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, max(l_quantity) AS most FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+_sql("sql_setops", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0")
+_sql("sql_semi_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+_sql("sql_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, count(p_partkey) AS parts FROM t LEFT JOIN part ON p_size = n GROUP BY n")
+_sql("sql_pivot", "SELECT * FROM (SELECT p_brand, p_size % 3 AS k FROM part) PIVOT (count(*) FOR k IN (0 AS zero, 1 AS one, 2 AS two))", "SELECT p_brand, nullif(count(*) FILTER (WHERE p_size % 3 = 0), 0) AS zero, nullif(count(*) FILTER (WHERE p_size % 3 = 1), 0) AS one, nullif(count(*) FILTER (WHERE p_size % 3 = 2), 0) AS two FROM part GROUP BY p_brand")
+_sql("sql_asof", "SELECT o_orderkey, max(l_shipdate) AS last_ship FROM orders LEFT JOIN lineitem ON l_suppkey = o_custkey AND l_shipdate <= o_orderdate GROUP BY o_orderkey")
+_sql("sql_statistics", "SELECT p_type, median(p_size) AS mid, corr(p_size, p_retailprice) > 2 AS odd, min_by(p_name, p_partkey) AS first_name FROM part GROUP BY p_type", "SELECT p_type, median(p_size) AS mid, corr(p_size, p_retailprice) > 2 AS odd, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_type")
+
+
+# event windows, as batches
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _unix(df: DataFrame) -> DataFrame:
+    return df.select(*[(F.unix_timestamp(c) if c in ("start", "end") else normalize.round_half_up(F.col(c), 4) if c == "total" else F.col(c)).alias(c) for c in df.columns])
+
+
+@query("st_tumbling", f"SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start, epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT + 3600 AS \"end\", event_type, count(*) AS n, {_round('sum(value)', 4)} AS total FROM events GROUP BY ALL")
+def st_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unix(events.windowed(_events(spark, sf_dir), "1 hour"))
+
+
+@query("st_sliding", f"WITH e AS (SELECT event_type, value, epoch(ts) AS t FROM events), w AS (SELECT *, unnest([0, 1, 2, 3]) AS k FROM e), s AS (SELECT event_type, value, (floor(t / 900) * 900)::BIGINT - k * 900 AS start FROM w) SELECT start, start + 3600 AS \"end\", event_type, count(*) AS n, {_round('sum(value)', 4)} AS total FROM s GROUP BY ALL")
+def st_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unix(events.windowed(_events(spark, sf_dir), "1 hour", "15 minutes"))
+
+
+@query("st_session", "WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 86400000000 THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t) AS k FROM e) SELECT user_id, (min(t) // 1000000)::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def st_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unix(events.sessions(_events(spark, sf_dir), "1 day")).drop("end")
+
+
+@query("st_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+def st_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.deduplicated(_events(spark, sf_dir), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("st_latest", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) AS event_id FROM events GROUP BY ALL")
+def st_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.latest(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("flt_top_orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def flt_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
+
+
+@query("win_spec_ranking", "SELECT p_brand, p_partkey, r FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part) WHERE r <= 8")
+def win_spec_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey"))
+    return table(spark, sf_dir, "part").select("p_brand", "p_partkey", r.cast("long").alias("r")).where("r <= 8")
