@@ -117,3 +117,23 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     joined = attach(rows, verdicts, ["host"], "n", total)
     return joined.select(F.col("id").alias(id_col), *FEATURES, "base_failed", "host_rate", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM words),
+grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(list_slice(w, i, i + 4), ' ')) AS n FROM starts),
+hit AS (SELECT DISTINCT doc_id, i + k AS i FROM grams, unnest(range(0, 5)) AS x(k) WHERE n > 1),
+repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM hit GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT d.doc_id, host, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM d JOIN words USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN lines USING (doc_id)),
+j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+hosts AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS bad FROM j GROUP BY host),
+sums AS (SELECT sum(n) AS docs, sum(bad) / sum(n) AS mean, count(*) AS hosts, sum(bad * bad / n) AS square, sum(n * n) AS n_square FROM hosts),
+spread AS (SELECT *, mean * (1 - mean) AS noise, CASE WHEN docs - n_square / docs > 0 THEN (square - docs * mean * mean - (hosts - 1) * mean * (1 - mean)) / (docs - n_square / docs) ELSE 0 END AS variance FROM sums),
+verdict AS (SELECT host, CASE WHEN noise <= 0 OR variance <= 0 THEN mean ELSE (bad + greatest(noise / variance - 1, 0) * mean) / (n + greatest(noise / variance - 1, 0)) END > 0.5 AS rejected FROM hosts, spread)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM j JOIN verdict USING (host)
+"""

@@ -68,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality.SQL}

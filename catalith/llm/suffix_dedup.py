@@ -341,3 +341,4 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_co
     joined = docs.drop(text_col).join(left, docs[id_col] == F.col("__id"))
     sized = {text_col: F.col("__text"), size_col: F.char_length("__text").cast("long")}
     return joined.select(*[sized[c].alias(c) if c in sized else F.col(c) for c in docs.columns])
+
