@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.common import bounded_batches
 from catalith.llm.pretokens import PieceCoder
 from catalith.llm.vocabulary import PATTERN, RANKS, ranks
 
@@ -190,6 +191,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     return narrow.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/HOT_SHARE of all rows is looked up by broadcast; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 256
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return found.rstrip("/")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="catalith-"))
@@ -27,6 +29,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/catalith/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows that reach Python at once: at most BATCH_ROWS, so that a batch of texts takes megabytes; a smaller setting stays."""
+    if int(spark.conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends there, and a lost executor costs nothing done before."""
     path = fresh_path(df.sparkSession, name)

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.llm.common import bounded_batches
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Rows of each language that the model is fitted on, chosen by a hash of text; all where there are fewer.
@@ -112,6 +114,7 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, rows_per_language: in
 
     Only counts by language and by (language, bucket) reach the driver.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(labelled[lang_col].isNotNull()).select(labelled[lang_col].cast("string").alias("lang"), F.coalesce(labelled[text_col].cast("string"), F.lit("")).alias("text"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
@@ -147,6 +150,7 @@ def held_out(doc_id: Column) -> Column:
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, lang_pred, score (the predicted language's share)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import stored
+from catalith.llm.common import bounded_batches, stored
 from catalith.llm.vocabulary import JSON_VOCABULARY, tokenizer_coder
 
 WINDOW = 1024
@@ -161,6 +161,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
                 arrays = [names.take(pa.array(lo + doc)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(tokens[doc]), pa.array(np.full(len(doc), task, np.int32)), pa.array(rank)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "task_rank"])
 
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, task_rank long")
 

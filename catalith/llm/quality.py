@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import attach, stored
+from catalith.llm.common import attach, bounded_batches, stored
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -71,6 +71,7 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "host", *FEATURES])
 
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[host_col].cast("string").alias("host"), docs[text_col].cast("string").alias("text"))
     out = narrow.mapInArrow(run, "id long, host string, " + ", ".join(f"{f} long" for f in FEATURES))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import stored
+from catalith.llm.common import bounded_batches, stored
 
 LENGTH = 100
 ANCHOR = 40
@@ -300,6 +300,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat id and text are one document and lose the same. An empty table gives an empty result; other
     columns are not read. Texts of any length are read in parts.
     """
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     sent = keyed.select("id", "twin", F.col("text").cast("binary").alias("text")).mapInArrow(_send_spans, _SPAN)
     ordered = sent.repartition("anchor").sortWithinPartitions("anchor", "span", "id", "twin", "start")

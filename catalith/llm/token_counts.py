@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from catalith.llm import pretokens
+from catalith.llm.common import bounded_batches
 from catalith.llm.vocabulary import JSON_VOCABULARY, PATTERN, RANKS, ranks, tokenizer_coder
 
 
@@ -70,6 +71,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null, an empty table gives an empty result; other columns of ``docs`` are neither read nor
     returned. A very long text is counted in blocks of bounded size.
     """
+    bounded_batches(docs.sparkSession)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_table(ranks_path, json_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from catalith.llm.common import bounded_batches
 from catalith.llm.vocabulary import JSON_VOCABULARY, tokenizer_coder
 
 END_ID = 2
@@ -47,6 +48,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part, np.int32)), pa.array(np.diff(at)), pa.array(start + at[:-1]), lists], ["doc_id", "part", "n_tokens", "start_in_part", "ids"])
                 start += int(at[-1])
 
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     ordered = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     encoded = ordered.mapInArrow(run, "doc_id long, part int, n_tokens long, start_in_part long, ids array<int>")
