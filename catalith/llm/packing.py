@@ -188,6 +188,7 @@ def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
             sequence, offset = found.value.place(length, rank)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    ranked = rows.join(counts.select("length", "task", "before"), ["length", "task"])
+    # merged, not broadcast: the counts grow with the number of tasks
+    ranked = rows.join(counts.select("length", "task", "before").hint("merge"), ["length", "task"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("task_rank")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
