@@ -137,7 +137,8 @@ def conflicts(records: DataFrame) -> DataFrame:
 def last_human(observations: DataFrame) -> DataFrame:
     """The last human observation of each key."""
     human = observations.where(F.col("method") == "human")
-    return human.groupBy(*KEY).agg(F.max_by("value_number", "obs_seq").alias("value_number"), F.max("obs_seq").alias("obs_seq"))
+    last = human.groupBy(*KEY).agg(F.max_by(F.struct("value_number", "value_text", "source_id"), "obs_seq").alias("last"), F.max("obs_seq").alias("obs_seq"))
+    return last.select(*KEY, "last.*", "obs_seq")
 
 
 def first_by_order(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith import registry, session
-from catalith.functions import identity, normalize
-from catalith.operators import enrich, golden, graph, linking, quality, review, search
-from catalith.plans import catalog_queries, view_queries  # noqa: F401
+from catalith.functions import extraction, identity, normalize
+from catalith.operators import detail, enrich, golden, graph, linking, quality, review, search
+from catalith.plans import catalog_queries, detail_queries, view_queries  # noqa: F401
 from catalith.sinks import exports
 from catalith.sources import files
 from catalith.streaming import events
@@ -231,3 +231,27 @@ def test_library_stands_without_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op1') for q in e.queries()), 'pipeline' in e.queries())"
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout
     assert out.split()[1:] == ["False", "False"] and int(out.split()[0]) > 50
+
+
+def test_prose_values_need_a_delimiter_and_a_long_alias(spark):
+    rows = spark.createDataFrame([("Rated voltage: 24 V; Finish - matt.",), ("Rated voltage -25 V",), ("rated voltage and more",), ("overrated voltage: 3",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(extraction.prose_value(F.col("t"), "rated voltage")).collect()] == ["24 V", "-25 V", None, None, None, None]
+    assert rows.select(extraction.prose_value(F.col("t"), "finish")).first()[0] == "matt"
+    assert rows.select(extraction.prose_value(F.col("t"), "v")).first()[0] is None
+
+
+def test_lenient_json(spark):
+    texts = ['{"a": 1}', '```json\n{"a": [1, 2,]}\n```', 'so: {"a": {"b": "c', '{"a":', "none", "", None, '[1, {"x": "}"']
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(extraction.repaired_json("t")).collect()]
+    assert got == ['{"a":1}', '{"a":[1,2]}', '{"a":{"b":"c"}}', '{"a":null}', None, None, None, '[1,{"x":"}"}]']
+
+
+def test_a_sticky_category_and_null_proposals(spark):
+    now = spark.createDataFrame([(1, "pumps", 0.9), (2, "industrial.generic", 0.9), (3, "pumps", 0.5), (4, "pumps", 0.5)], "product_id int, category_id string, confidence double")
+    new = spark.createDataFrame([(1, "fans", 1.0), (2, "fans", 0.95), (3, "fans", 0.5)], "product_id int, category_id string, confidence double")
+    assert {r.product_id: r.category_id for r in detail.classified(now, new).collect()} == {1: "pumps", 2: "fans", 3: "pumps", 4: "pumps"}
+
+
+def test_range_partners_keep_their_tail(spark):
+    codes = spark.createDataFrame([("c", x) for x in ("t_min_c", "t_max_c", "t_max", "w_min", "w_max", "min", "admin")], "category_id string, code string")
+    assert {(r.low_code, r.high_code) for r in detail.range_partners(codes).collect()} == {("t_min_c", "t_max_c"), ("w_min", "w_max")}
