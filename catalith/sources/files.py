@@ -27,7 +27,7 @@ def pending(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return found.join(manifest.where(F.col("status") == "completed").select("source_id"), "source_id", "left_anti")
 
 
-def read_feed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def read_feed(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """Key-value fragments of a delimited feed with a header: path, row (in the file, from 2), key, value; empty cells have none.
 
     Spark may split a large file: rows are counted within each block, and blocks before it are added.
