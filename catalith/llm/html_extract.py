@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from catalith.llm.common import bounded_batches
 
 #: Elements whose content is never main text.
-DROPPED = frozenset("script style nav footer aside form noscript svg template iframe button select textarea object canvas head title dialog menu datalist audio video map math".split())
+DROPPED = frozenset("script style nav footer aside form noscript svg template iframe textarea canvas head title menu datalist audio video".split())
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe"])
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,6 +29,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 ARTICLE = frozenset(["article", "main"])
 NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|newsletter|popup|modal|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|comments?|disqus|replies|share|sharing|social|related|recommended|subscribe|pagination|pager|skip)(?:$|[\s_-])", re.I)
+#: In an article, ambiguous words are left to the differencing: only these whole class tokens, and these whole ids, are no content.
+IN_ARTICLE = frozenset("ad ads advert advertisement sponsored comments comment-list comments-area comment-respond disqus newsletter newsletter-signup sidebar breadcrumb breadcrumbs pagination navbar navigation share-buttons sharing-buttons social-share social-links related-posts related-articles recommended-posts cookie-consent cookie-banner subscribe-box".split())
+IN_ARTICLE_IDS = frozenset(["disqus_thread"])
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -46,7 +49,10 @@ def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").strip()
         if name in ("class", "id"):
-            if NAMED.search(value):
+            if in_article:
+                if name == "class" and not IN_ARTICLE.isdisjoint(value.lower().split()) or name == "id" and value.lower() in IN_ARTICLE_IDS:
+                    return True
+            elif NAMED.search(value):
                 return True
         elif name == "role":
             if value.lower() in ROLES:

@@ -56,3 +56,9 @@ def test_odd_pages(spark):
     got = {x.page_id: x.text for x in html_extract.main_text(frame(spark, rows + [(7, "http://r.b/d", "<p title='a>b'>kept</p>")])).collect()}
     assert got == {1: "", 2: "", None: "x < y\n\nz", 4: "a" * 300000, 5: "one\n\ntwo", 6: "", 7: "kept"}
     assert html_extract.main_text(frame(spark, [])).count() == 0
+
+
+def test_slugs_and_formulas_in_an_article_stay():
+    page = """<article><h2 id="side-effects">Side effects</h2><p class="share-price">12 EUR</p><section id="related-work"><p>Work</p></section>
+    <section class="notice-period"><p>Notice</p></section><p><math><mi>x</mi></math></p><button>Press</button><div class="box ads">Buy</div><div id="disqus_thread">Hm</div></article>"""
+    assert [t for t, _ in html_extract.page_blocks(page)] == ["Side effects", "12 EUR", "Work", "Notice", "x", "Press"]
