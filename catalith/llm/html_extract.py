@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +38,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: A neighbour with which a page shares more than this part of its text is a copy.
 COPY_SHARE = 0.6
-#: Above so many line pairs, lines are compared as multisets, not in order.
-MOST_PAIRS = 1 << 28
+#: Line pairs of which an alignment holds all rows at once; it bounds memory only, every alignment is exact.
+PIECE_PAIRS = 1 << 20
 
 
 def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
@@ -132,34 +133,53 @@ def page_blocks(source: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def aligned(a: list[str], b: list[str]) -> list[bool]:
-    """For each line of a, whether a longest common subsequence with b holds it; bit-parallel over b."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    middle = [False] * len(x)
-    if len(x) * len(y) > MOST_PAIRS:
-        left: dict[str, int] = {}
-        for line in y:
-            left[line] = left.get(line, 0) + 1
-        for i, line in enumerate(x):
-            if left.get(line, 0):
-                left[line] -= 1
-                middle[i] = True
-    elif x and y:
-        where: dict[str, int] = {}
-        for j, line in enumerate(y):
-            where[line] = where.get(line, 0) | 1 << j
-        full = (1 << len(y)) - 1
-        row, rows = full, []
-        for line in x:
-            hit = row & where.get(line, 0)
-            row = ((row + hit) | (row - hit)) & full
-            rows.append(row)
+def _rows(x: Sequence[Hashable], y: Sequence[Hashable]) -> Iterator[int]:
+    """After each line of x, the bits of y: where one is clear, a longest common subsequence with that much of y grows."""
+    where: dict[Hashable, int] = {}
+    for j, line in enumerate(y):
+        where[line] = where.get(line, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for line in x:
+        hit = row & where.get(line, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(x: Sequence[Hashable], y: Sequence[Hashable]) -> np.ndarray:
+    """Length of a longest common subsequence of x and each beginning of y."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):  # noqa: B007  the last one counts
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), count=len(y), bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def aligned(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[bool]:
+    """For each line of a, whether a longest common subsequence with b holds it.
+
+    Bit-parallel over b. Until a piece's rows take 128 kB, a is halved and b split where both halves have
+    the most in common (Hirschberg), so memory is linear in the lines at any size.
+    """
+    held = [False] * len(a)
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            held[a0] = True
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            held[a1 - 1] = True
+            a1, b1 = a1 - 1, b1 - 1
+        if a0 == a1 or b0 == b1:
+            continue
+        x, y = a[a0:a1], b[b0:b1]
+        if len(x) > 1 and len(x) * len(y) > PIECE_PAIRS:
+            half = len(x) // 2
+            split = int((_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]).argmax())
+            todo += [(a0, a0 + half, b0, b0 + split), (a0 + half, a1, b0 + split, b1)]
+            continue
+        rows = list(_rows(x, y))
         i, j = len(x) - 1, len(y) - 1
         while i >= 0 and j >= 0:
             if rows[i] >> j & 1:
@@ -167,9 +187,9 @@ def aligned(a: list[str], b: list[str]) -> list[bool]:
             elif i and not rows[i - 1] >> j & 1:
                 i -= 1
             else:
-                middle[i] = True
+                held[a0 + i] = True
                 i, j = i - 1, j - 1
-    return [True] * head + middle + [True] * tail
+    return held
 
 
 def main_lines(lines: list[str], inside: list[bool], neighbours: list[list[str]]) -> list[str]:

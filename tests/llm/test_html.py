@@ -62,3 +62,23 @@ def test_slugs_and_formulas_in_an_article_stay():
     page = """<article><h2 id="side-effects">Side effects</h2><p class="share-price">12 EUR</p><section id="related-work"><p>Work</p></section>
     <section class="notice-period"><p>Notice</p></section><p><math><mi>x</mi></math></p><button>Press</button><div class="box ads">Buy</div><div id="disqus_thread">Hm</div></article>"""
     assert [t for t, _ in html_extract.page_blocks(page)] == ["Side effects", "12 EUR", "Work", "Notice", "x", "Press"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=15), st.lists(st.sampled_from("abcd"), max_size=15), st.integers(1, 40))
+def test_alignment_in_pieces_is_a_longest_common_subsequence(a, b, pairs):
+    whole, html_extract.PIECE_PAIRS = html_extract.PIECE_PAIRS, pairs
+    try:
+        held = [x for x, hit in zip(a, html_extract.aligned(a, b), strict=True) if hit]
+    finally:
+        html_extract.PIECE_PAIRS = whole
+    rest = iter(b)
+    assert all(x in rest for x in held)
+    assert len(held) == brute_lcs(a, b)
+
+
+def test_long_pages_are_aligned_in_order():
+    n = 17000  # n * n is over 2**28
+    a = ["own", *map(str, range(n)), "last"]
+    b = ["first", *map(str, range(n)), "end", "own"]
+    assert html_extract.aligned(a, b) == [False, *[True] * n, False]
