@@ -1,25 +1,29 @@
 """Main text of web pages by differencing against the page with the nearest URL.
 
-Every page becomes a list of text blocks. Pages are sorted by host and URL path; the lines of a page are
-aligned with those of the page next to it in that order by longest common subsequence, and shared
-lines are template, so they go. A neighbour that shares most of a page is a copy and says nothing
-about the template; then the neighbour on the other side is asked. What markup itself declares to be no
-article (menus, footers, adverts, forms, comments and so on) never becomes a block, and lines inside an
-article element are content even if another page repeats them.
+Every page becomes a list of text blocks. The different pages of a host are sorted by URL path; the lines of
+a page are aligned with those of the nearest page in that order by longest common subsequence, and shared
+lines are template, so they go. A page that shares most of the longer of the two is a copy and says
+nothing about the template; then the nearest page beyond is asked. What markup itself declares to be no
+article (menus, footers, adverts, forms, comments and so on) never becomes a block. An article element is a
+prior only: a line inside it goes if the two nearest pages have it, one outside it if the nearest has it.
 """
 
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Hashable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import bounded_batches
+from catalith.llm.common import attach, bounded_batches, stored
 
 #: Elements whose content is never main text.
 DROPPED = frozenset("script style nav footer aside form noscript svg template iframe textarea canvas head title menu datalist audio video".split())
@@ -36,7 +40,7 @@ IN_ARTICLE_IDS = frozenset(["disqus_thread"])
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-#: A neighbour with which a page shares more than this part of its text is a copy.
+#: Two pages that share more than this part of the longer one are copies.
 COPY_SHARE = 0.6
 #: Line pairs of which an alignment holds all rows at once; it bounds memory only, every alignment is exact.
 PIECE_PAIRS = 1 << 20
@@ -192,18 +196,71 @@ def aligned(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[bool]:
     return held
 
 
-def main_lines(lines: list[str], inside: list[bool], neighbours: list[list[str]]) -> list[str]:
-    """The page's own lines: without those that the first neighbour that is no copy shares."""
-    size = sum(map(len, lines)) or 1
-    shared = [False] * len(lines)
-    for other in neighbours:
-        found = aligned(lines, other)
-        if sum(len(t) for t, hit in zip(lines, found, strict=True) if hit) <= COPY_SHARE * size:
-            shared = found
-            break
-    if any(inside):
-        return [t for t, own in zip(lines, inside, strict=True) if own]
-    return [t for t, hit in zip(lines, shared, strict=True) if not hit]
+@dataclass
+class Page:
+    """One of the different pages of a host: hashes and sizes of its lines, and whether it is a copy of the page before it."""
+
+    host: str
+    path: str
+    lines: list[int]
+    sizes: np.ndarray
+    chained: bool = False
+
+    def shared(self, other: Page) -> np.ndarray:
+        """For each line, whether the other page has it in order."""
+        if set(self.lines).isdisjoint(other.lines):
+            return np.zeros(len(self.lines), bool)
+        return np.array(aligned(self.lines, other.lines), bool)
+
+    def copies(self, other: Page, shared: np.ndarray) -> bool:
+        return bool(self.sizes[shared].sum() > COPY_SHARE * max(self.sizes.sum(), other.sizes.sum()))
+
+    def follows(self, before: Page) -> bool:
+        return self.host == before.host and self.copies(before, self.shared(before))
+
+
+def runs(pages: list[Page]) -> list[int]:
+    """Where each run of pages that are copies of the page before begins."""
+    return [i for i, page in enumerate(pages) if not page.chained]
+
+
+def edge_pages(pages: list[Page]) -> set[int]:
+    """The pages of a partition that pages of others may need: ends of its first and last three runs, its first and last three pages."""
+    begins = runs(pages)
+    begins = sorted({0, *begins})
+    ends = [b - 1 for b in begins[1:]] + [len(pages) - 1]
+    n = len(pages)
+    return {*begins[:3], *ends[:3], *begins[-3:], *ends[-3:], *range(min(3, n)), *range(max(n - 3, 0), n)}
+
+
+def template_lines(pages: list[Page], inside: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asked page, by its place, the lines that are template; ``inside`` tells which of its lines an article element holds.
+
+    Nearest are the pages next to the page's run of copies, of them the one with more of the path in
+    common, then those next to their runs. A page that is a copy itself is passed over. A line is template if
+    the nearest page has it; inside an article element, if the two nearest have it. Where all pages of
+    the host are copies of each other, a line outside goes if the two pages next to it have it.
+    """
+    begins = runs(pages)
+    run = np.searchsorted(begins, np.arange(len(pages)), "right") - 1
+    ends = [b - 1 for b in begins[1:]] + [len(pages) - 1]
+    for i, marked in inside.items():
+        page, r = pages[i], int(run[i])
+        found: list[np.ndarray] = []
+        for step in (1, 2):
+            near = [ends[r - step]] if r >= step else []
+            near += [begins[r + step]] if r + step < len(begins) else []
+            near = [j for j in near if pages[j].host == page.host]
+            for j in sorted(near, key=lambda j: -len(os.path.commonprefix([page.path, pages[j].path]))):
+                shared = page.shared(pages[j])
+                if len(found) < 2 and not page.copies(pages[j], shared):
+                    found.append(shared)
+        if found:
+            yield i, np.where(marked, found[0] & found[1] if len(found) > 1 else False, found[0])
+            continue
+        near = [j for j in (i - 1, i + 1, i - 2, i + 2) if 0 <= j < len(pages) and pages[j].host == page.host][:2]
+        both = page.shared(pages[near[0]]) & page.shared(pages[near[1]]) if len(near) == 2 else np.zeros(len(marked), bool)
+        yield i, both & ~marked
 
 
 def url_key(url: Column) -> tuple[Column, Column]:
@@ -214,50 +271,126 @@ def url_key(url: Column) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(url, parts, 1)), path
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: its id, url, text and n_chars.
+_BLOCKS = "id long, url string, host string, path string, lines array<string>, inside array<boolean>, marks array<long>, sizes array<int>, d1 long, d2 long"
+_ORDERED = "part int, pos int, host string, path string, marks array<long>, sizes array<int>, inside array<boolean>, d1 long, d2 long, n long, chained boolean, edge boolean"
 
-    Blocks are joined by two line feeds; the text is empty where nothing is left or html is null. A null
-    URL counts as an empty host. Repeated rows are copies of each other, so they keep what one would;
-    an empty table gives an empty result; other columns are not read. Pages are sorted by range, so a
-    large host is spread over tasks; the first page of a task looks at the one after it.
-    """
 
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = here = None  # (id, url, host, lines, inside)
-        done: list[tuple] = []
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds |= {f"array<{name}>": pa.list_(kind) for name, kind in kinds.items()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f[1]]) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], [f[0] for f in fields])
 
-        def settle(after: tuple | None) -> None:
-            near = [x[3] for x in (before, after) if x is not None and x[2] == here[2]]
-            text = "\n\n".join(main_lines(here[3], here[4], near))
-            done.append((here[0], here[1], text, len(text)))
 
-        def give() -> pa.RecordBatch:
-            columns = list(zip(*done, strict=True))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "url", "text", "n_chars"])
-            done.clear()
-            return batch
-
-        for batch in batches:
-            for values in zip(*batch.columns, strict=True):
-                ids, url, host, source = (v.as_py() for v in values)
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of pages, with a hash of each and a digest of host and blocks."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            out = []
+            for values in zip(*batch.slice(at, 500).columns, strict=True):
+                ids, url, host, path, source = (v.as_py() for v in values)
                 blocks = page_blocks(source)
-                row = (ids, url, host, [t for t, _ in blocks], [i for _, i in blocks])
-                if here is not None:
-                    settle(row)
-                before, here = here, row
-                if len(done) >= 500:
-                    yield give()
-        if here is not None:
-            settle(None)
-        if done:
-            yield give()
-
-    bounded_batches(pages.sparkSession)
+                lines, inside = [t for t, _ in blocks], [i for _, i in blocks]
+                coded = [t.encode("utf-8", "surrogatepass") for t in lines]
+                marks = np.array([xxhash.xxh64_intdigest(t) for t in coded], np.uint64).view(np.int64)
+                whole = xxhash.xxh3_128()
+                for t in (host.encode(), bytes(inside), marks.tobytes()):
+                    whole.update(len(t).to_bytes(8, "little") + t)
+                d1, d2 = np.frombuffer(whole.digest(), "<i8").tolist()
+                out.append((ids, url, host, path, lines, inside, marks, [len(t) for t in lines], d1, d2))
+            yield _batch(out, _BLOCKS)
+
+
+def _page(row: dict) -> Page:
+    return Page(row["host"], row["path"], row["marks"], np.array(row["sizes"], np.int64), bool(row.get("chained")))
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted partition with the place of each page, whether it is a copy of the one before, and whether other partitions need it."""
+    part, rows, pages = TaskContext.get().partitionId(), [], []
+    for batch in batches:
+        for row in batch.to_pylist():
+            page = _page(row)
+            page.chained = bool(pages) and page.follows(pages[-1])
+            pages.append(page)
+            rows.append(row)
+    edges = edge_pages(pages) if pages else set()
+    for at in range(0, len(rows), 500):
+        yield _batch([(part, at + k, *(row[c] for c in ("host", "path", "marks", "sizes", "inside", "d1", "d2", "n")), pages[at + k].chained, at + k in edges) for k, row in enumerate(rows[at : at + 500])], _ORDERED)
+
+
+def _judge(edges: Broadcast):
+    """From the pages of partitions in order, those that lose lines, with the lines that stay."""
+
+    def settle(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        before = [_page(r) for r in edges.value if r["part"] < part]
+        own = [_page(r) for r in rows]
+        after = [_page(r) for r in edges.value if r["part"] > part]
+        pages = before + own + after
+        for at, page in enumerate(pages):
+            if at and page.host != pages[at - 1].host:
+                page.chained = False
+        inside = {len(before) + k: np.array(r["inside"], bool) for k, r in enumerate(rows)}
+        out = []
+        for i, gone in template_lines(pages, inside):
+            if gone.any():
+                row = rows[i - len(before)]
+                out.append((row["d1"], row["d2"], row["n"], (~gone).tolist()))
+        for at in range(0, len(out), 500):
+            yield _batch(out[at : at + 500], "d1 long, d2 long, n long, stays array<boolean>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and row["part"] != rows[0]["part"]:
+                    yield from settle(rows[0]["part"], rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from settle(rows[0]["part"], rows)
+
+    return run
+
+
+def _edges(ordered: DataFrame) -> list[dict]:
+    """The edge pages of all partitions in order, the first of a partition tied to the last of the one before."""
+    names = ["part", "pos", "host", "path", "marks", "sizes", "chained"]
+    rows = [r.asDict() for r in ordered.where("edge").select(*names).collect()]
+    rows.sort(key=lambda r: (r["part"], r["pos"]))
+    for last, row in zip(rows, rows[1:], strict=False):
+        if row["part"] != last["part"]:
+            row["chained"] = _page(row).follows(_page(last))
+    return rows
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per row of ``pages``: its id, url, text and n_chars.
+
+    Blocks are joined by two line feeds; the text is empty where nothing is left or html is null. A null
+    URL counts as an empty host. Pages of a host with equal blocks, so also repeated rows, are compared as
+    one, at the first of their paths, and get one text. An empty table gives an empty result; other columns
+    are not read. Pages are sorted by range, so a large host is spread over tasks; of each range, the first
+    and last pages go to all tasks, so the text doesn't depend on where ranges end.
+    """
+    spark = pages.sparkSession
+    bounded_batches(spark)
     host, path = url_key(pages[url_col].cast("string"))
-    narrow = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), host.alias("host"), pages[html_col].cast("string").alias("html"), path.alias("path"))
-    order = ["host", "path", "id"]
-    sorted_pages = narrow.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).drop("path")
-    out = sorted_pages.mapInArrow(difference, "id long, url string, text string, n_chars long")
-    return out.withColumnsRenamed({"id": id_col, "url": url_col})
+    narrow = pages.select(pages[id_col].cast("long").alias("id"), pages[url_col].cast("string").alias("url"), host.alias("host"), path.alias("path"), pages[html_col].cast("string").alias("html"))
+    blocks = stored(narrow.mapInArrow(_parse, _BLOCKS), "page-blocks")
+    place = F.struct("path", "id")
+    told = F.struct("host", "path", "id", "marks", "sizes", "inside")
+    different = blocks.where(F.size("lines") > 0).groupBy("d1", "d2").agg(F.min_by(told, place).alias("p"), F.count("*").alias("n")).select("p.*", "d1", "d2", "n")
+    order = ["host", "path", "id", "d1", "d2"]
+    ordered = stored(different.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chain, _ORDERED), "page-order")
+    edges = spark.sparkContext.broadcast(_edges(ordered))
+    # the first page of a partition is tied to the one before it by the table of edges
+    tied = [(r["part"], r["chained"]) for r in edges.value if r["pos"] == 0]
+    firsts = spark.createDataFrame(tied, "part int, tied boolean")
+    known = ordered.join(F.broadcast(firsts), "part").withColumn("chained", F.when(F.col("pos") == 0, F.col("tied")).otherwise(F.col("chained"))).drop("tied", "edge")
+    verdicts = stored(known.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(_judge(edges), "d1 long, d2 long, n long, stays array<boolean>"), "page-verdicts")
+    total = blocks.count()
+    left = attach(blocks.select("id", "url", "lines", "d1", "d2"), verdicts, ["d1", "d2"], "n", total)
+    own = F.when(F.col("stays").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: F.get("stays", i)))
+    text = left.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(own, "\n\n").alias("text"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))

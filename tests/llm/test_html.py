@@ -82,3 +82,23 @@ def test_long_pages_are_aligned_in_order():
     a = ["own", *map(str, range(n)), "last"]
     b = ["first", *map(str, range(n)), "end", "own"]
     assert html_extract.aligned(a, b) == [False, *[True] * n, False]
+
+
+def texts(spark, rows, parts=None):
+    pages = frame(spark, rows)
+    return {x.page_id: x.text for x in html_extract.main_text(pages.repartition(parts) if parts else pages).collect()}
+
+
+def prose(r, words=12):
+    return "own " + " ".join(str(r.random()) for _ in range(words))
+
+
+def test_the_alignment_decides_pages_with_an_article(spark):
+    r = random.Random(5)
+    card = "<div>Site name</div><article><p>Card {0}</p></article><div>{1}</div><div>{2}</div>"
+    own = [(prose(r), prose(r)) for _ in range(4)]
+    rows = [(i, f"http://card.org/{i}", card.format(i, *own[i])) for i in range(4)]
+    news = [prose(r) for _ in range(4)]
+    rows += [(10 + i, f"http://news.org/{i}", f"<main><div>Subscribe today</div><p>{news[i]}</p></main>") for i in range(4)]
+    got = texts(spark, rows)
+    assert got == {i: f"Card {i}\n\n" + "\n\n".join(own[i]) for i in range(4)} | {10 + i: news[i] for i in range(4)}
