@@ -102,3 +102,29 @@ def test_the_alignment_decides_pages_with_an_article(spark):
     rows += [(10 + i, f"http://news.org/{i}", f"<main><div>Subscribe today</div><p>{news[i]}</p></main>") for i in range(4)]
     got = texts(spark, rows)
     assert got == {i: f"Card {i}\n\n" + "\n\n".join(own[i]) for i in range(4)} | {10 + i: news[i] for i in range(4)}
+
+
+def test_runs_of_copies_and_short_pages(spark):
+    r = random.Random(6)
+    page = "<div>Site name and a rather long slogan of the site</div><div>{}</div><div>All rights are reserved by somebody, always</div>"
+    a, b, c = prose(r), prose(r), prose(r)
+    rows = [(i, f"http://run.org/b?x={i}", page.format(b)) for i in range(7)] + [(7, "http://run.org/a", page.format(a)), (8, "http://run.org/c", page.format(c))]
+    near = [prose(r, 60) for _ in range(3)]
+    # near copies of one article keep it, also in the middle of their run
+    rows += [(20 + i, f"http://near.org/b?x={i}", page.format(near[1]) + f"<p>{i}{i}") for i in range(3)] + [(23, "http://near.org/a", page.format(near[0])), (24, "http://near.org/c", page.format(near[2]))]
+    rows += [(30 + i, f"http://short.org/{i}", page.format(f"own {i}")) for i in range(4)]
+    want = {i: b for i in range(7)} | {7: a, 8: c} | {20 + i: f"{near[1]}\n\n{i}{i}" for i in range(3)} | {23: near[0], 24: near[2]} | {30 + i: f"own {i}" for i in range(4)}
+    assert texts(spark, rows) == want
+
+
+def test_texts_do_not_depend_on_partitions(spark, monkeypatch):
+    r = random.Random(7)
+    page = "<div>Site {0}</div><article><p>Notice of {0}</p><p>{1}</p></article><div>Rights of {0}</div>"
+    rows = [(i, f"http://h{i % 3}.org/{i // 6}?q={i}", page.format(i % 3, prose(r, 5 if i % 4 else 0))) for i in range(60)]
+    found, kind = [], type(spark.range(1))
+    by_range = kind.repartitionByRange
+    for parts in (1, 2, 7, 40):
+        monkeypatch.setattr(kind, "repartitionByRange", lambda df, *order, n=parts: by_range(df, n, *order))
+        found.append(texts(spark, rows))
+    assert all(x == found[0] for x in found)
+    assert all("Site" not in t and "Notice" not in t and "Rights" not in t for t in found[0].values())
