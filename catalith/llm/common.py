@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: A key with more than 1/HOT_SHARE of all rows is looked up by broadcast; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 256
 BATCH_ROWS = 1000
+ROW = "__row"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dir: list[str] = []
 
@@ -42,6 +43,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keyed(df: DataFrame) -> DataFrame:
+    """The rows, stored, with a number of their own in ROW, so that verdicts find them whatever ids they have."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
     """Left join of rows and a stored table with one row a key, where a key may hold any share of the rows.
 

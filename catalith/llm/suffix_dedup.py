@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import bounded_batches, stored
+from catalith.llm.common import ROW, bounded_batches, row_keyed, stored
 
 LENGTH = 100
 ANCHOR = 40
@@ -279,29 +279,29 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((len(data), sum(b - a for a, b in ranges), len(ranges), b"".join(kept)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["id", "twin", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["id", "row", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (never null), twin (tells rows with one id and different texts apart, 0 where ids don't repeat), text."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
+    """id (never null), twin (tells rows with one id and different texts apart, 0 where ids don't repeat), text, row (null without row_col)."""
     known = docs[id_col].cast("long")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(known, F.lit(_NO_ID)).alias("id"), text.alias("text"))
+    keyed = docs.select(F.coalesce(known, F.lit(_NO_ID)).alias("id"), text.alias("text"), (docs[row_col] if row_col else F.lit(None)).cast("long").alias("row"))
     repeats = keyed.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] > 1
     twin = F.xxhash64("text") if repeats else F.lit(0).cast("long")
-    return keyed.select("id", twin.alias("twin"), "text")
+    return keyed.select("id", twin.alias("twin"), "text", "row")
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_spans: int = GROUP_SPANS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_spans: int = GROUP_SPANS, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, n_bytes, n_removed, n_spans, kept (binary, what is left of the UTF-8 bytes).
 
     Null and empty texts and those under 100 bytes lose nothing. A null id counts as the largest and comes
     back as null. Rows with one id and different texts are ordered by a hash of the text; rows that
     repeat id and text are one document and lose the same. An empty table gives an empty result; other
-    columns are not read. Texts of any length are read in parts.
+    columns are not read. Texts of any length are read in parts. With ``row_col``, that long column comes too.
     """
     bounded_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, row_col)
     sent = keyed.select("id", "twin", F.col("text").cast("binary").alias("text")).mapInArrow(_send_spans, _SPAN)
     ordered = sent.repartition("anchor").sortWithinPartitions("anchor", "span", "id", "twin", "start")
     judged = stored(ordered.mapInArrow(_judge_spans, _SPAN), "spans")
@@ -317,9 +317,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = by_anchor.mapInArrow(_compare_strings, "id long, twin long, start int, n int")
     repeats = judged.where("n < 0").select("id", "twin", "start", (-F.col("n")).alias("n")).unionByName(compared)
     runs = repeats.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    joined = texts.join(runs, ["id", "twin"], "left").select("id", "twin", F.col("text").cast("binary").alias("text"), "runs")
-    out = joined.mapInArrow(_cut_texts, "id long, twin long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
+    whole = keyed.select("id", "twin", "text", "row") if row_col else texts.withColumn("row", F.lit(None).cast("long"))
+    joined = whole.join(runs, ["id", "twin"], "left").select("id", "row", F.col("text").cast("binary").alias("text"), "runs")
+    out = joined.mapInArrow(_cut_texts, "id long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
@@ -330,16 +331,16 @@ def repeats_digest(docs: DataFrame) -> DataFrame:
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["__id", "__text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["__key", "__text"])
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """All rows and columns of ``docs``, whose ids don't repeat and aren't null, the text without repeats and its size in characters.
+    """All rows and columns of ``docs``, the text without repeats and its size in characters.
 
-    A character of which a part was removed goes as a whole.
+    Ids may be null or repeat, as in ``without_repeats``. A character of which a part was removed goes as a whole.
     """
-    left = without_repeats(docs, id_col, text_col).select(id_col, "kept").mapInArrow(_decoded, "__id long, __text string")
-    joined = docs.drop(text_col).join(left, docs[id_col] == F.col("__id"))
+    keyed = row_keyed(docs)
+    left = without_repeats(keyed, id_col, text_col, row_col=ROW).select(ROW, "kept").mapInArrow(_decoded, "__key long, __text string")
+    joined = keyed.drop(text_col).join(left, F.col(ROW) == F.col("__key"))
     sized = {text_col: F.col("__text"), size_col: F.char_length("__text").cast("long")}
     return joined.select(*[sized[c].alias(c) if c in sized else F.col(c) for c in docs.columns])
-

@@ -9,7 +9,7 @@ from test_dedup_quality_packing import brute_fingerprint, classes
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from catalith.llm import langid, vocabulary
+from catalith.llm import exact_dedup, langid, simhash, suffix_dedup, vocabulary
 
 
 def fixture(seed=8):
@@ -87,3 +87,19 @@ def test_stages_return_documents(spark):
     empty = docs.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[2]), (5, texts[3]), (None, texts[3]), (7, texts[4]), (7, texts[4] + "  "), (None, None), (1, texts[5])]
+    want = sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4] + "  "), (None, None), (1, texts[5])], key=str)
+    docs = spark.createDataFrame([(i, t, "aa", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = exact_dedup.deduplicated(docs)
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == want
+    near = simhash.deduplicated(docs)
+    assert sorted(((x.doc_id, (x.text or "").strip()) for x in near.collect()), key=str) == sorted([(i, (t or "").strip()) for i, t in want], key=str)
+    cut_rows = sorted(((x.doc_id, x.text) for x in suffix_dedup.cut(docs).collect()), key=str)
+    assert len(cut_rows) == len(rows)
+    assert collections.Counter(i for i, _ in cut_rows) == collections.Counter(i for i, _ in rows)
+    assert sorted((x.doc_id, x.text) for x in suffix_dedup.cut(docs.where("doc_id = 5")).collect()) == sorted(x for x in rows if x[0] == 5)
