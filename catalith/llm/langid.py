@@ -174,14 +174,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return predict(docs, model, id_col, text_col).withColumn("held_out", held_out(F.col(id_col))).select(id_col, "held_out", "lang_pred", "score")
 
 
-def identified(docs: DataFrame, least_score: float = 0.4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in a language, with all columns: those without letters, or with no language above ``least_score``, go."""
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in one learned language or a mixture of several, with all columns; only those that ``predict`` calls ``und`` go."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out(docs[id_col])), text_col, lang_col))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.value.predict(x.as_py()) for x in batch.column(at)]
-            yield batch.filter(pa.array([lang != NO_LANGUAGE and score >= least_score for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([model.value.predict(x.as_py())[0] != NO_LANGUAGE for x in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

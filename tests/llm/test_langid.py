@@ -62,3 +62,13 @@ def test_em_never_lowers_the_likelihood(spark):
 def test_nothing_to_learn_or_to_predict(spark):
     assert {x.lang_pred for x in langid.identify(frame(spark, [(1, "abc", None)])).collect()} == {"und"}
     assert langid.identify(frame(spark, [])).count() == 0
+
+
+def test_evenly_mixed_documents_stay(spark):
+    r = random.Random(5)
+    learnt = [(i, sentence(r, g, 60), g) for i, g in enumerate(list(SOUNDS) * 30)]
+    mixed = [(1000 + i, " ".join(sentence(r, g, 60) for g in SOUNDS), None) for i in range(5)]
+    docs = frame(spark, [*learnt, *mixed, (2000, "12 %%", None)])
+    shares = [x.score for x in langid.identify(docs).where("doc_id between 1000 and 1999").collect()]
+    assert len(shares) == 5 and min(shares) < 0.4
+    assert {x.doc_id for x in langid.identified(docs).collect()} == {i for i, *_ in learnt + mixed}
