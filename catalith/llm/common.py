@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 #: A key with more than 1/HOT_SHARE of all rows is looked up by broadcast; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 256
 BATCH_ROWS = 1000
-ROW = "__row"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir; a local run (tests) may leave it unset."""
     if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="catalith-"))
     return "file://" + _own_dir[0]
@@ -43,9 +44,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_keyed(df: DataFrame) -> DataFrame:
-    """The rows, stored, with a number of their own in ROW, so that verdicts find them whatever ids they have."""
-    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_keyed(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, stored, with a number of their own, so that verdicts find them whatever ids they have, and that column's name."""
+    row = free_name(df, "row_key")
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:

@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import ROW, attach, row_keyed, stored
+from catalith.llm.common import attach, row_keyed, stored
 
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Above any length; a null id counts as the largest.
 _NO_ID = (1 << 63) - 1
-_BIG = 1 << 64
+#: Holds 2**63 minus any long, so also 2**64.
+_BIG = 1 << 65
 _HALF = 1 << 63
 
 
@@ -70,17 +71,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each content, with all its columns: the longest text, then the smallest id, a null one last, then any one row."""
-    keyed = row_keyed(docs)
+    """One row of each content, with all its columns: the longest text, then the smallest id, a null one last, then any one row.
+
+    Ids may be null or repeat, and columns may have any names.
+    """
+    keyed, row = row_keyed(docs)
     text = F.coalesce(keyed[text_col].cast("string"), F.lit(""))
     rank = _keep_order(F.char_length(text), F.coalesce(keyed[id_col].cast("long"), F.lit(_NO_ID)))
-    content = keyed.select(ROW, keyed[id_col].isNull().alias("no_id"), rank.alias("rank"), without_space(text).alias("content"))
-    rows = stored(content.select(ROW, "no_id", "rank", F.unhex(F.md5("content")).alias("content_hash"), F.unhex(F.sha2("content", 256)).alias("sha")), "content-ranks")
+    content = keyed.select(keyed[row].alias("row"), keyed[id_col].isNull().alias("no_id"), rank.alias("rank"), without_space(text).alias("content"))
+    rows = stored(content.select("row", "no_id", "rank", F.unhex(F.md5("content")).alias("content_hash"), F.unhex(F.sha2("content", 256)).alias("sha")), "content-ranks")
     keys = ["content_hash", "sha"]
     groups = stored(rows.groupBy(*keys).agg(F.count("*").alias("group_size"), F.max("rank").alias("best")), "content-groups")
     best = attach(rows, groups, keys, "group_size", rows.count()).where("rank = best")
-    kept = best.groupBy(*keys).agg(F.min(F.struct("no_id", ROW)).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return keyed.join(kept, ROW, "left_semi").drop(ROW)
+    kept = best.groupBy(*keys).agg(F.min(F.struct("no_id", "row")).alias("first")).select(F.col("first.row").alias(row))
+    return keyed.join(kept, row, "left_semi").drop(row)
 
 
 SQL = r"""

@@ -89,7 +89,7 @@ def host_verdicts(hosts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("docs"),
         F.coalesce(F.sum("failed"), F.lit(0)).alias("bad"),
         F.count("*").alias("hosts"),
-        F.coalesce(F.sum(F.col("failed") * F.col("failed") / F.col("n")), F.lit(0.0)).alias("square"),
+        F.coalesce(F.sum(F.col("failed").cast("double") * F.col("failed") / F.col("n")), F.lit(0.0)).alias("square"),
         F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)).alias("n_square"),
     ).first()
     docs, mean = max(sums.docs, 1), sums.bad / max(sums.docs, 1)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import ROW, attach, bounded_batches, row_keyed, stored
+from catalith.llm.common import attach, bounded_batches, row_keyed, stored
 from catalith.llm.components import components
 
 SEED = 42
@@ -187,9 +187,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, with all its columns: the smallest id, a null one last, then any one row."""
-    keyed = row_keyed(docs)
-    ids = keyed.select(ROW, keyed[id_col].cast("long").alias("id"))
-    classes = near_duplicates(keyed, ROW, text_col).select(ROW, "component_id").join(ids, ROW)
-    first = classes.groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", ROW)).alias("first"))
-    return keyed.join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_semi").drop(ROW)
+    """One row of each class, with all its columns: the smallest id, a null one last, then any one row.
+
+    Ids may be null or repeat, and columns may have any names.
+    """
+    keyed, row = row_keyed(docs)
+    ids = keyed.select(keyed[row].alias("row"), keyed[id_col].cast("long").alias("id"))
+    classes = near_duplicates(keyed, row, text_col).select(F.col(row).alias("row"), "component_id").join(ids, "row")
+    first = classes.groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("first"))
+    return keyed.join(first.select(F.col("first.row").alias(row)), row, "left_semi").drop(row)

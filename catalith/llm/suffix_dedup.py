@@ -5,15 +5,14 @@ equal anchors, so only strings under one anchor hash need comparing, and neighbo
 an anchor: the strings that one anchor owns are one short span of bytes.
 
 1. Each task finds its spans and sends the first of equal ones (hash of anchor, hash of span, place);
-   others are known to be repeats at once.
+   others are known to be repeats at once. Spans are equal if both 64-bit hashes are.
 2. Spans are sorted by anchor hash, streaming: a later span equal to an earlier one is all repeats; spans
-   whose anchor has one span only are first; the rest is compared string by string in step 3.
-3. The bytes of those spans, a few percent, are fetched, grouped by anchor, and their 100-byte strings are
-   looked up in the set of earlier ones. An anchor with very many spans is split: each of its strings
-   becomes a group of its own.
+   whose anchor has one span only are first; the rest, a few percent, goes to step 3.
+3. The bytes of those spans are fetched and grouped by anchor. Shards of whole groups are put into run-length
+   Burrows-Wheeler indexes (run_length_index.py); later spans stream through the index of earlier ones, and
+   matching statistics of 100 bytes or more mark the repeats. A crowded anchor is split by string:
+   each task keeps the first place of a string, and only these meet.
 4. Documents meet their repeats and lose the bytes these cover.
-
-The README says why this stands in for a run-length Burrows-Wheeler index.
 """
 
 from __future__ import annotations
@@ -26,12 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import ROW, bounded_batches, row_keyed, stored
+from catalith.llm.common import attach, bounded_batches, free_name, quoted, row_keyed, stored
+from catalith.llm.run_length_index import seen_earlier
 
 LENGTH = 100
 ANCHOR = 40
-#: Spans of one anchor that are compared in one group; anchors with more are split.
-GROUP_SPANS = 10_000
+#: Spans of one anchor that an index holds together; anchors with more are split by string, exactly.
+GROUP_SPANS = 1024
+#: Bytes of spans in one index, whole groups; a group has at most GROUP_SPANS spans of under 2 * LENGTH bytes.
+SHARD_BYTES = 1 << 20
+#: Strings of crowded anchors of which a task keeps the first places at once.
+STRINGS_HELD = 50_000
 _NO_ID = (1 << 63) - 1
 _POSITION = np.uint64((1 << 24) - 1)
 _PIECE = 1 << 21
@@ -198,56 +202,105 @@ def _judge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = tuple(c[-1] for c in columns)
 
 
-def _fetch_spans(crowded: np.ndarray):
-    """From (id, twin, text, wanted spans) the bytes of each span, keyed by anchor; strings of crowded anchors apart, keyed by their hash too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for ids, twin, text, wanted in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist(), strict=True):
-                data = text.as_py()
-                for w in wanted:
-                    anchor, start, n = w["anchor"], w["start"], w["n"]
-                    at = np.searchsorted(crowded, anchor)
-                    if at < len(crowded) and crowded[at] == anchor:
-                        for k in range(start, start + n):
-                            string = data[k : k + LENGTH]
-                            rows.append((anchor, int.from_bytes(hashlib.blake2b(string, digest_size=7).digest(), "big"), ids, twin, k, string))
-                    else:
-                        rows.append((anchor, -1, ids, twin, start, data[start : start + n + LENGTH - 1]))
-                if len(rows) > 50_000:
-                    yield _span_bytes(rows)
-                    rows = []
-            if rows:
-                yield _span_bytes(rows)
-
-    return run
+_BYTES = "anchor long, part long, id long, twin long, start int, n int, bytes binary"
+
+
+def _fetch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (id, twin, text, wanted spans) the bytes of each span, keyed by anchor.
+
+    Strings of crowded anchors are keyed by their own hash too. Of equal ones, the first that the task has
+    seen goes on; the others are known to be repeats (n strings, without bytes).
+    """
+    rows: list[tuple] = []
+    first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+    again: set[tuple[int, int, int]] = set()
+
+    def settled() -> pa.RecordBatch:
+        rows.extend((anchor, int.from_bytes(hashlib.blake2b(string, digest_size=7).digest(), "big"), *place, 0, string) for (anchor, string), place in first.items())
+        runs: list[list[int]] = []
+        for ids, twin, start in sorted(again):
+            if runs and runs[-1][:2] == [ids, twin] and runs[-1][2] + runs[-1][3] == start:
+                runs[-1][3] += 1
+            else:
+                runs.append([ids, twin, start, 1])
+        rows.extend((hash((ids, twin, start)), -2, ids, twin, start, n, None) for ids, twin, start, n in runs)
+        out = _span_bytes(rows)
+        rows.clear(), first.clear(), again.clear()
+        return out
+
+    for batch in batches:
+        for ids, twin, text, wanted in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist(), strict=True):
+            data = text.as_py()
+            for w in wanted:
+                anchor, start, n = w["anchor"], w["start"], w["n"]
+                if not w["crowded"]:
+                    rows.append((anchor, -1, ids, twin, start, 0, data[start : start + n + LENGTH - 1]))
+                    continue
+                for k in range(start, start + n):
+                    string, place = data[k : k + LENGTH], (ids, twin, k)
+                    known = first.setdefault((anchor, string), place)
+                    if place < known:
+                        first[anchor, string] = place
+                    if place != known:
+                        again.add(max(place, known))
+            if len(rows) + len(first) + len(again) > STRINGS_HELD:
+                yield settled()
+    if rows or first:
+        yield settled()
 
 
 def _span_bytes(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "part", "id", "twin", "start", "bytes"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in _BYTES.split(", ")])
+
+
+_RUNS = "id long, twin long, start int, n int"
+
+
+def _runs(ids: np.ndarray, twin: np.ndarray, start: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(twin, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["id", "twin", "start", "n"])
+
+
+def _shard_repeats(spans: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    """Runs of strings of (anchor, id, twin, start, bytes), sorted, that an earlier span of the anchor has."""
+    anchor, ids, twin, start = (np.array(c, np.int64) for c in list(zip(*spans, strict=True))[:4])
+    size = np.array([len(x[4]) for x in spans], np.int64)
+    ends = np.cumsum(size)
+    at = np.flatnonzero(seen_earlier(np.frombuffer(b"".join(x[4] for x in spans), np.uint8), ends, anchor, LENGTH))
+    span = np.searchsorted(ends, at, "right")
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (span[1:] != span[:-1])])) if len(at) else at
+    n = np.diff(np.append(new, len(at)))
+    span, at = span[new], at[new]
+    return _runs(ids[span], twin[span], start[span] + at - (ends - size)[span], n)
 
 
 def _compare_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From spans sorted by anchor, part and place: runs of strings that an earlier span of the group has."""
-    key, seen = None, {}
+    """From rows sorted by anchor, part and place: runs of strings that an earlier row of the group has."""
+    key, seen = None, set()
+    shard: list[tuple[int, int, int, int, bytes]] = []
+    held = 0
     for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        columns = [c.to_pylist() for c in batch.columns]
-        for anchor, part, ids, twin, start, data in zip(*columns, strict=True):
-            if (anchor, part) != key:
-                key, seen = (anchor, part), {}
-            for k in range(len(data) - LENGTH + 1):
-                place = (ids, twin, start + k)
-                if seen.setdefault(data[k : k + LENGTH], place) != place:
-                    if out and out[-1][:2] == (ids, twin) and out[-1][2] + out[-1][3] == start + k:
-                        out[-1] = (*out[-1][:3], out[-1][3] + 1)
-                    else:
-                        out.append((ids, twin, start + k, 1))
-        if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "twin", "start", "n"])
+        known: list[tuple[int, int, int, int]] = []
+        for anchor, part, ids, twin, start, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if n:
+                known.append((ids, twin, start, n))
+            elif part >= 0:  # one string of a crowded anchor; the first row with it has its first place
+                if (anchor, part) != key:
+                    key, seen = (anchor, part), set()
+                if data in seen:
+                    known.append((ids, twin, start, 1))
+                seen.add(data)
+            else:
+                if held >= SHARD_BYTES and anchor != shard[-1][0]:
+                    yield _shard_repeats(shard)
+                    shard, held = [], 0
+                if not shard or shard[-1][:4] != (anchor, ids, twin, start):
+                    shard.append((anchor, ids, twin, start, data))
+                    held += len(data)
+        if known:
+            yield _runs(*(np.array(c, np.int64) for c in zip(*known, strict=True)))
+    if shard:
+        yield _shard_repeats(shard)
 
 
 def removed_runs(n_bytes: int, runs: list[dict] | None) -> list[tuple[int, int]]:
@@ -306,15 +359,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ordered = sent.repartition("anchor").sortWithinPartitions("anchor", "span", "id", "twin", "start")
     judged = stored(ordered.mapInArrow(_judge_spans, _SPAN), "spans")
     to_compare = judged.where("n > 0")
-    crowds = to_compare.groupBy("anchor").agg(F.count("*").alias("spans"))
-    most = max(group_spans, to_compare.count() >> 20)  # so there are at most 2**20 crowded anchors
-    crowded = np.array(sorted(r.anchor for r in crowds.where(F.col("spans") > most).select("anchor").collect()), np.int64)
-    wanted = to_compare.groupBy("id", "twin").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("wanted"))
+    crowds = stored(to_compare.groupBy("anchor").agg(F.count("*").alias("spans")).where(F.col("spans") > group_spans), "crowded-anchors")
+    marked = attach(to_compare, crowds, ["anchor"], "spans", to_compare.count()).withColumn("crowded", F.col("spans").isNotNull())
+    wanted = marked.groupBy("id", "twin").agg(F.collect_list(F.struct("anchor", "start", "n", "crowded")).alias("wanted"))
     texts = keyed.select("id", "twin", "text")
     with_spans = texts.join(wanted, ["id", "twin"]).select("id", "twin", F.col("text").cast("binary").alias("text"), "wanted")
-    span_bytes = with_spans.mapInArrow(_fetch_spans(crowded), "anchor long, part long, id long, twin long, start int, bytes binary")
+    span_bytes = with_spans.mapInArrow(_fetch_spans, _BYTES)
     by_anchor = span_bytes.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "id", "twin", "start")
-    compared = by_anchor.mapInArrow(_compare_strings, "id long, twin long, start int, n int")
+    compared = by_anchor.mapInArrow(_compare_strings, _RUNS)
     repeats = judged.where("n < 0").select("id", "twin", "start", (-F.col("n")).alias("n")).unionByName(compared)
     runs = repeats.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     whole = keyed.select("id", "twin", "text", "row") if row_col else texts.withColumn("row", F.lit(None).cast("long"))
@@ -331,16 +383,18 @@ def repeats_digest(docs: DataFrame) -> DataFrame:
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["__key", "__text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["key", "left"])
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """All rows and columns of ``docs``, the text without repeats and its size in characters.
 
-    Ids may be null or repeat, as in ``without_repeats``. A character of which a part was removed goes as a whole.
+    Ids may be null or repeat, as in ``without_repeats``; columns may have any names. A character of which a
+    part was removed goes as a whole.
     """
-    keyed = row_keyed(docs)
-    left = without_repeats(keyed, id_col, text_col, row_col=ROW).select(ROW, "kept").mapInArrow(_decoded, "__key long, __text string")
-    joined = keyed.drop(text_col).join(left, F.col(ROW) == F.col("__key"))
-    sized = {text_col: F.col("__text"), size_col: F.char_length("__text").cast("long")}
-    return joined.select(*[sized[c].alias(c) if c in sized else F.col(c) for c in docs.columns])
+    keyed, row = row_keyed(docs)
+    own = free_name(keyed, "left_text")
+    left = without_repeats(keyed, id_col, text_col, row_col=row).select(row, "kept").mapInArrow(_decoded, "key long, left string")
+    joined = keyed.drop(text_col).join(left.toDF(row, own), row)
+    sized = {text_col: F.col(own), size_col: F.char_length(own).cast("long")}
+    return joined.select(*[sized[c].alias(c) if c in sized else F.col(quoted(c)) for c in docs.columns])
