@@ -38,7 +38,9 @@ NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|co
 IN_ARTICLE = frozenset("ad ads advert advertisement sponsored comments comment-list comments-area comment-respond disqus newsletter newsletter-signup sidebar breadcrumb breadcrumbs pagination navbar navigation share-buttons sharing-buttons social-share social-links related-posts related-articles recommended-posts cookie-consent cookie-banner subscribe-box".split())
 IN_ARTICLE_IDS = frozenset(["disqus_thread"])
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: Two pages that share more than this part of the longer one are copies.
 COPY_SHARE = 0.6
@@ -67,72 +69,116 @@ def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _decoded(piece: str) -> str:
+    """Text with its character references decoded; numbers beyond Unicode become the replacement character."""
+    return html.unescape(_HUGE.sub("&#9999999", _ZEROS.sub("&#", piece))) if "&" in piece else piece
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """("", "", text), ("<", tag, attributes) and ("</", tag, "") in order, in one pass over any source.
+
+    A quote that nothing closes is an ordinary character. If a tag's end is hidden in quotes up to the
+    end of the source, quotes no longer count from there on. A bracket that opens no tag is text.
+    """
+    n, at, text_from = len(source), 0, 0
+    final = {q: source.rfind(q) for q in "\"'>"}
+    quotes = True
+    while (open_ := source.find("<", at)) >= 0:
+        if source.startswith("<!--", open_):
+            end = source.find("-->", open_ + 4)
+            end = n if end < 0 else end + 3
+            found = None
+        elif open_ > final[">"]:
+            break
+        elif source.startswith(("<!", "<?"), open_):
+            end, found = source.find(">", open_) + 1, None
+        elif (m := _TAG.match(source, open_)) is None:
+            at = open_ + 1
+            continue
+        else:
+            found, end = m, m.end()
+            while quotes and end < n:
+                end = _PLAIN.match(source, end).end()
+                if end == n or source[end] == ">":
+                    break
+                end = (end if end == final[source[end]] else source.find(source[end], end + 1)) + 1
+            if not quotes or end >= n:
+                quotes, end = False, source.find(">", m.end())
+            if end < 0:  # its end is behind the last bracket
+                break
+            end += 1
+        if open_ > text_from:
+            yield "", "", source[text_from:open_]
+        if found:
+            yield "</" if found[1] else "<", found[2].lower(), "" if found[1] else source[found.end() : end - 1]
+            if found[2].lower() in RAW and not found[1]:
+                close = re.compile(rf"</{re.escape(found[2])}\s*>", re.I).search(source, end)
+                end = close.end() if close else n
+        at = text_from = end
+    if text_from < n:
+        yield "", "", source[text_from:]
+
+
 def page_blocks(source: str | None) -> list[tuple[str, bool]]:
-    """Text blocks of a page in order, and whether each is inside an article element; none for null or empty html."""
+    """Text blocks of a page in order, and whether each is inside an article element; none for null or empty html.
+
+    Linear in the page, however its tags are nested: the open elements of each name, and those that hold
+    back loose ends, are kept by their place on the stack.
+    """
     if not source:
         return []
     out: list[tuple[str, bool]] = []
     text: list[str] = []
     stack: list[tuple[str, bool]] = []
-    dropped = articles = 0
+    places: dict[str, list[int]] = {}
+    marks, firm = [], []  # places of article elements, and of those that are neither loose nor inline
+    dropped = 0
 
     def flush() -> None:
         if text:
             block = " ".join("".join(text).split())
             text.clear()
             if block:
-                out.append((block, articles > 0))
+                out.append((block, bool(marks)))
 
     def close(at: int) -> None:
-        nonlocal dropped, articles
-        for tag, drop in stack[at:]:
+        nonlocal dropped
+        while len(stack) > at:
+            tag, drop = stack.pop()
             dropped -= drop
-            articles -= tag in ARTICLE
-        del stack[at:]
-
-    at, n = 0, len(source)
-    while at < n:
-        m = _TOKEN.search(source, at)
-        piece = source[at : m.start() if m else n]
-        if piece and not dropped:
-            text.append(html.unescape(piece) if "&" in piece else piece)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+            places[tag].pop()
+            for held in (marks, firm):
+                if held and held[-1] == len(stack):
+                    held.pop()
+
+    for kind, tag, value in tokens(source):
+        if not kind:
+            if not dropped:
+                text.append(_decoded(value))
             continue
-        tag = m[2].lower()
         if tag == "br":
             text.append(" ")
             continue
         if tag not in INLINE:
             flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in ARTICLE and tag in INLINE | LOOSE:
-                    break
-            continue
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
+        last = places[tag][-1] if places.get(tag) else -1
+        if kind == "</":
+            if last >= 0 and not (marks and marks[-1] > last and (tag in INLINE or tag in LOOSE)):
+                close(last)
             continue
-        drop = _is_dropped(tag, m[3], articles > 0)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = end.end() if end else n
+        if tag in VOID or tag in RAW or value.endswith("/"):
             continue
-        if tag in LOOSE:  # an open one of its kind ends here
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] not in LOOSE and stack[k][0] not in INLINE:
-                    break
+        drop = _is_dropped(tag, value, bool(marks))
+        if tag in LOOSE and last > (firm[-1] if firm else -1):  # an open one of its kind ends here
+            close(last)
         if drop or tag not in INLINE:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in ARTICLE:
+                marks.append(len(stack))
+            if tag not in LOOSE and tag not in INLINE:
+                firm.append(len(stack))
             stack.append((tag, drop))
             dropped += drop
-            articles += tag in ARTICLE
     flush()
     return out
 

@@ -1,5 +1,9 @@
+import os
 import random
+import re
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -128,3 +132,92 @@ def test_texts_do_not_depend_on_partitions(spark, monkeypatch):
         found.append(texts(spark, rows))
     assert all(x == found[0] for x in found)
     assert all("Site" not in t and "Notice" not in t and "Rights" not in t for t in found[0].values())
+
+
+HOSTILE = {
+    "unclosed quotes": "<a '" * 250_000,
+    "both quotes": "<a \"'" * 200_000,
+    "quotes that hide every end": "<a '>' " * 150_000,
+    "nested and never closed": "<div>" * 200_000,
+    "ends of what isn't open": "<div>" * 100_000 + "</span></ul>" * 50_000,
+    "ends held back by an article": "<p><article>" + "<div>" * 50_000 + "</p>" * 100_000,
+    "loose": "<div><p>" * 100_000,
+    "brackets": "<!" * 300_000 + "<a" * 300_000,
+    "a number of half a million digits": "<p>&#" + "1" * 500_000 + ";",
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_bad_markup_takes_linear_time(kind):
+    start = time.process_time()
+    html_extract.page_blocks(HOSTILE[kind])
+    assert time.process_time() - start < 4  # about 0.3 s; a second pass for each tag would take minutes
+
+
+def test_quotes_and_references():
+    assert [t for t, _ in html_extract.page_blocks("<p title='a>b' x=\">\">one &#00065;&#99999999999;<p a='b>two")] == ["one A�", "two"]
+    assert [t for t, _ in html_extract.page_blocks("3 < 4 <5 <p>x<b")] == ["3 < 4 <5", "x<b"]
+
+
+def brute_texts(pages):
+    """The rules of the module's docstring, over all pages at once; lines shared by two pages are in one order, so sets tell what is shared."""
+    parsed = {}
+    for i, url, source in pages:
+        m = re.match(r"https?://(?:www\.)?([^/?#]*)([^?#]*)", url)
+        parsed[i] = (m[1], re.sub(r"(?:/|\.html?)+$", "", m[2]), tuple(html_extract.page_blocks(source)))
+    different = {}
+    for i, (host, path, blocks) in sorted(parsed.items()):
+        if blocks:
+            different[host, blocks] = min(different.get((host, blocks), (path, i)), (path, i))
+    stays = {}
+    for host in {h for h, _ in different}:
+        order = sorted((place, blocks) for (h, blocks), place in different.items() if h == host)
+        lines = [[t for t, _ in blocks] for _, blocks in order]
+        size = [sum(len(t.encode()) for t in x) for x in lines]
+
+        def shared(a, b, lines=lines):
+            return {t for t in lines[a] if t in lines[b]}
+
+        def copies(a, b, shared=shared, size=size):
+            return sum(len(t.encode()) for t in shared(a, b)) > 0.6 * max(size[a], size[b])
+
+        groups = []
+        for k in range(len(order)):
+            if groups and copies(k, k - 1):
+                groups[-1].append(k)
+            else:
+                groups.append([k])
+        for g, group in enumerate(groups):
+            for k in group:
+                votes = []
+                for step in (1, 2):
+                    near = ([groups[g - step][-1]] if g >= step else []) + ([groups[g + step][0]] if g + step < len(groups) else [])
+                    near.sort(key=lambda j, k=k: -len(os.path.commonprefix([order[k][0][0], order[j][0][0]])))
+                    votes += [shared(k, j) for j in near if not copies(k, j)]
+                if votes:
+                    gone = {(t, m) for t, m in order[k][1] if t in votes[0] and (not m or len(votes) > 1 and t in votes[1])}
+                else:
+                    near = [j for j in (k - 1, k + 1, k - 2, k + 2) if 0 <= j < len(order)][:2]
+                    gone = {(t, m) for t, m in order[k][1] if not m and len(near) == 2 and all(t in shared(k, j) for j in near)}
+                stays[host, order[k][1]] = [t for t, m in order[k][1] if (t, m) not in gone]
+    return {i: "\n\n".join(stays.get((host, blocks), [])) for i, (host, _, blocks) in parsed.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_whole_query_against_brute_force(spark, parts):
+    r = random.Random(parts)
+    frames = [[f"{side} {host} {k} of the site" for k in range(6)] for host in range(3) for side in ("head", "foot")]
+    pages = []
+    for i in range(90):
+        host = r.randrange(3)
+        head, foot = ([t for t in frames[2 * host + side] if r.random() < 0.7] for side in (0, 1))
+        own = [prose(r, r.randint(1, 9)) for _ in range(r.randint(0, 5))]
+        if pages and r.random() < 0.3:
+            _, _, source = r.choice(pages)
+            source = source if r.random() < 0.5 else source.replace("own", "own copy", 1)
+        else:
+            body = "".join(f"<p>{t}</p>" for t in own)
+            body = f"<article>{body}<p>{foot.pop(0) if foot else 'x'}</p></article>" if r.random() < 0.5 else body
+            source = "".join(f"<div>{t}</div>" for t in head) + body + "".join(f"<div>{t}</div>" for t in foot)
+        pages.append((i, f"http://www.site{host}.org/{r.choice('ab')}/{r.randint(0, 60)}{r.choice(['', '/', '.html', '?q=1'])}", source))
+    assert texts(spark, pages, parts) == brute_texts(pages)
