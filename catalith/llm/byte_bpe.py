@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,8 +34,12 @@ class PrefixCoder:
         self.bytes_of: list[bytes] = [b""] * (max(merge_ranks.values()) + 1)
         for token, i in merge_ranks.items():
             self.bytes_of[i] = token
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
+        self._found = ahocorasick.Automaton()
+        for token, i in merge_ranks.items():
+            self._found.add_word(token.decode("latin-1"), (i, len(token)))
+        self._found.make_automaton()
 
     def merged(self, data: bytes) -> list[int]:
         """Ids by merging the adjacent pair of lowest rank, leftmost first, until none is left."""
@@ -47,10 +52,11 @@ class PrefixCoder:
         return [self.ranks[p] for p in parts]
 
     def can_follow(self, left: int, right: int) -> bool:
-        if (known := self._follows.get((left, right))) is None:
+        key = left << 32 | right
+        if (known := self._follows.get(key)) is None:
             if len(self._follows) >= self.PAIRS_KEPT:
                 self._follows.clear()
-            known = self._follows[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self._follows[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def can_open(self, token: int) -> bool:
@@ -66,6 +72,20 @@ class PrefixCoder:
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
+    def last_tokens(self, data: bytes, last: list[int]) -> None:
+        """Add to ``last`` what it lacks, over the tokens that end at each place, found in one pass."""
+        done = len(last) - 1
+        base = max(0, done - self.longest + 1)
+        last += [-1] * (len(data) - done)
+        for at, (token, size) in self._found.iter(data[base:].decode("latin-1")):
+            end = base + at + 1
+            if end > done and last[end] < 0:
+                begin = end - size
+                if self.can_follow(last[begin], token) if begin else self.can_open(token):
+                    last[end] = token
+        if -1 in last[done + 1 :]:
+            raise ValueError("the vocabulary lacks a byte")
+
     def encode_piece(self, data: bytes) -> list[int]:
         if (token := self.ranks.get(data)) is not None and self.can_open(token):
             return [token]
@@ -81,8 +101,7 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self.coder.last_token(self.data, end, self.last))
+        self.coder.last_tokens(self.data, self.last)
 
     def edit(self, at: int, removed: int, inserted: bytes) -> int:
         """Replace data[at:at + removed]; returns how many prefixes had to be worked out again."""

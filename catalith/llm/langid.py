@@ -8,6 +8,8 @@ than a penalty that grows with the document. The prediction is the language with
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +25,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Rows of each language that the model is fitted on, chosen by a hash of text; all where there are fewer.
 ROWS_PER_LANGUAGE = 2000
+#: Labels that are learnt, the most frequent ones; a model takes BUCKETS * 4 bytes a label.
+LANGUAGES = 256
 SMOOTHING = 0.5
 EM_STEPS = 12
 #: A language must raise the log-likelihood by PENALTY * log(1 + n-grams).
@@ -33,10 +37,16 @@ _BLOCK = 1 << 18
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether each code point below U+30000 is a letter, or a mark that belongs to one."""
+    return np.fromiter((unicodedata.category(chr(cp))[0] in "LM" for cp in range(0x30000)), bool, 0x30000)
+
+
 def gram_buckets(text: str) -> Iterator[np.ndarray]:
-    """Hash buckets of the n-grams of the lower-cased text, in blocks; everything but letters counts as one blank."""
+    """Hash buckets of the n-grams of the lower-cased text, in blocks; everything but letters and their marks counts as one blank."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    letter = ((points | 32) - 97 < 26) | ((points >= 0xAA) & (points != 0xD7) & (points != 0xF7))
+    letter = _letters()[np.minimum(points, 0x2FFFF)]
     points = np.where(letter, points, np.uint32(32))
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
@@ -75,7 +85,12 @@ class Model:
         return share, float(counts @ np.log(p @ share))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its share of the document; NO_LANGUAGE and 0 without letters."""
+        """Language and its score; NO_LANGUAGE and 0 without letters.
+
+        The score is the language's share of the document times the posterior of that language against the
+        next likely one alone. Neighbouring n-grams depend on each other, so n of them count as
+        the square root of n in the posterior.
+        """
         if not text or not self.languages or not _LETTER.search(text):
             return NO_LANGUAGE, 0.0
         tally = np.zeros(BUCKETS, np.int64) if len(text) > 4096 else None
@@ -91,6 +106,10 @@ class Model:
         counts, chance = tally[seen].astype(np.float32), self.chance[seen]
         alone = counts @ np.log(chance)
         chosen = [int(alone.argmax())]
+        sure = 1.0
+        if len(alone) > 1:
+            first, second = np.sort(alone)[:-3:-1]
+            sure = float(1 / (1 + np.exp(-min((first - second) / np.sqrt(counts.sum()), 700.0))))
         share, best = np.ones(1), float(alone[chosen[0]])
         penalty = PENALTY * np.log1p(counts.sum())
         others = [k for k in range(len(self.languages)) if k != chosen[0]]
@@ -106,24 +125,24 @@ class Model:
             chosen, share, best = [*chosen, add], new_share, new_best
             others.remove(add)
         k = int(share.argmax())
-        return self.languages[chosen[k]], float(min(max(share[k], 0.0), 1.0))
+        return self.languages[chosen[k]], float(min(max(share[k], 0.0), 1.0)) * sure
 
 
-def fit(labelled: DataFrame, text_col: str, lang_col: str, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fit on at most about ``rows_per_language`` rows of each language, taken by hash of the text.
+def fit(labelled: DataFrame, text_col: str, lang_col: str, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
+    """Fit on at most about ``rows_per_language`` rows of each of the ``languages`` most frequent labels, taken by hash of the text.
 
-    Only counts by language and by (language, bucket) reach the driver.
+    Only counts by those labels and by (label, bucket) reach the driver.
     """
-    bounded_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    bounded_batches(spark)
     rows = labelled.where(labelled[lang_col].isNotNull()).select(labelled[lang_col].cast("string").alias("lang"), F.coalesce(labelled[text_col].cast("string"), F.lit("")).alias("text"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
-    part = F.lit(0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_language / n))).otherwise(part)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part * (1 << 20))
+    parts = spark.createDataFrame([(lang, min(1.0, rows_per_language / n)) for lang, n in sizes.items()], "lang string, part double")
+    within = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("part") * (1 << 20)
+    sample = rows.join(F.broadcast(parts), "lang").where(within).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[str, np.ndarray] = {}
@@ -149,7 +168,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: its id, lang_pred, score (the predicted language's share)."""
+    """One row per row of ``docs``: its id, lang_pred and score, as ``Model.predict`` gives them."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -23,19 +23,30 @@ KEY_BYTES = 24
 PART = 1 << 16
 
 
+#: Code points above have the class UNKNOWN.
+_TOP = 0x30000
+#: Unicode's White_Space property above ASCII.
+_WIDE_SPACES = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
 @functools.cache
 def _classes() -> np.ndarray:
     """Class of each code point that array splitting handles.
 
-    Only ranges whose categories are the same in every Unicode version that the
-    tokenizer libraries carry: Latin up to U+024F and common punctuation.
+    Tokenizer libraries carry different Unicode versions. A code point counts as known if it's assigned
+    today and its class was the same in Unicode 3.2, in 2002, where unassigned ones count as others.
     """
-    out = np.full(0x2200, UNKNOWN, np.uint8)
-    for cp in [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC, 0x2122]:
-        cat = unicodedata.category(chr(cp))
-        out[cp] = LETTER if cat[0] == "L" else NUMBER if cat[0] == "N" else OTHER
-    out[[9, 10, 11, 12, 13, 32, 0xA0]] = SPACE
-    out[0x85] = UNKNOWN
+
+    def classes(database) -> np.ndarray:
+        kind = {"L": LETTER, "N": NUMBER}
+        return np.fromiter((kind.get(database.category(chr(cp))[0], OTHER) for cp in range(_TOP)), np.uint8, _TOP)
+
+    now, then = classes(unicodedata), classes(unicodedata.ucd_3_2_0)
+    assigned = np.fromiter((unicodedata.category(chr(cp)) not in ("Cn", "Cs") for cp in range(_TOP)), bool, _TOP)
+    out = np.where((now == then) & assigned, now, UNKNOWN).astype(np.uint8)
+    out[[9, 10, 11, 12, 13, 32]] = SPACE
+    out[_WIDE_SPACES] = SPACE
+    out[[0x85, 0x180E, 0x200B]] = UNKNOWN  # white space in some versions only
     return out
 
 
@@ -48,15 +59,20 @@ def _byte_classes(buf: np.ndarray) -> np.ndarray:
     lead = np.flatnonzero(buf >= 0xC0)
     if lead.size:
         padded = np.concatenate([buf, np.zeros(4, np.uint8)])
-        b0, b1, b2 = (padded[lead + k].astype(np.int32) for k in range(3))
-        two, three = b0 < 0xE0, (b0 >= 0xE0) & (b0 < 0xF0)
-        cp = np.where(two, (b0 & 31) << 6 | b1 & 63, np.where(three, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63, 0xFFFF))
-        got = np.where(cp < len(table), table[np.minimum(cp, len(table) - 1)], UNKNOWN)
+        b0 = padded[lead].astype(np.int32)
+        cp = (b0 & 31) << 6 | padded[lead + 1] & 63
+        for size, more in ((3, lead[b0 >= 0xE0]), (4, lead[b0 >= 0xF0])):
+            if more.size:
+                tail = [(padded[more + k] & 63).astype(np.int32) for k in range(1, size)]
+                value = padded[more].astype(np.int32) & (15 if size == 3 else 7)
+                for t in tail:
+                    value = value << 6 | t
+                cp[b0 >= (0xE0 if size == 3 else 0xF0)] = value
+        got = np.where(cp < _TOP, table[np.minimum(cp, _TOP - 1)], UNKNOWN)
         cls[lead] = got
-        inside = lead + 1 < len(buf)
-        cls[lead[inside] + 1] = got[inside]
-        inside = three & (lead + 2 < len(buf))
-        cls[lead[inside] + 2] = got[inside]
+        for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+            inside = (b0 >= least) & (lead + k < len(buf))
+            cls[lead[inside] + k] = got[inside]
     return cls
 
 
@@ -82,9 +98,10 @@ def piece_starts(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     blank = before == 32
     start[at[blank] - 1] = True
     start[at[blank]] = False
-    wide = before == 0xA0
-    start[at[~blank & ~wide] - 1] = True
-    start[at[wide] - 2] = True
+    narrow = at[~blank & (before < 0x80)]
+    start[narrow - 1] = True
+    wide = at[before >= 0x80]
+    start[wide - np.where(buf[wide - 2] >= 0xC0, 2, 3)] = True
     # an apostrophe that opens a piece takes its short ending with it
     at = np.flatnonzero((buf[:-1] == 39) & start[:-1] & (cls[1:] == LETTER) & ~fresh[1:n])
     if at.size:
@@ -179,6 +196,11 @@ class PieceCoder:
     special: a string that makes a text go through encode_text.
     """
 
+    #: What ids and longer pieces may take before the cache starts anew; a block of texts adds a few MB to it.
+    CACHE_BYTES = 48 << 20
+    #: A longer piece's dictionary entry, besides its bytes.
+    LONG_EXTRA = 150
+
     def __init__(self, encode_pieces: Callable, encode_text: Callable, special: bytes | None = None, bits: int = 20):
         self.encode_pieces, self.encode_text, self.special, self.bits = encode_pieces, encode_text, special, bits
         self._clear()
@@ -186,6 +208,7 @@ class PieceCoder:
     def _clear(self) -> None:
         self.table = PieceTable(self.bits)
         self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
         self.first = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
@@ -208,7 +231,7 @@ class PieceCoder:
 
     def entries_of(self, padded: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Cache entry of each piece; unseen ones are encoded."""
-        if self.table.used + len(self.long) > self.table.room - len(start):
+        if self.table.used + len(self.long) > self.table.room - len(start) or self.long_bytes + self.ids * 4 > self.CACHE_BYTES:
             self._clear()
         out = np.full(len(start), -1, np.int32)
         short = np.flatnonzero(size <= KEY_BYTES)
@@ -227,6 +250,7 @@ class PieceCoder:
             piece = padded[start[i] : start[i] + size[i]].tobytes()
             if (e := self.long.get(piece)) is None:
                 e = self.long[piece] = int(self._enter([piece])[0])
+                self.long_bytes += len(piece) + self.LONG_EXTRA
             out[i] = e
         return out
 

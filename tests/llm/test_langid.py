@@ -72,3 +72,48 @@ def test_evenly_mixed_documents_stay(spark):
     shares = [x.score for x in langid.identify(docs).where("doc_id between 1000 and 1999").collect()]
     assert len(shares) == 5 and min(shares) < 0.4
     assert {x.doc_id for x in langid.identified(docs).collect()} == {i for i, *_ in learnt + mixed}
+
+
+def test_mixture_against_brute_force(spark):
+    """Every set of languages, with every mixture on a grid, by penalised likelihood."""
+    r = random.Random(6)
+    model = langid.fit(frame(spark, [(i, sentence(r, g, 60), g) for i, g in enumerate(list(SOUNDS) * 30)]), "text", "lang")
+    grid = [k / 20 for k in range(21)]
+    for _ in range(40):
+        parts = {g: r.choice([0, 0, 20, 50]) for g in SOUNDS}
+        text = " ".join(sentence(r, g, n) for g, n in parts.items()) + " " + sentence(r, "aa", 3)
+        grams = np.concatenate(list(langid.gram_buckets(text)))
+        best = {}
+        for mix in [(a, b, round(1 - a - b, 9)) for a in grid for b in grid if a + b <= 1 + 1e-9]:
+            members = sum(x > 0 for x in mix)
+            value = float(np.log(model.chance[grams] @ np.array(mix)).sum()) - langid.PENALTY * np.log1p(len(grams)) * (members - 1)
+            best[mix] = value
+        mix = max(best, key=best.get)
+        lang, score = model.predict(text)
+        if sorted(mix)[-1] - sorted(mix)[-2] > 0.1:  # else the two may differ by the grid
+            assert lang == model.languages[int(np.argmax(mix))]
+            assert score <= max(mix) + 0.06
+
+
+def test_score_grows_with_the_evidence(spark):
+    r = random.Random(7)
+    model = langid.fit(frame(spark, [(i, sentence(r, g, 60), g) for i, g in enumerate(list(SOUNDS) * 30)]), "text", "lang")
+    text = sentence(r, "bb", 200)
+    scores = [model.predict(text[:n])[1] for n in (2, 8, 40, 200)]
+    assert scores == sorted(scores) and 0.5 <= scores[0] < scores[-1] <= 1
+
+
+def test_most_frequent_labels_are_learnt(spark):
+    rows = [(i, sentence(random.Random(i), "aa", 20), g) for i, g in enumerate(["aa"] * 30 + ["bb"] * 20 + ["typo"])]
+    assert langid.fit(frame(spark, rows), "text", "lang", languages=2).languages == ["aa", "bb"]
+
+
+def test_ties_go_to_the_first_name():
+    model = langid.Model(["a", "b"], np.full((langid.BUCKETS, 2), 1 / langid.BUCKETS, np.float32))
+    assert model.predict("some text") == ("a", 0.5)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs).where("held_out").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) > 100 and sum(x.lang == x.lang_pred for x in got) >= 0.98 * len(got)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,49 @@ def test_array_splitting_gives_the_library_ids(texts):
     assert flat(vocabulary.tokenizer_coder(), texts) == [library_ids(t) for t in texts]
 
 
+SCRIPTS = {
+    "cyrillic": [*range(0x410, 0x450), 32, 32, 46],
+    "greek": [*range(0x391, 0x3A2), *range(0x3A3, 0x3CA), 32, 10],
+    "hebrew and arabic": [*range(0x5D0, 0x5EB), *range(0x621, 0x63B), *range(0x640, 0x66A), 32],
+    "devanagari": [*range(0x905, 0x970), 32],
+    "east asian": [*range(0x4E00, 0x4F00), *range(0x3041, 0x3097), 0x3000, 0x3002, 32, 97],
+    "emoji": [0x1F600, 0x1F60D, 0x2764, 0xFE0F, 0x200D, 32, 97],
+    "wide white space": [32, 0xA0, 0x2003, 0x2028, 0x3000, 10, 97, 0x5D0, 39, 115],
+    "letters of later versions": [0x378, 0x8A0, 0x1C80, 0x31350, 32, 97],
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_other_scripts_give_the_library_ids(script):
+    r = random.Random(script)
+    texts = ["".join(chr(r.choice(SCRIPTS[script])) for _ in range(r.randint(0, 60))) for _ in range(300)]
+    assert flat(vocabulary.tokenizer_coder(), texts) == [library_ids(t) for t in texts]
+    assert flat(byte_bpe._column_coder(vocabulary.RANKS), texts) == [TIKTOKEN.encode_ordinary(t) for t in texts]
+    frequent = token_counts.frequent_table()
+    assert token_counts.count_column(pa.array(texts), frequent, vocabulary.tokenizer_coder()).tolist() == [len(library_ids(t)) for t in texts]
+
+
+def test_other_scripts_are_split_by_arrays():
+    for script, points in SCRIPTS.items():
+        data = "".join(map(chr, points)).encode()
+        _, slow = pretokens.piece_starts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert slow.any() == (script == "letters of later versions")
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(pretokens.PieceCoder, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(pretokens, "PART", 16)
+    coder = pretokens.PieceCoder(lambda ps: [TIKTOKEN._core_bpe.encode_single_piece(p) for p in ps], TIKTOKEN.encode_ordinary)
+    texts = [" ".join("long" * 10 + chr(97 + i % 26) * (i % 7) for i in range(k, k + 40)) for k in range(40)]
+    assert flat(coder, texts) == [TIKTOKEN.encode_ordinary(t) for t in texts]
+    assert coder.long_bytes < 8000
+
+
+def test_long_piece():
+    piece = "".join(random.Random(8).choice("abcdefghij") for _ in range(40_000))
+    assert byte_bpe.prefix_coder().encode_piece(piece.encode()) == TIKTOKEN.encode_ordinary(piece)
+
+
 def test_long_text_in_blocks(monkeypatch):
     monkeypatch.setattr(pretokens, "BLOCK_BYTES", 100)
     monkeypatch.setattr(pretokens, "PART", 64)
