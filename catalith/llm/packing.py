@@ -169,6 +169,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_c
 def pack(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", json_path: str = JSON_VOCABULARY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    A sequence is padded to the window unless its length is a power of two; then it is used as it is.
     A null or empty text is the separator alone, one piece of length 1. Repeated rows are packed each,
     null ids stay null, an empty table gives no pieces, other columns are not read. The plan depends on
     the histogram alone; which piece of equal lengths goes where depends on the order of input files.

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalith.llm.common import bounded_batches
+from catalith.llm.common import bounded_batches, stored
 from catalith.llm.vocabulary import JSON_VOCABULARY, tokenizer_coder
 
 END_ID = 2
@@ -55,16 +55,21 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     encoded.write.options(**LAYOUT).parquet(path)
 
 
+def _bases(rows: DataFrame) -> DataFrame:
+    """Ids before each part, a row for each file; stored, so that the planner knows its size and broadcasts it only if small."""
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return stored(parts.select("part", before.alias("base")), "token-bases")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, part, n_tokens and start (ids of all documents before it), without reading any ids.
 
-    The running sum is over parts, of which there are as many as files; it is broadcast to the documents.
+    Null ids are the first documents, rows with equal ids stand next to each other, and a table without rows
+    gives none. The running sum is over parts, of which there are as many as files.
     """
     rows = spark.read.parquet(path).select("doc_id", "part", "n_tokens", "start_in_part")
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = parts.select("part", before.alias("base"))
-    return rows.join(F.broadcast(bases), "part").select("doc_id", "part", "n_tokens", (F.col("base") + F.col("start_in_part")).alias("start"))
+    return rows.join(_bases(rows), "part").select("doc_id", "part", "n_tokens", (F.col("base") + F.col("start_in_part")).alias("start"))
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -86,7 +91,5 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
 
     rows = spark.read.parquet(path).select("doc_id", "part", "start_in_part", "ids")
     read = rows.mapInArrow(crc, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
-    sizes = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = sizes.select("part", before.alias("base"))
-    return read.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
+    bases = _bases(spark.read.parquet(path).select("part", "n_tokens"))
+    return read.join(bases, "part").select("doc_id", (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
