@@ -46,17 +46,35 @@ def table_orientation(rows: Column) -> Column:
 
 
 def prose_value(text: Column, alias: str) -> Column:
-    """Value that prose gives for an alias of four characters or more: after a colon, a dash or a gap, else a number right after it; null if none."""
+    """Value that prose gives for an alias of four characters or more; null if none.
+
+    The text is split at the alias. What follows, to the end of the line or clause, is a value if a colon, a
+    dash between blanks (that is no minus sign) or a gap of two blanks leads it; where no place has that, the
+    first number that follows directly.
+    """
     if len(alias) < 4:
         return F.lit(None).cast("string")
-    name = rf"(?i)(?<!\w){re.escape(alias)}"
-    delimited = F.regexp_extract(text, name + r"\s*(?::|\s[–—]\s|\s-\s(?!\d)|\s{2,})\s*([^\n;|]{1,90})", 1)
-    number = F.regexp_extract(text, name + r"\s+([-+−]?\d[^\n;|]{0,89})", 1)
+    pieces = F.split(text, rf"(?i)(?<!\w){re.escape(alias)}")
+    tails = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda t: F.substring_index(F.substring_index(F.substring_index(t, "\n", 1), ";", 1), "|", 1))
+
+    def led(t: Column) -> Column:
+        rest = F.ltrim(t)
+        dash = F.left(rest, F.lit(1))
+        gap = F.length(t) - F.length(rest)
+        after = F.substring(rest, 2, 1 << 20)
+        spaced = (gap > 0) & F.startswith(after, F.lit(" "))
+        return F.when(dash == ":", after).when(spaced & dash.isin("–", "—"), after).when(spaced & (dash == "-") & ~F.ltrim(after).rlike("^[0-9]"), after).when(gap >= 2, rest)
+
+    def number(t: Column) -> Column:
+        return F.when(F.startswith(t, F.lit(" ")) & F.ltrim(t).rlike("^[-+−]?[0-9]"), t)
+
+    def clean(t: Column) -> Column:
+        return F.nullif(F.rtrim(F.regexp_replace(F.trim(F.left(F.ltrim(t), F.lit(90))), r"[.,;]+$", "")), F.lit(""))
 
-    def clean(c: Column) -> Column:
-        return F.nullif(F.rtrim(F.regexp_replace(F.trim(c), r"[.,;]+$", "")), F.lit(""))
+    def first(read) -> Column:
+        return F.get(F.filter(F.transform(tails, lambda t: clean(read(t))), lambda t: t.isNotNull()), F.lit(0))
 
-    return F.when(F.nullif(delimited, F.lit("")).isNotNull(), clean(delimited)).otherwise(clean(number))
+    return F.coalesce(first(led), first(number))
 
 
 def truth(text: Column) -> Column:

@@ -68,19 +68,42 @@ def detect_unit(text: Column, family: str) -> Column:
     return found
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: What a unit takes off before it's scaled, and adds after.
+_BEFORE, _AFTER = {"degF": 32.0}, {"K": -273.15}
+
+
 def to_canonical(value: Column, unit: Column, family: str) -> Column:
     """Value in the family's canonical unit; unchanged where no unit is given."""
-    out = value
-    for _, _, name, factor, offset in {r[2]: r for r in vocabulary.unit_aliases() if r[0] == family}.values():
-        if (factor, offset) != (1.0, 0.0):
-            changed = (value - 32) * 5 / 9 if name == "degF" else value * factor + offset if offset else value * factor
-            out = F.when(unit == name, changed).otherwise(out)
-    return out
+    return _scaled(value, unit, family, lambda v, factor, before, after: (v - before) * factor + after)
+
+
+def from_canonical(value: Column, unit: Column, family: str) -> Column:
+    """A canonical value in another unit of the family, as attributes have it whose unit isn't the canonical one."""
+    return _scaled(value, unit, family, lambda v, factor, before, after: (v - after) / factor + before)
+
+
+def _scaled(value: Column, unit: Column, family: str, change) -> Column:
+    rows = F.create_map(*[F.lit(x) for name, factor in {r[2]: r[3] for r in vocabulary.unit_aliases() if r[0] == family}.items() for x in (name, factor)])
+
+    def given(u: Column, table: dict[str, float]) -> Column:
+        out = F.lit(0.0)
+        for name, x in table.items():
+            out = F.when(u == name, x).otherwise(out)
+        return out
+
+    plain_unit = lambda u: F.struct(F.coalesce(F.try_element_at(rows, u), F.lit(1.0)).alias("factor"), given(u, _BEFORE).alias("before"), given(u, _AFTER).alias("after"))
+    return bound(plain_unit(F.coalesce(unit, F.lit(""))), lambda s: change(value, s["factor"], s["before"], s["after"]))
 
 
-def quantity(text: Column, family: str) -> Column:
-    """Number in the family's canonical unit, to six places, from text such as '1 1/2 in' or '65,000 A'."""
-    return round_half_up(to_canonical(parse_number(text), detect_unit(text, family), family), 6)
+def quantity(text: Column, family: str, target: str | None = None) -> Column:
+    """Number in the family's canonical unit, or in ``target``, to six places, from text such as '1 1/2 in' or '65,000 A'."""
+    canonical = to_canonical(parse_number(text), detect_unit(text, family), family)
+    return round_half_up(from_canonical(canonical, F.lit(target), family) if target else canonical, 6)
 
 
 def heal_split_numbers(text: Column) -> Column:

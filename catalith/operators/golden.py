@@ -52,37 +52,56 @@ def number_groups(observations: DataFrame) -> DataFrame:
 
 
 def text_groups(observations: DataFrame) -> DataFrame:
-    """Adds ``grp``, which orders equal texts by first arrival."""
+    """Adds ``grp``, which orders equal texts by first arrival.
+
+    With a column value_list (array of strings), lists agree if they hold the same strings; where a key has a
+    list, a text counts as a list of one.
+    """
     key = F.lower(F.trim("value_text"))
-    keyed = observations.withColumn("text_key", key)
+    if "value_list" in observations.columns:
+        lists = observations.where("value_list is not null").select(*KEY).distinct().withColumn("has_list", F.lit(True))
+        observations = observations.join(lists, KEY, "left")
+        members = F.coalesce("value_list", F.array("value_text"))
+        key = F.when(F.col("has_list"), F.to_json(F.array_sort(F.array_distinct(members)))).otherwise(key)
+    keyed = observations.withColumn("text_key", key).drop("has_list")
     firsts = keyed.groupBy(*KEY, "text_key").agg(F.min("obs_seq").alias("grp"))
     return keyed.join(firsts, [*KEY, "text_key"]).drop("text_key")
 
 
+#: Columns of an observation that a winner keeps, where they are there.
+CARRIED = ["obs_seq", "value_number", "value_text", "value_list", "source_id", "source_kind", "method", "quote_verified", "inferred", "defined", "errors", "unit_assumed", "note"]
+
+
 def winners(grouped: DataFrame) -> DataFrame:
     """One row per key: the winning observation, agreeing and disagreeing sources, groups, and the rule that decided.
 
     The last human observation wins outright. Else groups are ordered by best precedence, number of
-    sources and best method, the rest by arrival; in the winning group the best observation wins.
+    sources (of observations, where none names a source) and best method, the rest by arrival; in the winning
+    group the best observation wins. A conflict is critical if a loser has the winner's precedence and the best
+    method of all losers is within 0.15 of the winner's, or if the column ``grave`` (the attribute tells
+    variants apart or names the product) is true.
     """
     rows = ranked(grouped)
+    kept = F.struct(*[c for c in CARRIED if c in rows.columns], "method_rank")
+    grave = F.col("grave") if "grave" in rows.columns else F.lit(False)
+    sources = F.count_distinct("source_id")
     stats = rows.groupBy(*KEY, "grp").agg(
-        F.max("precedence").alias("grp_precedence"), F.count_distinct("source_id").alias("grp_sources"), F.max("method_rank").alias("grp_method"),
-        F.max_by(F.struct("obs_seq", "value_number", "value_text", "source_id", "source_kind", "method", "quote_verified"), F.struct("precedence", "method_rank", -F.col("obs_seq"))).alias("best"),
-        F.max_by(F.struct("obs_seq", "value_number", "value_text", "source_id", "source_kind", "method", "quote_verified"), F.when(F.col("method") == "human", F.col("obs_seq"))).alias("human"),
+        F.max("precedence").alias("grp_precedence"), F.when(sources > 0, sources).otherwise(F.count("*")).alias("grp_sources"), F.max("method_rank").alias("grp_method"),
+        F.max_by(kept, F.struct("precedence", "method_rank", -F.col("obs_seq"))).alias("best"),
+        F.max_by(kept, F.when(F.col("method") == "human", F.col("obs_seq"))).alias("human"),
         F.max(F.when(F.col("method") == "human", F.col("obs_seq"))).alias("human_seq"),
+        F.bool_or(F.coalesce(grave, F.lit(False))).alias("grave"),
     )
     order = F.struct("grp_precedence", "grp_sources", "grp_method", -F.col("grp"))
     other = F.struct("grp_precedence", "grp_sources", "grp_method", "grp")
     per_key = stats.groupBy(*KEY).agg(
         F.max_by(F.struct(F.col("best").alias("obs"), "grp_precedence", "grp_sources", "grp_method", "grp"), order).alias("top"),
         F.collect_list(other).alias("all"), F.sum("grp_sources").alias("sources"), F.count("*").alias("groups"),
-        F.max_by("human", "human_seq").alias("human"), F.max("human_seq").alias("human_seq"),
+        F.max_by("human", "human_seq").alias("human"), F.max("human_seq").alias("human_seq"), F.bool_or("grave").alias("grave"),
     )
     rest = F.filter("all", lambda g: g["grp"] != F.col("top.grp"))
     next_precedence = F.array_max(F.transform(rest, lambda g: g["grp_precedence"]))
-    rivals = F.filter(rest, lambda g: g["grp_precedence"] == next_precedence)
-    next_method = F.array_max(F.transform(rivals, lambda g: g["grp_method"]))
+    next_method = F.array_max(F.transform(rest, lambda g: g["grp_method"]))
     human = F.col("human_seq").isNotNull()
     winner = F.when(human, F.col("human")).otherwise(F.col("top.obs"))
     agreeing = F.when(human, F.lit(1)).otherwise(F.col("top.grp_sources")).cast("long")
@@ -93,26 +112,33 @@ def winners(grouped: DataFrame) -> DataFrame:
         .when(F.col("top.grp_sources") > 1, F.lit("corroboration"))
         .otherwise(F.lit("method reliability"))
     )
-    tie = (F.col("top.grp_precedence") == next_precedence) & (F.abs(F.col("top.grp_method") - next_method) < 0.15)
-    severity = F.when(rule.isNotNull(), F.when(tie, F.lit("critical")).otherwise(F.lit("warning")))
+    tie = (F.col("top.grp_precedence") == next_precedence) & (F.abs(F.col("top.obs.method_rank") - next_method) < 0.15)
+    severity = F.when(rule.isNotNull(), F.when(tie | F.col("grave"), F.lit("critical")).otherwise(F.lit("warning")))
     return per_key.select(*KEY, winner.alias("w"), agreeing.alias("agreeing"), disagreeing.alias("disagreeing"), F.col("groups").cast("long").alias("groups"), rule.alias("rule"), severity.alias("severity")).select(
         *KEY, "w.*", "agreeing", "disagreeing", "groups", "rule", "severity"
-    )
+    ).drop("method_rank")
 
 
 def confidence(rows: DataFrame) -> DataFrame:
-    """Adds ``confidence``: the product of weighted factors, from method, source_kind, quote_verified, agreeing, disagreeing, errors, unit_assumed."""
+    """Adds ``confidence``: the product of weighted factors, from method, source_kind, quote_verified, agreeing, disagreeing.
+
+    Further columns count where they are there: errors (violations of the schema), defined (whether the
+    dictionary has the attribute), inferred (a value without evidence that was worked out), unit_assumed,
+    note (of the normalisation).
+    """
     w = vocabulary.CONFIDENCE_WEIGHTS
-    have = set(rows.columns)
-    errors = F.col("errors") if "errors" in have else F.lit(0)
-    assumed = F.col("unit_assumed") if "unit_assumed" in have else F.lit(False)
+
+    def given(name: str, default) -> Column:
+        return F.coalesce(F.col(name), F.lit(default)) if name in rows.columns else F.lit(default)
+
+    inferred, bare = given("inferred", False), F.col("method").isNull()
     factors = {
-        "method": F.when(F.col("method").isNull(), 0.3).otherwise(lookup(vocabulary.METHOD_RELIABILITY, F.col("method"), vocabulary.UNKNOWN_RELIABILITY)),
-        "quote": F.when(F.col("method").isNull(), 0.35).when(F.col("quote_verified").isNull(), 0.55).when(F.col("quote_verified"), 1.0).otherwise(0.65),
-        "schema": F.when(errors > 0, 0.3).otherwise(1.0),
+        "method": F.when(bare, F.when(inferred, vocabulary.METHOD_RELIABILITY["inherited"]).otherwise(0.3)).otherwise(lookup(vocabulary.METHOD_RELIABILITY, F.col("method"), vocabulary.UNKNOWN_RELIABILITY)),
+        "quote": F.when(bare, F.when(inferred, 0.75).otherwise(0.35)).when(F.col("quote_verified").isNull(), 0.55).when(F.col("quote_verified"), 1.0).otherwise(0.65),
+        "schema": F.when(given("errors", 0) > 0, 0.3).when(~given("defined", True), 0.9).otherwise(1.0),
         "source": F.when(F.col("source_kind").isNull(), 0.6).otherwise(0.65 + 0.35 * lookup(vocabulary.SOURCE_PRECEDENCE, F.col("source_kind"), vocabulary.UNKNOWN_PRECEDENCE) / 100),
         "corroboration": F.when((F.col("disagreeing") > 0) & (F.col("agreeing") <= 1), 0.55).when(F.col("disagreeing") > 0, 0.75).when(F.col("agreeing") >= 3, 1.0).when(F.col("agreeing") == 2, 0.97).otherwise(0.9),
-        "normalization": F.when(assumed, 0.88).otherwise(1.0),
+        "normalization": F.when(given("unit_assumed", False), 0.88).when(given("note", "").rlike("not in allowed|expected"), 0.8).otherwise(1.0),
     }
     score = F.lit(1.0)
     for name, factor in factors.items():
@@ -120,10 +146,21 @@ def confidence(rows: DataFrame) -> DataFrame:
     return rows.withColumn("confidence", round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
 
 
+def with_defaults(records: DataFrame, products: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Records, and the dictionary's defaults (category_id, code, value_number, value_text) where a product has none: confidence 0.4, strategy 'schema_default'."""
+    have = records.withColumn("strategy", F.lit(None).cast("string"))
+    rows = products.select("product_id", "category_id").join(defaults, "category_id").where("value_number is not null or value_text is not null")
+    lacking = rows.join(records.select(*KEY), KEY, "left_anti").select(*KEY, "value_number", "value_text", F.lit(0.4).alias("confidence"), F.lit("schema_default").alias("strategy"))
+    return have.unionByName(lacking, allowMissingColumns=True)
+
+
 def golden_records(observations: DataFrame) -> DataFrame:
     """Winners with confidence, from observations with either a number or a text as value; null values are ignored."""
     numbers = observations.where(F.col("value_number").isNotNull() & ~F.isnan("value_number"))
-    texts = observations.where(F.col("value_number").isNull() & (F.trim(F.coalesce("value_text", F.lit(""))) != ""))
+    filled = F.trim(F.coalesce("value_text", F.lit(""))) != ""
+    if "value_list" in observations.columns:
+        filled = filled | F.col("value_list").isNotNull()
+    texts = observations.where(F.col("value_number").isNull() & filled)
     columns = observations.columns
     grouped = number_groups(numbers).select(*columns, "grp").unionByName(text_groups(texts).select(*columns, "grp"))
     return confidence(winners(grouped))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _OPS = {"=": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
@@ -43,50 +44,81 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(both > 1e-10, dot / both).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str, vector_col: str) -> DataFrame:
-    """The k vectors nearest to each query (a bounded list), by cosine: a block product and top k in each batch, then over batches."""
-    asked = np.array([q for _, q in queries], np.float64)
-    asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-10)
-    names = np.array([i for i, _ in queries], np.int64)
-    shared = vectors.sparkSession.sparkContext.broadcast((names, asked))
+#: Queries that are scored together: they are broadcast as one matrix, 4096 rows of 1000 numbers are 32 MB.
+QUERY_BLOCK = 4096
+
+
+def _best_in_batches(names: np.ndarray, asked: np.ndarray, k: int):
+    """The k rows of each batch nearest to each query, by a product of matrices."""
 
     def scan(batches):
-        names, asked = shared.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            block = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            scores = asked @ (block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-10)).T
-            ids = pdf["id"].to_numpy()
-            for q in range(len(names)):
-                order = np.lexsort((ids, -scores[q]))[:k]
-                yield pd.DataFrame({"query_id": names[q], "id": ids[order], "score": scores[q][order]})
-
+            for at in range(0, len(pdf), 4096):
+                part = pdf.iloc[at : at + 4096]
+                block = np.stack(part["vector"].to_numpy()).astype(np.float64)
+                scores = asked @ (block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-10)).T
+                ids = part["id"].to_numpy()
+                order = np.argsort(ids, kind="stable")
+                scores, ids = scores[:, order], ids[order]
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "id": ids[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+
+    return scan
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """For each query (query_id, vector), the k nearest of all vectors by cosine, ties by id: query_id, rank, id, score.
+
+    Any number of queries: they are dealt by hash into blocks of about QUERY_BLOCK, each block is broadcast
+    and scored against all vectors, and k rows a query and batch meet for the final ranking. A zero vector has
+    cosine 0; null vectors are left out.
+    """
     narrow = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    best = narrow.mapInPandas(scan, "query_id long, id long, score double")
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col("id")))), 1, k)
-    top = best.groupBy("query_id").agg(ranked.alias("top"))  # k rows a batch and query at most
-    return top.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("t.id").alias("id"), (-F.col("t.far")).alias("score"))
-
-
-def token_scores(products: DataFrame, attributes: DataFrame, tokens: list[str]) -> DataFrame:
-    """Attribute score of each product: 3 if its identity holds the query, .6 or .3 a token found in an attribute, 1.2 a number equal within .01, a quarter of the sum, at most 1."""
-    numbers = [float(t) for t in tokens if t.replace(".", "", 1).isdigit()]
-    text = F.lower(F.coalesce("value_text", F.lit("")))
-    weight = F.when(F.col("variant_defining"), 0.6).otherwise(0.3)
-    per_row = sum((F.when(F.contains(text, F.lit(t)), weight).otherwise(0.0) for t in tokens), F.lit(0.0)) + sum((F.when(F.abs(F.col("value_number") - n) <= 0.01, 1.2).otherwise(0.0) for n in numbers), F.lit(0.0))
-    by_attribute = attributes.groupBy("product_id").agg(F.sum(per_row).alias("found"))
-    whole = " ".join(tokens)
-    identity = F.when(F.contains(F.lower("identity"), F.lit(whole)), 3.0).otherwise(0.0)
-    scored = products.join(by_attribute, "product_id", "left").withColumn("raw", F.coalesce("found", F.lit(0.0)) + identity)
-    return scored.where("raw > 0").select("product_id", F.least(F.col("raw") / 4, F.lit(1.0)).alias("attribute_score"))
+    asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    blocks = max(1, -(-asked.count() * 5 // (QUERY_BLOCK * 4)))
+    best = None
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        matrix = np.array([r.vector for r in rows], np.float64)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-10)
+        found = narrow.mapInPandas(_best_in_batches(np.array([r.query_id for r in rows], np.int64), matrix, k), "query_id long, id long, score double")
+        best = found if best is None else best.unionByName(found)
+    if best is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def token_scores(products: DataFrame, attributes: DataFrame, question: str) -> DataFrame:
+    """What products (product_id, identity) and their attributes (product_id, label, shown, value_number, variant_defining) have in common with a question: product_id, raw.
+
+    3 if the identity holds the whole question; for each word of two characters or more that an attribute's
+    value or label holds, 0.6 if it tells variants apart, else 0.3; 1.2 for each number of the question that an
+    attribute has within 0.01. Products without any are left out.
+    """
+    whole = question.lower()
+    tokens = [t for t in re.split(r"[\s,]+", whole) if len(t) > 1]
+    numbers = [float(n) for n in re.findall(r"\d+(?:\.\d+)?", question)]
+    shown, label = F.lower(F.coalesce("shown", F.lit(""))), F.lower(F.coalesce("label", F.lit("")))
+    weight = F.when(F.coalesce("variant_defining", F.lit(False)), 0.6).otherwise(0.3)
+    words = sum((F.when(F.contains(shown, F.lit(t)) | F.contains(label, F.lit(t)), weight).otherwise(0.0) for t in tokens), F.lit(0.0))
+    equal = sum((F.when(F.abs(F.col("value_number") - n) < 0.01, 1.2).otherwise(0.0) for n in numbers), F.lit(0.0))
+    by_attribute = attributes.where(F.coalesce("shown", F.lit("")) != "").groupBy("product_id").agg(F.sum(words + equal).alias("found"))
+    identity = F.when(F.contains(F.lower("identity"), F.lit(whole.strip())), 3.0).otherwise(0.0)
+    scored = products.join(by_attribute, "product_id", "left").select("product_id", (F.coalesce("found", F.lit(0.0)) + identity).alias("raw"))
+    return scored.where("raw > 0")
 
 
 def hybrid(attribute_scores: DataFrame, semantic_scores: DataFrame, limit: int) -> DataFrame:
-    """Blend: semantic score plus an eighth of the attribute score's four parts, at most 1; either side may lack."""
+    """Best products of both sides: a semantic score plus an eighth of the raw attribute score, or a quarter of that alone, at most 1.
+
+    semantic_scores (product_id, semantic_score) are those of the nearest three times ``limit`` products.
+    """
     both = attribute_scores.join(semantic_scores, "product_id", "full_outer")
-    found = F.coalesce("attribute_score", F.lit(0.0))
-    score = F.when(F.col("semantic_score").isNull(), found).otherwise(F.least(F.lit(1.0), F.col("semantic_score") + found / 2))
+    alone, added = F.col("raw") / 4, F.col("semantic_score") + F.coalesce("raw", F.lit(0.0)) / 8
+    score = F.least(F.lit(1.0), F.when(F.col("semantic_score").isNull(), alone).otherwise(added))
     return both.select("product_id", score.alias("score")).orderBy(F.desc("score"), "product_id").limit(limit)
 
 

@@ -31,12 +31,11 @@ ranked AS (SELECT *, {PRECEDENCE_SQL} AS prec, {METHOD_SQL} AS meth FROM grouped
 best AS (SELECT *, row_number() OVER (PARTITION BY product_id, grp ORDER BY prec DESC, meth DESC, obs_seq) AS r FROM ranked),
 stats AS (SELECT product_id, grp, max(prec) AS gp, count(DISTINCT source_id) AS gs, max(meth) AS gm FROM ranked GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY gp DESC, gs DESC, gm DESC, grp) AS place FROM stats),
-nextp AS (SELECT product_id, max(gp) FILTER (WHERE place > 1) AS np, sum(gs)::BIGINT AS total, count(*) AS n FROM placed GROUP BY ALL),
-nextm AS (SELECT p.product_id, max(p.gm) AS nm FROM placed p JOIN nextp x ON p.product_id = x.product_id AND p.place > 1 AND p.gp = x.np GROUP BY ALL),
+nextp AS (SELECT product_id, max(gp) FILTER (WHERE place > 1) AS np, max(gm) FILTER (WHERE place > 1) AS nm, sum(gs)::BIGINT AS total, count(*) AS n FROM placed GROUP BY ALL),
 won AS (SELECT b.*, t.gs AS agreeing, x.total - t.gs AS disagreeing, x.n AS n_groups,
   CASE WHEN x.n = 1 THEN NULL WHEN t.gp > x.np THEN 'source precedence' WHEN t.gs > 1 THEN 'corroboration' ELSE 'method reliability' END AS rule,
-  CASE WHEN x.n = 1 THEN NULL WHEN t.gp = x.np AND abs(t.gm - m.nm) < 0.15 THEN 'critical' ELSE 'warning' END AS severity
-  FROM placed t JOIN best b ON t.product_id = b.product_id AND t.grp = b.grp AND t.place = 1 AND b.r = 1 JOIN nextp x ON x.product_id = t.product_id LEFT JOIN nextm m ON m.product_id = t.product_id)"""
+  CASE WHEN x.n = 1 THEN NULL WHEN t.gp = x.np AND abs(b.meth - x.nm) < 0.15 THEN 'critical' ELSE 'warning' END AS severity
+  FROM placed t JOIN best b ON t.product_id = b.product_id AND t.grp = b.grp AND t.place = 1 AND b.r = 1 JOIN nextp x ON x.product_id = t.product_id)"""
 _CORROBORATION = "CASE WHEN disagreeing > 0 AND agreeing <= 1 THEN 0.55 WHEN disagreeing > 0 THEN 0.75 WHEN agreeing >= 3 THEN 1.0 WHEN agreeing = 2 THEN 0.97 ELSE 0.9 END"
 _SCORE = f"((1 - (1 - meth)) * (1 - (1 - CASE WHEN quote_verified THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END)) * (1 - 0.6::DOUBLE * (1 - (0.65::DOUBLE + 0.35::DOUBLE * prec / 100))) * (1 - 0.8::DOUBLE * (1 - ({_CORROBORATION})::DOUBLE)))"
 
@@ -174,14 +173,22 @@ def val_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("product_id", quality.status(F.coalesce("errors", F.lit(0)), (F.col("completeness_ecommerce") < 1).cast("int"), F.col("consistency"), F.lit(0)).alias("status"))
 
 
-_KEYWORDS = {"a.metal": ["ing", "the or"], "b.wood": ["heit", "ver"], "c.glass": ["ment", "tion ou"], "d.none": []}
-_HITS = ", ".join(f"{' + '.join(f'{1.5 * len(w.split())}::DOUBLE * len(regexp_extract_all(lower(text), {chr(39)}(^|[^a-z0-9]){w}{chr(39)}))' for w in words) if words else '0.0::DOUBLE'} AS s{k}" for k, (name, words) in enumerate(sorted(_KEYWORDS.items())))
-_CASES = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS category, s{k} AS score FROM hits" for k, name in enumerate(sorted(_KEYWORDS)))
+_KEYWORDS = {"a.function": ["the", "that it", "is"], "b.articles": ["der", "die", "und"], "c.french": ["le", "des", "et", "de la"], "d.none": []}
 
 
-@query("agg_keyword_classify", f"WITH hits AS (SELECT doc_id, {_HITS} FROM documents), scores AS ({_CASES}), ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, category) AS r FROM scores) SELECT a.doc_id, CASE WHEN a.score > 0 THEN a.category END AS category, a.score, b.score AS runner_up FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND a.r = 1 AND b.r = 2")
+def _hits(words: list[str]) -> str:
+    """Score of a category in SQL: delimiters are doubled before, so that neighbouring hits don't share one."""
+    return " + ".join(f"{1.5 * len(w.split())}::DOUBLE * len(regexp_extract_all(t, '(?:^|[^\\p{{L}}\\p{{N}}_]){w.replace(' ', '  ')}(?:[^\\p{{L}}\\p{{N}}_]|$)'))" for w in words) or "0.0::DOUBLE"
+
+
+_CASES = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS category, {k} AS place, {_hits(words)} AS score FROM doubled" for k, (name, words) in enumerate(_KEYWORDS.items()))
+
+
+@query("agg_keyword_classify", f"""WITH doubled AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '([^\\p{{L}}\\p{{N}}_])', '\\1\\1', 'g') AS t FROM documents), scores AS ({_CASES}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS r FROM scores), best AS (SELECT a.doc_id, CASE WHEN a.score > 0 THEN a.category ELSE 'industrial.generic' END AS category, a.score, b.score AS runner_up FROM ranked a JOIN ranked b ON a.doc_id = b.doc_id AND a.r = 1 AND b.r = 2)
+SELECT *, CASE WHEN score > 0 THEN {_round('least(0.35::DOUBLE + 0.4::DOUBLE * (score - runner_up) / score + 0.35::DOUBLE * least(score / 12, 1.0::DOUBLE), 0.99::DOUBLE)', 3)} ELSE 0.0::DOUBLE END AS confidence FROM best""")
 def agg_keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.keyword_category(table(spark, sf_dir, "documents"), "doc_id", "text", _KEYWORDS)
+    return quality.keyword_category(table(spark, sf_dir, "documents"), "doc_id", "text", _KEYWORDS).drop("keyword")
 
 
 @query("agg_learned_defaults", "SELECT p_brand, p_size, count(*) AS times FROM part GROUP BY ALL HAVING count(*) >= 3")
@@ -295,7 +302,7 @@ def fn_cert_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(normalize.certifications(raw, canonical), "|").alias("labels"))
 
 
-@query("fn_mpn_candidates", "SELECT p_partkey, 'cb-' || p_partkey || '|VX' || p_size || '-2P-C20' AS found FROM part")
+@query("fn_mpn_candidates", "SELECT p_partkey, 'cb-' || p_partkey || '|VX' || p_size || '-2P-C20|CB-' || p_partkey AS found FROM part")
 def fn_mpn_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("Use VX"), F.col("p_size").cast("string"), F.lit("-2P-C20 or model: cb-"), F.col("p_partkey").cast("string"), F.lit(" at 240/415 V"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(identity.mpn_candidates(text), "|").alias("found"))
@@ -426,23 +433,33 @@ def flt_structured_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.structured(p, catalog.attributes(spark, sf_dir), wanted, 20, manufacturer="BRAND#11").select("product_id", "quality_overall")
 
 
-@query("sem_topk", f"WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, rank, id, {_round('score', 5)} AS score FROM r WHERE rank <= 10")
+_TOPK = "q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[]) AS score FROM q, embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"
+
+
+@query("sem_topk", f"WITH {_TOPK} SELECT query_id, rank, id, {_round('score', 5)} AS score FROM r WHERE rank <= 10")
 def sem_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    asked = [(r.vec_id, list(r.embedding)) for r in v.where("vec_id < 20").collect()]
-    found = search.nearest(v, asked, 10, "vec_id", "embedding")
+    found = search.nearest(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10, "vec_id", "embedding")
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", normalize.round_half_up(F.col("score"), 5).alias("score"))
 
 
-_HYBRID = f"att AS (SELECT product_id, sum(CASE WHEN contains(lower(coalesce(value_text, '')), 'green') THEN CASE WHEN variant_defining THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END ELSE 0.0::DOUBLE END + CASE WHEN contains(lower(coalesce(value_text, '')), '20') THEN CASE WHEN variant_defining THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END ELSE 0.0::DOUBLE END + CASE WHEN abs(value_number - 20) <= 0.01 THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END) AS found FROM ({ATTRIBUTES_SQL}) GROUP BY ALL)"
+#: The question, whose own vector is that of row 0.
+_QUESTION = "widget 20"
+_WORD = "CASE WHEN contains(lower(shown), '{0}') OR contains(lower(code), '{0}') THEN CASE WHEN variant_defining THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END ELSE 0.0::DOUBLE END"
+_HYBRID = f"""att AS (SELECT product_id, sum({_WORD.format('widget')} + {_WORD.format('20')} + CASE WHEN abs(value_number - 20) < 0.01 THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END) AS raw
+  FROM (SELECT *, coalesce(CASE WHEN code = 'size' THEN value_number::INT::VARCHAR WHEN value_number IS NOT NULL THEN rtrim(rtrim(printf('%.' || (5 - floor(log10(value_number)))::INT || 'f', value_number), '0'), '.') END, value_text, '') AS shown FROM ({ATTRIBUTES_SQL})) WHERE shown <> '' GROUP BY ALL)"""
 
 
-@query("sem_hybrid", f"WITH {_HYBRID}, a AS (SELECT product_id, least(found / 4, 1.0::DOUBLE) AS s FROM att WHERE found > 0), v AS (SELECT vec_id AS product_id, label / 10.0::DOUBLE AS m FROM embeddings) SELECT coalesce(a.product_id, v.product_id) AS product_id, {_round('CASE WHEN m IS NULL THEN s ELSE least(1.0::DOUBLE, m + coalesce(s, 0.0::DOUBLE) / 2) END', 6)} AS score FROM a FULL JOIN v ON a.product_id = v.product_id ORDER BY score DESC, product_id LIMIT 100")
+@query("sem_hybrid", f"""WITH {_HYBRID}, near AS (SELECT vec_id AS product_id, list_cosine_similarity((SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[], embedding::DOUBLE[]) AS m FROM embeddings), v AS (SELECT * FROM near ORDER BY m DESC, product_id LIMIT 300),
+a AS (SELECT product_id, raw FROM att WHERE raw > 0), b AS (SELECT coalesce(a.product_id, v.product_id) AS product_id, least(1.0::DOUBLE, CASE WHEN m IS NULL THEN raw / 4 ELSE m + coalesce(raw, 0.0::DOUBLE) / 8 END) AS score FROM a FULL JOIN v ON a.product_id = v.product_id) SELECT product_id, {_round('score', 6)} AS score FROM b ORDER BY b.score DESC, product_id LIMIT 100""")
 def sem_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = catalog.products(spark, sf_dir).withColumn("identity", F.col("manufacturer"))
-    scores = search.token_scores(p, catalog.attributes(spark, sf_dir), ["green", "20"])
-    semantic = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("product_id"), (F.col("label") / 10.0).alias("semantic_score"))
-    return search.hybrid(scores, semantic, 100).select("product_id", normalize.round_half_up(F.col("score"), 6).alias("score"))
+    p = catalog.products(spark, sf_dir).withColumn("identity", F.concat_ws(" ", "manufacturer", "product_id", "product_name"))
+    facts = exports.rendered(catalog.attributes(spark, sf_dir)).withColumn("label", F.col("code"))
+    scores = search.token_scores(p, facts, _QUESTION)
+    v = table(spark, sf_dir, "embeddings")
+    semantic = search.nearest(v, v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 300, "vec_id", "embedding")
+    found = search.hybrid(scores, semantic.select(F.col("id").alias("product_id"), F.col("score").alias("semantic_score")), 100)
+    return found.select("product_id", normalize.round_half_up(F.col("score"), 6).alias("score"))
 
 
 @query("sem_answer", f"WITH a AS ({ATTRIBUTES_SQL}) SELECT product_id, code, coalesce(value_text, value_number::VARCHAR) AS value, source_id FROM a WHERE code IN ('name', 'size') AND product_id IN (SELECT p_partkey FROM part WHERE p_size > 40)")

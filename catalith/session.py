@@ -5,9 +5,21 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FIRST = re.compile(r"^[\s(]*(select|with|show|describe|explain|values)\b", re.I)
 _WRITES = re.compile(r"\b(insert|update|delete|merge|drop|create|alter|truncate|load|copy|cache|uncache|refresh|msck|grant|revoke|set|reset|use|add|analyze|call|reflect|java_method|try_reflect)\b", re.I)
+#: Literals (raw ones first), quoted names and comments, in one scan, so that none can hide in another.
+_HIDDEN = re.compile(r"""(?P<literal>\b[rR]'[^']*'|\b[rR]"[^"]*"|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<name>`(?:[^`]|``)*`)|--[^\n]*|/\*.*?\*/""", re.S)
+_SUMMARY = re.compile(r"^\s*summarize\s+(\w+)\s*$", re.I)
+_TABLE_INFO = re.compile(r"^\s*pragma\s+table_info\s*\(\s*'?(\w+)'?\s*\)\s*$", re.I)
+#: Functions of this library that SQL may call: name -> parameters, type and body.
+FUNCTIONS = {
+    "squeezed": ("x STRING", "STRING", "regexp_replace(lower(x), '[^a-z0-9]', '')"),
+    "collapsed": ("x STRING", "STRING", r"trim(regexp_replace(x, r'\s+', ' '))"),
+    "label": ("x STRING", "STRING", r"trim(regexp_replace(regexp_replace(lower(x), r'\([^)]*\)', ' '), '[^a-z0-9]+', ' '))"),
+    "numbers_agree": ("a DOUBLE, b DOUBLE", "BOOLEAN", "abs(a - b) <= 0.02D * greatest(abs(a), abs(b))"),
+}
 
 
 def register(tables: dict[str, DataFrame]) -> None:
@@ -15,20 +27,43 @@ def register(tables: dict[str, DataFrame]) -> None:
         rows.createOrReplaceTempView(name)
 
 
+def register_functions(spark: SparkSession) -> None:
+    """Make FUNCTIONS callable from SQL."""
+    for name, (parameters, kind, body) in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
+
+
 def check_read_only(statement: str) -> str:
     """The statement, or ValueError unless it is a single read; literals and comments don't count."""
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", statement, flags=re.S)
-    bare = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", "''", bare)
+    bare = _HIDDEN.sub(lambda m: "''" if m["literal"] else m[0] if m["name"] else " ", statement)
+    named = re.sub(r"`(?:[^`]|``)*`", "``", bare)
     if not bare.strip():
         raise ValueError("empty statement")
-    if ";" in bare.strip().rstrip(";"):
+    if ";" in named.strip().rstrip(";"):
         raise ValueError("one statement at a time")
-    if not _FIRST.match(bare) or _WRITES.search(bare) or re.search(r"\basof\s+join\b", bare, re.I):
+    # a quoted name may be that of a function
+    if not _FIRST.match(bare) or _WRITES.search(bare) or re.search(r"\basof\s+join\b", named, re.I):
         raise ValueError("only reading statements are allowed")
-    if re.search(r"\b(?:parquet|csv|json|orc|text|binaryfile|avro|xml)\s*\.\s*`", bare, re.I):
+    if re.search(r"\b`?(?:parquet|csv|json|orc|text|binaryfile|avro|xml)`?\s*\.\s*`", bare, re.I):
         raise ValueError("only registered tables can be read")
     return statement.strip().rstrip(";")
 
 
+def check_plan(spark: SparkSession, statement: str) -> None:
+    """ValueError if the parsed statement reads anything but registered tables by their plain names."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).treeString()
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+        if not re.fullmatch(r"\w+", name):
+            raise ValueError("only registered tables can be read")
+
+
 def read_sql(spark: SparkSession, statement: str, args: list | None = None) -> DataFrame:
-    return spark.sql(check_read_only(statement), args=args or [])
+    """Rows of a reading statement; SUMMARIZE table and PRAGMA table_info(table) work too."""
+    if m := _SUMMARY.match(statement):
+        return spark.table(m[1]).summary()
+    if m := _TABLE_INFO.match(statement):
+        described = spark.sql(f"DESCRIBE TABLE {m[1]}").select(F.col("col_name").alias("name"), F.col("data_type").alias("type"))
+        return described
+    allowed = check_read_only(statement)
+    check_plan(spark, allowed)
+    return spark.sql(allowed, args=args or [])

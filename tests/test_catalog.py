@@ -193,7 +193,7 @@ def test_near_part_numbers_find_all(spark):
 
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7]), (4, [0.0, 0.0]), (5, None)], "id long, v array<double>")
-    got = [(r.rank, r.id) for r in search.nearest(rows, [(9, [1.0, 0.1])], 2, "id", "v").orderBy("rank").collect()]
+    got = [(r.rank, r.id) for r in search.nearest(rows, spark.createDataFrame([(9, [1.0, 0.1])], "query_id long, vector array<double>"), 2, "id", "v").orderBy("rank").collect()]
     assert got == [(1, 1), (2, 3)]
     assert one(spark, search.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
 
@@ -210,7 +210,7 @@ def test_stream(spark, tmp_path):
     assert events.windowed(source, "10 minutes").agg(F.sum("n")).first()[0] == 90
 
 
-@pytest.mark.parametrize("bad", ["", "DELETE FROM t", "DROP TABLE t", "SELECT 1; DROP TABLE t", "INSERT INTO t SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT * FROM a ASOF JOIN b", "SELECT * FROM parquet.`/x`", "SELECT reflect('java.lang.System', 'exit', 0)", "-- nothing"])
+@pytest.mark.parametrize("bad", ["", "DELETE FROM t", "DROP TABLE t", "SELECT 1; DROP TABLE t", "INSERT INTO t SELECT 1", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a", "SELECT * FROM a ASOF JOIN b", "SELECT * FROM parquet.`/x`", "SELECT reflect('java.lang.System', 'exit', 0)", "-- nothing", "SELECT '--', java_method('java.lang.System','getProperty','user.home')", "SELECT '--' AS a, value FROM text.`/etc/hostname`", "SELECT r'\\', java_method('java.lang.System', 'exit', r'')", "SELECT '/*', java_method('a', 'b') /* '*/", "SELECT `java_method`('a', 'b')"])
 def test_gate_refuses(bad):
     with pytest.raises(ValueError):
         session.check_read_only(bad)
@@ -219,6 +219,13 @@ def test_gate_refuses(bad):
 def test_gate_allows(spark):
     assert session.read_sql(spark, "SELECT 'drop; load' AS x -- delete").first().x == "drop; load"
     assert session.read_sql(spark, "WITH a AS (SELECT ? AS y) SELECT y FROM a;", [3]).first().y == 3
+    session.register({"t": spark.createDataFrame([(1, "x y")], "a int, b string")})
+    session.register_functions(spark)
+    assert session.read_sql(spark, "SELECT squeezed(b) AS s FROM `t` /* a -- b */ WHERE b <> '/*'").first().s == "xy"
+    assert {r.summary: r.a for r in session.read_sql(spark, "SUMMARIZE t").collect()}["count"] == "1"
+    assert [tuple(r) for r in session.read_sql(spark, "PRAGMA table_info('t')").collect()] == [("a", "int"), ("b", "string")]
+    with pytest.raises(ValueError):
+        session.read_sql(spark, "SELECT * FROM (SELECT (SELECT max(value) FROM `text`.`/etc/hostname`) AS x)")
 
 
 def test_library_stands_without_corpus_operators(tmp_path):
