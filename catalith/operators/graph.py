@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Predicates that hold both ways, and pairs that are each other's inverse.
@@ -22,14 +22,23 @@ def closed(edges: DataFrame) -> DataFrame:
 
 
 def build(products: DataFrame, sources: DataFrame, certifications: DataFrame) -> DataFrame:
-    """Edges from products (product_id, category_id, base_id), their sources (product_id, source_id) and certifications (product_id, label)."""
-    def edge(rows: DataFrame, predicate: str, dst, confidence: float = 1.0) -> DataFrame:
-        return rows.select(F.col("product_id").alias("src"), F.lit(predicate).alias("predicate"), dst.alias("dst"), F.lit(confidence).alias("confidence"))
-
+    """Edges from products (product_id, category_id, base_id), their sources (product_id, source_id) and certifications (product_id, label, with a confidence if there is one).
+
+    Products of one base are ``compatible_with`` each other; that edge runs between each and the family
+    itself (``family:`` and its base), not between all pairs, which grow with the square of a family;
+    ``family_pairs`` gives those.
+    """
+    def edge(rows: DataFrame, predicate: str, dst, confidence: float | Column = 1.0) -> DataFrame:
+        sure = F.lit(confidence) if isinstance(confidence, float) else confidence
+        return rows.select(F.col("product_id").alias("src"), F.lit(predicate).alias("predicate"), dst.alias("dst"), sure.cast("double").alias("confidence"))
+
+    of_base = products.where("base_id is not null and base_id <> product_id")
+    sure = F.col("confidence") if "confidence" in certifications.columns else F.lit(1.0)
     out = edge(products.where("category_id is not null"), "belongs_to", F.col("category_id"))
-    out = out.unionByName(edge(products.where("base_id is not null"), "variant_of", F.col("base_id"), 0.9))
+    out = out.unionByName(edge(of_base, "variant_of", F.col("base_id"), 0.9))
     out = out.unionByName(edge(sources.select("product_id", "source_id").distinct(), "documented_in", F.col("source_id")))
-    out = out.unionByName(edge(certifications.select("product_id", "label").distinct(), "certified_by", F.concat(F.lit("cert:"), "label")))
+    out = out.unionByName(edge(certifications.groupBy("product_id", "label").agg(F.max(sure).alias("confidence")), "certified_by", F.concat(F.lit("cert:"), "label"), F.col("confidence")))
+    out = out.unionByName(edge(of_base, "compatible_with", F.concat(F.lit("family:"), "base_id"), 0.6))
     return closed(out)
 
 
@@ -46,10 +55,53 @@ def siblings(edges: DataFrame) -> DataFrame:
     return a.join(b, "dst").where("product <> sibling").select(F.col("dst").alias("base"), "product", "sibling")
 
 
-def neighbours(edges: DataFrame, node: str) -> DataFrame:
+def base_of(edges: DataFrame) -> DataFrame:
+    """The base of each product, the first by name where an edge table has several."""
+    return edges.where(F.col("predicate") == "variant_of").groupBy(F.col("src").alias("product")).agg(F.min("dst").alias("base"))
+
+
+def family(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """Members of the family of each product asked for (column product): its base and all variants of that; a base has its variants."""
+    bases = base_of(edges)
+    own = asked.join(bases, "product", "left").select("product", F.coalesce("base", "product").alias("base"))
+    variants = edges.where(F.col("predicate") == "variant_of").select(F.col("dst").alias("base"), F.col("src").alias("member"))
+    return own.select("product", F.col("base").alias("member")).unionByName(own.join(variants, "base").select("product", "member")).distinct()
+
+
+def neighbours(edges: DataFrame, node: str, predicate: str | None = None) -> DataFrame:
+    if predicate is not None:
+        edges = edges.where(F.col("predicate") == predicate)
     return edges.where(F.col("src") == node).select("predicate", F.col("dst").alias("node")).unionByName(edges.where(F.col("dst") == node).select("predicate", F.col("src").alias("node")))
 
 
+def paths(edges: DataFrame, starts: DataFrame, predicates: list[str], depth: int = 3) -> DataFrame:
+    """start, node, depth and path (the predicates on the way) for each node in reach, by the shortest way, the first path in order among those of one length."""
+    steps = edges.where(F.col("predicate").isin(predicates)).select("src", "predicate", "dst").distinct()
+    none = F.array().cast("array<string>")
+    seen = frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), none.alias("path"))
+    for k in range(1, depth + 1):
+        found = frontier.join(steps, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("predicate"))).alias("path"))
+        frontier = found.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(k).alias("depth"), "path")
+        seen = seen.unionByName(frontier)
+    return seen.where("depth > 0")
+
+
+def totals(edges: DataFrame) -> DataFrame:
+    """Nodes, edges, and edges by predicate as a map: one row."""
+    by_type = edges.groupBy("predicate").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("predicate", "n")))).alias("by_type"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+    return node_count(edges).crossJoin(F.broadcast(by_type)).select("nodes", "edges", "by_type")
+
+
+def save(edges: DataFrame, path: str) -> None:
+    edges.select(*EDGE).write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of a stored graph; lines that are no edges are skipped."""
+    rows = spark.read.schema("src string, predicate string, dst string, confidence double, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return rows.where("_broken is null and src is not null and predicate is not null and dst is not null").select(*EDGE)
+
+
 def reachable(edges: DataFrame, starts: DataFrame, depth: int = 3, predicates: list[str] | None = None) -> DataFrame:
     """Nodes in reach of start nodes (column start), with the least depth; one join for each step, nodes seen before are not followed."""
     steps = edges.where(F.col("predicate").isin(predicates)) if predicates else edges

@@ -10,21 +10,50 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.functions.normalize import round_half_up
+from catalith.functions.normalize import render_number, round_half_up
 
 MIN_PEERS, OUTLIER_Z = 4, 3.5
 CHANNELS = ["core", "ecommerce", "enhanced"]
 
 
-def peer_stats(values: DataFrame, by: list[str], value: str) -> DataFrame:
+#: Groups up to so many rows have their median worked out in one buffer.
+BUFFERED_ROWS = 100_000
+
+
+def medians(values: DataFrame, by: list[str], value: str, sizes: DataFrame, buffered: int = BUFFERED_ROWS) -> DataFrame:
+    """Exact median of each group in ``sizes`` (the columns ``by`` and n, the group's rows).
+
+    Of a group above ``buffered`` rows, a sketch brackets the middle to a thousandth of the rows on both sides; rows
+    below the bracket are counted, and distinct values inside it are ranked. So no task holds a group.
+    """
+    rows = values.select(*by, F.col(value).alias("value"))
+    large = sizes.where(F.col("n") > buffered)
+    if large.isEmpty():
+        return rows.join(sizes.select(*by), by, "left_semi").groupBy(*by).agg(F.median("value").alias("median"))
+    small = rows.join(sizes.where(F.col("n") <= buffered).select(*by), by, "left_semi").groupBy(*by).agg(F.median("value").alias("median"))
+    wide = rows.join(large.select(*by, "n"), by)
+    bracket = wide.groupBy(*by).agg(F.percentile_approx("value", [0.499, 0.501], 10_000).alias("b")).select(*by, F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    placed = wide.join(bracket, by)
+    below = placed.groupBy(*by).agg(F.count_if(F.col("value") < F.col("low")).alias("below"))
+    counted = placed.where("value between low and high").groupBy(*by, "value").agg(F.count("*").alias("times"), F.max("n").alias("n"))
+    upto = F.sum("times").over(Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", upto).join(below, by).withColumn("upto", F.col("upto") + F.col("below"))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))  # noqa: E731  the value at a rank from 0
+    found = ranked.groupBy(*by).agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+    return small.unionByName(found)
+
+
+def peer_stats(values: DataFrame, by: list[str], value: str, buffered: int = BUFFERED_ROWS) -> DataFrame:
     """Exact median and median absolute deviation of each peer group of four or more, in two passes."""
-    known = values.where(F.col(value).isNotNull())
-    first = known.groupBy(*by).agg(F.median(value).alias("median"), F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).where(F.col("n") >= MIN_PEERS)
-    spread = known.join(first.select(*by, "median"), by).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return first.join(spread, by)
+    known = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("value"))
+    sizes = known.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).where(F.col("n") >= MIN_PEERS)
+    first = sizes.join(medians(known, by, "value", sizes.select(*by, "n"), buffered), by)
+    away = known.join(first.select(*by, "median"), by).select(*by, F.abs(F.col("value") - F.col("median")).alias("value"))
+    spread = medians(away, by, "value", sizes.select(*by, "n"), buffered)
+    return first.join(spread.withColumnRenamed("median", "mad"), by).select(*by, "median", "n", "low", "high", "mad")
 
 
 def is_outlier(value: Column, median: Column, mad: Column) -> Column:
@@ -33,6 +62,13 @@ def is_outlier(value: Column, median: Column, mad: Column) -> Column:
     return F.when(mad == 0, far).otherwise(F.abs(0.6745 * (value - median) / F.when(mad != 0, mad)) > OUTLIER_Z)
 
 
+def outlier_message(value: Column, median: Column, mad: Column, n: Column, low: Column, high: Column) -> Column:
+    """Why a value is an outlier."""
+    far = F.format_string("%s is far from the peer value %s (n=%d)", render_number(value), render_number(median), n)
+    spread = F.format_string("%s is %.1f MAD from the category median %s (peer range %s-%s, n=%d)", render_number(value), F.abs(0.6745 * (value - median) / F.when(mad != 0, mad)), render_number(median), render_number(low), render_number(high), n)
+    return F.when(mad == 0, far).otherwise(spread)
+
+
 def outliers(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Rows with ``outlier``; null where a group has too few peers."""
     stats = peer_stats(values, by, value)
@@ -99,6 +135,17 @@ def scorecard(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("products"), sellable.alias("sellable"), ready.alias("ready"), round_half_up(F.when(sellable > 0, ready / sellable).otherwise(0.0), 4).alias("ready_share"), *means)
 
 
+def attribute_scorecard(attributes: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Numbers of attributes and their mean confidence, read ones and generated ones apart, inferred ones and conflicts: one row."""
+    mean = lambda which: round_half_up(F.coalesce(F.avg(F.when(which, F.col("confidence"))), F.lit(0.0)), 4)
+    made = F.col("generated")
+    row = attributes.agg(
+        F.count("*").alias("attributes_total"), F.count_if(~made).alias("attributes_sourced"), F.count_if(made).alias("attributes_generated"), F.count_if("inferred").alias("inferred_attributes"),
+        mean(~made).alias("confidence_sourced"), mean(made).alias("confidence_generated"),
+    )
+    return row.crossJoin(F.broadcast(conflicts.agg(F.count("*").alias("conflicts"))))
+
+
 def coverage(products: DataFrame, attributes: DataFrame, required: DataFrame, channel: str = "ecommerce") -> DataFrame:
     """Filled share of each required code over the products that need it, least covered first."""
     status = requirement_status(products.where(~F.col("is_family")), attributes, required).where(F.col("channel") == channel)
@@ -113,22 +160,28 @@ def rollup(scores: DataFrame, by: str) -> DataFrame:
 _RULE = re.compile(r"^\s*([a-z_]\w*)\s*(?:\*\s*([\d.]+)\s*)?(>=|<=|==|!=|>|<)\s*([a-z_]\w*|-?[\d.]+|'[^']*')\s*$", re.I)
 
 
-def rule_condition(expression: str, columns: Iterable[str]) -> Column:
-    """A comparison 'code [* scale] op code|number|'text'' over a row of attribute columns; null if an operand is."""
+def rule_condition(expression: str, columns: Iterable[str], kinds: dict[str, str] | None = None) -> Column:
+    """A comparison 'code [* scale] op code|number|'text'' over a row of attribute columns; null if an operand is.
+
+    With the columns' types (``kinds``, as DataFrame.dtypes gives them), a number and a text are compared as texts.
+    """
     m = _RULE.match(expression)
     if not m or m[1] not in columns:
         return F.lit(None).cast("boolean")
     left, right = F.col(m[1]), m[4]
+    text = (kinds or {}).get(m[1]) == "string"
     if m[2]:
-        left = left.cast("double") * float(m[2])
+        left, text = left.cast("double") * float(m[2]), False
     if right.startswith("'"):
-        left, side = left.cast("string"), F.lit(right[1:-1])
+        side, other = F.lit(right[1:-1]), True
     elif right in columns:
-        side = F.col(right)
+        side, other = F.col(right), (kinds or {}).get(right) == "string"
     elif re.fullmatch(r"-?\d+(\.\d+)?|-?\.\d+", right):
-        side = F.lit(float(right))
+        side, other = F.lit(float(right)), False
     else:
         return F.lit(None).cast("boolean")
+    if text != other:
+        left, side = (c if is_text else F.coalesce(render_number(c.try_cast("double")), c.cast("string")) for c, is_text in ((left, text), (side, other)))
     return {">=": left >= side, "<=": left <= side, "==": left == side, "!=": left != side, ">": left > side, "<": left < side}[m[3]]
 
 
@@ -144,6 +197,14 @@ def implication(condition: str, columns: Iterable[str], then_present: Iterable[s
     return F.when(rule_condition(condition, columns), held)
 
 
+def implication_message(condition: str, then_present: Iterable[str] = (), then_min: dict | None = None, then_max: dict | None = None) -> Column:
+    """What the first unmet demand of an implication says; null if all are met."""
+    parts = [F.when(F.col(c).isNull(), F.lit(f"{c} is required when {condition}")) for c in then_present]
+    parts += [F.when(F.col(c) < v, F.lit(f"{c} must be at least {v}")) for c, v in (then_min or {}).items()]
+    parts += [F.when(F.col(c) > v, F.lit(f"{c} must not exceed {v}")) for c, v in (then_max or {}).items()]
+    return F.coalesce(*parts, F.lit(None).cast("string"))
+
+
 def evaluate_rules(wide: DataFrame, rules: dict[str, Column], key: str = "product_id") -> DataFrame:
     """A row per product and rule that applies: rule_id, passed."""
     found = F.array(*[F.struct(F.lit(n).alias("rule_id"), c.alias("passed")) for n, c in rules.items()])

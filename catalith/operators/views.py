@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.functions import vocabulary
 from catalith.functions.normalize import round_half_up
 
 
@@ -60,10 +61,16 @@ def resolved(asked: DataFrame, products: DataFrame) -> DataFrame:
     return asked.join(by_gtin, "gtin", "left").join(by_mpn, "mpn", "left").select("request_id", F.coalesce("g", "m").alias("product_id"))
 
 
-def alt_text(manufacturer: Column, name: Column, shot: Column) -> Column:
-    """Alternative text of an image, at most 125 characters."""
-    what = F.when(shot == "hero", F.lit("")).otherwise(F.concat(F.lit(", "), F.replace(shot, F.lit("_"), F.lit(" ")), F.lit(" view")))
-    return F.left(F.concat(manufacturer, F.lit(" "), name, what), F.lit(125))
+def alt_text(name: Column, category: Column, shot: Column) -> Column:
+    """Alternative text of an image, at most 125 characters, by what it shows."""
+    def said(phrase: str) -> Column:
+        before, _, after = phrase.partition("{}")
+        return F.concat(F.lit(before), name, F.lit(after))
+
+    text = said(vocabulary.ALT_PHRASES["unknown"])
+    for kind, phrase in vocabulary.ALT_PHRASES.items():
+        text = F.when(shot == kind, said(phrase)).otherwise(text)
+    return F.left(F.concat(text, F.lit(" ("), category, F.lit(")")), F.lit(125))
 
 
 def label_values(rows: DataFrame) -> DataFrame:

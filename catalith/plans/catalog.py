@@ -58,12 +58,12 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cells = F.array(cell("size", F.col("size"), none), cell("price", F.col("price"), none), cell("name", none, F.when(F.col("product_id") % 11 != 0, F.col("product_name"))))
     rows = p.select("product_id", F.explode(cells).alias("a")).select("product_id", "a.*").where("value_number is not null or value_text is not null")
-    return rows.withColumns({"confidence": F.lit(0.8), "generated": (F.col("code") == "name") & (F.col("product_id") % 3 == 0), "inferred": F.lit(False), "verified": F.col("product_id") % 4 != 0, "variant_defining": F.col("code") == "size", "source_id": F.concat(F.lit("src_"), (F.col("product_id") % 10).cast("string"))})
+    return rows.withColumns({"confidence": F.lit(0.7) + F.lit(0.05) * (F.col("product_id") % 7), "generated": (F.col("code") == "name") & (F.col("product_id") % 3 == 0), "inferred": F.lit(False), "verified": F.col("product_id") % 4 != 0, "variant_defining": F.col("code") == "size", "source_id": F.concat(F.lit("src_"), (F.col("product_id") % 10).cast("string"))})
 
 
 PRODUCTS_SQL = "SELECT p_partkey AS product_id, p_brand AS manufacturer, p_name AS product_name, p_type AS category_id, p_brand AS base_id, p_partkey % 50 = 0 AS is_family, CASE WHEN p_partkey % 7 <> 0 THEN p_size::DOUBLE END AS size, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS price FROM part"
 ATTRIBUTES_SQL = f"""
-  SELECT *, 0.8::DOUBLE AS confidence, code = 'name' AND product_id % 3 = 0 AS generated, false AS inferred, product_id % 4 <> 0 AS verified, code = 'size' AS variant_defining, 'src_' || (product_id % 10) AS source_id
+  SELECT *, 0.7::DOUBLE + 0.05::DOUBLE * (product_id % 7) AS confidence, code = 'name' AND product_id % 3 = 0 AS generated, false AS inferred, product_id % 4 <> 0 AS verified, code = 'size' AS variant_defining, 'src_' || (product_id % 10) AS source_id
   FROM (SELECT product_id, 'size' AS code, size AS value_number, NULL::VARCHAR AS value_text FROM ({PRODUCTS_SQL}) UNION ALL
         SELECT product_id, 'price', price, NULL FROM ({PRODUCTS_SQL}) UNION ALL
         SELECT product_id, 'name', NULL, CASE WHEN product_id % 11 <> 0 THEN product_name END FROM ({PRODUCTS_SQL}))

@@ -99,7 +99,11 @@ def agg_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = catalog.products(spark, sf_dir)
     rules = quality.evaluate_rules(p, _rules(p.columns))
-    return rules.groupBy("product_id").agg(F.count_if("passed").alias("passed"), F.count("*").alias("applicable"), F.count_if(~F.col("passed")).alias("errors")).withColumns({"outliers": F.lit(0), "numeric": F.lit(2)})
+    passed = rules.groupBy("product_id").agg(F.count_if("passed").alias("passed"), F.count("*").alias("applicable"), F.count_if(~F.col("passed")).alias("errors"))
+    numbers = catalog.attributes(spark, sf_dir).where("value_number is not null").join(p.select("product_id", "category_id"), "product_id")
+    far = quality.outliers(numbers.withColumn("value_number", F.pow("value_number", F.lit(8))), ["category_id", "code"], "value_number")
+    peers = far.groupBy("product_id").agg(F.count_if("outlier").alias("outliers"), F.count("*").alias("numeric"))
+    return passed.join(peers, "product_id", "full_outer")
 
 
 def _rules(columns: list[str]) -> dict:
@@ -122,11 +126,15 @@ def val_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUALITY = f"""{_STATUS}, {_COMPLETE}, {_RULE_ROWS},
 checks AS (SELECT product_id, count(*) FILTER (WHERE passed) AS passed, count(*) AS applicable, count(*) FILTER (WHERE NOT passed) AS errors FROM rules WHERE passed IS NOT NULL GROUP BY ALL),
+nums AS (SELECT a.product_id, category_id, code, pow(value_number, 8) AS v FROM attributes a JOIN products USING (product_id) WHERE value_number IS NOT NULL),
+med AS (SELECT category_id, code, median(v) AS med FROM nums GROUP BY ALL HAVING count(*) >= 4), mad AS (SELECT category_id, code, median(abs(v - med)) AS mad FROM nums JOIN med USING (category_id, code) GROUP BY ALL),
+peers AS (SELECT product_id, count(*) FILTER (WHERE CASE WHEN mad = 0 THEN med <> 0 AND (v > 10 * med OR v < med / 10) ELSE abs(0.6745::DOUBLE * (v - med) / mad) > 3.5 END) AS outliers, count(*) AS numeric FROM nums LEFT JOIN med USING (category_id, code) LEFT JOIN mad USING (category_id, code) GROUP BY ALL),
 facts AS (SELECT product_id, count(*) FILTER (WHERE NOT generated AND NOT inferred) AS sourced, count(*) FILTER (WHERE NOT generated AND NOT inferred AND verified) AS verified FROM attributes GROUP BY ALL),
 scores AS (SELECT c.product_id, c.is_family, completeness_core, completeness_ecommerce, completeness_enhanced,
  {_round('CASE WHEN coalesce(sourced, 0) > 0 THEN f.verified::DOUBLE / sourced ELSE 0.0 END', 4)} AS accuracy,
  {_round('greatest((CASE WHEN coalesce(applicable, 0) > 0 THEN passed::DOUBLE / applicable ELSE CASE WHEN coalesce(errors, 0) > 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END END) - least(0.5::DOUBLE, 0.1::DOUBLE * coalesce(errors, 0)), 0.0::DOUBLE)', 4)} AS consistency,
- 1.0::DOUBLE AS distinctiveness, coalesce(errors, 0) AS errors FROM complete c LEFT JOIN facts f USING (product_id) LEFT JOIN checks k USING (product_id)),
+ {_round('CASE WHEN coalesce(numeric, 0) > 0 THEN 1 - least(1.0::DOUBLE, outliers::DOUBLE / numeric) ELSE 1.0::DOUBLE END', 4)} AS distinctiveness, coalesce(errors, 0) AS errors FROM complete c LEFT JOIN facts f USING (product_id) LEFT JOIN checks k USING (product_id) LEFT JOIN peers USING (product_id)),
+means AS (SELECT product_id, avg(confidence) AS mean FROM attributes WHERE NOT generated GROUP BY ALL),
 quality AS (SELECT * EXCLUDE (errors), {_round('(0.40::DOUBLE * completeness_ecommerce + 0.25::DOUBLE * accuracy + 0.25::DOUBLE * consistency + 0.10::DOUBLE * distinctiveness)', 4)} AS overall, NOT is_family AND completeness_ecommerce = 1.0 AND errors = 0 AND accuracy >= 0.5 AS channel_ready FROM scores)"""
 
 
@@ -167,10 +175,12 @@ def jn_missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.missing_required(catalog.products(spark, sf_dir), catalog.attributes(spark, sf_dir), catalog.required(spark, sf_dir), "ecommerce")
 
 
-@query("val_status", f"WITH {_QUALITY} SELECT q.product_id, CASE WHEN coalesce(k.errors, 0) > 0 OR completeness_ecommerce < 1 THEN 'needs_review' WHEN consistency < 0.85 THEN 'enriched' ELSE 'published' END AS status FROM quality q LEFT JOIN checks k USING (product_id)")
+@query("val_status", f"WITH {_QUALITY} SELECT q.product_id, CASE WHEN coalesce(k.errors, 0) > 0 OR completeness_ecommerce < 1 THEN 'needs_review' WHEN coalesce(mean, 0) < 0.85 THEN 'enriched' WHEN q.product_id % 13 = 0 THEN 'needs_review' ELSE 'published' END AS status FROM quality q LEFT JOIN checks k USING (product_id) LEFT JOIN means m USING (product_id)")
 def val_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _quality(spark, sf_dir).join(_checks(spark, sf_dir).select("product_id", "errors"), "product_id", "left")
-    return rows.select("product_id", quality.status(F.coalesce("errors", F.lit(0)), (F.col("completeness_ecommerce") < 1).cast("int"), F.col("consistency"), F.lit(0)).alias("status"))
+    mean = catalog.attributes(spark, sf_dir).where("not generated").groupBy("product_id").agg(F.avg("confidence").alias("mean"))
+    critical = (F.col("product_id") % 13 == 0).cast("int")
+    return rows.join(mean, "product_id", "left").select("product_id", quality.status(F.coalesce("errors", F.lit(0)), (F.col("completeness_ecommerce") < 1).cast("int"), F.coalesce("mean", F.lit(0.0)), critical).alias("status"))
 
 
 _KEYWORDS = {"a.function": ["the", "that it", "is"], "b.articles": ["der", "die", "und"], "c.french": ["le", "des", "et", "de la"], "d.none": []}
@@ -267,10 +277,10 @@ def fn_unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", normalize.quantity(F.concat(size, F.lit(" "), unit), "length").alias("mm"), normalize.quantity(F.concat(size, F.lit(" °F")), "temperature").alias("celsius"))
 
 
-@query("fn_heal_numbers", "SELECT p_partkey, p_size || '15,719 and 8,927 and 1,200' AS healed FROM part WHERE p_size < 10")
+@query("fn_heal_numbers", "SELECT p_partkey, p_size || CASE WHEN p_size < 10 THEN '' ELSE ' ' END || '15,719 and 8,927 and 1,200' AS healed FROM part")
 def fn_heal_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.col("p_size").cast("string"), F.lit(" 15,719 and 8 ,927 and 1, 200"))
-    return table(spark, sf_dir, "part").where("p_size < 10").select("p_partkey", normalize.heal_split_numbers(text).alias("healed"))
+    return table(spark, sf_dir, "part").select("p_partkey", normalize.heal_split_numbers(text).alias("healed"))
 
 
 @query("fn_split_range", "SELECT p_partkey, -p_size::DOUBLE AS low, (p_size + 40)::DOUBLE AS high FROM part")
@@ -383,7 +393,7 @@ def _family(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return fam.select("product_id", "base_id"), att, fam.where("size is null").select("product_id", F.lit("size").alias("code"))
 
 
-@query("jn_family_inherit", f"WITH {_FAMILY} SELECT m.product_id, f.base_id, a.value_number, 0.8::DOUBLE * 0.85::DOUBLE AS confidence FROM miss m JOIN fam f USING (product_id) JOIN att a ON a.product_id = f.base_id")
+@query("jn_family_inherit", f"WITH {_FAMILY} SELECT m.product_id, f.base_id, a.value_number, 0.8::DOUBLE AS confidence FROM miss m JOIN fam f USING (product_id) JOIN att a ON a.product_id = f.base_id")
 def jn_family_inherit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.inherited(*_family(spark, sf_dir)).select("product_id", "base_id", "value_number", "confidence")
 
@@ -395,9 +405,11 @@ def jn_sibling_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.sibling_consensus(v, att, v.where("kind is null").select("product_id", F.lit("kind").alias("code"))).select("product_id", "value", "siblings")
 
 
-@query("enr_fill_gaps", f"WITH {_FAMILY}, base AS (SELECT m.product_id, a.value_number AS value, 'base_product' AS strategy FROM miss m JOIN fam f USING (product_id) JOIN att a ON a.product_id = f.base_id) SELECT * FROM base")
+@query("enr_fill_gaps", f"WITH {_FAMILY}, base AS (SELECT m.product_id, a.value_number AS value, 'family_inheritance' AS strategy, 'inherited' AS method, 's' || f.base_id AS source_id, floor(floor(0.5::DOUBLE * 0.65::DOUBLE * (1 - 0.6::DOUBLE * (1 - (0.65::DOUBLE + 0.35::DOUBLE * 0.9::DOUBLE))) * 0.92::DOUBLE * 10000 + 0.5) / 10000 * 0.85::DOUBLE * 10000 + 0.5) / 10000 AS confidence FROM miss m JOIN fam f USING (product_id) JOIN att a ON a.product_id = f.base_id) SELECT * FROM base")
 def enr_fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.fill_gaps(*_family(spark, sf_dir)).select("product_id", F.col("value").cast("double").alias("value"), "strategy")
+    products, attributes, missing = _family(spark, sf_dir)
+    attributes = attributes.withColumns({"source_id": F.concat(F.lit("s"), F.col("product_id").cast("string")), "source_kind": F.lit("datasheet"), "quote_verified": F.lit(False)})
+    return enrich.fill_gaps(products, attributes, missing).select("product_id", F.col("value").cast("double").alias("value"), "strategy", "method", "source_id", "confidence")
 
 
 @query("jn_upsert", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part UNION ALL SELECT p_partkey + 1000000, p_name, p_retailprice * 2 FROM part WHERE p_partkey % 10 = 1")
@@ -471,23 +483,31 @@ def sem_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 # enrichment
 
 
-@query("enr_template_copy", "SELECT p_partkey, left(p_brand || ' ' || p_name || ' - ' || p_type || ' size: ' || p_size || ', kind: ' || p_type, 300) AS short_description, left(p_brand || ' ' || p_name || ' | ' || p_type, 70) AS seo_title FROM part")
+@query("enr_template_copy", """SELECT p_partkey, p_brand || ' ' || p_name || ' ' || p_type AS product_name, p_brand || ' ' || p_name || ' ' || p_type || ' with size ' || p_size || ', kind ' || p_type || '.' AS short_description,
+'The ' || p_brand || ' ' || p_name || ' is a ' || lower(p_type) || ' engineered for industrial and commercial applications. Key specifications include size of ' || p_size || '; kind of ' || p_type || '.' || CASE WHEN p_size % 2 = 0 THEN ' This product carries CE, UL approval.' ELSE '' END || CASE WHEN p_size % 3 > 0 THEN ' Backed by a ' || (p_size % 3 * 12) || '-month manufacturer warranty.' ELSE '' END AS long_description,
+'Size: ' || p_size || '|Kind: ' || p_type || CASE WHEN p_size % 2 = 0 THEN '|Certified to CE, UL' ELSE '' END AS feature_bullets, left(p_brand || ' ' || p_name || ' | ' || p_type, 70) AS seo_title,
+lower(p_type) || '|' || lower(p_brand) || '|' || lower(p_name) || '|' || lower(p_brand) || ' ' || lower(p_type) || '|' || p_size AS search_keywords FROM part""")
 def enr_template_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = F.array(F.concat(F.lit("size: "), F.col("p_size").cast("string")), F.concat(F.lit("kind: "), F.col("p_type")))
-    copy = enrich.template_copy(F.col("p_brand"), F.col("p_name"), F.col("p_type"), facts)
-    return table(spark, sf_dir, "part").select("p_partkey", copy["short_description"].alias("short_description"), copy["seo_title"].alias("seo_title"))
+    fact = lambda name, value: F.struct(F.lit(name).alias("label"), value.cast("string").alias("value"))
+    size = F.col("p_size")
+    certs = F.when(size % 2 == 0, F.array(F.lit("CE"), F.lit("UL")))
+    copy = enrich.template_copy(F.col("p_brand"), F.col("p_name"), F.col("p_type"), F.array(fact("Size", size), fact("Kind", F.col("p_type"))), certifications=certs, warranty=size % 3 * 12)
+    columns = [copy[c].alias(c) for c in ("product_name", "short_description", "long_description", "seo_title")]
+    return table(spark, sf_dir, "part").select("p_partkey", *columns, *[F.array_join(copy[c], "|").alias(c) for c in ("feature_bullets", "search_keywords")])
 
 
-@query("enr_unverified_numbers", "SELECT p_partkey, CASE WHEN p_size = 25 THEN '' ELSE '25' END AS unverified FROM part")
+@query("enr_unverified_numbers", "SELECT p_partkey, concat_ws(',', CASE WHEN p_size NOT IN (25, 7) THEN '25' END, CASE WHEN p_size <> 7 THEN '7.0' END, CASE WHEN floor(p_retailprice) <> p_retailprice OR p_retailprice <> 950 THEN '950' END) AS unverified FROM (SELECT * FROM part) WHERE p_size <> 7 UNION ALL SELECT p_partkey, concat_ws(',', '25', CASE WHEN p_retailprice <> 950 THEN '950' END) FROM part WHERE p_size = 7")
 def enr_unverified_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(enrich.unverified_numbers(F.concat(F.lit("up to 25 or "), size), F.concat(F.lit("size "), size)), ",").alias("unverified"))
+    copy = F.concat(F.lit("up to 25 or "), size, F.lit(" and 7.0, 950 but not CB950 or 950th"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(enrich.unverified_numbers(copy, F.concat(F.lit("size "), size), F.array(F.col("p_retailprice")), F.lit("Brand")), ",").alias("unverified"))
 
 
-@query("fn_product_text", "SELECT p_partkey, p_brand || ' | ' || p_type || ' | ' || 'kind: ' || p_type || '; size: ' || p_size AS text FROM part")
+@query("fn_product_text", "SELECT p_partkey, p_brand || ' ' || p_partkey || ' | ' || p_type || ' | kind: ' || p_type || ' | size: ' || p_size AS text FROM part")
 def fn_product_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = F.array(F.concat(F.lit("size: "), F.col("p_size").cast("string")), F.concat(F.lit("kind: "), F.col("p_type")))
-    return table(spark, sf_dir, "part").select("p_partkey", enrich.document_text([F.col("p_brand"), F.col("p_type")], facts).alias("text"))
+    who = F.concat_ws(" ", "p_brand", F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", enrich.document_text([who, F.col("p_type"), F.lit(" "), F.lit(None).cast("string")], facts).alias("text"))
 
 
 # graph
@@ -498,12 +518,13 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
     rows = p.select(key.alias("product_id"), F.col("p_type").alias("category_id"), F.concat(F.lit("b:"), F.col("p_brand")).alias("base_id"))
     sources = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("product_id"), F.concat(F.lit("src_"), F.col("l_suppkey").cast("string")).alias("source_id"))
-    certs = p.where("p_size % 5 = 0").select(key.alias("product_id"), F.concat(F.lit("C"), (F.col("p_size") % 3).cast("string")).alias("label"))
+    certs = p.where("p_size % 5 = 0").select(key.alias("product_id"), F.concat(F.lit("C"), (F.col("p_size") % 3).cast("string")).alias("label"), (F.lit(0.5) + F.col("p_size") / 100.0).alias("confidence"))
     return graph.build(rows, sources, certs)
 
 
 _EDGES = """edges AS (SELECT 'p' || p_partkey AS src, 'belongs_to' AS predicate, p_type AS dst, 1.0::DOUBLE AS confidence FROM part UNION ALL SELECT 'p' || p_partkey, 'variant_of', 'b:' || p_brand, 0.9::DOUBLE FROM part UNION ALL
- SELECT DISTINCT 'p' || l_partkey, 'documented_in', 'src_' || l_suppkey, 1.0::DOUBLE FROM lineitem UNION ALL SELECT 'p' || p_partkey, 'certified_by', 'cert:C' || (p_size % 3), 1.0::DOUBLE FROM part WHERE p_size % 5 = 0)"""
+ SELECT DISTINCT 'p' || l_partkey, 'documented_in', 'src_' || l_suppkey, 1.0::DOUBLE FROM lineitem UNION ALL SELECT 'p' || p_partkey, 'certified_by', 'cert:C' || (p_size % 3), 0.5::DOUBLE + p_size / 100.0::DOUBLE FROM part WHERE p_size % 5 = 0 UNION ALL
+ SELECT 'p' || p_partkey, 'compatible_with', 'family:b:' || p_brand, 0.6::DOUBLE FROM part UNION ALL SELECT 'family:b:' || p_brand, 'compatible_with', 'p' || p_partkey, 0.6::DOUBLE FROM part)"""
 
 
 @query("gr_edges", f"WITH {_EDGES} SELECT * FROM edges")
@@ -544,7 +565,9 @@ def exp_csv_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.wide_feed(p, catalog.attributes(spark, sf_dir), ["size", "name"])
 
 
-@query("exp_trade_items")
+@query("exp_trade_items", f"""WITH a AS (SELECT product_id, code, printf('%.3f', confidence) AS sure, coalesce(CASE WHEN value_number = floor(value_number) THEN value_number::BIGINT::VARCHAR ELSE rtrim(rtrim(printf('%.' || (5 - floor(log10(value_number)))::INT || 'f', value_number), '0'), '.') END, value_text) AS shown FROM ({ATTRIBUTES_SQL})),
+items AS (SELECT product_id, string_agg('{{"code":"' || code || '","shown":"' || shown || '","confidence":"' || sure || '"}}', ',' ORDER BY code) AS list FROM a GROUP BY ALL)
+SELECT p_partkey AS product_id, '{{"product_id":' || p_partkey || ',"manufacturer":"' || p_brand || '","mpn":"' || p_name || '"' || coalesce(',"measurements":{{}},"attributes":[' || list || ']', '') || '}}' AS item FROM part LEFT JOIN items ON product_id = p_partkey""")
 def exp_trade_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = catalog.products(spark, sf_dir).select("product_id", "manufacturer", F.col("product_name").alias("mpn"))
     return exports.trade_items(p, catalog.attributes(spark, sf_dir))
@@ -558,7 +581,7 @@ def _sql(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from catalith.session import read_sql, register
 
-        register({t: table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem", "orders", "nation", "region", "customer")})
+        register({t: table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem", "orders", "nation", "region", "customer", "events")})
         return read_sql(spark, spark_sql)
 
 
@@ -570,8 +593,22 @@ _sql("sql_setops", "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_na
 _sql("sql_semi_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
 _sql("sql_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, count(p_partkey) AS parts FROM t LEFT JOIN part ON p_size = n GROUP BY n")
 _sql("sql_pivot", "SELECT * FROM (SELECT p_brand, p_size % 3 AS k FROM part) PIVOT (count(*) FOR k IN (0 AS zero, 1 AS one, 2 AS two))", "SELECT p_brand, nullif(count(*) FILTER (WHERE p_size % 3 = 0), 0) AS zero, nullif(count(*) FILTER (WHERE p_size % 3 = 1), 0) AS one, nullif(count(*) FILTER (WHERE p_size % 3 = 2), 0) AS two FROM part GROUP BY p_brand")
-_sql("sql_asof", "SELECT o_orderkey, max(l_shipdate) AS last_ship FROM orders LEFT JOIN lineitem ON l_suppkey = o_custkey AND l_shipdate <= o_orderdate GROUP BY o_orderkey")
-_sql("sql_statistics", "SELECT p_type, median(p_size) AS mid, corr(p_size, p_retailprice) > 2 AS odd, min_by(p_name, p_partkey) AS first_name FROM part GROUP BY p_type", "SELECT p_type, median(p_size) AS mid, corr(p_size, p_retailprice) > 2 AS odd, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_type")
+_sql(
+    "sql_asof",  # the last view of a user at or before each error, without joining the two sides
+    """SELECT event_id, view_id FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_type DESC, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS view_id FROM events WHERE event_type IN ('view', 'error')) WHERE event_type = 'error'""",
+    "SELECT e.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ALL) v ON e.user_id = v.user_id AND e.ts >= v.ts",
+)
+_sql("sql_statistics", "SELECT p_type, median(p_size) AS mid, round(corr(p_size, p_retailprice), 9) AS tie, round(regr_slope(p_retailprice, p_size), 6) AS slope, min_by(p_name, p_partkey) AS first_name FROM part GROUP BY p_type", "SELECT p_type, median(p_size) AS mid, round(corr(p_size, p_retailprice), 9) AS tie, round(regr_slope(p_retailprice, p_size), 6) AS slope, arg_min(p_name, p_partkey) AS first_name FROM part GROUP BY p_type")
+_sql("sql_json", """SELECT p_partkey, from_json(body, 'name STRING, sizes ARRAY<INT>').sizes[1] AS size, get_json_object(body, '$.name') AS name, variant_get(parse_json(body), '$.sizes[0]', 'int') AS one FROM (SELECT p_partkey, to_json(named_struct('name', p_name, 'sizes', array(1, p_size))) AS body FROM part)""", "SELECT p_partkey, (body->'$.sizes[1]')::INT AS size, body->>'$.name' AS name, (body->'$.sizes[0]')::INT AS one FROM (SELECT p_partkey, json_object('name', p_name, 'sizes', [1, p_size]) AS body FROM part)")
+
+
+@query("sql_functions", "SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS key, abs(p_size - 20) <= 0.02::DOUBLE * greatest(p_size, 20) AS near FROM part")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from catalith.session import read_sql, register, register_functions
+
+    register({"part": table(spark, sf_dir, "part")})
+    register_functions(spark)
+    return read_sql(spark, "SELECT p_partkey, squeezed(p_name) AS key, numbers_agree(p_size, 20) AS near FROM part")
 
 
 # event windows, as batches

@@ -143,11 +143,11 @@ def flt_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # views
 
-_NAMES = "SELECT 'src_' || s_suppkey AS source_id, s_name AS name FROM supplier WHERE s_suppkey < 8"
+_NAMES = "SELECT 'src_' || s_suppkey AS source_id, s_name AS name FROM supplier"
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").where("s_suppkey < 8").select(_text("src_", F.col("s_suppkey")).alias("source_id"), F.col("s_name").alias("name"))
+    return table(spark, sf_dir, "supplier").select(_text("src_", F.col("s_suppkey")).alias("source_id"), F.col("s_name").alias("name"))
 
 
 @query("prj_evidence_view", f"SELECT product_id, code, coalesce(name, a.source_id) AS source_name FROM ({ATTRIBUTES_SQL}) a LEFT JOIN ({_NAMES}) n ON n.source_id = a.source_id")
@@ -178,13 +178,18 @@ def prj_product_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product_id", F.array_join("attributes.code", ",").alias("codes"), F.array_size("relations").alias("relations"), F.array_size("assets").alias("assets"))
 
 
-@query("prj_observations", f"SELECT obs_seq, source_id, discount AS value_number, source_id = 3 AS won FROM ({OBSERVATIONS_SQL}) WHERE product_id = 7")
+_WINNER = f"SELECT source_id FROM (SELECT * FROM ({OBSERVATIONS_SQL}) WHERE product_id = 7 AND source_kind IS NOT NULL) ORDER BY {PRECEDENCE_SQL} DESC, {METHOD_SQL} DESC, obs_seq LIMIT 1"
+
+
+@query("prj_observations", f"SELECT obs_seq, source_id, discount AS value_number, source_id = ({_WINNER}) AS won FROM ({OBSERVATIONS_SQL}) WHERE product_id = 7")
 def prj_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "part").select(_key().alias("product_id"), F.lit("discount").alias("code"), F.lit(3).alias("source_id"))
-    return detail.drill_down(catalog.observations(spark, sf_dir), records, 7, "discount").select("obs_seq", "source_id", "value_number", "won")
+    # one observation in a group of its own each: the best source and method decide
+    seen = catalog.observations(spark, sf_dir)
+    records = golden.winners(seen.where("product_id = 7").withColumn("grp", F.col("obs_seq")))
+    return detail.drill_down(seen, records, 7, "discount").select("obs_seq", "source_id", "value_number", "won")
 
 
-@query("prj_show", f"SELECT product_id, code, CASE WHEN generated THEN 'GEN' ELSE 'SRC' END AS tag, 'medium' AS band FROM ({ATTRIBUTES_SQL})")
+@query("prj_show", f"SELECT product_id, code, CASE WHEN generated THEN 'GEN' ELSE 'SRC' END AS tag, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.7 THEN 'medium' ELSE 'low' END AS band FROM ({ATTRIBUTES_SQL})")
 def prj_show(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detail.shown(catalog.attributes(spark, sf_dir)).select("product_id", "code", "tag", "band")
 

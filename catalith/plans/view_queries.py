@@ -97,17 +97,18 @@ def fn_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", origin.alias("origin")).agg(F.count("*").alias("n"))
 
 
-@query("fn_reasons", "SELECT p_partkey, concat_ws('; ', CASE WHEN p_size < 25 THEN 'weak extraction method' END, CASE WHEN p_size % 2 = 0 THEN 'quote not verified' END, CASE WHEN p_size > 45 THEN 'sources disagree' END) AS reasons FROM part")
+@query("fn_reasons", """SELECT p_partkey, coalesce(nullif(concat_ws('; ', CASE WHEN p_size % 2 = 0 THEN 'supporting quote could not be verified against the source mirror' END, CASE WHEN p_size < 25 THEN 'recovered by ocr, which is less reliable than a native spec table' END,
+CASE WHEN p_size > 45 THEN 'sources disagree or only one source reports this value' END, CASE WHEN p_partkey % 5 = 0 THEN 'came from a lower-precedence source' END), ''), 'verified quote from a high-precedence source, within schema bounds') AS reasons FROM part""")
 def fn_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
-    found = enrich.reasons(size / 50 + 0.2, F.when(size % 2 == 0, 0.65).otherwise(1.0), F.lit(0.95), F.lit(1.0), F.when(size > 45, 0.55).otherwise(1.0))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, "; ").alias("reasons"))
+    factors = {"method": size / 50 + 0.2, "quote": F.when(size % 2 == 0, 0.65).otherwise(1.0), "source": F.when(F.col("p_partkey") % 5 == 0, 0.755).otherwise(0.95), "schema": F.lit(1.0), "corroboration": F.when(size > 45, 0.55).otherwise(1.0)}
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(enrich.reasons(factors, F.lit("ocr")), "; ").alias("reasons"))
 
 
-@query("fn_alt_text", "SELECT p_partkey, left(p_brand || ' ' || p_name || CASE WHEN p_size % 2 = 0 THEN '' ELSE ', top down view' END, 125) AS alt FROM part")
+@query("fn_alt_text", "SELECT p_partkey, left(CASE p_size % 4 WHEN 0 THEN 'Product photograph of ' || p_name WHEN 1 THEN 'Dimensional drawing of ' || p_name || ' showing measurements' WHEN 2 THEN p_name || ' shown in a typical installation' ELSE 'Image of ' || p_name END || ' (' || p_type || ')', 125) AS alt FROM part")
 def fn_alt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shot = F.when(F.col("p_size") % 2 == 0, "hero").otherwise("top_down")
-    return table(spark, sf_dir, "part").select("p_partkey", views.alt_text(F.col("p_brand"), F.col("p_name"), shot).alias("alt"))
+    shot = F.when(F.col("p_size") % 4 == 0, "hero").when(F.col("p_size") % 4 == 1, "dimension").when(F.col("p_size") % 4 == 2, "lifestyle").otherwise("top_down")
+    return table(spark, sf_dir, "part").select("p_partkey", views.alt_text(F.col("p_name"), F.col("p_type"), shot).alias("alt"))
 
 
 @query("src_image_compliance", "SELECT p_partkey, concat_ws('; ', CASE WHEN p_size * 40 < 800 THEN 'below 800 x 800' END, CASE WHEN abs(p_size * 40 / 1000.0 - 1) > 0.35 THEN 'aspect ratio' END, CASE WHEN p_partkey % 2 = 0 THEN 'background not white' END) AS notes FROM part")
