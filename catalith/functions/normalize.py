@@ -31,10 +31,13 @@ def round_half_up(x: Column, places: int) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale + F.lit(0.5)) / scale
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_number(text: Column) -> Column:
     """First number: mixed fraction, fraction (by the usual denominators, else its left part), or decimal; commas are thousands."""
-    text = plain(text)
-    part = [F.regexp_extract(text, _NUMBER, k) for k in range(8)]
 
     def number(c: Column) -> Column:
         return F.replace(c, F.lit(","), F.lit("")).try_cast("double")
@@ -44,13 +47,17 @@ def parse_number(text: Column) -> Column:
         real = b.isin([str(d) for d in vocabulary.FRACTION_DENOMINATORS]) & (up > 0) & (up < down)
         return F.when(real, up / down)
 
-    mixed, simple = fraction(part[3], part[4]), fraction(part[5], part[6])
-    size = (
-        F.when(part[2] != "", number(part[2]) + F.coalesce(mixed, F.lit(0.0)))
-        .when(part[5] != "", F.coalesce(simple, number(part[5])))
-        .otherwise(number(part[7]))
-    )
-    return F.when(part[1] == "-", -size).otherwise(size)
+    def read(t: Column) -> Column:
+        part = [F.regexp_extract(t, _NUMBER, k) for k in range(8)]
+        mixed, simple = fraction(part[3], part[4]), fraction(part[5], part[6])
+        size = (
+            F.when(part[2] != "", number(part[2]) + F.coalesce(mixed, F.lit(0.0)))
+            .when(part[5] != "", F.coalesce(simple, number(part[5])))
+            .otherwise(number(part[7]))
+        )
+        return F.when(part[1] == "-", -size).otherwise(size)
+
+    return bound(plain(text), read)
 
 
 def _alias_pattern(aliases: list[str]) -> str:
@@ -59,18 +66,18 @@ def _alias_pattern(aliases: list[str]) -> str:
     return "(" + "|".join(words) + ")"
 
 
-def detect_unit(text: Column, family: str) -> Column:
-    """Unit of the family whose longest alias the text holds; digits may stand right before it."""
+def unit_in(lower: Column, family: str) -> Column:
+    """Unit of the family whose longest alias a plain, lower-case text holds; digits may stand right before it."""
     rows = [r for r in vocabulary.unit_aliases() if r[0] == family]
-    lower, found = F.lower(plain(text)), F.lit(None).cast("string")
+    found = F.lit(None).cast("string")
     for alias, unit in sorted(((r[1], r[2]) for r in rows), key=lambda r: len(r[0])):
         found = F.when(lower.rlike(_alias_pattern([alias])), F.lit(unit)).otherwise(found)
     return found
 
 
-def bound(value: Column, use) -> Column:
-    """``use`` of a value that is worked out once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def detect_unit(text: Column, family: str) -> Column:
+    """Unit of the family whose longest alias the text holds."""
+    return bound(F.lower(plain(text)), lambda t: unit_in(t, family))
 
 
 #: What a unit takes off before it's scaled, and adds after.

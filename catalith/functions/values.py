@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalith.functions import vocabulary
 from catalith.functions.extraction import truth
-from catalith.functions.normalize import bound, certifications, collapse, detect_unit, parse_number, plain, render_number, round_half_up
+from catalith.functions.normalize import bound, certifications, collapse, parse_number, plain, render_number, round_half_up, unit_in
 
 #: Columns of a definition that ``normalized`` looks at; those that the rows lack count as null.
 DEFINITION = {"datatype": "string", "cardinality": "string", "unit_family": "string", "canonical_unit": "string", "low": "double", "high": "double", "allowed": "array<string>", "max_length": "int", "pattern": "string"}
@@ -21,10 +19,13 @@ def _texts(*parts: Column) -> Column:
 
 def _any_unit(text: Column, family: Column) -> Column:
     """Unit of the row's own family."""
-    out = F.lit(None).cast("string")
-    for name in vocabulary.UNITS:
-        out = F.when(family == name, detect_unit(text, name)).otherwise(out)
-    return out
+    def look(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name in vocabulary.UNITS:
+            out = F.when(family == name, unit_in(t, name)).otherwise(out)
+        return out
+
+    return bound(F.lower(plain(text)), look)
 
 
 def _scales() -> Column:
@@ -134,7 +135,7 @@ def normalized(rows: DataFrame, synonyms: dict[str, str] | None = None, learned:
             return F.struct(shown.alias("shown"), longer.alias("longer"))
 
         def checked(x: Column) -> Column:
-            wrong = F.col("pattern").isNotNull() & ~x["shown"].rlike(F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")")))
+            wrong = F.col("pattern").isNotNull() & ~F.regexp_like(x["shown"], F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")")))
             return result(text=x["shown"], errors=_texts(F.when(wrong, F.format_string("'%s' does not match the required pattern %s", x["shown"], F.col("pattern")))), notes=_texts(F.when(x["longer"], F.format_string("truncated to %d characters", limit))))
 
         return bound(collapse(plain(raw)), lambda t: bound(cut(t), checked))
@@ -144,4 +145,5 @@ def normalized(rows: DataFrame, synonyms: dict[str, str] | None = None, learned:
     boolean = bound(truth(raw), lambda b: result(boolean=b, errors=_texts(F.when(b.isNull(), F.format_string("'%s' is not a boolean", raw)))))
     enum = (F.col("datatype") == "enum") & (F.size("allowed") > 0)
     found = F.when(empty, result(errors=F.array(F.lit("empty value")))).when(multi, several()).when(F.col("datatype") == "number", number).when(enum, choice).when(F.col("datatype") == "boolean", boolean).otherwise(text())
-    return rows.withColumn("normal_", found).select(*[F.col("`" + re.sub("`", "``", c) + "`") for c in rows.columns], "normal_.*")
+    # one generated row, so that the planner doesn't repeat the expression for each of its fields
+    return rows.select("*", F.inline(F.array(found)))

@@ -17,9 +17,10 @@ RULE_FLAGS = 5
 
 
 def flags(*sources: DataFrame) -> DataFrame:
-    """Union of flag producers with an id made of product, code and key; equal flags count once."""
-    out = sources[0].select(*FLAG)
-    for more in sources[1:]:
+    """Union of flag producers with an id made of product, code and key (the reason, where a producer has no key); equal flags count once."""
+    named = [rows if "key" in rows.columns else rows.withColumn("key", F.col("reason")) for rows in sources]
+    out = named[0].select(*FLAG)
+    for more in named[1:]:
         out = out.unionByName(more.select(*FLAG))
     return out.withColumn("flag_id", identity.flag_id(F.col("product_id"), F.col("code"), F.col("key"))).drop("key").dropDuplicates(["flag_id"])
 

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from catalith.functions.normalize import render_number
+
 _OPS = {"=": lambda a, b: a == b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, "<": lambda a, b: a < b}
 
 
@@ -125,7 +127,72 @@ def hybrid(attribute_scores: DataFrame, semantic_scores: DataFrame, limit: int)
 def cited_answers(hits: DataFrame, attributes: DataFrame, asked: list[str], most: int = 8) -> DataFrame:
     """Cited values of hits: the codes asked for first, then variant-defining ones, at most ``most`` a product."""
     rank = F.when(F.col("code").isin(asked), 0).when(F.col("variant_defining"), 1).otherwise(2)
-    cite = F.struct(rank.alias("rank"), "code", F.coalesce("value_text", F.col("value_number").cast("string")).alias("value"), "source_id")
-    own = attributes.join(hits.select("product_id"), "product_id", "left_semi").where(rank < 2)
-    top = F.slice(F.array_sort(F.collect_list(cite)), 1, most)
-    return own.groupBy("product_id").agg(top.alias("cited")).select("product_id", F.explode("cited").alias("c")).select("product_id", "c.code", "c.value", "c.source_id")
+    own = attributes.join(hits.select("product_id"), "product_id", "left_semi").withColumn("rank", rank).where("rank < 2")
+    place = F.row_number().over(Window.partitionBy("product_id").orderBy("rank", "code"))
+    value = F.coalesce("value_text", F.col("value_number").cast("string"))
+    return own.withColumn("place", place).where(F.col("place") <= most).select("product_id", "code", value.alias("value"), "source_id")
+
+
+def answer_codes(definitions: DataFrame, asked: list[str], most: int = 8, most_core: int = 6) -> DataFrame:
+    """category_id, code and place of what an answer shows: the codes asked for, then those that tell variants apart; without any, the first core ones.
+
+    definitions: category_id, code, pos, variant_defining, required_core.
+    """
+    order = F.array_position(F.array(*[F.lit(c) for c in asked]), F.col("code")) if asked else F.lit(0)
+    by = Window.partitionBy("category_id")
+    wanted = definitions.where((order > 0) | F.col("variant_defining")).withColumn("place", F.row_number().over(by.orderBy(F.when(order > 0, order).otherwise(1 << 20), "pos"))).where(F.col("place") <= most)
+    rest = definitions.join(wanted.select("category_id").distinct(), "category_id", "left_anti").where("required_core")
+    core = rest.withColumn("place", F.row_number().over(by.orderBy("pos"))).where(F.col("place") <= most_core)
+    return wanted.select("category_id", "code", "place").unionByName(core.select("category_id", "code", "place"))
+
+
+def answers(hits: DataFrame, attributes: DataFrame, definitions: DataFrame, asked: list[str]) -> DataFrame:
+    """One row per shown value of the hits (product_id, category_id): code, value, and where it comes from; inferred values cite their strategy.
+
+    attributes: product_id, code, value_number, value_text, confidence, and of source_id, locator, quote, quote_verified and strategy those that there are.
+    """
+    codes = answer_codes(definitions, asked)
+    have = set(attributes.columns)
+    given = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    rows = hits.select("product_id", "category_id").join(codes, "category_id").join(attributes, ["product_id", "code"])
+    value = F.coalesce("value_text", render_number(F.col("value_number")))
+    inferred = given("source_id").isNull()
+    verified = F.coalesce(F.col("quote_verified"), F.lit(False)) if "quote_verified" in have else F.lit(False)
+    return rows.where(F.coalesce(value, F.lit("")) != "").select(
+        "product_id", "place", "code", value.alias("value"), F.coalesce(given("source_id"), F.lit("inferred")).alias("source_id"), F.when(inferred, given("strategy")).otherwise(given("locator")).alias("locator"),
+        given("quote").alias("quote"), (verified & ~inferred).alias("verified"), "confidence",
+    )
+
+
+def structured_or_nearest(found: DataFrame, near: DataFrame, limit: int) -> DataFrame:
+    """Products that meet the predicates; where there are none, the nearest by vector (product_id, score)."""
+    if not found.isEmpty():
+        return found.select("product_id", F.lit(None).cast("double").alias("score"), F.lit("structured").alias("mode"))
+    return near.orderBy(F.desc("score"), "product_id").limit(limit).select("product_id", "score", F.lit("semantic").alias("mode"))
+
+
+def embedding_key(model: str, text: Column) -> Column:
+    """Key of a text's vector: what is embedded anew is told by model and text alone."""
+    return F.left(F.sha2(F.concat(F.lit(model + "|"), text), 256), F.lit(24))
+
+
+def to_embed(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """Distinct texts (column text) whose vector the cache (key, vector) lacks: key, text."""
+    keyed = texts.where("text is not null").select(embedding_key(model, F.col("text")).alias("key"), "text").dropDuplicates(["key"])
+    return keyed.join(cache.select("key"), "key", "left_anti")
+
+
+def unit_vector(vector: Column) -> Column:
+    """The vector at length 1; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return F.when(norm > 1e-10, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+
+
+def store_index(texts: DataFrame, cache: DataFrame, model: str, path: str) -> None:
+    """Write product_id and vector of length 1 of every text (product_id, text) that the cache holds, with the model's name."""
+    keyed = texts.select("product_id", embedding_key(model, F.col("text")).alias("key"))
+    keyed.join(cache, "key").select("product_id", unit_vector(F.col("vector")).alias("vector"), F.lit(model).alias("model")).write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, model: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("model") == model).select("product_id", "vector")

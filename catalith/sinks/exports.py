@@ -110,7 +110,7 @@ def articles(products: DataFrame, attributes: DataFrame) -> DataFrame:
     unit = F.coalesce(given("uom"), F.lit("EA"))
     price = F.when(given("list_price_usd").isNotNull(), F.struct(F.struct(F.lit("net_list").alias("_price_type"), F.format_string("%.2f", given("list_price_usd").cast("double")).alias("PRICE_AMOUNT"), F.lit("USD").alias("PRICE_CURRENCY")).alias("ARTICLE_PRICE")))
     return products.join(features, "product_id", "left").select(
-        F.coalesce("mpn", "product_id").alias("SUPPLIER_AID"),
+        F.coalesce("mpn", F.col("product_id").cast("string")).alias("SUPPLIER_AID"),
         F.struct(title.alias("DESCRIPTION_SHORT"), given("long_description").alias("DESCRIPTION_LONG"), given("gtin").alias("EAN"), F.col("manufacturer").alias("MANUFACTURER_NAME"), F.col("mpn").alias("MANUFACTURER_AID")).alias("ARTICLE_DETAILS"),
         F.struct(unit.alias("ORDER_UNIT"), unit.alias("CONTENT_UNIT"), F.lit("1").alias("PRICE_QUANTITY"), F.lit("1").alias("QUANTITY_MIN")).alias("ARTICLE_ORDER_DETAILS"),
         price.alias("ARTICLE_PRICE_DETAILS"),
