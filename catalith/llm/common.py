@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 #: A key with more than 1/HOT_SHARE of all rows is looked up by broadcast; there are fewer than HOT_SHARE such keys.
 HOT_SHARE = 256
@@ -56,10 +57,28 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _reads_files(df: DataFrame) -> bool:
+    """Whether the rows are those of files, some left out at most, so that a row's place in its file tells it apart."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") or plan.nodeName().startswith("Relation")
+
+
 def row_keyed(df: DataFrame) -> tuple[DataFrame, str]:
-    """The rows, stored, with a number of their own, so that verdicts find them whatever ids they have, and that column's name."""
+    """The rows with a key of their own, whatever ids they have, so that verdicts find them; and that column's name.
+
+    The key is the place in a Parquet file, a struct of the file's hash and the row's number: it is the same
+    whenever and however the file is read. Rows that don't come straight from Parquet files are stored first.
+    """
     row = free_name(df, "row_key")
-    return stored(df.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(row)
+    if _reads_files(df):
+        try:
+            return df.select("*", key), row
+        except AnalysisException:  # files of another format have no row numbers
+            pass
+    return stored(df, "rows").select("*", key), row
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:

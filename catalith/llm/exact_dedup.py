@@ -71,7 +71,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each content, with all its columns: the longest text, then the smallest id, a null one last, then any one row.
+    """One row of each content, with all its columns: the longest text, then the smallest id, a null one last, then the first in the files.
 
     Ids may be null or repeat, and columns may have any names.
     """

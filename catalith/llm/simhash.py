@@ -50,17 +50,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * votes > count, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """A row per document: its id and its fingerprint as a long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carried: Column | None = None) -> DataFrame:
+    """A row per document: its id and its fingerprint as a long, and ``carried`` as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
     bounded_batches(docs.sparkSession)
-    narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, fp long")
+    more = [] if carried is None else [carried.alias("carried")]
+    narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), *more)
+    kind = f", carried {narrow.schema['carried'].dataType.simpleString()}" if more else ""
+    return narrow.mapInArrow(run, "id long, fp long" + kind)
 
 
 def near_forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -167,6 +169,18 @@ def fingerprint_links(distinct: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Da
     return buckets.mapInArrow(link, "a long, b long")
 
 
+def _classed(docs: DataFrame, id_col: str, text_col: str, shingle: int, carried: Column | None = None) -> DataFrame:
+    """A row per document: id, fp, root (the fingerprint that names its class), component_id, and ``carried``."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle, carried), "fingerprints")
+    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
+    roots = components(fingerprint_links(distinct), "a", "b")
+    classes = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root")), "classes")
+    least = stored(classes.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")), "class-ids")
+    n_distinct = distinct.count()
+    named = stored(attach(classes.select("fp", "n", "root"), least, ["root"], "members", n_distinct).select("fp", "n", "root", "component_id"), "named-fingerprints")
+    return attach(rows, named, ["fp"], "n", rows.count())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: its id, fingerprint (16 hex digits), component_id, the least id in reach.
 
@@ -174,25 +188,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class; null ids are in classes but never name one; an empty table gives an empty result; other
     columns are not read.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
-    roots = components(fingerprint_links(distinct), "a", "b")
-    classes = stored(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root")), "classes")
-    least = stored(classes.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")), "class-ids")
-    n_distinct = distinct.count()
-    named = stored(attach(classes.select("fp", "n", "root"), least, ["root"], "members", n_distinct).select("fp", "n", "component_id"), "named-fingerprints")
-    total = rows.count()
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return attach(rows, named, ["fp"], "n", total).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return _classed(docs, id_col, text_col, shingle).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, with all its columns: the smallest id, a null one last, then any one row.
+    """One row of each class, with all its columns: the smallest id, a null one last, then the first in the files.
 
     Ids may be null or repeat, and columns may have any names.
     """
     keyed, row = row_keyed(docs)
-    ids = keyed.select(keyed[row].alias("row"), keyed[id_col].cast("long").alias("id"))
-    classes = near_duplicates(keyed, row, text_col).select(F.col(row).alias("row"), "component_id").join(ids, "row")
-    first = classes.groupBy("component_id").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "row")).alias("first"))
-    return keyed.join(first.select(F.col("first.row").alias(row)), row, "left_semi").drop(row)
+    classes = _classed(keyed, id_col, text_col, SHINGLE, keyed[row])
+    first = classes.groupBy("root").agg(F.min(F.struct(F.isnull("id").alias("no_id"), "id", "carried")).alias("first"))
+    return keyed.join(first.select(F.col("first.carried").alias(row)), row, "left_semi").drop(row)

@@ -33,13 +33,13 @@ ANCHOR = 40
 #: Spans of one anchor that an index holds together; anchors with more are split by string, exactly.
 GROUP_SPANS = 1024
 #: Bytes of spans in one index, whole groups; a group has at most GROUP_SPANS spans of under 2 * LENGTH bytes.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Strings of crowded anchors of which a task keeps the first places at once.
 STRINGS_HELD = 50_000
 _NO_ID = (1 << 63) - 1
 _POSITION = np.uint64((1 << 24) - 1)
-_PIECE = 1 << 21
-_CHUNK = 32 << 20
+_PIECE = 1 << 20
+_CHUNK = 16 << 20
 _SPAN = "anchor long, span long, id long, twin long, start int, n int"
 
 
@@ -339,7 +339,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
     """id (never null), twin (tells rows with one id and different texts apart, 0 where ids don't repeat), text, row (null without row_col)."""
     known = docs[id_col].cast("long")
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(known, F.lit(_NO_ID)).alias("id"), text.alias("text"), (docs[row_col] if row_col else F.lit(None)).cast("long").alias("row"))
+    keyed = docs.select(F.coalesce(known, F.lit(_NO_ID)).alias("id"), text.alias("text"), (docs[row_col] if row_col else F.lit(None).cast("long")).alias("row"))
     repeats = keyed.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] > 1
     twin = F.xxhash64("text") if repeats else F.lit(0).cast("long")
     return keyed.select("id", twin.alias("twin"), "text", "row")
@@ -351,7 +351,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts and those under 100 bytes lose nothing. A null id counts as the largest and comes
     back as null. Rows with one id and different texts are ordered by a hash of the text; rows that
     repeat id and text are one document and lose the same. An empty table gives an empty result; other
-    columns are not read. Texts of any length are read in parts. With ``row_col``, that long column comes too.
+    columns are not read. Texts of any length are read in parts. With ``row_col``, that column comes too.
     """
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col, row_col)
@@ -371,7 +371,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = repeats.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     whole = keyed.select("id", "twin", "text", "row") if row_col else texts.withColumn("row", F.lit(None).cast("long"))
     joined = whole.join(runs, ["id", "twin"], "left").select("id", "row", F.col("text").cast("binary").alias("text"), "runs")
-    out = joined.mapInArrow(_cut_texts, "id long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = joined.schema["row"].dataType.simpleString()
+    out = joined.mapInArrow(_cut_texts, f"id long, row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), "n_bytes", "n_removed", "n_spans", "kept")
 
 
@@ -394,7 +395,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_co
     """
     keyed, row = row_keyed(docs)
     own = free_name(keyed, "left_text")
-    left = without_repeats(keyed, id_col, text_col, row_col=row).select(row, "kept").mapInArrow(_decoded, "key long, left string")
+    left = without_repeats(keyed, id_col, text_col, row_col=row).select(row, "kept").mapInArrow(_decoded, "key struct<file: bigint, at: bigint>, left string")
     joined = keyed.drop(text_col).join(left.toDF(row, own), row)
     sized = {text_col: F.col(own), size_col: F.char_length(own).cast("long")}
     return joined.select(*[sized[c].alias(c) if c in sized else F.col(quoted(c)) for c in docs.columns])
