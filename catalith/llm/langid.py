@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from catalith.llm.common import bounded_batches
 
@@ -202,4 +203,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             yield batch.filter(pa.array([model.value.predict(x.as_py())[0] != NO_LANGUAGE for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # by place: a name may hold a dot
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(c, f.dataType, True) for c, f in zip(places, docs.schema, strict=True)])
+    return docs.toDF(*places).mapInArrow(run, schema).toDF(*docs.columns)

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from catalith.llm.common import attach, bounded_batches, free_name, quoted, row_keyed, stored
+from catalith.llm.common import attach, bounded_batches, free_name, quoted, stored
 from catalith.llm.run_length_index import seen_earlier
 
 LENGTH = 100
@@ -316,64 +317,69 @@ def removed_runs(n_bytes: int, runs: list[dict] | None) -> list[tuple[int, int]]
     return [tuple(x) for x in out]
 
 
+def _left(data: bytes, runs: list[dict] | None) -> tuple[int, int, bytes]:
+    """Removed bytes and runs of a text, and what is left of it."""
+    ranges = removed_runs(len(data), runs)
+    kept, at = [], 0
+    for a, b in ranges:
+        kept.append(data[at:a])
+        at = b
+    kept.append(data[at:])
+    return sum(b - a for a, b in ranges), len(ranges), b"".join(kept)
+
+
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
             rows = []
-            for data, runs in zip(part.column(2).cast(pa.large_binary()), part.column(3).to_pylist(), strict=True):
+            for data, runs in zip(part.column(1).cast(pa.large_binary()), part.column(2).to_pylist(), strict=True):
                 data = data.as_py() or b""
-                ranges = removed_runs(len(data), runs)
-                kept, at = [], 0
-                for a, b in ranges:
-                    kept.append(data[at:a])
-                    at = b
-                kept.append(data[at:])
-                rows.append((len(data), sum(b - a for a, b in ranges), len(ranges), b"".join(kept)))
+                rows.append((len(data), *_left(data, runs)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["id", "row", "n_bytes", "n_removed", "n_spans", "kept"])
-
+            yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
-    """id (never null), twin (tells rows with one id and different texts apart, 0 where ids don't repeat), text, row (null without row_col)."""
-    known = docs[id_col].cast("long")
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.select(F.coalesce(known, F.lit(_NO_ID)).alias("id"), text.alias("text"), (docs[row_col] if row_col else F.lit(None).cast("long")).alias("row"))
-    repeats = keyed.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] > 1
-    twin = F.xxhash64("text") if repeats else F.lit(0).cast("long")
-    return keyed.select("id", twin.alias("twin"), "text", "row")
 
+def _with_twin(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """id (never null), and twin, which tells rows with one id and different texts apart, 0 where ids don't repeat."""
+    known = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(_NO_ID))
+    repeats = docs.groupBy(known.alias("id")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] > 1
+    twin = F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))) if repeats else F.lit(0).cast("long")
+    return known, twin
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_spans: int = GROUP_SPANS, row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: its id, n_bytes, n_removed, n_spans, kept (binary, what is left of the UTF-8 bytes).
 
-    Null and empty texts and those under 100 bytes lose nothing. A null id counts as the largest and comes
-    back as null. Rows with one id and different texts are ordered by a hash of the text; rows that
-    repeat id and text are one document and lose the same. An empty table gives an empty result; other
-    columns are not read. Texts of any length are read in parts. With ``row_col``, that column comes too.
-    """
-    bounded_batches(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col, row_col)
-    sent = keyed.select("id", "twin", F.col("text").cast("binary").alias("text")).mapInArrow(_send_spans, _SPAN)
+def repeat_runs(texts: DataFrame, group_spans: int = GROUP_SPANS) -> DataFrame:
+    """From id, twin and text (UTF-8 bytes): runs (array of start, n) of strings of each text that occur earlier; texts without any are left out."""
+    sent = texts.mapInArrow(_send_spans, _SPAN)
     ordered = sent.repartition("anchor").sortWithinPartitions("anchor", "span", "id", "twin", "start")
     judged = stored(ordered.mapInArrow(_judge_spans, _SPAN), "spans")
     to_compare = judged.where("n > 0")
     crowds = stored(to_compare.groupBy("anchor").agg(F.count("*").alias("spans")).where(F.col("spans") > group_spans), "crowded-anchors")
     marked = attach(to_compare, crowds, ["anchor"], "spans", to_compare.count()).withColumn("crowded", F.col("spans").isNotNull())
     wanted = marked.groupBy("id", "twin").agg(F.collect_list(F.struct("anchor", "start", "n", "crowded")).alias("wanted"))
-    texts = keyed.select("id", "twin", "text")
-    with_spans = texts.join(wanted, ["id", "twin"]).select("id", "twin", F.col("text").cast("binary").alias("text"), "wanted")
+    with_spans = texts.join(wanted, ["id", "twin"]).select("id", "twin", "text", "wanted")
     span_bytes = with_spans.mapInArrow(_fetch_spans, _BYTES)
     by_anchor = span_bytes.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "id", "twin", "start")
     compared = by_anchor.mapInArrow(_compare_strings, _RUNS)
     repeats = judged.where("n < 0").select("id", "twin", "start", (-F.col("n")).alias("n")).unionByName(compared)
-    runs = repeats.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    whole = keyed.select("id", "twin", "text", "row") if row_col else texts.withColumn("row", F.lit(None).cast("long"))
-    joined = whole.join(runs, ["id", "twin"], "left").select("id", "row", F.col("text").cast("binary").alias("text"), "runs")
-    kind = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_cut_texts, f"id long, row {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), *([F.col("row").alias(row_col)] if row_col else []), "n_bytes", "n_removed", "n_spans", "kept")
+    return repeats.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_spans: int = GROUP_SPANS) -> DataFrame:
+    """One row per row of ``docs``: its id, n_bytes, n_removed, n_spans, kept (binary, what is left of the UTF-8 bytes).
+
+    Null and empty texts and those under 100 bytes lose nothing. A null id counts as the largest and comes
+    back as null. Rows with one id and different texts are ordered by a hash of the text; rows that
+    repeat id and text are one document and lose the same. An empty table gives an empty result; other
+    columns are not read. Texts of any length are read in parts.
+    """
+    bounded_batches(docs.sparkSession)
+    known, twin = _with_twin(docs, id_col, text_col)
+    texts = docs.select(known.alias("id"), twin.alias("twin"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary").alias("text"))
+    joined = texts.join(repeat_runs(texts, group_spans), ["id", "twin"], "left").select("id", "text", "runs")
+    out = joined.mapInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
@@ -381,21 +387,33 @@ def repeats_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column(1)], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["key", "left"])
-
-
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """All rows and columns of ``docs``, the text without repeats and its size in characters.
 
     Ids may be null or repeat, as in ``without_repeats``; columns may have any names. A character of which a
-    part was removed goes as a whole.
+    part was removed goes as a whole. Rows meet the runs that they lose in one join, and carry their
+    columns through it. A null text stays null where nothing is removed.
     """
-    keyed, row = row_keyed(docs)
-    own = free_name(keyed, "left_text")
-    left = without_repeats(keyed, id_col, text_col, row_col=row).select(row, "kept").mapInArrow(_decoded, "key struct<file: bigint, at: bigint>, left string")
-    joined = keyed.drop(text_col).join(left.toDF(row, own), row)
-    sized = {text_col: F.col(own), size_col: F.char_length(own).cast("long")}
-    return joined.select(*[sized[c].alias(c) if c in sized else F.col(quoted(c)) for c in docs.columns])
+    bounded_batches(docs.sparkSession)
+    known, twin = _with_twin(docs, id_col, text_col)
+    ids, twins, runs_name = (free_name(docs, c) for c in ("known_id", "twin", "runs"))
+    texts = docs.select(known.alias("id"), twin.alias("twin"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary").alias("text"))
+    runs = repeat_runs(texts).toDF(ids, twins, runs_name)
+    own = [F.col(quoted(c)) for c in docs.columns]
+    joined = docs.select("*", known.alias(ids), twin.alias(twins)).join(runs, [ids, twins], "left").select(*own, F.col(runs_name))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                text = [None if x is None else _left(x.encode(), r)[2].decode("utf-8", "ignore") if r else x for x, r in zip(part.column(at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)]
+                columns = [*part.columns[:at], pa.array(text, pa.string()), *part.columns[at + 1 : -1]]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([f if i != at else pa.field(f.name, pa.string()) for i, f in enumerate(part.schema) if i < part.num_columns - 1]))
+
+    # by place: a name may hold a dot
+    places = [f"c{i}" for i in range(len(docs.columns))]
+    schema = StructType([StructField(places[i], StringType() if i == at else f.dataType, True) for i, f in enumerate(docs.schema)])
+    out = joined.toDF(*places, "runs").mapInArrow(run, schema).toDF(*docs.columns)
+    size = F.char_length(F.coalesce(F.col(quoted(text_col)), F.lit(""))).cast("long")
+    return out.select(*[size.alias(c) if c == size_col else F.col(quoted(c)) for c in docs.columns])

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.llm import common, exact_dedup, quality, simhash, suffix_dedup
+from catalith.llm import common, exact_dedup, langid, quality, simhash, suffix_dedup
 
 LOW = -(1 << 63)
 
@@ -19,6 +19,18 @@ def test_any_column_names(spark, step):
     assert sorted(kept, key=str) == sorted([(r[0], r[1]) for r in (rows if step is suffix_dedup.cut else rows[:2])], key=str)
 
 
+def test_language_stage_takes_any_column_names(spark):
+    docs = spark.createDataFrame([(1, "ab cd", "x", 1), (3, "12", None, 2), (None, None, None, 3)], "doc_id long, text string, lang string, `a.b` int")
+    got = langid.identified(docs)
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [1]
+
+
+def test_cut_keeps_null_texts(spark):
+    long = "one passage of more than a hundred bytes that stands in two documents, and is taken from the second of them alone"
+    docs = spark.createDataFrame([(1, long + " a", 0), (2, "b " + long, 0), (None, None, 0), (3, None, 0)], "doc_id long, text string, n_chars long")
+    assert {(r.doc_id, r.text, r.n_chars) for r in suffix_dedup.cut(docs).collect()} == {(1, long + " a", len(long) + 2), (2, "b ", 2), (None, None, 0), (3, None, 0)}
+
+
 def test_least_id(spark):
     docs = spark.createDataFrame([(LOW, "a b"), (1, "ab"), (LOW + 1, "a b"), (7, "c"), (LOW, "d")], "doc_id long, text string")
     got = {(r.doc_id, r.group_size): (r.keep_id, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()}
