@@ -9,10 +9,14 @@ from pyspark.sql.utils import AnalysisException
 from catalith import session
 from catalith.functions import identity, normalize
 from catalith.operators import golden, quality
+from catalith.operators.detail import looked_up, shown
+from catalith.operators.review import REVIEW_CONFIDENCE, corrected, flags, prioritised, producer
+from catalith.operators.search import token_scores
+from catalith.operators.views import table_summary
 from catalith.sinks import exports
 from catalith.sources import files
 
-OBSERVATION = "product_id string, code string, obs_seq long, value_number double, value_text string, source_id string, source_kind string, method string, quote_verified boolean"
+OBSERVATION = "product_id string, code string, obs_seq decimal(38,0), value_number double, value_text string, source_id string, source_kind string, method string, quote_verified boolean"
 PRODUCT = "product_id string, manufacturer string, mpn string, category_id string, source_id string"
 MANIFEST = "source_id string, path string, status string, batch int"
 #: Columns of a feed that tell the product; all others are attributes.
@@ -41,19 +45,22 @@ def feed_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = named.groupBy("source_id", "source_kind", "row", "batch").agg(*first, facts).where("manufacturer is not null and mpn is not null")
     rows = rows.withColumn("product_id", identity.product_id(F.col("manufacturer"), F.col("mpn")))
     products = rows.select("product_id", "manufacturer", "mpn", F.col("category").alias("category_id"), "source_id").distinct()
-    # order of arrival: batch, row, and a part of the source's hash for rows of one number
-    order = (F.col("batch").cast("long") * (1 << 30) + F.col("row")) * (1 << 20) + F.pmod(F.crc32("source_id"), F.lit(1 << 20))
+    # order of arrival: batch, row, and a part of the source's hash for rows of one number; wide enough for any of them
+    wide = lambda x: F.lit(str(x)).cast("decimal(30,0)")
+    order = (F.col("batch").cast("decimal(10,0)") * wide(1 << 84) + F.col("row").cast("decimal(20,0)") * wide(1 << 20) + F.pmod(F.crc32("source_id"), F.lit(1 << 20))).cast("decimal(38,0)")
     each = rows.select("product_id", "source_id", "source_kind", order.alias("obs_seq"), F.inline("facts"))
     number = F.when(F.col("value").rlike(r"^\s*[-+]?[\d,]*\.?\d+\s*$"), normalize.parse_number(F.col("value")))
     text = F.when(number.isNull(), F.col("value"))
     return products, each.select("product_id", F.col("key").alias("code"), "obs_seq", number.cast("double").alias("value_number"), text.alias("value_text"), "source_id", "source_kind", F.lit("structured_feed").alias("method"), F.lit(True).alias("quote_verified"))
 
 
-def ingest(spark: SparkSession, feeds: str, root: str, sep: str = ",") -> int:
-    """Take in the feeds of a folder, all of one layout, that aren't in the manifest yet; the number of files taken.
+def ingest(spark: SparkSession, feeds: str, root: str, sep: str | None = None) -> int:
+    """Take in the feeds of a folder that aren't in the manifest yet; the number of files taken.
 
-    The manifest is written last: a run that was lost before is repeated, and what it left behind is told by
-    its sources, which the manifest doesn't name.
+    Delimited feeds are read by their separator, found by looking unless it's given; those of one separator share
+    a layout by name. Workbooks are read by their first sheet. The manifest is written last: a run
+    that was lost before is repeated, and what it left behind is told by its sources, which the manifest
+    doesn't name.
     """
     done = stored(spark, root, "manifest", MANIFEST)
     batch = done.agg(F.coalesce(F.max("batch"), F.lit(0)) + 1).first()[0]
@@ -65,8 +72,17 @@ def ingest(spark: SparkSession, feeds: str, root: str, sep: str = ",") -> int:
         path = F.regexp_replace("path", "^file:/+", "/")
         known = fresh.select(path.alias("path"), "source_id", "source_kind", "batch")
         paths = [r.path for r in taken.select("path").toLocalIterator()]  # Spark lists the files of a read on the driver too
-        cells = files.read_feed(spark, paths, sep).withColumn("path", path).join(known, "path")
-        products, observations = feed_rows(cells)
+        books = [p for p in paths if p.lower().endswith((".xlsx", ".xlsm"))]
+        groups: dict[str, list[str]] = {}
+        if plain := sorted(set(paths) - set(books)):
+            told = {r.path: r.sep for r in files.separators(spark, plain).collect()} if sep is None else {}
+            for p in plain:
+                groups.setdefault(told.get(p, sep or ","), []).append(p)
+        parts = [files.read_feed(spark, group, s) for s, group in groups.items()] + ([files.read_sheets(spark, books)] if books else [])
+        cells = parts[0]
+        for more in parts[1:]:
+            cells = cells.unionByName(more)
+        products, observations = feed_rows(cells.withColumn("path", path).join(known, "path"))
         observations.write.mode("append").parquet(f"{root}/observations")
         products.write.mode("append").parquet(f"{root}/products")
         taken.write.mode("append").parquet(f"{root}/manifest")
@@ -103,19 +119,88 @@ def views(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 def ask(spark: SparkSession, root: str, statement: str, args: list | None = None) -> DataFrame:
     """Rows of a reading statement over products, observations, golden, conflicts and scores."""
-    session.check_read_only(statement)
     views(spark, root)
     return session.read_sql(spark, statement, args)
 
 
+def status(spark: SparkSession, root: str) -> DataFrame:
+    """Sources by status, and rows of each table."""
+    seen = stored(spark, root, "manifest", MANIFEST).groupBy(F.concat(F.lit("sources "), "status").alias("what")).agg(F.count("*").alias("n"))
+    found = tables(spark, root)
+    return seen.unionByName(table_summary(found).select(F.col("table_name").alias("what"), "n"))
+
+
+def records(spark: SparkSession, root: str, manufacturer: str | None = None, category: str | None = None) -> DataFrame:
+    """Products with their scores, by maker and part number; ``manufacturer`` is a part of the name."""
+    found = views(spark, root)
+    rows = found["products"].join(found["scores"].drop("is_family"), "product_id", "left")
+    if manufacturer is not None:
+        rows = rows.where(F.contains(F.lower("manufacturer"), F.lit(manufacturer.lower())))
+    if category is not None:
+        rows = rows.where(F.col("category_id") == category)
+    return rows.orderBy(F.lower("manufacturer"), F.lower("mpn"), "product_id")
+
+
+def show(spark: SparkSession, root: str, asked: str) -> DataFrame:
+    """Golden values of the product with an id or a part number."""
+    found = views(spark, root)
+    one = looked_up(spark.createDataFrame([(asked,)], "asked string"), found["products"]).where("product_id is not null")
+    facts = found["golden"].join(one.select("product_id"), "product_id", "left_semi").withColumns({"generated": F.lit(False), "inferred": F.lit(False)})
+    return shown(exports.rendered(facts).withColumnRenamed("shown", "value")).select("code", "value", "confidence", "tag", "band", "source_id", "agreeing", "disagreeing", "severity").orderBy("code")
+
+
+def find(spark: SparkSession, root: str, question: str, limit: int = 20) -> DataFrame:
+    """Products that have words or numbers of a question in their identity or their values, best first."""
+    found = views(spark, root)
+    products = found["products"].withColumn("identity", F.concat_ws(" ", "manufacturer", "mpn"))
+    facts = exports.rendered(found["golden"]).withColumns({"label": F.col("code"), "variant_defining": F.lit(False)})
+    scores = token_scores(products, facts, question).withColumn("score", F.least(F.lit(1.0), F.col("raw") / 4))
+    return scores.join(found["products"], "product_id").select("product_id", "manufacturer", "mpn", "score").orderBy(F.desc("score"), "product_id").limit(limit)
+
+
+def review(spark: SparkSession, root: str, limit: int = 25) -> DataFrame:
+    """Open questions of the catalog, most urgent first: critical conflicts and values of low confidence."""
+    found = views(spark, root)
+    weak = found["golden"].where(F.col("confidence") < REVIEW_CONFIDENCE)
+    clash = found["conflicts"].where("severity = 'critical'").join(found["golden"].select("product_id", "code", "confidence"), ["product_id", "code"], "left")
+    raised = flags(
+        producer(clash, F.concat(F.lit("conflict_critical: sources disagree by "), "rule"), "critical", F.coalesce("confidence", F.lit(0.5)), "conflict_critical"),
+        producer(weak, F.format_string("low_confidence: %.2f", "confidence"), "warning", F.col("confidence"), "low_confidence"),
+    )
+    return prioritised(raised, limit).join(found["products"].select("product_id", "manufacturer", "mpn"), "product_id", "left").orderBy(F.desc("priority"), "flag_id")
+
+
+def correct(spark: SparkSession, root: str, product_id: str, code: str, value: str, reviewer: str) -> None:
+    """Append a correction as human evidence; the next build lets it win. A number is taken as a number."""
+    now = tables(spark, root)["observations"]
+    number = F.when(F.lit(value).rlike(r"^\s*[-+]?[0-9,]*\.?[0-9]+\s*$"), normalize.parse_number(F.lit(value)))
+    fix = spark.range(1).select(F.lit(product_id).alias("product_id"), F.lit(code).alias("code"), F.lit(1).alias("correction_seq"), number.alias("value_number"), F.when(number.isNull(), F.lit(value)).alias("value_text"), F.lit(reviewer).alias("reviewer"))
+    own = corrected(now, fix).where(F.col("source_id") == f"human:{reviewer}").where((F.col("product_id") == product_id) & (F.col("code") == code))
+    fresh = own.orderBy(F.desc("obs_seq")).limit(1).withColumn("obs_seq", F.col("obs_seq").cast("decimal(38,0)"))
+    # human evidence is a source of its own, which the manifest has to name
+    fresh.coalesce(1).write.mode("append").parquet(f"{root}/observations")
+    done = stored(spark, root, "manifest", MANIFEST)
+    batch = done.agg(F.coalesce(F.max("batch"), F.lit(0)).cast("int").alias("batch"))
+    batch.select(F.lit(f"human:{reviewer}").alias("source_id"), F.lit("").alias("path"), F.lit("completed").alias("status"), "batch").write.mode("append").parquet(f"{root}/manifest")
+
+
+def schema(spark: SparkSession, root: str) -> DataFrame:
+    """Codes of each category with the number of products that have them."""
+    found = views(spark, root)
+    return found["golden"].join(found["products"].select("product_id", "category_id"), "product_id").groupBy("category_id", "code").agg(F.count("*").alias("products")).orderBy("category_id", "code")
+
+
 def export(spark: SparkSession, root: str, target: str, kind: str, ready: bool = False) -> None:
-    """Write a channel export: json (trade items), csv (a column for each code) or xml (articles)."""
+    """Write a channel export: json (trade items), record (all that is known), csv (a column for each code) or xml (articles)."""
     found = views(spark, root)
     products = found["products"].join(found["scores"].select("product_id", "channel_ready"), "product_id", "left")
     products = exports.ready_only(products) if ready else products
     attributes = found["golden"]
     if kind == "json":
         exports.trade_items(products, attributes).select("item").write.mode("overwrite").text(target)
+    elif kind == "record":
+        clashes = found["conflicts"].select("product_id", "code", "rule", "severity")
+        exports.record_items(products, attributes, clashes, found["observations"].select("product_id", "source_id")).select("item").write.mode("overwrite").text(target)
     elif kind == "csv":
         codes = [r.code for r in attributes.select("code").distinct().collect()]  # as many as the feed has columns
         exports.wide_feed(products, attributes, codes).write.mode("overwrite").option("header", "true").csv(target)

@@ -11,7 +11,7 @@ FALLBACK_CATEGORY = "industrial.generic"
 def merged(common: DataFrame, own: DataFrame) -> DataFrame:
     """Definitions of each category: its own ones, and the common ones (without category_id) that it doesn't override by code."""
     categories = own.select("category_id").distinct()
-    inherited = common.crossJoin(F.broadcast(categories)).join(own.select("category_id", "code"), ["category_id", "code"], "left_anti")
+    inherited = common.withColumn("all", F.lit(1)).join(categories.withColumn("all", F.lit(1)), "all").drop("all").join(own.select("category_id", "code"), ["category_id", "code"], "left_anti")
     return own.unionByName(inherited.select(own.columns))
 
 
@@ -30,10 +30,15 @@ def extractable(definitions: DataFrame) -> DataFrame:
     return definitions.where("not generated and not identity")
 
 
+def variant_defining(definitions: DataFrame) -> DataFrame:
+    """Codes that tell variants apart."""
+    return definitions.where("variant_defining").select("category_id", "code").distinct()
+
+
 def with_category(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """Rows with their category, the generic one where theirs is unknown."""
     known = categories.select("category_id", F.lit(True).alias("__known"))
-    joined = rows.join(F.broadcast(known), "category_id", "left")
+    joined = rows.join(known, "category_id", "left")
     return joined.withColumn("category_id", F.when(F.col("__known"), F.col("category_id")).otherwise(FALLBACK_CATEGORY)).drop("__known")
 
 

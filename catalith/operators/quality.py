@@ -88,14 +88,14 @@ def is_filled(value_number: Column, value_text: Column) -> Column:
 
 def requirement_status(products: DataFrame, attributes: DataFrame, required: DataFrame) -> DataFrame:
     """A row per product, channel and required code, and whether it is filled; families need no variant-defining codes."""
-    wanted = products.join(F.broadcast(channel_requirements(required)), "category_id").where(~(F.col("is_family") & F.col("variant_defining")))
+    wanted = products.join(channel_requirements(required), "category_id").where(~(F.col("is_family") & F.col("variant_defining")))
     present = attributes.where(is_filled(F.col("value_number"), F.col("value_text"))).select("product_id", "code", F.lit(True).alias("filled")).distinct()
     return wanted.join(present, ["product_id", "code"], "left").withColumn("filled", F.coalesce("filled", F.lit(False)))
 
 
 def missing_required(products: DataFrame, attributes: DataFrame, required: DataFrame, channel: str) -> DataFrame:
     """Required codes that a product lacks, as an anti join."""
-    wanted = products.join(F.broadcast(channel_requirements(required).where(F.col("channel") == channel)), "category_id").where(~(F.col("is_family") & F.col("variant_defining")))
+    wanted = products.join(channel_requirements(required).where(F.col("channel") == channel), "category_id").where(~(F.col("is_family") & F.col("variant_defining")))
     present = attributes.where(is_filled(F.col("value_number"), F.col("value_text")))
     return wanted.join(present.select("product_id", "code"), ["product_id", "code"], "left_anti").select("product_id", "code")
 

@@ -113,6 +113,14 @@ def token_scores(products: DataFrame, attributes: DataFrame, question: str) -> D
     return scored.where("raw > 0")
 
 
+def kept(products: DataFrame, category: str | None = None, manufacturer: str | None = None, ready_only: bool = False) -> DataFrame:
+    """Products (product_id, category_id, manufacturer, channel_ready) that a search may show; both sides of a hybrid search are joined to them."""
+    for name, value in (("category_id", category), ("manufacturer", manufacturer), ("channel_ready", True if ready_only else None)):
+        if value is not None:
+            products = products.where(F.col(name) == value)
+    return products
+
+
 def hybrid(attribute_scores: DataFrame, semantic_scores: DataFrame, limit: int) -> DataFrame:
     """Best products of both sides: a semantic score plus an eighth of the raw attribute score, or a quarter of that alone, at most 1.
 

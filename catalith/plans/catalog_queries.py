@@ -434,7 +434,7 @@ def jn_asset_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("flt_product_list", f"WITH {_QUALITY} SELECT q.product_id, overall FROM quality q JOIN products p USING (product_id) WHERE contains(lower(product_name), 're') AND category_id = (SELECT min(p_type) FROM part) ORDER BY overall DESC, product_id LIMIT 50")
 def flt_product_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "part").agg(F.min("p_type").alias("category_id"))
-    p = catalog.products(spark, sf_dir).join(F.broadcast(first), "category_id", "left_semi").where(F.contains(F.lower("product_name"), F.lit("re")))
+    p = catalog.products(spark, sf_dir).join(first, "category_id", "left_semi").where(F.contains(F.lower("product_name"), F.lit("re")))
     return _quality(spark, sf_dir).join(p.select("product_id"), "product_id").select("product_id", "overall").orderBy(F.desc("overall"), "product_id").limit(50)
 
 

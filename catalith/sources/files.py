@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import io
 import re
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +31,81 @@ def pending(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return found.join(manifest.where(F.col("status") == "completed").select("source_id"), "source_id", "left_anti")
 
 
+SEPARATORS = [",", ";", "\t", "|"]
+#: Bytes of a feed's beginning that tell its separator.
+SNIFFED = 8192
+
+
+def separators(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path and sep of feeds: of SEPARATORS, the one that the first line holds most often, the first of ties; a comma where it holds none."""
+    heads = spark.read.format("binaryFile").load(paths).select("path", F.substring("content", 1, SNIFFED).cast("string").alias("head"))
+    line = F.regexp_replace(F.substring_index("head", "\n", 1), "\"[^\"]*\"", "")
+    counted = F.array(*[F.struct((-F.regexp_count(line, F.lit("[" + s + "]"))).alias("below"), F.lit(k).alias("place"), F.lit(s).alias("sep")) for k, s in enumerate(SEPARATORS)])
+    return heads.select("path", F.array_min(counted)["sep"].alias("sep"))
+
+
+SHEET = "path string, row int, cells array<string>"
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> list[tuple[int, list[str]]]:
+    """Rows of a workbook's first sheet that aren't blank, by their number, as texts; formulas give the value they were saved with."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in item.iter(_NS + "t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(_NS + "si")]
+        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        out = []
+        for row in ElementTree.fromstring(book.read(sheets[0])).iter(_NS + "row") if sheets else ():
+            cells: dict[int, str] = {}
+            for place, cell in enumerate(row.iter(_NS + "c")):
+                letters = re.match(r"[A-Z]*", cell.get("r", ""))[0]
+                column = functools.reduce(lambda n, c: n * 26 + ord(c) - 64, letters, 0) - 1 if letters else place
+                kind, value = cell.get("t"), cell.findtext(_NS + "v")
+                if kind == "s" and value:
+                    value = shared[int(value)]
+                elif kind == "inlineStr":
+                    value = "".join(t.text or "" for t in cell.iter(_NS + "t"))
+                if value and value.strip():
+                    cells[column] = " ".join(value.split())
+            if cells:
+                out.append((int(row.get("r", len(out) + 1)), [cells.get(i, "") for i in range(max(cells) + 1)]))
+        return out
+
+
+def read_sheets(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Key-value fragments of workbooks (.xlsx, .xlsm), as ``read_feed`` gives them: the first filled row names the columns. A file that is no workbook gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    rows = sheet_rows(content.as_py())
+                except (zipfile.BadZipFile, ElementTree.ParseError):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.list_(pa.string()))], ["path", "row", "cells"])
+
+    rows = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, SHEET)
+    header = rows.groupBy("path").agg(F.min_by("cells", "row").alias("header"), F.min("row").alias("first"))
+    cells = rows.join(header, "path").where("row > first").select("path", F.col("row").cast("long").alias("row"), F.explode(F.arrays_zip("header", "cells")).alias("c"))
+    return cells.select("path", "row", F.col("c.header").alias("key"), F.col("c.cells").alias("value")).where("value <> '' and key <> ''")
+
+
+def mirrors(fragments: DataFrame) -> DataFrame:
+    """The text of each source from its fragments in order: table rows as lines with bars, all else as paragraphs."""
+    row = F.concat(F.lit("| "), F.replace("text", F.lit("\t"), F.lit(" | ")), F.lit(" |"))
+    shown = F.when(F.col("kind").isin("table", "keyvalue"), row).when(F.col("kind") == "heading", F.concat(F.lit("# "), "text")).otherwise(F.col("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", shown.alias("line"))))
+    return fragments.groupBy("source_id").agg(F.array_join(F.transform(ordered, lambda f: f["line"]), "\n").alias("text"))
+
+
+def read_mirrors(spark: SparkSession, folder: str) -> DataFrame:
+    """source_id and text of stored mirrors, one text file each, named by its source."""
+    whole = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    return whole.select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]+)?$", 1).alias("source_id"), F.col("value").alias("text"))
+
+
 def read_feed(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """Key-value fragments of a delimited feed with a header: path, row (in the file, from 2), key, value; empty cells have none.
 
@@ -34,11 +113,12 @@ def read_feed(spark: SparkSession, path: str | list[str], sep: str = ",") -> Dat
     """
     lines = spark.read.option("header", "true").option("sep", sep).option("mode", "PERMISSIVE").csv(path)
     names = lines.columns
+    plain = {c: c.lstrip("\ufeff") for c in names}  # a byte order mark is no part of a name
     lines = lines.withColumns({"__path": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"), "__at": F.monotonically_increasing_id()})
     blocks = lines.groupBy("__path", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     earlier = F.sum("__n").over(Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = blocks.select("__path", "__block", "__first", F.coalesce(earlier, F.lit(0)).alias("__before"))
-    cells = F.array(*[F.struct(F.lit(c).alias("key"), F.trim(F.regexp_replace(F.col(f"`{c}`").cast("string"), r"\s+", " ")).alias("value")) for c in names])
+    cells = F.array(*[F.struct(F.lit(plain[c]).alias("key"), F.trim(F.regexp_replace(F.col(f"`{c}`").cast("string"), r"\s+", " ")).alias("value")) for c in names])
     rows = lines.join(blocks, ["__path", "__block"])
     return rows.select(F.col("__path").alias("path"), (F.col("__at") - F.col("__first") + F.col("__before") + 2).alias("row"), F.explode(cells).alias("c")).select("path", "row", "c.*").where("value <> ''")
 
