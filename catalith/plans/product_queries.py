@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.functions import values
-from catalith.operators import golden, graph, intake, listing, quality, review, search, validate
+from catalith.functions import identity, values
+from catalith.operators import extract, golden, graph, intake, listing, quality, review, search, validate
 from catalith.plans import catalog
 from catalith.plans.catalog import ATTRIBUTES_SQL, OBSERVATIONS_SQL, PRODUCTS_SQL, table
 from catalith.registry import query
@@ -311,6 +311,14 @@ def jn_assigned_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.assigned(fragments, intake.described(fragments, mirrors, hints)).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
+@query("ext_observations", "SELECT 's' || p_partkey AS source_id, CASE WHEN p_partkey % 4 = 0 THEN 'price' ELSE 'ordering' END AS code, CASE WHEN p_partkey % 4 = 0 THEN '1' ELSE 'OC' || p_partkey END AS raw, CASE WHEN p_partkey % 4 = 0 THEN 'Price: 1' ELSE 'Order code: OC' || p_partkey END AS quote, CASE WHEN p_partkey % 4 = 0 THEN 'structured_feed' ELSE 'native_table' END AS method FROM part WHERE p_partkey % 2 = 0")
+def ext_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fragments, mirrors, hints = _fragments(spark, sf_dir)
+    rows = intake.assigned(fragments, intake.described(fragments, mirrors, hints)).withColumn("product_id", identity.product_id(F.col("manufacturer"), F.col("mpn")))
+    aliases = spark.createDataFrame([("price", "price"), ("order code", "ordering"), ("size", "size")], "alias string, code string")
+    return extract.observations(rows, aliases).select("source_id", "code", "raw", "quote", "method")
+
+
 @query("sem_embedding_cache", "WITH t AS (SELECT DISTINCT left(sha256('m1|' || text), 24) AS key FROM documents WHERE text IS NOT NULL), c AS (SELECT left(sha256('m1|' || text), 24) AS key FROM documents WHERE doc_id % 2 = 0) SELECT key FROM t WHERE key NOT IN (SELECT key FROM c WHERE key IS NOT NULL)")
 def sem_embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

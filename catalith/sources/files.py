@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import io
@@ -139,11 +140,12 @@ def html_fragments(source: str | None) -> list[tuple[str, str, str]]:
     seen: dict[str, int] = {}
     term, title, heading = None, None, None
     row = re.compile(r"<tr\b[^>]*>(.*?)(?=<tr\b|</table|$)", re.S | re.I)
+    tables = [m.start() for m in re.finditer(r"<table\b", body, re.I)]
     for m in row.finditer(body):
         cells = [_text(c) for c in _CELL.findall(m[1])]
         if any(cells):
             seen["tr"] = seen.get("tr", 0) + 1
-            out.append(("table", f"tr:nth({seen['tr']})", "\t".join(cells)))
+            out.append(("table", f"table:nth({bisect.bisect(tables, m.start())}) tr:nth({seen['tr']})", "\t".join(cells)))
     for m in _BLOCK.finditer(body):
         tag, text = m[1].lower(), _text(m[2])
         if not text or tag in ("tr", "caption"):
@@ -191,6 +193,51 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_corrupt is null").drop("_corrupt")
 
 
+CELLED = ["source_id", "source_kind", "pos", "kind", "row_scoped", "cells", "text"]
+
+
+def fragments(spark: SparkSession, found: DataFrame) -> DataFrame:
+    """One table of the fragments of all sources that ``discover`` found and that can be read: CELLED.
+
+    Feeds and workbooks give a key-value fragment a row; pages give headings, tables, pairs and texts, pairs
+    that follow each other being one fragment. Other types give none.
+    """
+    path = F.regexp_replace("path", "^file:/+", "/")
+    known = found.select(path.alias("path"), "source_id", "source_kind", "content_type")
+    listed = [(r.path, r.content_type) for r in found.select("path", "content_type").toLocalIterator()]  # Spark lists the files of a read on the driver too
+    pages = [p for p, kind in listed if kind == "html"]
+    books = [p for p, kind in listed if kind == "tabular" and p.lower().endswith((".xlsx", ".xlsm"))]
+    feeds = [p for p, kind in listed if kind == "tabular" and p not in set(books)]
+    groups: dict[str, list[str]] = {}
+    for r in separators(spark, feeds).collect() if feeds else []:
+        groups.setdefault(r.sep, []).append(r.path)
+    parts = [read_feed(spark, group, sep) for sep, group in groups.items()] + ([read_sheets(spark, books)] if books else [])
+    out = []
+    for cells in parts:
+        rows = cells.withColumn("path", path).join(known, "path")
+        pairs = F.collect_list(F.array("key", "value"))
+        out.append(rows.groupBy("source_id", "source_kind", F.col("row").cast("int").alias("pos")).agg(pairs.alias("cells")).withColumns({"kind": F.lit("keyvalue"), "row_scoped": F.lit(True), "text": F.lit(None).cast("string")}).select(CELLED))
+    if pages:
+        whole = spark.read.format("binaryFile").load(pages).select(path.alias("path"), F.col("content").cast("string").alias("html")).join(known, "path")
+        pieces = read_pages(whole, "source_id", "html")
+        # rows of one table, and pairs that follow each other, are one fragment
+        order = Window.partitionBy("source_id").orderBy("pos")
+        group = F.concat("kind", F.regexp_extract("locator", r"^(table:nth\(\d+\))?", 1))
+        kinded = pieces.withColumn("new", (group != F.lag(group).over(order)) | ~F.col("kind").isin("table", "keyvalue"))
+        grouped = kinded.withColumn("block", F.sum(F.coalesce("new", F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        line = F.struct("pos", F.split("text", "\t").alias("cell"))
+        table = grouped.groupBy("source_id", "block", "kind").agg(F.min("pos").alias("pos"), F.transform(F.array_sort(F.collect_list(line)), lambda x: x["cell"]).alias("rows"), F.min_by("text", "pos").alias("text"))
+        celled = F.col("kind").isin("table", "keyvalue")
+        kinds = known.select("source_id", "source_kind").distinct()
+        out.append(table.join(kinds, "source_id").select("source_id", "source_kind", "pos", "kind", F.lit(False).alias("row_scoped"), F.when(celled, F.col("rows")).alias("cells"), F.when(~celled, F.col("text")).alias("text")).select(CELLED))
+    if not out:
+        return spark.createDataFrame([], "source_id string, source_kind string, pos int, kind string, row_scoped boolean, cells array<array<string>>, text string")
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows
+
+
 def image_compliance(width: Column, height: Column, white: Column, size: Column) -> Column:
     """Everything in which an image falls short of what channels ask: an empty array is compliant."""
     notes = F.array(

@@ -183,3 +183,34 @@ def test_articles_and_header(spark, tmp_path):
     text = "".join(open(f).read() for f in glob.glob(f"{tmp_path}/xml/part*"))
     assert "<FVALUE>17.5</FVALUE>" in text and "confidence=0.90" in text and "<PRICE_AMOUNT>12.50</PRICE_AMOUNT>" in text and 'price_type="net_list"' in text and "copy" not in text and text.count("<ARTICLE>") == 2
     assert "<CATALOG_NAME>" in "".join(open(f).read() for f in glob.glob(f"{tmp_path}/xml-header/part*"))
+
+
+def test_from_files_to_values(spark, tmp_path):
+    from catalith.functions import identity
+    from catalith.operators import extract
+    from catalith.sources import files
+
+    (tmp_path / "datasheets").mkdir()
+    (tmp_path / "price").mkdir()
+    page = "<html><h1>Acme VX100 Datasheet</h1><table><tr><td>Series</td><td>VX100</td></tr><tr><td>Rated Voltage (AC)</td><td></td><td>230 V</td></tr></table><p>x</p><table><tr><td>Catalog No</td><td>Poles</td><td>Width</td></tr><tr><td>VX100-1P</td><td>1</td><td>17 mm</td></tr><tr><td>vx100 2p</td><td>2</td><td>35 mm</td></tr></table><p>Finish: matt grey; rated voltage: 999 V and more to read about it.</p></html>"
+    (tmp_path / "datasheets" / "a.html").write_text(page)
+    (tmp_path / "price" / "list.csv").write_text("Brand|Part Number|Price USD\nAcme|VX100-1P|12.5\n")
+    (tmp_path / "notes.pdf").write_bytes(b"x")
+    found = files.discover(spark, f"file://{tmp_path}")
+    pieces = files.fragments(spark, found).cache()
+    assert {r.kind for r in pieces.collect()} == {"heading", "table", "keyvalue", "text"}
+    text = F.coalesce("text", F.array_join(F.flatten("cells"), " "))
+    mirrors = pieces.groupBy("source_id").agg(F.array_join(F.collect_list(text), "\n").alias("text"))
+    products = intake.described(pieces, mirrors, found.select("source_id", F.lit(None).cast("string").alias("manufacturer")))
+    rows = intake.assigned(pieces, products).withColumn("product_id", identity.product_id(F.col("manufacturer"), F.col("mpn")))
+    aliases = spark.createDataFrame([("poles", "poles"), ("width", "width_mm"), ("rated voltage", "volts"), ("price usd", "price"), ("finish", "finish")], "alias string, code string")
+    got = extract.observations(rows, aliases, mirrors).join(rows.select("product_id", "mpn").distinct(), "product_id").collect()
+    values_ = {(r.mpn, r.code): (r.raw, r.method) for r in got}
+    assert values_ == {
+        ("VX100-1P", "poles"): ("1", "native_table"), ("VX100-1P", "width_mm"): ("17 mm", "native_table"), ("VX100-1P", "volts"): ("230 V", "native_table"), ("VX100-1P", "finish"): ("matt grey", "native_text"), ("VX100-1P", "price"): ("12.5", "structured_feed"),
+        ("VX100", "volts"): ("230 V", "native_table"), ("VX100", "finish"): ("matt grey", "native_text"),
+    }
+    assert all(r.quote_verified for r in got)
+    order = [r.code for r in sorted(got, key=lambda r: r.obs_seq) if r.mpn == "VX100-1P" and r.code != "price"]
+    assert order[-1] == "finish"
+    pieces.unpersist()
