@@ -6,7 +6,7 @@ products' ids; aliases: code, alias (as labels are written: lower case, single b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions.extraction import table_orientation
@@ -42,10 +42,9 @@ def _table_pairs(fragments: DataFrame) -> DataFrame:
 
 
 def _coded(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Pairs with the code of their label; labels that mean nothing go. Each different label is looked up once."""
-    named = pairs.withColumn("key", label(F.col("label")))
-    keys = named.select(F.col("key").alias("label_id")).distinct().withColumn("label", F.col("label_id"))
-    return named.join(label_codes(keys, aliases).select(F.col("label_id").alias("key"), "code"), "key").drop("key")
+    """Pairs with the code of their label; labels that mean nothing go."""
+    labels = pairs.select(F.struct(*RAW).alias("label_id"), label(F.col("label")).alias("label"))
+    return label_codes(labels, aliases).select("label_id.*", "code")
 
 
 def _prose_pairs(fragments: DataFrame) -> DataFrame:
@@ -62,14 +61,16 @@ def observations(fragments: DataFrame, aliases: DataFrame, mirrors: DataFrame |
 
     Values arrive in the order of sources, then tables before prose, then place. Prose counts only for
     codes that the same source's tables and pairs don't give for the product, and the first such value alone.
+    Fragments are read several times, so give a stored table.
     With mirrors (source_id, text), quote_verified tells whether the source holds label and value.
     """
     stated = _coded(_table_pairs(fragments), aliases)
     told = _coded(_prose_pairs(fragments), aliases.where(F.length("alias") >= PROSE_ALIAS))
-    place = F.struct("pos", "row", "column", "label", "raw")
-    key = ["product_id", "source_id", "code"]
-    first = told.join(stated.select(*key).distinct(), key, "left_anti").groupBy(*key).agg(F.min_by(F.struct(*[c for c in RAW if c not in key]), place).alias("v")).select(*key, "v.*")
-    rows = stated.unionByName(first.select(stated.columns))
+    key, prose = ["product_id", "source_id", "code"], F.col("pass") == "prose"
+    first = F.row_number().over(Window.partitionBy(*key, prose).orderBy("pos", "row", "column", "label", "raw"))
+    tables = F.max(F.when(~prose, F.lit(1)).otherwise(0)).over(Window.partitionBy(*key))
+    rows = stated.unionByName(told).withColumn("first", first).withColumn("tables", tables)
+    rows = rows.where(~prose | ((F.col("tables") == 0) & (F.col("first") == 1))).drop("first", "tables")
     rows = rows.withColumn("quote", F.concat("label", F.lit(": "), "raw"))
     if mirrors is not None:
         text = mirrors.select("source_id", squeezed(F.col("text")).alias("source_text"))

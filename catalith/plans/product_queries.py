@@ -314,7 +314,7 @@ def jn_assigned_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ext_observations", "SELECT 's' || p_partkey AS source_id, CASE WHEN p_partkey % 4 = 0 THEN 'price' ELSE 'ordering' END AS code, CASE WHEN p_partkey % 4 = 0 THEN '1' ELSE 'OC' || p_partkey END AS raw, CASE WHEN p_partkey % 4 = 0 THEN 'Price: 1' ELSE 'Order code: OC' || p_partkey END AS quote, CASE WHEN p_partkey % 4 = 0 THEN 'structured_feed' ELSE 'native_table' END AS method FROM part WHERE p_partkey % 2 = 0")
 def ext_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     fragments, mirrors, hints = _fragments(spark, sf_dir)
-    rows = intake.assigned(fragments, intake.described(fragments, mirrors, hints)).withColumn("product_id", identity.product_id(F.col("manufacturer"), F.col("mpn")))
+    rows = intake.assigned(fragments, intake.described(fragments, mirrors, hints)).withColumn("product_id", identity.product_id(F.col("manufacturer"), F.col("mpn"))).persist()
     aliases = spark.createDataFrame([("price", "price"), ("order code", "ordering"), ("size", "size")], "alias string, code string")
     return extract.observations(rows, aliases).select("source_id", "code", "raw", "quote", "method")
 
