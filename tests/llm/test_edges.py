@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.llm import common, exact_dedup, langid, quality, simhash, suffix_dedup
+from catalith.llm import byte_bpe, common, exact_dedup, langid, packing, quality, simhash, suffix_dedup, token_counts, token_files
 
 LOW = -(1 << 63)
 
@@ -65,3 +65,26 @@ def test_host_verdict_reaches_the_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality_verdicts(docs).where(F.col("doc_id") >= 100).collect()}
     assert got[100] == (False, False) and all(got[200 + i] == (False, True) for i in range(60))
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """Every row gets its own result; null ids stay null."""
+    text = "some words that are long enough to be packed"
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(token_counts.tokenizer_coder().encode_pieces([b"some"]))
+    assert n == 1
+    counts = sorted(((r.doc_id, r.n_tokens > 0) for r in token_counts.token_counts(docs).collect()), key=str)
+    assert counts == sorted([(1, True), (1, True), (None, True), (None, False), (2, False)], key=str)
+    digests = [(r.doc_id, r.n_tokens, r.ids_sha256) for r in byte_bpe.round_trip_digest(docs).collect()]
+    assert len(digests) == 5 and len({d[2] for d in digests if d[1]}) == 1
+    pieces = packing.pack(docs).collect()
+    assert sorted((p.doc_id for p in pieces), key=str) == sorted([1, 1, None, None, 2], key=str) and len({(p.sequence_id, p.offset) for p in pieces}) == 5
+    path = common.fresh_path(spark, "tokens")
+    token_files.write_token_files(docs, path)
+    files = token_files.file_digest(spark, path).collect()
+    assert [r.doc_id for r in sorted(files, key=lambda r: r.start)] == [None, None, 1, 1, 2]
+    assert {r.start: r.n_tokens for r in token_files.read_metadata(spark, path).collect()} == {r.start: r.n_tokens for r in files}
+    classes = simhash.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in classes} == {(1, 1), (None, 1), (None, 2), (2, 2)}
+    assert simhash.near_duplicates(docs.where("doc_id is null and text is not null")).first().component_id is None
