@@ -9,27 +9,27 @@ from catalith.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows show; those without letters go."""
+    """Documents in one or several learnt languages; those without a letter, null and empty ones go. Ids and other columns don't matter."""
     return langid.identified(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal up to white space, the longest, then the one of smallest id."""
+    """Of documents equal up to white space, the longest, then the one of smallest id, null ids last, then the first row in the files."""
     return exact_dedup.deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one of smallest id."""
+    """Of documents whose fingerprints are linked, the one of smallest id, null ids last, then the first row in the files."""
     return simhash.deduplicated(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the byte strings that occur earlier."""
+    """All documents, without the byte strings that occur earlier; null ids count as the largest, rows with one id and text as one document."""
     return suffix_dedup.cut(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens; a null or empty text is its separator alone."""
     return packing.pack(docs)
 
 
