@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,7 +271,7 @@ def runs(pages: list[Page]) -> list[int]:
 
 
 def edge_pages(pages: list[Page]) -> set[int]:
-    """The pages of a partition that pages of others may need: ends of its first and last three runs, its first and last three pages."""
+    """The pages of a partition that pages of others may need: both ends of its first and last three runs, its first and last three pages."""
     begins = runs(pages)
     begins = sorted({0, *begins})
     ends = [b - 1 for b in begins[1:]] + [len(pages) - 1]
@@ -318,7 +318,7 @@ def url_key(url: Column) -> tuple[Column, Column]:
 
 
 _BLOCKS = "id long, url string, host string, path string, lines array<string>, inside array<boolean>, marks array<long>, sizes array<int>, d1 long, d2 long"
-_ORDERED = "part int, pos int, host string, path string, marks array<long>, sizes array<int>, inside array<boolean>, d1 long, d2 long, n long, chained boolean, edge boolean"
+_ORDERED = "part int, pos int, host string, path string, marks array<long>, sizes array<int>, inside array<boolean>, d1 long, d2 long, n long, chained boolean, edge boolean, tail boolean"
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -362,52 +362,80 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(row)
     edges = edge_pages(pages) if pages else set()
     for at in range(0, len(rows), 500):
-        yield _batch([(part, at + k, *(row[c] for c in ("host", "path", "marks", "sizes", "inside", "d1", "d2", "n")), pages[at + k].chained, at + k in edges) for k, row in enumerate(rows[at : at + 500])], _ORDERED)
+        yield _batch([(part, at + k, *(row[c] for c in ("host", "path", "marks", "sizes", "inside", "d1", "d2", "n")), pages[at + k].chained, at + k in edges, at + k == len(rows) - 1) for k, row in enumerate(rows[at : at + 500])], _ORDERED)
 
 
-def _judge(edges: Broadcast):
-    """From the pages of partitions in order, those that lose lines, with the lines that stay."""
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the last page of one partition and the first of the next, sorted by target: whether that is a copy of the former."""
+    before: dict | None = None
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if row["part"] == row["target"]:
+                out.append((row["target"], before is not None and before["target"] == row["target"] and _page(row).follows(_page(before))))
+            before = row
+        if out:
+            yield _batch(out, "part int, tied boolean")
+
+
+def sources(runs_of: list[int], tied: list[bool]) -> list[set[int]]:
+    """For each partition in order, the others whose edge pages its own pages may be compared with.
+
+    runs_of: runs that each partition has; tied: whether its first page is a copy of the page before. Beside the next two
+    on each side these are the partitions that hold the three runs before and after its own; of a run
+    that goes through many partitions, those in its middle are passed over.
+    """
+    m = len(runs_of)
+    begin = list(range(m))  # where the run of a partition's first page begins
+    for k in range(1, m):
+        if tied[k]:
+            begin[k] = k - 1 if runs_of[k - 1] > 1 else begin[k - 1]
+    end = list(range(m))  # where the run of a partition's last page ends
+    for k in range(m - 2, -1, -1):
+        if tied[k + 1]:
+            end[k] = k + 1 if runs_of[k + 1] > 1 else end[k + 1]
+    out = []
+    for k in range(m):
+        found = {j for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < m}
+        for step, far in ((-1, begin), (1, end)):
+            at, have = k, 0
+            while 0 <= at + step < m and have < 4:
+                at += step
+                found.add(at)
+                if runs_of[at] == 1 and far[at] != at:
+                    at = far[at]
+                    found.add(at)
+                have += max(runs_of[at] - 1, 1)
+        out.append(found - {k})
+    return out
 
-    def settle(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        before = [_page(r) for r in edges.value if r["part"] < part]
-        own = [_page(r) for r in rows]
-        after = [_page(r) for r in edges.value if r["part"] > part]
-        pages = before + own + after
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the pages of each target partition and the edge pages of others, in order: its pages that lose lines, with the lines that stay."""
+
+    def settle(target: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        pages = [_page(r) for r in rows]
         for at, page in enumerate(pages):
             if at and page.host != pages[at - 1].host:
                 page.chained = False
-        inside = {len(before) + k: np.array(r["inside"], bool) for k, r in enumerate(rows)}
+        inside = {k: np.array(r["inside"], bool) for k, r in enumerate(rows) if r["part"] == target}
         out = []
         for i, gone in template_lines(pages, inside):
             if gone.any():
-                row = rows[i - len(before)]
+                row = rows[i]
                 out.append((row["d1"], row["d2"], row["n"], (~gone).tolist()))
         for at in range(0, len(out), 500):
             yield _batch(out[at : at + 500], "d1 long, d2 long, n long, stays array<boolean>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if rows and row["part"] != rows[0]["part"]:
-                    yield from settle(rows[0]["part"], rows)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield from settle(rows[0]["part"], rows)
-
-    return run
-
-
-def _edges(ordered: DataFrame) -> list[dict]:
-    """The edge pages of all partitions in order, the first of a partition tied to the last of the one before."""
-    names = ["part", "pos", "host", "path", "marks", "sizes", "chained"]
-    rows = [r.asDict() for r in ordered.where("edge").select(*names).collect()]
-    rows.sort(key=lambda r: (r["part"], r["pos"]))
-    for last, row in zip(rows, rows[1:], strict=False):
-        if row["part"] != last["part"]:
-            row["chained"] = _page(row).follows(_page(last))
-    return rows
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["target"] != rows[0]["target"]:
+                yield from settle(rows[0]["target"], rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield from settle(rows[0]["target"], rows)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -417,7 +445,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     URL counts as an empty host. Pages of a host with equal blocks, so also repeated rows, are compared as
     one, at the first of their paths, and get one text. An empty table gives an empty result; other columns
     are not read. Pages are sorted by range, so a large host is spread over tasks; of each range, the first
-    and last pages go to all tasks, so the text doesn't depend on where ranges end.
+    and last pages go to the ranges next to it, so the text doesn't depend on where ranges end. The driver
+    learns two numbers a range.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -429,12 +458,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     different = blocks.where(F.size("lines") > 0).groupBy("d1", "d2").agg(F.min_by(told, place).alias("p"), F.count("*").alias("n")).select("p.*", "d1", "d2", "n")
     order = ["host", "path", "id", "d1", "d2"]
     ordered = stored(different.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_chain, _ORDERED), "page-order")
-    edges = spark.sparkContext.broadcast(_edges(ordered))
-    # the first page of a partition is tied to the one before it by the table of edges
-    tied = [(r["part"], r["chained"]) for r in edges.value if r["pos"] == 0]
-    firsts = spark.createDataFrame(tied, "part int, tied boolean")
-    known = ordered.join(F.broadcast(firsts), "part").withColumn("chained", F.when(F.col("pos") == 0, F.col("tied")).otherwise(F.col("chained"))).drop("tied", "edge")
-    verdicts = stored(known.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(_judge(edges), "d1 long, d2 long, n long, stays array<boolean>"), "page-verdicts")
+    # of each partition, the driver learns its number of runs, and whether the first goes on from the partition before
+    parts = sorted((r.part, r.runs) for r in ordered.groupBy("part").agg(F.count_if(~F.col("chained")).alias("runs")).collect())
+    names = [part for part, _ in parts]
+    after = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "part int, target int")
+    page = ["part", "target", "pos", "host", "path", "marks", "sizes", "chained"]
+    meeting = ordered.where("pos = 0").withColumn("target", F.col("part")).select(page).unionByName(ordered.where("tail").join(after, "part").select(page))
+    tied = stored(meeting.repartition("target").sortWithinPartitions("target", "part").mapInArrow(_ties, "part int, tied boolean"), "page-ties")
+    ties = {r.part: r.tied for r in tied.collect()}
+    needs = sources([runs_ for _, runs_ in parts], [ties[part] for part in names])
+    sent = spark.createDataFrame([(names[j], names[k]) for k, found in enumerate(needs) for j in sorted(found)], "part int, target int")
+    known = ordered.join(tied, "part").withColumn("chained", F.when(F.col("pos") == 0, F.col("tied")).otherwise(F.col("chained"))).drop("tied", "tail")
+    own = known.withColumn("target", F.col("part")).drop("edge")
+    met = own.unionByName(known.where("edge").drop("edge").join(sent, "part"))
+    verdicts = stored(met.repartition("target").sortWithinPartitions("target", "part", "pos").mapInArrow(_judge, "d1 long, d2 long, n long, stays array<boolean>"), "page-verdicts")
     total = blocks.count()
     left = attach(blocks.select("id", "url", "lines", "d1", "d2"), verdicts, ["d1", "d2"], "n", total)
     own = F.when(F.col("stays").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: F.get("stays", i)))

@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -221,3 +222,40 @@ def test_whole_query_against_brute_force(spark, parts):
             source = "".join(f"<div>{t}</div>" for t in head) + body + "".join(f"<div>{t}</div>" for t in foot)
         pages.append((i, f"http://www.site{host}.org/{r.choice('ab')}/{r.randint(0, 60)}{r.choice(['', '/', '.html', '?q=1'])}", source))
     assert texts(spark, pages, parts) == brute_texts(pages)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ranges_need_no_more_than_their_sources(seed):
+    """Verdicts from a range's own pages and the edge pages of its sources are those from all pages, runs through many ranges included."""
+    r = random.Random(seed)
+    pages, run = [], 0
+    for _ in range(r.randint(1, 14)):
+        host, length = f"h{len(pages) // r.choice([9, 30, 1000])}", r.choice([1, 1, 1, 2, 3, 12])
+        for _ in range(length):
+            lines = [r.randint(0, 3) for _ in range(r.randint(0, 2))] + [1000 * run + k for k in range(50, 70)] + [10**6 + len(pages)]
+            pages.append(html_extract.Page(host, f"/{len(pages):04d}", lines, np.ones(len(lines), np.int64)))
+        run += 1
+    whole = [html_extract.Page(p.host, p.path, p.lines, p.sizes) for p in pages]
+    for a, b in zip(whole, whole[1:], strict=False):
+        b.chained = b.follows(a)
+    inside = {k: np.zeros(len(p.lines), bool) for k, p in enumerate(whole)}
+    want = {k: gone.tolist() for k, gone in html_extract.template_lines(whole, inside)}
+    cuts = sorted(r.sample(range(1, len(pages)), min(len(pages) - 1, r.randint(0, 20))))
+    parts = [list(range(a, b)) for a, b in zip([0, *cuts], [*cuts, len(pages)], strict=True)]
+    edges = []
+    for part in parts:
+        own = [html_extract.Page(p.host, p.path, p.lines, p.sizes, whole[k].chained and k > part[0]) for k, p in ((k, pages[k]) for k in part)]
+        edges.append([part[i] for i in sorted(html_extract.edge_pages(own))])
+    runs = [sum(not whole[k].chained or k == part[0] for k in part) for part in parts]
+    needs = html_extract.sources(runs, [whole[part[0]].chained for part in parts])
+    got = {}
+    for at, part in enumerate(parts):
+        taken = sorted({*part, *(k for j in needs[at] for k in edges[j])})
+        listed = [html_extract.Page(pages[k].host, pages[k].path, pages[k].lines, pages[k].sizes, whole[k].chained) for k in taken]
+        for i, page in enumerate(listed):
+            if i and page.host != listed[i - 1].host or not i:
+                page.chained = False
+        mine = {i: inside[k] for i, k in enumerate(taken) if k in set(part)}
+        got |= {taken[i]: gone.tolist() for i, gone in html_extract.template_lines(listed, mine)}
+    assert got == want
+    assert max(map(len, needs)) <= 16
