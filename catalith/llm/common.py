@@ -92,3 +92,18 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str,
     hot = F.broadcast(table.where(F.col(weight) > bound))
     ordinary = rows.join(F.broadcast(table.where(F.col(weight) > bound).select(*keys)), [*keys], "left_anti")
     return rows.join(hot, [*keys], "inner").unionByName(ordinary.join(table.where(F.col(weight) <= bound), [*keys], "left"))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:
+    """As ``attach``, but the plan of ``rows`` is run once, so that lookups can follow each other; no other columns may clash.
+
+    Rows of broadcast keys go through the shuffle as well, dealt by all their columns.
+    """
+    bound = max(total // HOT_SHARE, 1)
+    values = [c for c in table.columns if c not in keys and c != weight]
+    hot = table.where(F.col(weight) > bound).select(*keys, F.struct(*values).alias("hot"))
+    met = rows.join(F.broadcast(hot), [*keys], "left")
+    met = met.withColumn("slot", F.when(F.col("hot").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*rows.columns)))
+    ordinary = table.where(F.col(weight) <= bound).select(*keys, F.xxhash64(*keys).alias("slot"), F.struct(*values).alias("cold"))
+    found = met.join(ordinary, [*keys, "slot"], "left").withColumn("found", F.coalesce("hot", "cold"))
+    return found.select(*rows.columns, *[F.col(f"found.{v}").alias(v) for v in values])

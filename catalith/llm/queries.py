@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.llm import byte_bpe, exact_dedup, html_extract, langid, packing, quality, simhash, suffix_dedup, token_counts, token_files
+from catalith.llm import byte_bpe, exact_dedup, html_extract, langid, packing, prefix_trie, quality, ranking, simhash, suffix_dedup, token_counts, token_files, vector_codes
 from catalith.llm.common import fresh_path
 
 
@@ -56,6 +56,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats_digest(_documents(spark, sf_dir))
 
 
+def op11_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
@@ -67,5 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_quality_ranking": op11_quality_ranking,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.SQL, "op4_quality_rules": quality.SQL}
