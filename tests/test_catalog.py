@@ -216,6 +216,31 @@ def test_gate_refuses(bad):
         session.check_read_only(bad)
 
 
+LEAKS = [
+    "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')", "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home')", "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getProperty', 'user.home')",
+    "WITH x AS (SELECT * FROM identifier('text.`/etc/hostname`')) SELECT 1", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "EXPLAIN SELECT * FROM text.`/etc/hostname`", "DESCRIBE QUERY SELECT IDENTIFIER('reflect')('a', 'b')",
+    "SELECT input_file_name() FROM gate", "SELECT current_user()", "SELECT TRANSFORM(a) USING 'cat' AS (x) FROM gate", "SELECT system.builtin.reflect('java.lang.System', 'getProperty', 'user.home')", "SHOW CREATE TABLE gate",
+    "DELETE FROM gate", "DROP TABLE gate", "UPDATE gate SET a = 'x'", "INSERT INTO gate VALUES (1)", "COPY gate TO '/tmp/leak.csv'", "ATTACH '/etc/passwd' AS pw", "INSTALL httpfs", "SELECT 1; DROP TABLE gate", "SUMMARIZE elsewhere",
+]
+
+
+@pytest.mark.parametrize("bad", LEAKS)
+def test_gate_refuses_what_the_plan_shows(spark, bad):
+    session.register({"gate": spark.createDataFrame([(1,)], "a int")})
+    with pytest.raises(ValueError):
+        session.read_sql(spark, bad)
+
+
+def test_gate_knows_registered_views_only(spark):
+    spark.range(3).write.mode("overwrite").saveAsTable("gate_stored")
+    session.register({"gate": spark.createDataFrame([(1, [1, 2])], "a int, c array<int>")})
+    with pytest.raises(ValueError, match="registered"):
+        session.read_sql(spark, "SELECT * FROM gate, gate_stored")
+    for good, n in (("SELECT * FROM gate, LATERAL explode(c) u", 2), ("SELECT (SELECT max(a) FROM gate) AS m FROM VALUES (1), (2) v(x)", 2), ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT * FROM r", 4), ("EXPLAIN SELECT a FROM gate", 1), ("DESCRIBE gate", 2)):
+        assert session.read_sql(spark, good).count() == n
+    spark.sql("DROP TABLE gate_stored")
+
+
 def test_gate_allows(spark):
     assert session.read_sql(spark, "SELECT 'drop; load' AS x -- delete").first().x == "drop; load"
     assert session.read_sql(spark, "WITH a AS (SELECT ? AS y) SELECT y FROM a;", [3]).first().y == 3
