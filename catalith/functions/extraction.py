@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -77,6 +78,29 @@ def prose_value(text: Column, alias: str) -> Column:
     return F.coalesce(first(led), first(number))
 
 
+#: What may stand between a label and its value.
+_MARKS = [":", " – ", " — ", " - ", "  "]
+
+
+def label_and_value(clause: Column) -> Column:
+    """Struct of label and value of 'label: value', 'label - value' or 'label  value', split at the first such mark; a dash before a digit is a sign."""
+    t = F.trim(clause)
+    places = []
+    for mark in _MARKS:
+        at = F.instr(t, mark)
+        after = F.ltrim(F.substring(t, at + len(mark), F.length(t)))
+        sign = F.lit(mark == " - ") & after.rlike("^[0-9]")
+        places.append(F.struct(F.when((at > 1) & ~sign, at).alias("at"), F.trim(F.left(t, at - 1)).alias("label"), after.alias("value")))
+    return F.array_min(F.filter(F.array(*places), lambda x: x["at"].isNotNull()))
+
+
+def labelled_value(text: Column, labels: list[str], accepts: Callable[[Column], Column]) -> Column:
+    """Value of the first line or clause whose label ends in one of ``labels`` and whose value is accepted."""
+    pairs = F.transform(F.split(text, "[\n;|]"), label_and_value)
+    known = lambda x: F.lower(x["label"]).rlike(f"({'|'.join(labels)})$")
+    return F.get(F.filter(pairs, lambda x: x.isNotNull() & known(x) & accepts(x["value"])), F.lit(0))["value"]
+
+
 def truth(text: Column) -> Column:
     """Boolean of a word, null for other words."""
     word = F.lower(F.trim(text))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.functions.extraction import table_orientation
+from catalith.functions.extraction import label_and_value, table_orientation
 from catalith.functions.identity import normalize_mpn
 from catalith.functions.normalize import label, quote_found, squeezed
 from catalith.operators.linking import label_codes
@@ -50,9 +50,9 @@ def _coded(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
 def _prose_pairs(fragments: DataFrame) -> DataFrame:
     """What texts give as 'words: value', 'words - value' or 'words  value': one pair for each line or clause."""
     clauses = fragments.where("kind in ('text', 'heading')").select("product_id", "source_id", "pos", F.posexplode(F.split("text", r"[\n;|]|(?<=[a-z0-9)])\.\s")).alias("row", "clause"))
-    pattern = rf"^\s*(\S.*?)\s*(?::|\s[–—]\s|\s-\s(?![0-9])|\s{{2,}})\s*(\S.{{0,{PROSE_VALUE - 1}}})"
-    part = lambda k: F.regexp_extract("clause", pattern, k)
-    pairs = clauses.withColumn("label", F.trim(part(1))).withColumn("raw", F.regexp_replace(F.trim(part(2)), r"[.,;]+$", ""))
+    pairs = clauses.withColumn("found", label_and_value(F.col("clause"))).where("found is not null")
+    pairs = pairs.withColumn("label", F.col("found.label")).withColumn("raw", F.btrim(F.left("found.value", F.lit(PROSE_VALUE)), F.lit(" ")))
+    pairs = pairs.withColumn("raw", F.rtrim(F.regexp_replace("raw", r"[.,;]+$", "")))
     return pairs.where("label <> '' and raw <> ''").select("product_id", "source_id", "pos", "row", F.lit(0).alias("column"), "label", "raw", F.lit("native_text").alias("method"), F.lit("prose").alias("pass")).select(RAW)
 
 

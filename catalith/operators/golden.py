@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import vocabulary
 from catalith.functions.normalize import round_half_up
+from catalith.sources.kept import once
 
 TOLERANCE = 0.02
 KEY = ["product_id", "code"]
@@ -41,6 +42,7 @@ def number_groups(observations: DataFrame) -> DataFrame:
     Leaders come from the distinct numbers in order of first arrival: a repeated number always joins the
     group of its first occurrence, so repeats never enter the list that is gathered for each key.
     """
+    observations = once(observations, "numbers")
     firsts = observations.groupBy(*KEY, "value_number").agg(F.min("obs_seq").alias("first_seq"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "value_number"))), lambda s: s["value_number"])
     lists = firsts.groupBy(*KEY).agg(ordered.alias("numbers"))
@@ -57,6 +59,7 @@ def text_groups(observations: DataFrame) -> DataFrame:
     With a column value_list (array of strings), lists agree if they hold the same strings; where a key has a
     list, a text counts as a list of one.
     """
+    observations = once(observations, "texts")
     key = F.lower(F.trim("value_text"))
     if "value_list" in observations.columns:
         lists = observations.where("value_list is not null").select(*KEY).distinct().withColumn("has_list", F.lit(True))
@@ -72,26 +75,74 @@ def text_groups(observations: DataFrame) -> DataFrame:
 CARRIED = ["obs_seq", "value_number", "value_text", "value_list", "source_id", "source_kind", "method", "quote_verified", "inferred", "defined", "errors", "unit_assumed", "note"]
 
 
-def winners(grouped: DataFrame) -> DataFrame:
-    """One row per key: the winning observation, agreeing and disagreeing sources, groups, and the rule that decided.
+def _kept(columns: list[str]) -> Column:
+    return F.struct(*[c for c in CARRIED if c in columns], "method_rank")
 
-    The last human observation wins outright. Else groups are ordered by best precedence, number of
-    sources (of observations, where none names a source) and best method, the rest by arrival; in the winning
-    group the best observation wins. A conflict is critical if a loser has the winner's precedence and the best
-    method of all losers is within 0.15 of the winner's, or if the column ``grave`` (the attribute tells
-    variants apart or names the product) is true.
+
+def summaries(observations: DataFrame) -> DataFrame:
+    """Observations of one value from one source as one row for each key: first_seq, n, precedence, method_rank, best, human, human_seq, grave.
+
+    best and human are observations, best_order is what ranks the best. Null values, blank texts and NaN are no observations.
+    """
+    rows = ranked(observations)
+    number = F.when(~F.isnan("value_number"), F.col("value_number"))
+    members = F.to_json(F.array_sort(F.array_distinct("value_list"))) if "value_list" in rows.columns else F.lit(None).cast("string")
+    text = F.when(F.col("value_number").isNull() & (F.trim("value_text") != ""), F.col("value_text"))
+    rows = rows.withColumns({"number": number, "text": text, "members": F.when(F.col("value_number").isNull(), members), "is_grave": F.coalesce(F.col("grave"), F.lit(False)) if "grave" in rows.columns else F.lit(False)})
+    order, kept, human = F.struct("precedence", "method_rank", -F.col("obs_seq")), _kept(rows.columns), F.when(F.col("method") == "human", F.col("obs_seq"))
+    return rows.where("number is not null or text is not null or members is not null").groupBy(*KEY, "number", "text", "members", "source_id").agg(
+        F.min("obs_seq").alias("first_seq"), F.count("*").alias("n"), F.max("precedence").alias("precedence"), F.max("method_rank").alias("method_rank"),
+        F.max_by(kept, order).alias("best"), F.max(order).alias("best_order"), F.max_by(kept, human).alias("human"), F.max(human).alias("human_seq"), F.bool_or("is_grave").alias("grave"),
+    )
+
+
+def group_stats(summed: DataFrame) -> DataFrame:
+    """Groups of agreeing values for each key, from ``summaries``: grp (first arrival), grp_precedence, grp_sources, grp_method, best, human, human_seq, grave.
+
+    The distinct numbers, texts and sources of a key meet in one row, as leaders depend on order; repeats don't
+    count. A number belongs to the first leader it agrees with; texts agree by case and outer blanks; where a key
+    has a list, a text counts as a list of one.
     """
+    rest = [c for c in summed.columns if c not in KEY]
+    rows = summed.groupBy(*KEY).agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    numbers = F.array_sort(F.transform(F.filter("rows", lambda r: r["number"].isNotNull()), lambda r: F.struct(r["first_seq"], r["number"])))
+    none = F.array().cast("array<struct<first_seq:bigint,number:double>>")
+    leaders = F.aggregate(numbers, none, lambda acc, v: F.when(F.exists(acc, lambda y: numbers_agree(y["number"], v["number"])), acc).otherwise(F.concat(acc, F.array(v))))
+    rows = rows.select(*KEY, leaders.alias("leaders"), F.exists("rows", lambda r: r["members"].isNotNull()).alias("has_list"), F.explode("rows").alias("r")).select(*KEY, "leaders", "has_list", "r.*")
+    leader = F.get(F.filter("leaders", lambda y: numbers_agree(y["number"], F.col("number"))), F.lit(0))["first_seq"]
+    text = F.when(F.col("has_list"), F.coalesce("members", F.to_json(F.array("text")))).otherwise(F.lower(F.trim("text")))
+    rows = rows.withColumns({"leader": leader, "text_key": F.when(F.col("number").isNull(), text)})
+    sources = F.size(F.collect_set("source_id")).cast("long")
+    return rows.groupBy(*KEY, "leader", "text_key").agg(
+        F.min("first_seq").alias("grp"), F.max("precedence").alias("grp_precedence"), F.when(sources > 0, sources).otherwise(F.sum("n")).alias("grp_sources"), F.max("method_rank").alias("grp_method"),
+        F.max_by("best", "best_order").alias("best"), F.max_by("human", "human_seq").alias("human"), F.max("human_seq").alias("human_seq"), F.bool_or("grave").alias("grave"),
+    ).drop("leader", "text_key")
+
+
+def winners(grouped: DataFrame) -> DataFrame:
+    """One row per key, from observations with ``grp``; see ``decided``."""
     rows = ranked(grouped)
-    kept = F.struct(*[c for c in CARRIED if c in rows.columns], "method_rank")
     grave = F.col("grave") if "grave" in rows.columns else F.lit(False)
     sources = F.count_distinct("source_id")
-    stats = rows.groupBy(*KEY, "grp").agg(
+    kept = _kept(rows.columns)
+    return decided(rows.groupBy(*KEY, "grp").agg(
         F.max("precedence").alias("grp_precedence"), F.when(sources > 0, sources).otherwise(F.count("*")).alias("grp_sources"), F.max("method_rank").alias("grp_method"),
         F.max_by(kept, F.struct("precedence", "method_rank", -F.col("obs_seq"))).alias("best"),
         F.max_by(kept, F.when(F.col("method") == "human", F.col("obs_seq"))).alias("human"),
         F.max(F.when(F.col("method") == "human", F.col("obs_seq"))).alias("human_seq"),
         F.bool_or(F.coalesce(grave, F.lit(False))).alias("grave"),
-    )
+    ))
+
+
+def decided(stats: DataFrame) -> DataFrame:
+    """One row per key: the winning observation, agreeing and disagreeing sources, groups, and the rule that decided.
+
+    The last human observation wins outright. Else groups are ordered by best precedence, number of
+    sources (of observations, where none names a source) and best method, the rest by arrival; in the winning
+    group the best observation wins. A conflict is critical if a loser has the winner's precedence and the best
+    method of all losers is within 0.15 of the winner's, or if the column ``grave`` (the attribute tells
+    variants apart or names the product) is true.
+    """
     order = F.struct("grp_precedence", "grp_sources", "grp_method", -F.col("grp"))
     other = F.struct("grp_precedence", "grp_sources", "grp_method", "grp")
     per_key = stats.groupBy(*KEY).agg(
@@ -156,6 +207,7 @@ def with_defaults(records: DataFrame, products: DataFrame, defaults: DataFrame)
 
 def golden_records(observations: DataFrame) -> DataFrame:
     """Winners with confidence, from observations with either a number or a text as value; null values are ignored."""
+    observations = once(observations, "observations")
     numbers = observations.where(F.col("value_number").isNotNull() & ~F.isnan("value_number"))
     filled = F.trim(F.coalesce("value_text", F.lit(""))) != ""
     if "value_list" in observations.columns:

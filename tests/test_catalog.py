@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from catalith import registry, session
 from catalith.functions import extraction, identity, normalize
 from catalith.operators import detail, enrich, golden, graph, linking, quality, review, search
-from catalith.plans import catalog_queries, detail_queries, product_queries, view_queries  # noqa: F401
+from catalith.plans import catalog_queries, detail_queries, product_queries, stream_queries, view_queries  # noqa: F401
 from catalith.sinks import exports
 from catalith.sources import files
 from catalith.streaming import events

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from catalith.functions import identity
+from catalith.functions import extraction, identity
 from catalith.operators import golden, quality, search
 
 OBS = "product_id string, code string, obs_seq long, value_number double, value_text string, source_id string, source_kind string, method string, quote_verified boolean, value_list array<string>, grave boolean"
@@ -110,6 +110,8 @@ def test_shape_of_part_numbers(spark, text, want):
         ("Part no. X-1; part number: Y/22, 240/415 V and 5-1-1", ["X-1", "Y/22"]),
         ("order code zz", []),
         ("catalogue number=12", []),
+        ("SKU:ab-12, model (NSX 100) mpn: Q70", ["ab-12", "Q70"]),
+        ("Order Code: NSX100F-C20 on DIN rail", ["NSX100F-C20"]),
         (None, None),
     ],
 )
@@ -121,3 +123,20 @@ def test_family_of_a_part_number(spark):
     base = lambda mpn, series=None: one(spark, identity.variant_base(F.lit(mpn), F.lit(series).cast("string")))
     assert (base("CB-100-2P-C20"), base("VX1-2P-C20"), base("A-B"), base("X", "S9"), base("--")) == ("CB-100", "VX1", None, "S9", None)
     assert one(spark, identity.variant_base_id(F.lit("Acme Inc."), F.lit("CB-100-2P-C20"), F.lit(None).cast("string"))) == one(spark, identity.product_id(F.lit("ACME"), F.lit("cb100")))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Size: 3 in", ("Size", "3 in")), ("Temp - 5", None), ("Temp – -5 C", ("Temp", "-5 C")), ("Flow  9: x", ("Flow", "9: x")), ("Made by - Acme", ("Made by", "Acme")), (": x", None), ("plain words", None), (None, None)],
+)
+def test_label_and_value(spark, text, want):
+    found = one(spark, extraction.label_and_value(F.lit(text).cast("string")))
+    assert (found and (found.label, found.value)) == want
+
+
+def test_value_of_a_labelled_line(spark):
+    text = "About\nManufacturer: acme\nThe brand - Acme Works; Series: X9"
+    upper = lambda v: v.rlike("^[A-Z]")
+    assert one(spark, extraction.labelled_value(F.lit(text), ["manufacturer", "brand"], upper)) == "Acme Works"
+    assert one(spark, extraction.labelled_value(F.lit(text), ["series"], upper)) == "X9"
+    assert one(spark, extraction.labelled_value(F.lit(text), ["line"], upper)) is None
