@@ -72,13 +72,18 @@ def row_keyed(df: DataFrame) -> tuple[DataFrame, str]:
     whenever and however the file is read. Rows that don't come straight from Parquet files are stored first.
     """
     row = free_name(df, "row_key")
-    key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(row)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        # the rows may have a column of that name themselves
+        place = rows.metadataColumn("_metadata")
+        return rows.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(row))
+
     if _reads_files(df):
         try:
-            return df.select("*", key), row
+            return keyed(df), row
         except AnalysisException:  # files of another format have no row numbers
             pass
-    return stored(df, "rows").select("*", key), row
+    return keyed(stored(df, "rows")), row
 
 
 def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, total: int) -> DataFrame:

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from catalith.llm.common import attach, row_keyed, stored
 
 WHITE_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-#: Above any length; a null id counts as the largest.
-_NO_ID = (1 << 63) - 1
 #: Holds 2**63 minus any long, so also 2**64.
 _BIG = 1 << 65
 _HALF = 1 << 63
@@ -33,8 +31,10 @@ def without_space(text: Column) -> Column:
 
 
 def _keep_order(size: Column, doc_id: Column) -> Column:
-    """One number that is larger for longer texts and, among those, for smaller ids; decimals stay in hash aggregation."""
-    return (size.cast("decimal(11,0)") * _number(_BIG) + (_number(_HALF) - doc_id.cast("decimal(20,0)"))).cast("decimal(38,0)")
+    """One number that is larger for longer texts and, among those, for smaller ids, null ones last; decimals stay in hash aggregation."""
+    # a null id counts as 2**63, which no long is
+    known = F.coalesce(doc_id.cast("long").cast("decimal(20,0)"), _number(_HALF))
+    return (size.cast("decimal(11,0)") * _number(_BIG) + (_number(_HALF) - known)).cast("decimal(38,0)")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,11 +42,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(
         without_space(text).alias("content"),
-        _keep_order(F.char_length(text), F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID))).alias("rank"),
+        _keep_order(F.char_length(text), docs[id_col]).alias("rank"),
     )
     groups = rows.groupBy(F.unhex(F.md5("content")).alias("content_hash"), "content").agg(F.count("*").alias("group_size"), F.max("rank").alias("rank"))
     low = F.col("rank") % _number(_BIG)
-    keep = (_number(_HALF) - low).cast("long")
+    keep = F.when(low != 0, (_number(_HALF) - low).cast("long"))
     return groups.select("content_hash", F.unhex(F.sha2("content", 256)).alias("sha"), "group_size", keep.alias("keep_id"))
 
 
@@ -54,7 +54,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of ``docs``: its id, keep_id, group_size, kept, text_sha256 of the content.
 
     Null and empty texts, and texts of white space alone, are equal to each other. Rows that repeat an
-    id and a content get the same verdict, so they stay or go together. A null id counts as the largest,
+    id and a content get the same verdict, so they stay or go together. A null id comes after all others,
     and keep_id is null if only such rows have the content. An empty table gives an empty result; other
     columns are not read. Two contents with one content hash are told apart by bytes when grouped and
     by their SHA-256 when joined.
@@ -64,9 +64,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hashed = docs.select(docs[id_col].cast("long").alias("id"), without_space(text).alias("content"))
     rows = stored(hashed.select("id", F.unhex(F.md5("content")).alias("content_hash"), F.unhex(F.sha2("content", 256)).alias("sha")), "content-hashes")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    keep = F.when(F.col("keep_id") != _NO_ID, F.col("keep_id"))
     return attach(rows, groups, ["content_hash", "sha"], "group_size", total).select(
-        F.col("id").alias(id_col), keep.alias("keep_id"), "group_size", F.coalesce(F.col("id"), F.lit(_NO_ID)).eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
@@ -77,7 +76,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     keyed, row = row_keyed(docs)
     text = F.coalesce(keyed[text_col].cast("string"), F.lit(""))
-    rank = _keep_order(F.char_length(text), F.coalesce(keyed[id_col].cast("long"), F.lit(_NO_ID)))
+    rank = _keep_order(F.char_length(text), keyed[id_col])
     content = keyed.select(keyed[row].alias("row"), keyed[id_col].isNull().alias("no_id"), rank.alias("rank"), without_space(text).alias("content"))
     rows = stored(content.select("row", "no_id", "rank", F.unhex(F.md5("content")).alias("content_hash"), F.unhex(F.sha2("content", 256)).alias("sha")), "content-ranks")
     keys = ["content_hash", "sha"]

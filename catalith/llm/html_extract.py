@@ -33,10 +33,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements often left open; they don't nest.
 LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
 ARTICLE = frozenset(["article", "main"])
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|newsletter|popup|modal|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|masthead|footer|comments?|disqus|replies|share|sharing|social|related|recommended|subscribe|pagination|pager|skip)(?:$|[\s_-])", re.I)
 #: In an article, ambiguous words are left to the differencing: only these whole class tokens, and these whole ids, are no content.
 IN_ARTICLE = frozenset("ad ads advert advertisement sponsored comments comment-list comments-area comment-respond disqus newsletter newsletter-signup sidebar breadcrumb breadcrumbs pagination navbar navigation share-buttons sharing-buttons social-share social-links related-posts related-articles recommended-posts cookie-consent cookie-banner subscribe-box".split())
 IN_ARTICLE_IDS = frozenset(["disqus_thread"])
+#: Outside one, these whole class tokens and whole ids too; a word inside a longer name says nothing.
+OUTSIDE = IN_ARTICLE | IN_ARTICLE_IDS | frozenset("advertising banner cookie cookies consent notice popup modal side menu nav masthead footer header site-footer site-header replies share sharing social related recommended subscribe pager skip skip-link promo promotion sponsor".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^>\"']*")
@@ -56,10 +57,8 @@ def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").strip()
         if name in ("class", "id"):
-            if in_article:
-                if name == "class" and not IN_ARTICLE.isdisjoint(value.lower().split()) or name == "id" and value.lower() in IN_ARTICLE_IDS:
-                    return True
-            elif NAMED.search(value):
+            known = OUTSIDE if not in_article else IN_ARTICLE if name == "class" else IN_ARTICLE_IDS
+            if not known.isdisjoint(value.lower().split() if name == "class" else [value.lower()]):
                 return True
         elif name == "role":
             if value.lower() in ROLES:

@@ -26,8 +26,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Rows of each language that the model is fitted on, chosen by a hash of text; all where there are fewer.
 ROWS_PER_LANGUAGE = 2000
-#: Labels that are learnt, the most frequent ones; a model takes BUCKETS * 4 bytes a label.
-LANGUAGES = 256
+#: Different labels that can be learnt; more are an error, as that is no column of languages. A model takes BUCKETS * 4 bytes a label.
+LANGUAGES = 2048
 SMOOTHING = 0.5
 EM_STEPS = 12
 #: A language must raise the log-likelihood by PENALTY * log(1 + n-grams).
@@ -48,6 +48,9 @@ def gram_buckets(text: str) -> Iterator[np.ndarray]:
     """Hash buckets of the n-grams of the lower-cased text, in blocks; everything but letters and their marks counts as one blank."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     letter = _letters()[np.minimum(points, 0x2FFFF)]
+    if (high := points > 0x2FFFF).any():
+        kinds, at = np.unique(points[high], return_inverse=True)
+        letter[high] = np.array([cp < 0x110000 and unicodedata.category(chr(cp))[0] in "LM" for cp in kinds.tolist()], bool)[at]
     points = np.where(letter, points, np.uint32(32))
     keep = np.ones(len(points), bool)
     keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
@@ -130,14 +133,16 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str, lang_col: str, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Fit on at most about ``rows_per_language`` rows of each of the ``languages`` most frequent labels, taken by hash of the text.
+    """Fit on at most about ``rows_per_language`` rows of each label, taken by hash of the text; more than ``languages`` labels are a ValueError.
 
     Only counts by those labels and by (label, bucket) reach the driver.
     """
     spark = labelled.sparkSession
     bounded_batches(spark)
     rows = labelled.where(labelled[lang_col].isNotNull()).select(labelled[lang_col].cast("string").alias("lang"), F.coalesce(labelled[text_col].cast("string"), F.lit("")).alias("text"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(languages + 1).collect()}
+    if len(sizes) > languages:
+        raise ValueError(f"column {lang_col} has more than {languages} labels")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
@@ -157,10 +162,12 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str, rows_per_language: in
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(tally[seen])], ["lang", "bucket", "n"])
 
     found = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    chance = np.full((BUCKETS, len(languages)), SMOOTHING, np.float64)
+    # sums are rounded to float32 above 2**24 only
+    chance = np.full((BUCKETS, len(languages)), SMOOTHING, np.float32 if len(languages) > 256 else np.float64)
     column = found["lang"].map({lang: k for k, lang in enumerate(languages)}).to_numpy(np.int64)
     chance[found["bucket"].to_numpy(np.int64), column] += found["n"].to_numpy(np.float64)
-    return Model(languages, (chance / chance.sum(0)).astype(np.float32))
+    chance /= chance.sum(0, dtype=np.float64)
+    return Model(languages, chance.astype(np.float32, copy=False))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from catalith.llm.common import attach, bounded_batches, free_name, quoted, stored
+from catalith.llm.common import BATCH_ROWS, attach, bounded_batches, free_name, quoted, stored
 from catalith.llm.run_length_index import seen_earlier
 
 LENGTH = 100
@@ -230,22 +230,27 @@ def _fetch_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for ids, twin, text, wanted in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.large_binary()), batch.column(3).to_pylist(), strict=True):
+        for ids, twin, text, wanted in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.large_binary()), batch.column(3), strict=True):
             data = text.as_py()
-            for w in wanted:
-                anchor, start, n = w["anchor"], w["start"], w["n"]
-                if not w["crowded"]:
-                    rows.append((anchor, -1, ids, twin, start, 0, data[start : start + n + LENGTH - 1]))
-                    continue
-                for k in range(start, start + n):
-                    string, place = data[k : k + LENGTH], (ids, twin, k)
-                    known = first.setdefault((anchor, string), place)
-                    if place < known:
-                        first[anchor, string] = place
-                    if place != known:
-                        again.add(max(place, known))
-            if len(rows) + len(first) + len(again) > STRINGS_HELD:
-                yield settled()
+            # one document's spans stay in Arrow; a slice of them at a time becomes Python numbers
+            spans = wanted.values
+            for at in range(0, len(spans), BATCH_ROWS):
+                part = spans.slice(at, BATCH_ROWS)
+                for anchor, start, n, crowded in zip(*(part.field(c).to_pylist() for c in ("anchor", "start", "n", "crowded")), strict=True):
+                    if not crowded:
+                        rows.append((anchor, -1, ids, twin, start, 0, data[start : start + n + LENGTH - 1]))
+                        continue
+                    for k in range(start, start + n):
+                        string, place = data[k : k + LENGTH], (ids, twin, k)
+                        known = first.setdefault((anchor, string), place)
+                        if place < known:
+                            first[anchor, string] = place
+                        if place != known:
+                            again.add(max(place, known))
+                        if len(first) + len(again) > STRINGS_HELD:
+                            yield settled()
+                    if len(rows) + len(first) + len(again) > STRINGS_HELD:
+                        yield settled()
     if rows or first:
         yield settled()
 
@@ -345,8 +350,10 @@ def _with_twin(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Col
     """id (never null), and twin, which tells rows with one id and different texts apart, 0 where ids don't repeat."""
     known = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(_NO_ID))
     repeats = docs.groupBy(known.alias("id")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] > 1
-    twin = F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))) if repeats else F.lit(0).cast("long")
-    return known, twin
+    mark = F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")))
+    # a null id comes after the largest one
+    own = F.when(F.col(quoted(id_col)).isNull(), mark.bitwiseAND(F.lit(_NO_ID))).when(known == _NO_ID, mark.bitwiseOR(F.lit(~_NO_ID))).otherwise(mark)
+    return known, own if repeats else F.lit(0).cast("long")
 
 
 def repeat_runs(texts: DataFrame, group_spans: int = GROUP_SPANS) -> DataFrame:
@@ -376,10 +383,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     known, twin = _with_twin(docs, id_col, text_col)
-    texts = docs.select(known.alias("id"), twin.alias("twin"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary").alias("text"))
-    joined = texts.join(repeat_runs(texts, group_spans), ["id", "twin"], "left").select("id", "text", "runs")
+    own = F.col(quoted(id_col)).cast("long").alias("own")
+    texts = docs.select(known.alias("id"), twin.alias("twin"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary").alias("text"), own)
+    joined = texts.join(repeat_runs(texts.drop("own"), group_spans), ["id", "twin"], "left").select("own", "text", "runs")
     out = joined.mapInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col)
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:

@@ -88,3 +88,53 @@ def test_null_ids_and_repeated_rows(spark):
     classes = simhash.near_duplicates(docs).collect()
     assert {(r.doc_id, r.component_id) for r in classes} == {(1, 1), (None, 1), (None, 2), (2, 2)}
     assert simhash.near_duplicates(docs.where("doc_id is null and text is not null")).first().component_id is None
+
+
+@pytest.mark.parametrize("stored", [False, True])
+@pytest.mark.parametrize("step", [exact_dedup.deduplicated, simhash.deduplicated])
+def test_a_column_named_as_the_hidden_one(spark, tmp_path, step, stored):
+    docs = spark.createDataFrame([(1, "one two three four", 7), (2, "one two three four", 8), (3, "other words alone", 9)], "doc_id long, text string, _metadata int")
+    if stored:
+        docs.write.parquet(f"{tmp_path}/docs")
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = step(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "one two three four", 7), (3, "other words alone", 9)]
+
+
+HIGH = (1 << 63) - 1
+
+
+def test_largest_id_is_no_null(spark):
+    docs = spark.createDataFrame([(HIGH, "a b"), (None, "ab"), (None, "c"), (HIGH, "d")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()), key=str)
+    assert got == sorted([(HIGH, HIGH, 2, True), (None, HIGH, 2, False), (None, None, 1, True), (HIGH, HIGH, 1, True)], key=str)
+    long = "one passage of more than a hundred bytes that stands in two documents, and is taken from the second of them alone"
+    rows = [(None, long + " y"), (HIGH, "x " + long), (HIGH, "x " + long), (None, "short"), (HIGH, long + " y")]
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    same = [n for i, n, _ in got if i == HIGH]
+    assert [i for i, _, _ in got].count(None) == 2 and len(same) == 3
+    # of the passages, one of the two texts with the largest id keeps it; the null id, which comes last, loses it
+    assert sorted(m for i, n, m in got if i is None) == [0, len(long) + 2]
+    assert {i: m for i, n, m in ((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.without_repeats(spark.createDataFrame([(HIGH, long), (None, long)], "doc_id long, text string")).collect())} == {HIGH: 0, None: len(long)}
+
+
+def test_too_many_labels_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "ab", "x"), (2, "cd", "y"), (3, "ef", "z")], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        langid.fit(docs, "text", "lang", languages=2)
+    assert langid.fit(docs, "text", "lang", languages=3).languages == ["x", "y", "z"]
+
+
+def test_letters_above_the_third_plane():
+    rare, plain = "\U00030000\U00030001 \U00030002", "\U00020000\U00020001 \U00020002"
+    assert sum(len(g) for g in langid.gram_buckets(rare)) == sum(len(g) for g in langid.gram_buckets(plain)) > 12
+
+
+def test_one_document_with_many_crowded_spans(spark, monkeypatch):
+    """What a task holds is settled inside a document too."""
+    monkeypatch.setattr(suffix_dedup, "STRINGS_HELD", 20)
+    block = "the same forty bytes that all spans begin with " * 3
+    rows = [(i, " ".join(f"{block}{i}{k} and more" for k in range(12))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(tuple, suffix_dedup.without_repeats(docs, group_spans=2).collect()))
+    assert few == sorted(map(tuple, suffix_dedup.without_repeats(docs).collect())) and sum(r[2] for r in few) > 4000

@@ -259,3 +259,12 @@ def test_ranges_need_no_more_than_their_sources(seed):
         got |= {taken[i]: gone.tolist() for i, gone in html_extract.template_lines(listed, mine)}
     assert got == want
     assert max(map(len, needs)) <= 16
+
+
+def test_words_inside_longer_names_are_no_chrome(spark):
+    """On a page without an article element, headings and blocks with ordinary names stay; whole names of chrome go."""
+    blocks = ['<h2 id="side-effects">Known effects of it</h2>', '<section id="related-work"><p>Earlier work on this.</p></section>', '<p class="share-price">It closed at nine.</p>', '<div class="notice-period">Three months.</div>', "<p>Plain words.</p>"]
+    chrome = ['<div class="ad x">Buy this</div>', '<div id="sidebar">Links</div>', '<div class="comments">Reader says</div>', '<div class="cookie-consent">We use them</div>']
+    page = "<html><body>" + "".join(blocks + chrome) + "</body></html>"
+    got = html_extract.main_text(spark.createDataFrame([(1, "http://a.org/x", page)], "page_id long, url string, html string")).first().text
+    assert got.split("\n\n") == ["Known effects of it", "Earlier work on this.", "It closed at nine.", "Three months.", "Plain words."]
