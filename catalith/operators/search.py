@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,53 +44,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(both > 1e-10, dot / both).otherwise(0.0)
 
 
-#: Queries that are scored together: they are broadcast as one matrix, 4096 rows of 1000 numbers are 32 MB.
-QUERY_BLOCK = 4096
-
-
-def _best_in_batches(names: np.ndarray, asked: np.ndarray, k: int):
-    """The k rows of each batch nearest to each query, by a product of matrices."""
-
-    def scan(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 4096):
-                part = pdf.iloc[at : at + 4096]
-                block = np.stack(part["vector"].to_numpy()).astype(np.float64)
-                scores = asked @ (block / np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-10)).T
-                ids = part["id"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                scores, ids = scores[:, order], ids[order]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(names, top.shape[1]), "id": ids[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-
-    return scan
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
-    """For each query (query_id, vector), the k nearest of all vectors by cosine, ties by id: query_id, rank, id, score.
-
-    Any number of queries: they are dealt by hash into blocks of about QUERY_BLOCK, each block is broadcast
-    and scored against all vectors, and k rows a query and batch meet for the final ranking. A zero vector has
-    cosine 0; null vectors are left out.
-    """
-    narrow = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    asked = queries.where(F.col("vector").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    blocks = max(1, -(-asked.count() * 5 // (QUERY_BLOCK * 4)))
-    best = None
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if not rows:
-            continue
-        matrix = np.array([r.vector for r in rows], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-10)
-        found = narrow.mapInPandas(_best_in_batches(np.array([r.query_id for r in rows], np.int64), matrix, k), "query_id long, id long, score double")
-        best = found if best is None else best.unionByName(found)
-    if best is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
-
-
 def token_scores(products: DataFrame, attributes: DataFrame, question: str) -> DataFrame:
     """What products (product_id, identity) and their attributes (product_id, label, shown, value_number, variant_defining) have in common with a question: product_id, raw.
 

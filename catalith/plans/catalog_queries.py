@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalith.functions import identity, normalize
-from catalith.operators import enrich, golden, graph, linking, quality, review, search
+from catalith.operators import enrich, golden, graph, linking, nearest, quality, review, search
 from catalith.plans import catalog
 from catalith.plans.catalog import ATTRIBUTES_SQL, METHOD_SQL, OBSERVATIONS_SQL, PRECEDENCE_SQL, PRODUCTS_SQL, table
 from catalith.registry import query
@@ -451,10 +451,19 @@ _TOPK = "q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE v
 @query("sem_topk", f"WITH {_TOPK} SELECT query_id, rank, id, {_round('score', 5)} AS score FROM r WHERE rank <= 10")
 def sem_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    found = search.nearest(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10, "vec_id", "embedding")
+    found = nearest.nearest(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10, "vec_id", "embedding")
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", normalize.round_half_up(F.col("score"), 5).alias("score"))
 
 
+@query("sem_index_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def sem_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = nearest.inverted_lists(v, "vec_id", "embedding", lists=64)
+    found = nearest.recall(index.search(asked, 10, probes=40), nearest.nearest(v, asked, 10, "vec_id", "embedding"))
+    return found.select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 #: The question, whose own vector is that of row 0.
 _QUESTION = "widget 20"
 _WORD = "CASE WHEN contains(lower(shown), '{0}') OR contains(lower(code), '{0}') THEN CASE WHEN variant_defining THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END ELSE 0.0::DOUBLE END"
@@ -469,7 +478,7 @@ def sem_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = exports.rendered(catalog.attributes(spark, sf_dir)).withColumn("label", F.col("code"))
     scores = search.token_scores(p, facts, _QUESTION)
     v = table(spark, sf_dir, "embeddings")
-    semantic = search.nearest(v, v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 300, "vec_id", "embedding")
+    semantic = nearest.nearest(v, v.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 300, "vec_id", "embedding")
     found = search.hybrid(scores, semantic.select(F.col("id").alias("product_id"), F.col("score").alias("semantic_score")), 100)
     return found.select("product_id", normalize.round_half_up(F.col("score"), 6).alias("score"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from catalith import registry, session
 from catalith.functions import extraction, identity, normalize
-from catalith.operators import detail, enrich, golden, graph, linking, quality, review, search
+from catalith.operators import detail, enrich, golden, graph, linking, nearest, quality, review, search
 from catalith.plans import catalog_queries, detail_queries, product_queries, stream_queries, view_queries  # noqa: F401
 from catalith.sinks import exports
 from catalith.sources import files
@@ -193,7 +193,7 @@ def test_near_part_numbers_find_all(spark):
 
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.7, 0.7]), (4, [0.0, 0.0]), (5, None)], "id long, v array<double>")
-    got = [(r.rank, r.id) for r in search.nearest(rows, spark.createDataFrame([(9, [1.0, 0.1])], "query_id long, vector array<double>"), 2, "id", "v").orderBy("rank").collect()]
+    got = [(r.rank, r.id) for r in nearest.nearest(rows, spark.createDataFrame([(9, [1.0, 0.1])], "query_id long, vector array<double>"), 2, "id", "v").orderBy("rank").collect()]
     assert got == [(1, 1), (2, 3)]
     assert one(spark, search.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))) == 0.0
 

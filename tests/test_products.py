@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith.functions import values
-from catalith.operators import graph, intake, linking, listing, quality, review, search, validate
+from catalith.operators import graph, intake, linking, listing, nearest, quality, review, search, validate
 from catalith.sinks import exports
 
 DEFINED = "code string, raw string, datatype string, cardinality string, unit_family string, canonical_unit string, low double, high double, allowed array<string>, max_length int, pattern string"
@@ -131,23 +131,22 @@ def test_search_falls_back_and_index(spark, tmp_path):
     assert [tuple(r) for r in search.load_index(spark, f"file://{tmp_path}/index", "m").collect()] == [("b", [0.6, 0.8])]
 
 
-def test_many_blocks_of_queries(spark, monkeypatch):
+def test_many_blocks_of_queries(spark):
     import numpy as np
 
     r = np.random.default_rng(3)
     data = r.normal(size=(60, 5))
     data[7] = 0
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, v array<double>").repartition(3)
-    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
     asked = rows.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
     got = {}
-    for x in search.nearest(rows, asked, 4, "id", "v").orderBy("query_id", "rank").collect():
+    for x in nearest.nearest(rows, asked, 4, "id", "v").orderBy("query_id", "rank").collect():
         got.setdefault(x.query_id, []).append(x.id)
     unit = data / np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-10)
     for q in range(0, 60, 3):
         scores = unit @ unit[q]
         assert got[q] == sorted(range(60), key=lambda i: (-scores[i], i))[:4]
-    assert search.nearest(rows, asked.where("false"), 4, "id", "v").count() == 0
+    assert nearest.nearest(rows, asked.where("false"), 4, "id", "v").count() == 0
 
 
 def test_labels_by_words(spark):
@@ -214,3 +213,42 @@ def test_from_files_to_values(spark, tmp_path):
     order = [r.code for r in sorted(got, key=lambda r: r.obs_seq) if r.mpn == "VX100-1P" and r.code != "price"]
     assert order[-1] == "finish"
     pieces.unpersist()
+
+
+def test_blocks_hold_one_list_each(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(nearest, "HELD_ROWS", 10)
+    r = np.random.default_rng(1)
+    keys, ids, x = r.integers(0, 3, 50).astype(np.int32), r.permutation(50), r.normal(size=(50, 3))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a : a + 7]), pa.array(ids[a : a + 7]), pa.array(x[a : a + 7].tolist())], ["list", "id", "vector"]) for a in range(0, 50, 7)]
+    seen = {}
+    for b in nearest._packed(iter(batches)):
+        names = np.frombuffer(b.column(1)[0].as_py(), np.int64)
+        rows = np.frombuffer(b.column(3)[0].as_py()).reshape(len(names), 3)
+        assert len(names) <= 8 and (np.diff(names) > 0).all()
+        seen |= {int(i): (b.column(0)[0].as_py(), v) for i, v in zip(names, rows, strict=True)}
+    for k, i, v in zip(keys, ids, x, strict=True):
+        assert seen[int(i)][0] == k and np.allclose(seen[int(i)][1], v / np.linalg.norm(v))
+
+
+def test_lists_probed_all_are_exact_and_few_are_near(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 8))
+    data = [(i, (centres[i % 12] + 0.2 * r.normal(size=8)).tolist()) for i in range(600)] + [(600, None), (601, [0.0] * 8)]
+    rows = spark.createDataFrame(data, "id long, v array<double>").repartition(3)
+    asked = rows.where("id % 50 = 0 and v is not null").select(F.col("id").alias("query_id"), F.col("v").alias("vector"))
+    exact = nearest.nearest(rows, asked, 5, "id", "v")
+    index = nearest.inverted_lists(rows, "id", "v", lists=12)
+    assert index.blocks.agg(F.sum("rows")).first()[0] == 601
+    order = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id").collect()))
+    assert order(index.search(asked, 5, probes=12)) == order(exact)
+    nearest.save(index, f"{tmp_path}/index")
+    again = nearest.load(spark, f"{tmp_path}/index")
+    found = nearest.recall(again.search(asked, 5, probes=2), exact).first()
+    assert found.queries == 12 and found.recall >= 0.9
+    assert nearest.inverted_lists(rows.where("false"), "id", "v", lists=4).search(asked, 3, probes=2).count() == 0
