@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions.normalize import render_number, round_half_up
+from catalith.sources.kept import kept
 
 MIN_PEERS, OUTLIER_Z = 4, 3.5
 CHANNELS = ["core", "ecommerce", "enhanced"]
@@ -46,14 +47,35 @@ def medians(values: DataFrame, by: list[str], value: str, sizes: DataFrame, buff
     return small.unionByName(found)
 
 
+def _counted_stats(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Median, n, low, high and mad of groups from their distinct values with counts: both medians by running sums in one exchange."""
+    group = Window.partitionBy(*by)
+    running = lambda order: F.sum("times").over(group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    low_rank, high_rank = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    at = lambda upto, rank, x: F.min(F.when(F.col(upto) > rank, F.col(x).cast("double")))  # noqa: E731  the value at a rank from 0
+    rows = counted.withColumn("n", F.sum("times").over(group)).where(F.col("n") >= MIN_PEERS).withColumn("upto", running("value"))
+    rows = rows.withColumn("median", (at("upto", low_rank, "value").over(group) + at("upto", high_rank, "value").over(group)) / 2)
+    rows = rows.withColumn("away", F.abs(F.col("value") - F.col("median"))).withColumn("upto", running("away"))
+    return rows.groupBy(*by, "n", "median").agg(F.min("value").alias("low"), F.max("value").alias("high"), ((at("upto", low_rank, "away") + at("upto", high_rank, "away")) / 2).alias("mad")).select(*by, "median", "n", "low", "high", "mad")
+
+
 def peer_stats(values: DataFrame, by: list[str], value: str, buffered: int = BUFFERED_ROWS) -> DataFrame:
-    """Exact median and median absolute deviation of each peer group of four or more, in two passes."""
-    known = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("value"))
-    sizes = known.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).where(F.col("n") >= MIN_PEERS)
-    first = sizes.join(medians(known, by, "value", sizes.select(*by, "n"), buffered), by)
+    """Exact median and median absolute deviation of each peer group of four or more.
+
+    Values are counted first; of a group, its distinct values are ranked. Groups with more than ``buffered``
+    of those go through ``medians`` twice, so that no task holds one. Null groups are left out.
+    """
+    known = values.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("value")).dropna(subset=by)
+    counted = kept(known.groupBy(*by, "value").agg(F.count("*").alias("times")), "counted-values")
+    sizes = counted.groupBy(*by).agg(F.sum("times").alias("n"), F.count("*").alias("distinct"), F.min("value").alias("low"), F.max("value").alias("high"))
+    large = sizes.where(F.col("distinct") > buffered).drop("distinct")
+    if large.isEmpty():
+        return _counted_stats(counted, by)
+    first = large.join(medians(known, by, "value", large.select(*by, "n"), 0), by)
     away = known.join(first.select(*by, "median"), by).select(*by, F.abs(F.col("value") - F.col("median")).alias("value"))
-    spread = medians(away, by, "value", sizes.select(*by, "n"), buffered)
-    return first.join(spread.withColumnRenamed("median", "mad"), by).select(*by, "median", "n", "low", "high", "mad")
+    spread = medians(away, by, "value", large.select(*by, "n"), 0)
+    wide = first.join(spread.withColumnRenamed("median", "mad"), by).select(*by, "median", "n", "low", "high", "mad")
+    return _counted_stats(counted.join(large.select(*by), by, "left_anti"), by).unionByName(wide)
 
 
 def is_outlier(value: Column, median: Column, mad: Column) -> Column:
