@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from catalith import session
 from catalith.functions import identity, values
 from catalith.operators import extract, golden, graph, intake, listing, quality, review, search, validate
 from catalith.plans import catalog
 from catalith.plans.catalog import ATTRIBUTES_SQL, OBSERVATIONS_SQL, PRODUCTS_SQL, table
 from catalith.registry import query
 from catalith.sinks import exports
+from catalith.sources import pages
 
 
 def _key() -> Column:
@@ -334,3 +336,43 @@ def sem_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     definitions = kinds.select("category_id", F.explode(codes).alias("d")).select("category_id", "d.*").withColumn("variant_defining", (F.col("code") == "size") & (F.col("category_id") != "PROMO"))
     found = search.answers(p, catalog.attributes(spark, sf_dir), definitions, ["price"])
     return found.select("product_id", "code", "value", "source_id", "confidence", F.col("code").isin("name", "size").alias("listed"))
+
+
+def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each product: page_id, html, with a table, bullets, terms and a JSON-LD record, most elements left open."""
+    text = lambda c: F.col(c).cast("string")
+    record = F.to_json(F.struct(F.lit("Product").alias("@type"), text("p_partkey").alias("sku"), F.struct(text("p_retailprice").alias("price"), F.array(text("p_size"), F.lit("x")).alias("codes")).alias("offers"), F.array(F.struct(F.lit("Size").alias("name"), text("p_size").alias("value"))).alias("additionalProperty")))
+    parts = ["<title>no</title><nav><ul><li>Home: x<li>Shop: y</ul></nav><h1>", text("p_name"), "</h1><table><caption>Data of ", text("p_brand"), "</caption><tr><th>Size<td>", text("p_size"), "<tr><th>Brand</th><td>", text("p_brand"), "</td></table><table><tr><td>one row</table><ul><li>Type: ", text("p_type"), "<li>Sold as - ", text("p_name"), "<li>no label</ul><dl><dt>Key<dd>", text("p_partkey"), "</dl><script type='application/ld+json'>", record, "</script><!-- <p>hidden</p>"]
+    page = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("page_id"), page.alias("html"))
+
+
+def _cells(spark: SparkSession, sf_dir: str, locator: str) -> DataFrame:
+    found = pages.page_fragments(_product_pages(spark, sf_dir), "page_id", "html").where(F.startswith("locator", F.lit(locator)))
+    return found.select("source_id", "locator", "caption", F.posexplode("cells").alias("row", "cell")).select("source_id", "locator", "caption", F.col("row").cast("long").alias("row"), F.col("cell")[0].alias("label"), F.col("cell")[1].alias("value"))
+
+
+@query("src_html_tables", """SELECT p_partkey::VARCHAR AS source_id, 'table:nth(1)' AS locator, 'Data of ' || p_brand AS caption, 0::BIGINT AS row, 'Size' AS label, p_size::VARCHAR AS value FROM part UNION ALL
+SELECT p_partkey::VARCHAR, 'table:nth(1)', 'Data of ' || p_brand, 1, 'Brand', p_brand FROM part""")
+def src_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, "table")
+
+
+@query("src_html_lists", """SELECT p_partkey::VARCHAR AS source_id, 'ul:nth(1)' AS locator, 0::BIGINT AS row, 'Type' AS label, p_type AS value FROM part UNION ALL SELECT p_partkey::VARCHAR, 'ul:nth(1)', 1, 'Sold as', p_name FROM part UNION ALL
+SELECT p_partkey::VARCHAR, 'dl:nth(1)', 0, 'Key', p_partkey::VARCHAR FROM part""")
+def src_html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, "ul").unionByName(_cells(spark, sf_dir, "dl")).drop("caption")
+
+
+@query("src_json_ld", """SELECT p_partkey::VARCHAR AS source_id, 0::BIGINT AS row, 'sku' AS label, p_partkey::VARCHAR AS value FROM part UNION ALL SELECT p_partkey::VARCHAR, 2, 'offers.codes', p_size::VARCHAR FROM part UNION ALL
+SELECT p_partkey::VARCHAR, 3, 'offers.codes', 'x' FROM part UNION ALL SELECT p_partkey::VARCHAR, 4, 'Size', p_size::VARCHAR FROM part""")
+def src_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # prices are written in another way by each engine
+    return _cells(spark, sf_dir, "script").where("label <> 'offers.price'").drop("caption", "locator")
+
+
+@query("sql_page_fragments", "SELECT p_partkey::VARCHAR AS page_id, 'h1' AS locator, p_name AS text FROM part UNION ALL SELECT p_partkey::VARCHAR, 'dl:nth(1)', 'Key: ' || p_partkey FROM part")
+def sql_page_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages.register_parsers(spark)
+    session.register({"product_pages": _product_pages(spark, sf_dir)})
+    return session.read_sql(spark, "SELECT page_id, f.locator, f.text FROM product_pages, LATERAL page_fragments(html) f WHERE f.locator IN ('h1', 'dl:nth(1)')")

@@ -30,7 +30,7 @@ _UNRESOLVED = {"UnresolvedRelation", "UnresolvedInlineTable", "ResolvedInlineTab
 _LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef", "ResolvedInlineTable"}
 #: Groups of built-in functions that only compute.
 _GROUPS = {f"{g}_funcs" for g in "agg array bitwise collection conditional conversion csv datetime generator hash json lambda map math predicate string struct url variant window".split()}
-_HARMLESS = {"range", "typeof", "hll_sketch_estimate", "hll_union", "kll_sketch_get_quantile_double", "kll_sketch_merge_double", "kll_sketch_get_n_double", "uuid"}
+_HARMLESS = {"range", "page_fragments", "typeof", "hll_sketch_estimate", "hll_union", "kll_sketch_get_quantile_double", "kll_sketch_merge_double", "kll_sketch_get_n_double", "uuid"}
 #: Functions of this library that SQL may call: name -> parameters, type and body.
 FUNCTIONS = {
     "squeezed": ("x STRING", "STRING", "regexp_replace(lower(x), '[^a-z0-9]', '')"),

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
 import functools
-import html
 import io
 import re
 import zipfile
@@ -16,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from catalith.functions import identity, vocabulary
+from catalith.sources.pages import page_structure
 
 FRAGMENT = "source_id string, pos int, kind string, locator string, text string"
 
@@ -124,49 +123,17 @@ def read_feed(spark: SparkSession, path: str | list[str], sep: str = ",") -> Dat
     return rows.select(F.col("__path").alias("path"), (F.col("__at") - F.col("__first") + F.col("__before") + 2).alias("row"), F.explode(cells).alias("c")).select("path", "row", "c.*").where("value <> ''")
 
 
-_TAGS = re.compile(r"<!--.*?-->|<(script|style|nav|footer|noscript|svg|form)\b.*?</\1\s*>", re.S | re.I)
-_BLOCK = re.compile(r"<(h1|title|p|li|dt|dd|tr|caption)\b[^>]*>(.*?)(?=<(?:/?(?:h1|title|p|ul|ol|li|dt|dd|dl|tr|table|caption|article|div|body|section|header|main))\b|$)", re.S | re.I)
-_CELL = re.compile(r"<t[hd]\b[^>]*>(.*?)(?=</?t[hdr]\b|$)", re.S | re.I)
-
-
-def _text(markup: str) -> str:
-    return " ".join(html.unescape(re.sub(r"<[^>]+>", " ", markup)).split())
-
-
 def html_fragments(source: str | None) -> list[tuple[str, str, str]]:
-    """(kind, locator, text) of a page: heading, key-value bullets and terms, table rows, paragraphs of 40 characters or more."""
-    body = _TAGS.sub(" ", source or "")
+    """(kind, locator, text) of a page, a row of a table or a pair each: heading, tables, pairs, bullets, paragraphs of 40 characters or more."""
     out: list[tuple[str, str, str]] = []
-    seen: dict[str, int] = {}
-    term, title, heading = None, None, None
-    row = re.compile(r"<tr\b[^>]*>(.*?)(?=<tr\b|</table|$)", re.S | re.I)
-    tables = [m.start() for m in re.finditer(r"<table\b", body, re.I)]
-    for m in row.finditer(body):
-        cells = [_text(c) for c in _CELL.findall(m[1])]
-        if any(cells):
-            seen["tr"] = seen.get("tr", 0) + 1
-            out.append(("table", f"table:nth({bisect.bisect(tables, m.start())}) tr:nth({seen['tr']})", "\t".join(cells)))
-    for m in _BLOCK.finditer(body):
-        tag, text = m[1].lower(), _text(m[2])
-        if not text or tag in ("tr", "caption"):
-            continue
-        seen[tag] = seen.get(tag, 0) + 1
-        where = f"{tag}:nth({seen[tag]})"
-        pair = re.fullmatch(r"([^:]{1,60}):\s+(\S.*)", text)
-        if tag == "h1":
-            heading = heading or ("heading", where, text)
-        elif tag == "title":
-            title = title or ("heading", where, text)
-        elif tag == "dt":
-            term = text
-        elif tag == "dd":
-            out.append(("keyvalue", where, f"{term or ''}\t{text}"))
-        elif pair and (tag == "li" or len(text) < 40):
-            out.append(("keyvalue", where, f"{pair[1]}\t{pair[2]}"))
-        elif tag == "li" or len(text) >= 40:
-            out.append(("text", where, text))
-    head = heading or title
-    return ([head] if head else []) + out
+    for f in page_structure(source, least_rows=1, least_pairs=1):
+        if f.kind == "table":
+            out += [(f.kind, f"{f.locator} tr:nth({k})", "\t".join(row)) for k, row in enumerate(f.cells, 1)]
+        elif f.kind == "keyvalue":
+            out += [(f.kind, f.locator, "\t".join(row)) for row in f.cells]
+        else:
+            out += [(f.kind, f.locator, line) for line in f.text.split("\n")]
+    return out
 
 
 def read_pages(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
