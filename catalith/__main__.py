@@ -1,4 +1,4 @@
-"""Command line: python -m catalith ingest | build | status | list | show | search | review | correct | schema | query | summary | export."""
+"""Command line: python -m catalith ingest | build | audit | lift | status | list | show | search | review | correct | schema | query | summary | export."""
 
 from __future__ import annotations
 
@@ -22,6 +22,9 @@ def main(given: list[str] | None = None) -> None:
     ingest.add_argument("--sep", help="separator of all feeds; each feed is looked at without it")
     build = commands.add_parser("build", help="golden records, conflicts and scores")
     build.add_argument("required", help="CSV of category_id, channel, code, variant_defining")
+    build.add_argument("--rule", action="append", default=[], metavar="NAME=CONDITION", help="a condition over numeric codes, such as fits=width <= height")
+    commands.add_parser("audit", help="what each step read, wrote and refused")
+    commands.add_parser("lift", help="scorecard of the last build beside the one before")
     commands.add_parser("status", help="sources by status and rows of the tables")
     listed = commands.add_parser("list", help="products with their scores")
     listed.add_argument("--manufacturer")
@@ -49,7 +52,13 @@ def main(given: list[str] | None = None) -> None:
     if args.command == "ingest":
         print(engine.ingest(spark, args.feeds, args.root, args.sep), "files taken in")
     elif args.command == "build":
-        engine.build(spark, args.root, spark.read.schema(REQUIRED).option("header", "true").csv(args.required))
+        rules = dict(r.split("=", 1) for r in args.rule)
+        for name, rows in engine.build(spark, args.root, spark.read.schema(REQUIRED).option("header", "true").csv(args.required), rules).items():
+            print(rows, name)
+    elif args.command == "audit":
+        engine.audit(spark, args.root).show(LISTED, WIDTH)
+    elif args.command == "lift":
+        engine.lift(spark, args.root).show(LISTED, WIDTH)
     elif args.command == "status":
         engine.status(spark, args.root).show(LISTED, WIDTH)
     elif args.command == "list":

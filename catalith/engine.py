@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import time
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from catalith import session
 from catalith.functions import identity, normalize
-from catalith.operators import golden, quality
+from catalith.operators import golden, quality, validate
 from catalith.operators.detail import looked_up, shown
 from catalith.operators.review import REVIEW_CONFIDENCE, corrected, flags, prioritised, producer
 from catalith.operators.search import token_scores
 from catalith.operators.views import table_summary
-from catalith.sinks import exports
+from catalith.sinks import exports, versions
 from catalith.sources import files
+from catalith.sources.kept import kept
 
 OBSERVATION = "product_id string, code string, obs_seq decimal(38,0), value_number double, value_text string, source_id string, source_kind string, method string, quote_verified boolean"
 PRODUCT = "product_id string, manufacturer string, mpn string, category_id string, source_id string"
 MANIFEST = "source_id string, path string, status string, batch int"
 #: Columns of a feed that tell the product; all others are attributes.
 IDENTITY = ["manufacturer", "mpn", "category"]
-BUILT = ["golden", "conflicts", "scores"]
+BUILT = ["golden", "conflicts", "scores", "issues", "scorecard"]
 
 
 def stored(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
@@ -34,17 +38,22 @@ def stored(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def feed_rows(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def feed_rows(cells: DataFrame, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Products and observations from cells (source_id, source_kind, row, key, value, batch); rows without a maker or part number go.
 
-    Cells of one row meet once, in one shuffle on (source_id, row).
+    Cells of one row meet once, in one shuffle on (source_id, row). ``seen`` counts rows and refused ones while observations are written.
     """
     named = cells.withColumn("key", F.lower(F.trim("key")))
     first = [F.min(F.when(F.col("key") == c, F.col("value"))).alias(c) for c in IDENTITY]
     facts = F.collect_list(F.when(~F.col("key").isin(IDENTITY), F.struct("key", "value"))).alias("facts")
-    rows = named.groupBy("source_id", "source_kind", "row", "batch").agg(*first, facts).where("manufacturer is not null and mpn is not null")
-    rows = rows.withColumn("product_id", identity.product_id(F.col("manufacturer"), F.col("mpn")))
-    products = rows.select("product_id", "manufacturer", "mpn", F.col("category").alias("category_id"), "source_id").distinct()
+    rows = named.groupBy("source_id", "source_kind", "row", "batch").agg(*first, facts)
+    lacking = F.col("manufacturer").isNull() | F.col("mpn").isNull()
+    named_rows = rows.where(~lacking)
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(lacking).alias("refused"))
+    rows = rows.where(~lacking).withColumn("product_id", identity.product_id(F.col("manufacturer"), F.col("mpn")))
+    named_rows = named_rows.withColumn("product_id", identity.product_id(F.col("manufacturer"), F.col("mpn")))
+    products = named_rows.select("product_id", "manufacturer", "mpn", F.col("category").alias("category_id"), "source_id").distinct()
     # order of arrival: batch, row, and a part of the source's hash for rows of one number; wide enough for any of them
     wide = lambda x: F.lit(str(x)).cast("decimal(30,0)")
     order = (F.col("batch").cast("decimal(10,0)") * wide(1 << 84) + F.col("row").cast("decimal(20,0)") * wide(1 << 20) + F.pmod(F.crc32("source_id"), F.lit(1 << 20))).cast("decimal(38,0)")
@@ -82,9 +91,13 @@ def ingest(spark: SparkSession, feeds: str, root: str, sep: str | None = None) -
         cells = parts[0]
         for more in parts[1:]:
             cells = cells.unionByName(more)
-        products, observations = feed_rows(cells.withColumn("path", path).join(known, "path"))
-        observations.write.mode("append").parquet(f"{root}/observations")
-        products.write.mode("append").parquet(f"{root}/products")
+        start, seen, taken_in, told_of = time.time(), Observation("rows"), Observation("observations"), Observation("products")
+        products, observations = feed_rows(cells.withColumn("path", path).join(known, "path"), seen)
+        observations.observe(taken_in, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(f"{root}/observations")
+        products.observe(told_of, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(f"{root}/products")
+        spent = time.time() - start
+        steps = [("sources", n, 0), ("rows", seen.get["rows"], seen.get["refused"]), ("observations", taken_in.get["rows"], 0), ("products", told_of.get["rows"], 0)]
+        versions.record(spark, root, [("ingest", name, rows, refused, spent, f"batch-{batch}") for name, rows, refused in steps])
         taken.write.mode("append").parquet(f"{root}/manifest")
     taken.unpersist()
     return n
@@ -99,20 +112,76 @@ def tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {"products": products, "observations": seen.select(*[c.split()[0] for c in OBSERVATION.split(", ")])}
 
 
-def build(spark: SparkSession, root: str, required: DataFrame) -> None:
-    """Golden records, conflicts and scores from all observations; required: category_id, channel, code, variant_defining."""
-    now = tables(spark, root)
-    golden.golden_records(now["observations"]).write.mode("overwrite").parquet(f"{root}/golden")
-    records = spark.read.parquet(f"{root}/golden")
+def build(spark: SparkSession, root: str, required: DataFrame, rules: dict[str, str] | None = None) -> dict[str, int]:
+    """Golden records, conflicts, issues and scores from all observations, published at once; the number of rows of each table.
+
+    required: category_id, channel, code, variant_defining. Numbers are compared with those of the same code and
+    category; ``rules`` are conditions over numeric codes by name, such as ``width <= height``. A lost build leaves
+    the last one as it was.
+    """
+    now, version = tables(spark, root), versions.Version(spark, root)
+    records = version.write("golden", golden.golden_records(now["observations"]))
+    products = now["products"].withColumn("is_family", F.lit(False))
+    clashes = version.write("conflicts", golden.conflicts(records))
+    peers = records.where("value_number is not null").join(products.select("product_id", "category_id"), "product_id").select("product_id", "category_id", "code", F.col("value_number").alias("value"))
+    judged = quality.outliers(peers, ["category_id", "code"], "value")
+    message = quality.outlier_message(F.col("value"), F.col("median"), F.col("mad"), F.col("n"), F.col("low"), F.col("high"))
+    judged = kept(judged.select("product_id", "code", F.col("outlier").alias("out"), F.when(F.col("outlier"), message).alias("message")), "outliers")
+    results = _rule_results(records, rules or {})
+    found = validate.issues(validate.identity_issues(products), validate.outlier_issues(judged.where("out")), validate.conflict_issues(clashes), validate.rule_issues(results))
+    found = version.write("issues", found)
+    checks = _checks(judged, results, found)
     attributes = records.withColumns({"generated": F.lit(False), "inferred": F.lit(False), "verified": F.coalesce("quote_verified", F.lit(False))})
-    checks = spark.createDataFrame([], "product_id string, passed long, applicable long, errors long, outliers long, numeric long")
-    scores = quality.quality(now["products"].withColumn("is_family", F.lit(False)), attributes, required, checks)
-    exports.rebuild({"conflicts": golden.conflicts(records), "scores": scores}, root)
+    scores = version.write("scores", quality.quality(products, attributes, required, checks))
+    version.write("scorecard", quality.scorecard(scores))
+    return version.publish()
+
+
+def _rule_results(records: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """product_id, rule_id, passed, message of each rule that applies: all codes that it names must be there."""
+    if not rules:
+        return records.sparkSession.createDataFrame([], "product_id string, rule_id string, passed boolean, message string")
+    codes = sorted({w for text in rules.values() for w in re.findall(r"[a-z_]\w*", text, re.I)})
+    wide = records.where(F.col("code").isin(codes)).groupBy("product_id").pivot("code", codes).agg(F.first("value_number"))
+    said = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
+    found = quality.evaluate_rules(wide, {name: quality.rule_condition(text, codes) for name, text in rules.items()})
+    return found.withColumn("message", said[F.col("rule_id")])
+
+
+def _checks(judged: DataFrame, results: DataFrame, found: DataFrame) -> DataFrame:
+    """What scores need of each product: rules passed and applicable, errors, outliers and numbers with peers."""
+    none = lambda *names: [F.lit(0).cast("long").alias(n) for n in names]
+    parts = [
+        results.select("product_id", F.col("passed").cast("long").alias("passed"), F.lit(1).cast("long").alias("applicable"), *none("errors", "outliers", "numeric")),
+        found.where("level = 'error' and kind <> 'rule'").select("product_id", *none("passed", "applicable"), F.lit(1).cast("long").alias("errors"), *none("outliers", "numeric")),
+        judged.where("out is not null").select("product_id", *none("passed", "applicable", "errors"), F.col("out").cast("long").alias("outliers"), F.lit(1).cast("long").alias("numeric")),
+    ]
+    names = ["passed", "applicable", "errors", "outliers", "numeric"]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("product_id").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def lift(spark: SparkSession, root: str) -> DataFrame:
+    """Scorecard of the last build beside that of the build before: metric, before, after, change; before is null for the first."""
+    def long(card: DataFrame, name: str) -> DataFrame:
+        return card.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias(name)) for c in card.columns])).alias("x")).select("x.*")
+
+    after = long(versions.read(spark, root, "scorecard"), "after")
+    first = len(versions.published(spark, root)) < 2
+    before = after.select("metric", F.lit(None).cast("double").alias("before")) if first else long(versions.read(spark, root, "scorecard", 1), "before")
+    return before.join(after, "metric").select("metric", "before", "after", quality.round_half_up(F.col("after") - F.col("before"), 4).alias("change")).orderBy("metric")
+
+
+def audit(spark: SparkSession, root: str) -> DataFrame:
+    """Steps of all runs in order: what was read, written and refused."""
+    return stored(spark, root, "audit", versions.AUDIT).orderBy("at", "step", "name")
 
 
 def views(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Tables of the catalog, registered for SQL."""
-    found = tables(spark, root) | {name: spark.read.parquet(f"{root}/{name}") for name in BUILT}
+    build_of = versions.published(spark, root)
+    if not build_of:
+        raise FileNotFoundError(f"nothing is built in {root} yet")
+    found = tables(spark, root) | {name: spark.read.parquet(f"{build_of[-1]}/{name}") for name in BUILT}
     session.register(found)
     return found
 
