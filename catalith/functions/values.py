@@ -106,12 +106,12 @@ def normalized(rows: DataFrame, synonyms: dict[str, str] | None = None, learned:
     """Rows (code, raw and the columns of DEFINITION) with value_number, value_text, value_boolean, value_list, unit, errors, notes and unit_assumed.
 
     A null or blank raw value has the error 'empty value'. learned: a map column from spelling to value, of
-    the row's code; canonical: certification labels. An error leaves the value null, but for bounds and patterns.
+    the row's code; canonical: certification labels; both maps and ``synonyms`` are those of the vocabulary if left out. An error leaves the value null, but for bounds and patterns.
     """
     for name, kind in DEFINITION.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    table = F.create_map(*[F.lit(x) for pair in (synonyms or {"": ""}).items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in (vocabulary.ENUM_SYNONYMS if synonyms is None else synonyms or {"": ""}).items() for x in pair])
     own = learned if learned is not None else F.lit(None).cast("map<string,string>")
     raw = F.col("raw").cast("string")
     empty = F.trim(F.coalesce(raw, F.lit(""))) == ""
@@ -123,7 +123,7 @@ def normalized(rows: DataFrame, synonyms: dict[str, str] | None = None, learned:
 
     def several() -> Column:
         pieces = F.filter(F.transform(F.split(raw, r"[;,•\n]"), lambda t: F.trim(plain(t))), lambda t: t != "")
-        values = F.when(F.col("code") == "certifications", certifications(raw, canonical or {})).otherwise(pieces)
+        values = F.when(F.col("code") == "certifications", certifications(raw, vocabulary.CERTIFICATIONS if canonical is None else canonical)).otherwise(pieces)
         return bound(values, lambda v: result(values=F.when(F.size(v) > 0, v), errors=_texts(F.when(F.size(v) == 0, F.lit("no values parsed")))))
 
     def text() -> Column:

@@ -252,3 +252,10 @@ def test_lists_probed_all_are_exact_and_few_are_near(spark, tmp_path):
     found = nearest.recall(again.search(asked, 5, probes=2), exact).first()
     assert found.queries == 12 and found.recall >= 0.9
     assert nearest.inverted_lists(rows.where("false"), "id", "v", lists=4).search(asked, 3, probes=2).count() == 0
+
+
+def test_shipped_spellings(spark):
+    allowed = {"datatype": "enum", "allowed": ["Stainless Steel 316", "NPT Threaded", "DIN Rail", "3"]}
+    got = normal(spark, [("m", "SS316", allowed), ("c", "female npt", allowed), ("r", "35mm DIN rail", allowed), ("p", "three phase", allowed), ("x", "velvet", allowed), ("certifications", "ul489; CE marked, Energy Star; other", {"cardinality": "multi"})])
+    assert [r["value_text"] for r in got[:5]] == ["Stainless Steel 316", "NPT Threaded", "DIN Rail", "3", None]
+    assert got[5]["value_list"] == ["UL 489", "CE", "ENERGY STAR", "other"]
