@@ -49,7 +49,7 @@ class Version:
 
     def __init__(self, spark: SparkSession, root: str, step: str = "build") -> None:
         self.spark, self.root, self.step = spark, root, step
-        self.name = f"v-{uuid.uuid4().hex}"
+        self.name = f"{step}-{uuid.uuid4().hex}"
         self.path = f"{root}/built/{self.name}"
         self.counts: dict[str, int] = {}
         self._seconds: dict[str, float] = {}

@@ -88,3 +88,43 @@ def test_late_rows_and_windows(spark, tmp_path):
         out.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     got = {(str(r.start)[11:13], r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("00", 2), ("02", 1), ("03", 1)}
+
+
+def test_corrections_in_batches_that_run_again(spark, tmp_path):
+    from catalith.operators import quality, review
+    from catalith.sinks import versions
+    from catalith.streaming import corrections
+
+    root = f"{tmp_path}/corrections"
+    seen = spark.createDataFrame([(f"p{k}", code, 10 * k + j, v, t, f"s{j}", "catalog", "native_table", True) for k in range(4) for j, (code, v, t) in enumerate([("width", float(k), None), ("finish", None, "matt")])], "product_id string, code string, obs_seq long, value_number double, value_text string, source_id string, source_kind string, method string, quote_verified boolean")
+    products = spark.createDataFrame([(f"p{k}", "pumps", False) for k in range(4)], "product_id string, category_id string, is_family boolean")
+    required = spark.createDataFrame([("pumps", "core", "width", False), ("pumps", "core", "height", False)], "category_id string, channel string, code string, variant_defining boolean")
+    checks = spark.createDataFrame([], "product_id string, passed long, applicable long, errors long, outliers long, numeric long")
+    records = golden.golden_records(seen)
+    records.write.parquet(f"{tmp_path}/golden")
+    records = spark.read.parquet(f"{tmp_path}/golden")
+    facts = records.withColumns({"generated": F.lit(False), "inferred": F.lit(False), "verified": F.lit(True)})
+    flags = review.flags(review.producer(records, "low_confidence: x", "warning", F.col("confidence"))).withColumn("resolved", F.lit(False))
+    base = {"products": products, "observations": seen, "golden": records, "scores": quality.quality(products, facts, required, checks), "flags": flags}
+    definitions = spark.createDataFrame([("pumps", "width", "number", None), ("pumps", "height", "number", None), ("pumps", "finish", "enum", ["matt", "gloss"])], "category_id string, code string, datatype string, allowed array<string>")
+    apply = corrections.correction_batches(base, definitions, required, checks, root)
+    source = f"{tmp_path}/asked"
+
+    def ask(rows):
+        spark.createDataFrame(rows, corrections.CORRECTION).coalesce(1).write.mode("append").parquet(source)
+        events.run_available(spark.readStream.schema(corrections.CORRECTION).parquet(source), f"{tmp_path}/cp", apply)
+
+    ask([(1, "p1", "width", "7.5", "ann"), (2, "p2", "finish", "velvet", "ann"), (3, "p1", "height", "4", "ann")])
+    ask([(1, "p3", "finish", "Gloss", "bob")])
+    now = corrections.current(spark, base, root)
+    value = {(r.product_id, r.code): (r.value_number, r.value_text, r.method) for r in now["golden"].collect()}
+    assert value["p1", "width"] == (7.5, None, "human") and value["p1", "height"][0] == 4.0 and value["p3", "finish"] == (None, "gloss", "human")
+    assert value["p2", "finish"] == (None, "matt", "native_table") and len(value) == 9
+    assert [(r.product_id, r.correction_seq) for r in now["refused"].collect()] == [("p2", 2)]
+    assert {r.product_id: r.completeness_core for r in now["scores"].collect()} == {"p0": 0.5, "p1": 1.0, "p2": 0.5, "p3": 0.5}
+    assert {(r.product_id, r.code) for r in now["flags"].where("resolved").collect()} == {("p1", "width"), ("p3", "finish")}
+    assert [tuple(r) for r in now["synonyms"].where("code = 'finish'").collect()] == [("finish", "matt", "gloss", 1)]
+    before = {name: sorted(map(str, t.collect())) for name, t in now.items()}
+    apply(spark.createDataFrame([(9, "p0", "width", "99", "eve")], corrections.CORRECTION), 1)
+    assert len(versions.published(spark, root)) == 2 and {name: sorted(map(str, t.collect())) for name, t in corrections.current(spark, base, root).items()} == before
+    assert now["observations"].count() == 11
