@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.operators import dictionary, enrich, golden, quality, views
+from catalith.operators import dictionary, enrich, golden, profile, quality, views
 from catalith.plans import catalog
 from catalith.plans.catalog import ATTRIBUTES_SQL, PRODUCTS_SQL, table
 from catalith.registry import query
@@ -142,3 +142,28 @@ def agg_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_mean_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = catalog.observations(spark, sf_dir).where("value_number > 0")
     return rows.groupBy("source_kind").agg(golden.round_half_up(F.avg("value_number"), 4).alias("mean"))
+
+
+_PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_partkey", "l_returnflag", "l_linestatus"]
+_PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS nulls, " + (f"NULL::DOUBLE AS low, NULL::DOUBLE AS high, min({c}) AS first, max({c}) AS last" if c in ("l_returnflag", "l_linestatus") else f"min({c})::DOUBLE + 0 AS low, max({c})::DOUBLE + 0 AS high, NULL AS first, NULL AS last") + ", true AS distinct_close, true AS middle_close FROM lineitem" for c in _PROFILED
+)
+
+
+@query("agg_profile", _PROFILE_SQL)
+def agg_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of four parts of the rows, combined; distinct values must be within 3 % of the exact ones, the middle within 2 % of the ranks."""
+    rows = table(spark, sf_dir, "lineitem").select(*_PROFILED)
+    parts = [profile.sketched(rows.where(F.pmod(F.xxhash64("l_partkey"), F.lit(4)) == k)) for k in range(4)]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    found = profile.summarized(profile.combined(whole))
+    numbers = _PROFILED[:4]
+    ranks = [F.percentile(c, [0.48, 0.52]).alias(f"m_{c}") for c in numbers]
+    exact = rows.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in _PROFILED], *ranks)
+    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d_{c}").alias("exact"), (F.col(f"m_{c}") if c in numbers else F.lit(None).cast("array<double>")).alias("middle")) for c in _PROFILED])))
+    close = F.abs(F.col("distinct_about") - F.col("exact")) <= 0.03 * F.col("exact")
+    middle = F.col("middle").isNull() | F.col("q50").between(F.col("middle")[0], F.col("middle")[1])
+    nulls = F.round(F.col("null_share") * F.col("n")).cast("long")
+    return found.join(exact, "column_name").select("column_name", "n", nulls.alias("nulls"), "low", "high", "first", "last", close.alias("distinct_close"), middle.alias("middle_close"))

@@ -110,7 +110,7 @@ def test_shape_of_part_numbers(spark, text, want):
         ("Part no. X-1; part number: Y/22, 240/415 V and 5-1-1", ["X-1", "Y/22"]),
         ("order code zz", []),
         ("catalogue number=12", []),
-        ("SKU:ab-12, model (NSX 100) mpn: Q70", ["ab-12", "Q70"]),
+        ("SKU:ab-12, model (NSX 100) mpn: Q70", ["ab-12", "Q70", "AB-12"]),
         ("Order Code: NSX100F-C20 on DIN rail", ["NSX100F-C20"]),
         (None, None),
     ],
