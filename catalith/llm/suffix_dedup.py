@@ -351,9 +351,16 @@ def _with_twin(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Col
     known = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(_NO_ID))
     repeats = docs.groupBy(known.alias("id")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0] > 1
     mark = F.xxhash64(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")))
-    # a null id comes after the largest one
-    own = F.when(F.col(quoted(id_col)).isNull(), mark.bitwiseAND(F.lit(_NO_ID))).when(known == _NO_ID, mark.bitwiseOR(F.lit(~_NO_ID))).otherwise(mark)
-    return known, own if repeats else F.lit(0).cast("long")
+    # the largest id has a negative twin, and a null one, which comes after it, has none
+    largest = (known == _NO_ID) & F.col(quoted(id_col)).isNotNull()
+    if not repeats:
+        return known, F.when(largest, F.lit(-1)).otherwise(F.lit(0)).cast("long")
+    return known, F.when(largest, mark.bitwiseOR(F.lit(~_NO_ID))).when(known == _NO_ID, mark.bitwiseAND(F.lit(_NO_ID))).otherwise(mark)
+
+
+def _own_id(id_: Column, twin: Column) -> Column:
+    """The id as it was, null again where it was."""
+    return F.when((id_ != _NO_ID) | (twin < 0), id_)
 
 
 def repeat_runs(texts: DataFrame, group_spans: int = GROUP_SPANS) -> DataFrame:
@@ -383,9 +390,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     bounded_batches(docs.sparkSession)
     known, twin = _with_twin(docs, id_col, text_col)
-    own = F.col(quoted(id_col)).cast("long").alias("own")
-    texts = docs.select(known.alias("id"), twin.alias("twin"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary").alias("text"), own)
-    joined = texts.join(repeat_runs(texts.drop("own"), group_spans), ["id", "twin"], "left").select("own", "text", "runs")
+    texts = docs.select(known.alias("id"), twin.alias("twin"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary").alias("text"))
+    # texts are shuffled as in repeat_runs, so that Spark shuffles them once
+    joined = texts.join(repeat_runs(texts, group_spans), ["id", "twin"], "left").select(_own_id(F.col("id"), F.col("twin")).alias("id"), "text", "runs")
     out = joined.mapInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
