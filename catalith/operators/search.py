@@ -125,9 +125,10 @@ def answers(hits: DataFrame, attributes: DataFrame, definitions: DataFrame, aske
 
 def structured_or_nearest(found: DataFrame, near: DataFrame, limit: int) -> DataFrame:
     """Products that meet the predicates; where there are none, the nearest by vector (product_id, score)."""
-    if not found.isEmpty():
-        return found.select("product_id", F.lit(None).cast("double").alias("score"), F.lit("structured").alias("mode"))
-    return near.orderBy(F.desc("score"), "product_id").limit(limit).select("product_id", "score", F.lit("semantic").alias("mode"))
+    mode = lambda rows, name: rows.select("product_id", F.col("score").cast("double").alias("score"), F.lit(name).alias("mode"))
+    met = found.agg(F.count("*").alias("met"))
+    instead = near.orderBy(F.desc("score"), "product_id").limit(limit).crossJoin(F.broadcast(met)).where("met = 0")  # one row
+    return mode(found.select("product_id", F.lit(None).alias("score")), "structured").unionByName(mode(instead, "semantic"))
 
 
 def embedding_key(model: str, text: Column) -> Column:

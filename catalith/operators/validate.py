@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalith.functions.normalize import render_number
 from catalith.operators.linking import verified_quotes
 from catalith.operators.views import issues
+from catalith.sources.kept import kept, once
 
 
 def _issue(rows: DataFrame, code: Column | None, level: str, kind: str, message: Column) -> DataFrame:
@@ -30,7 +31,8 @@ def definition_issues(products: DataFrame, records: DataFrame, definitions: Data
     """
     of = products.select("product_id", "category_id").join(categories.select("category_id", "category_name"), "category_id", "left")
     known = definitions.select("category_id", "code", "datatype", "allowed", F.lit(True).alias("known"))
-    rows = records.join(of, "product_id").join(known, ["category_id", "code"], "left")
+    # four checks read them
+    rows = kept(records.join(of, "product_id").join(known, ["category_id", "code"], "left"), "defined-records")
     code, shown = F.col("code"), F.coalesce("value_text", render_number(F.col("value_number")))
     defined, open_ = rows.where("known"), rows.where("known is null")
     undefined = _issue(open_, code, "warning", "undefined", F.format_string("%s: not defined in the '%s' attribute set", code, F.coalesce("category_name", "category_id")))
@@ -79,6 +81,7 @@ def conflict_issues(conflicts: DataFrame) -> DataFrame:
 
 def product_issues(products: DataFrame, records: DataFrame, definitions: DataFrame, categories: DataFrame, mirrors: DataFrame | None = None, rules: DataFrame | None = None, outliers: DataFrame | None = None, conflicts: DataFrame | None = None) -> DataFrame:
     """All issues: product_id, code, level, kind, message. What isn't given isn't checked."""
+    products, records = once(products, "products"), once(records, "records")
     parts = [identity_issues(products), definition_issues(products, records, definitions, categories)]
     for given, check in ((mirrors, lambda m: quote_issues(records, m)), (rules, rule_issues), (outliers, outlier_issues), (conflicts, conflict_issues)):
         if given is not None:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith import engine
+from catalith.__main__ import main
 from catalith.operators import quality
 from catalith.sinks import versions
 
@@ -55,12 +56,21 @@ def test_lift_and_audit(spark, root):
     assert {r.name: r.rows for r in steps if r.step == "build"}["golden"] == 12 and len({r.run for r in steps}) == 3
 
 
+def test_commands(spark, root, tmp_path, capsys):
+    (tmp_path / "required.csv").write_text("category_id,channel,code,variant_defining\npumps,core,width,false\n")
+    main(["--root", root, "build", f"{tmp_path}/required.csv", "--rule", "fits=width <= height"])
+    main(["--root", root, "audit"])
+    main(["--root", root, "lift"])
+    said = capsys.readouterr().out
+    assert "12 golden" in said and "refused" in said and "mean_consistency" in said
+
+
 def test_a_build_that_is_lost_changes_nothing(spark, root, monkeypatch):
     before = sorted(map(str, engine.views(spark, root)["scores"].collect()))
     monkeypatch.setattr(quality, "scorecard", lambda scores: scores.select(F.raise_error(F.lit("lost")).alias("x")))
     with pytest.raises(Exception, match="lost"):
         engine.build(spark, root, spark.createDataFrame([("pumps", "core", "nothing", False)], REQUIRED))
-    assert sorted(map(str, engine.views(spark, root)["scores"].collect())) == before and len(versions.published(spark, root)) == 2
+    assert sorted(map(str, engine.views(spark, root)["scores"].collect())) == before and len(versions.published(spark, root)) == 3
 
 
 def test_two_builds_at_once(spark, tmp_path):
