@@ -81,9 +81,9 @@ def sibling_consensus(products: DataFrame, attributes: DataFrame, missing: DataF
     return missing.select("product_id", "code").join(products.select("product_id", "base_id"), "product_id").join(agreed.drop("most"), ["base_id", "code"]).select("product_id", "code", "value", "siblings", "donor")
 
 
-def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
-    """Base rows of other keys, and all delta rows."""
-    return base.join(delta.select(key).distinct(), key, "left_anti").unionByName(delta)
+def upsert(base: DataFrame, delta: DataFrame, *key: str) -> DataFrame:
+    """Base rows of other keys, and all delta rows; a key may have several columns."""
+    return base.join(delta.select(*key).distinct(), [*key], "left_anti").unionByName(delta)
 
 
 def attached_assets(assets: DataFrame, products: DataFrame) -> DataFrame:
