@@ -241,6 +241,19 @@ def status(errors: Column, missing: Column, mean_confidence: Column, critical: C
 GENERIC = "industrial.generic"
 
 
+def mean_in_order(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """The mean of each key that has values, added up in the order of the rows in their Parquet files.
+
+    Partial sums depend on how files are cut into tasks, and their last digits decide where a mean meets a bound.
+    The running sum is that of a sorted window, so that no key's rows are held at once.
+    """
+    place = rows.metadataColumn("_metadata")
+    ordered = rows.select(*key, F.col(value).cast("double").alias("value"), place["file_path"].alias("file"), place["row_index"].alias("at")).where("value is not null")
+    in_order = Window.partitionBy(*key).orderBy("file", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = ordered.withColumns({"n": F.count("value").over(in_order), "total": F.sum("value").over(in_order)})
+    return running.groupBy(*key).agg((F.max_by("total", "n") / F.max("n")).alias("mean"))
+
+
 def keyword_category(texts: DataFrame, id_col: str, text_col: str, keywords: dict[str, list[str]], generic: str = GENERIC) -> DataFrame:
     """Best category by whole keywords in the lower-cased text, each hit worth 1.5 per word of the keyword.
 

@@ -1,5 +1,7 @@
 """Queries on tables whose keys, order or partitions aren't those of the small test tables."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
@@ -25,3 +27,20 @@ def test_upsert_with_keys_above_a_million(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     found = rows_of(registry.QUERIES["jn_upsert"](spark, str(tmp_path)))
     assert found == rows_of_sql("jn_upsert", tmp_path, "part") and len(found) == 12
+
+
+def test_means_at_the_bound_in_several_tasks(spark, tmp_path):
+    taxes = [0.01, 0.08, 0.03, 0.07, 0.02, 0.05, 0.01, 0.06, 0.04, 0.03, 0.04]
+    # each part has all of them in an order of its own, one after another in 4 files
+    draw = random.Random(5)
+    orders = [draw.sample(taxes, len(taxes)) for _ in range(300)]
+    rows = [(part, own[turn]) for turn in range(len(taxes)) for part, own in enumerate(orders)]
+    spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "l_partkey long, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions() > 2
+        found = rows_of(registry.QUERIES["agg_publish"](spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == rows_of_sql("agg_publish", tmp_path, "lineitem") and len({s for _, s in found}) == 2
