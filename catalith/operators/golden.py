@@ -16,6 +16,8 @@ from catalith.sources.kept import once
 
 TOLERANCE = 0.02
 KEY = ["product_id", "code"]
+#: What tells the entries of a key apart in ``summaries``.
+ENTRY = ["number", "text", "members", "source_id"]
 
 
 def lookup(values: dict, key: Column, default) -> Column:
@@ -90,7 +92,7 @@ def summaries(observations: DataFrame) -> DataFrame:
     text = F.when(F.col("value_number").isNull() & (F.trim("value_text") != ""), F.col("value_text"))
     rows = rows.withColumns({"number": number, "text": text, "members": F.when(F.col("value_number").isNull(), members), "is_grave": F.coalesce(F.col("grave"), F.lit(False)) if "grave" in rows.columns else F.lit(False)})
     order, kept, human = F.struct("precedence", "method_rank", -F.col("obs_seq")), _kept(rows.columns), F.when(F.col("method") == "human", F.col("obs_seq"))
-    return rows.where("number is not null or text is not null or members is not null").groupBy(*KEY, "number", "text", "members", "source_id").agg(
+    return rows.where("number is not null or text is not null or members is not null").groupBy(*KEY, *ENTRY).agg(
         F.min("obs_seq").alias("first_seq"), F.count("*").alias("n"), F.max("precedence").alias("precedence"), F.max("method_rank").alias("method_rank"),
         F.max_by(kept, order).alias("best"), F.max(order).alias("best_order"), F.max_by(kept, human).alias("human"), F.max(human).alias("human_seq"), F.bool_or("is_grave").alias("grave"),
     )

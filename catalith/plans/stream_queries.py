@@ -31,8 +31,9 @@ def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
 
 
 def _as_stream(rows: DataFrame, name: str, files: int = FILES) -> DataFrame:
-    """The rows, dealt into files by their hash, and read as a stream of batches of half the files."""
+    """The rows, dealt into files by their hash, one a core at least, and read as a stream of batches of half the files."""
     path = shared_path(rows.sparkSession, name)
+    files = max(files, rows.sparkSession.sparkContext.defaultParallelism)
     rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(path)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(path)
 

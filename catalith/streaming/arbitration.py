@@ -1,8 +1,9 @@
 """Golden records of a stream of observations: what arbitration needs is state, so that a batch costs what it touches.
 
-The state of a product's attribute has one entry for each value and source that was seen. Its size doesn't
+The state has one entry for each value and source of a product's attribute that was seen. Its size doesn't
 grow with repeats, entries don't depend on the order of arrival, and the records made from them are
-those of ``golden.golden_records`` over all observations so far.
+those of ``golden.golden_records`` over all observations so far. Entries are kept by Spark's own aggregation;
+only those that a time to live forgets are kept in Python.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from catalith.operators.golden import CARRIED, KEY, confidence, decided, group_stats, ranked
+from catalith.operators.golden import CARRIED, ENTRY, KEY, confidence, decided, group_stats, ranked, summaries
 
-#: The state store that keeps large state outside the heap; needed for transformWithState.
-STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: The state store that keeps large state outside the heap; needed for transformWithState. Counting its rows would read each before it is written.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 _ENTRY = "number double, text string, members string, source_id string, first_seq long, n long, precedence double, method_rank double, best string, best_precedence double, best_rank double, best_seq long, human string, human_seq long, grave boolean"
 _FIELDS = [f.split()[0] for f in _ENTRY.split(", ")]
 _BEST = ["best_precedence", "best_rank", "best_seq"]
@@ -86,28 +87,41 @@ def entries(observations: DataFrame) -> DataFrame:
 
 
 def arbitrated(observations: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Stream of the entries of all keys that each batch touches. With ``ttl_ms`` an entry is forgotten so long after its last change."""
+    """Stream of the entries that each batch changes, for update mode; columns as ``golden.summaries`` has them.
+
+    With ``ttl_ms`` an entry is forgotten so long after its last change, and each batch gives all entries of the keys
+    that it touches. Every entry then goes through Python several times, which is for small streams only.
+    """
+    if ttl_ms is None:
+        return summaries(observations)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in observations.select(*KEY).schema) + ", " + _ENTRY
-    return entries(observations).groupBy(*KEY).transformWithStateInPandas(Arbitration(ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
+    return entries(observations).groupBy(*KEY).transformWithStateInPandas(Arbitration(ttl_ms), schema, "Update", "ProcessingTime")
 
 
 def records(touched: DataFrame, observations: DataFrame) -> DataFrame:
-    """Golden records of entries; ``observations`` tells the columns and types that a winner carries."""
+    """Golden records of entries with a time to live; ``observations`` tells the columns and types that a winner carries."""
     carried = ranked(observations).select(*[c for c in CARRIED if c in observations.columns], "method_rank").schema
     rows = touched.withColumns({"best": F.from_json("best", carried), "human": F.from_json("human", carried), "best_order": F.struct("best_precedence", "best_rank", -F.col("best_seq"))})
     return confidence(decided(group_stats(rows.drop(*_BEST))))
 
 
 def written_batches(path: str, observations: DataFrame) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the records of each batch in a folder of its own; a batch that is run again replaces its folder."""
+    """For foreachBatch: what each batch changes in a folder of its own, entries or, with a time to live, records; a batch that is run again replaces its folder."""
 
     def apply(touched: DataFrame, batch: int) -> None:
-        records(touched, observations).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        rows = touched if "best_order" in touched.columns else records(touched, observations)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return apply
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    """The last record of each key in the batches that ``written_batches`` wrote."""
-    last = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("batch")))
-    return spark.read.parquet(path).withColumn("last", last).where("last = 1").drop("last", "batch")
+    """The records of all keys, from the last state of what ``written_batches`` wrote."""
+    rows = spark.read.parquet(path)
+    made = "rule" in rows.columns
+    # one exchange by key serves the choice of the last entries and all of arbitration; with a given number of parts it is
+    # not cut down to the size of the files, as the work on a key is much more than its bytes
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = F.max("batch").over(Window.partitionBy(*KEY, *([] if made else ENTRY)))
+    found = rows.repartition(parts, *KEY).withColumn("last", last).where("batch = last").drop("last", "batch")
+    return found if made else confidence(decided(group_stats(found)))

@@ -46,4 +46,4 @@ def latest(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def run_available(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> None:
     """Process everything that has landed, batch by batch, and stop; a checkpoint keeps what was done."""
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

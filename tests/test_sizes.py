@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from catalith import registry
 from catalith.plans import catalog_queries, product_queries, stream_queries, view_queries  # noqa: F401  they register their queries
+from catalith.streaming import arbitration
 
 
 def rows_of(df):
@@ -44,3 +45,10 @@ def test_means_at_the_bound_in_several_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert found == rows_of_sql("agg_publish", tmp_path, "lineitem") and len({s for _, s in found}) == 2
+
+
+def test_state_of_a_stream_needs_no_python(spark, tmp_path):
+    schema = "product_id long, code string, obs_seq long, value_number double, value_text string, source_id long, source_kind string, method string, quote_verified boolean"
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}")
+    plan = arbitration.arbitrated(stream)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan
