@@ -13,6 +13,7 @@ from catalith.plans.catalog import ATTRIBUTES_SQL, OBSERVATIONS_SQL, PRODUCTS_SQ
 from catalith.registry import query
 from catalith.sinks import exports
 from catalith.sources import pages
+from catalith.sources.kept import spread
 
 
 def _key() -> Column:
@@ -344,11 +345,13 @@ def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.to_json(F.struct(F.lit("Product").alias("@type"), text("p_partkey").alias("sku"), F.struct(text("p_retailprice").alias("price"), F.array(text("p_size"), F.lit("x")).alias("codes")).alias("offers"), F.array(F.struct(F.lit("Size").alias("name"), text("p_size").alias("value"))).alias("additionalProperty")))
     parts = ["<title>no</title><nav><ul><li>Home: x<li>Shop: y</ul></nav><h1>", text("p_name"), "</h1><table><caption>Data of ", text("p_brand"), "</caption><tr><th>Size<td>", text("p_size"), "<tr><th>Brand</th><td>", text("p_brand"), "</td></table><table><tr><td>one row</table><ul><li>Type: ", text("p_type"), "<li>Sold as - ", text("p_name"), "<li>no label</ul><dl><dt>Key<dd>", text("p_partkey"), "</dl><script type='application/ld+json'>", record, "</script><!-- <p>hidden</p>"]
     page = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("page_id"), page.alias("html"))
+    # dealt while rows are narrow; a page is made and read in one task
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")).select(F.col("p_partkey").cast("string").alias("page_id"), page.alias("html"))
 
 
-def _cells(spark: SparkSession, sf_dir: str, locator: str) -> DataFrame:
-    found = pages.page_fragments(_product_pages(spark, sf_dir), "page_id", "html").where(F.startswith("locator", F.lit(locator)))
+def _cells(spark: SparkSession, sf_dir: str, *locators: str) -> DataFrame:
+    """Cells of the fragments whose locator begins with one of these; pages are read once."""
+    found = pages.page_fragments(_product_pages(spark, sf_dir), "page_id", "html").where(F.col("locator").rlike(f"^({'|'.join(locators)})"))
     return found.select("source_id", "locator", "caption", F.posexplode("cells").alias("row", "cell")).select("source_id", "locator", "caption", F.col("row").cast("long").alias("row"), F.col("cell")[0].alias("label"), F.col("cell")[1].alias("value"))
 
 
@@ -361,7 +364,7 @@ def src_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src_html_lists", """SELECT p_partkey::VARCHAR AS source_id, 'ul:nth(1)' AS locator, 0::BIGINT AS row, 'Type' AS label, p_type AS value FROM part UNION ALL SELECT p_partkey::VARCHAR, 'ul:nth(1)', 1, 'Sold as', p_name FROM part UNION ALL
 SELECT p_partkey::VARCHAR, 'dl:nth(1)', 0, 'Key', p_partkey::VARCHAR FROM part""")
 def src_html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir, "ul").unionByName(_cells(spark, sf_dir, "dl")).drop("caption")
+    return _cells(spark, sf_dir, "ul", "dl").drop("caption")
 
 
 @query("src_json_ld", """SELECT p_partkey::VARCHAR AS source_id, 0::BIGINT AS row, 'sku' AS label, p_partkey::VARCHAR AS value FROM part UNION ALL SELECT p_partkey::VARCHAR, 2, 'offers.codes', p_size::VARCHAR FROM part UNION ALL

@@ -36,3 +36,8 @@ def once(df: DataFrame, name: str) -> DataFrame:
         plan = plan.children().head()
     # a union, join, window or aggregate below makes its rows each time
     return df if plan.children().isEmpty() else kept(df, name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt to as many tasks as shuffles have, for work that takes long for the bytes it reads: small files would give it to a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

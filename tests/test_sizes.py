@@ -52,3 +52,11 @@ def test_state_of_a_stream_needs_no_python(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}")
     plan = arbitration.arbitrated(stream)._jdf.queryExecution().analyzed().toString()
     assert "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_pages_of_a_small_file_are_read_by_many_tasks(spark):
+    for name in ("src_html_tables", "src_html_lists", "src_json_ld", "sql_page_fragments"):
+        found = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert found.rdd.getNumPartitions() >= 4, name
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("ArrowEvalPythonUDTF") + plan.count("BatchEvalPythonUDTF") == 1, name
