@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Predicates that hold both ways, and pairs that are each other's inverse.
 SYMMETRIC = ["compatible_with"]
 INVERSE = {"replaces": "replaced_by", "replaced_by": "replaces"}
+#: Tasks that the pairs of one family are dealt to.
+PAIR_SLOTS = 8
 EDGE = ["src", "predicate", "dst", "confidence"]
 
 
@@ -43,9 +45,16 @@ def build(products: DataFrame, sources: DataFrame, certifications: DataFrame) ->
 
 
 def family_pairs(products: DataFrame) -> DataFrame:
-    """Pairs of products with one base, smaller id first."""
-    left, right = products.select("base_id", F.col("product_id").alias("a")), products.select("base_id", F.col("product_id").alias("b"))
-    return left.join(right, "base_id").where("a < b").select("base_id", "a", "b")
+    """Pairs of products with one base, smaller id first.
+
+    Their number is the square of a family. A family is dealt to PAIR_SLOTS tasks, each of which pairs a share of its
+    members with all of them, and the number of tasks is given, as pairs are many for the bytes of their products.
+    """
+    parts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = products.select("base_id", F.col("product_id").alias("a"), F.pmod(F.xxhash64("product_id"), F.lit(PAIR_SLOTS)).alias("slot"))
+    right = products.select("base_id", F.col("product_id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_SLOTS - 1).cast("long"))).alias("slot"))
+    on = ["base_id", "slot"]
+    return left.repartition(parts, *on).join(right.repartition(parts, *on), on).where("a < b").select("base_id", "a", "b")
 
 
 def siblings(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from catalith import registry
+from catalith.operators import graph
 from catalith.plans import catalog_queries, product_queries, stream_queries, view_queries  # noqa: F401  they register their queries
 from catalith.streaming import arbitration
 
@@ -60,3 +61,15 @@ def test_pages_of_a_small_file_are_read_by_many_tasks(spark):
         assert found.rdd.getNumPartitions() >= 4, name
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") + plan.count("ArrowEvalPythonUDTF") + plan.count("BatchEvalPythonUDTF") == 1, name
+
+
+def test_pairs_of_one_family_are_made_by_several_tasks(spark):
+    products = spark.range(60).select(F.lit("b").alias("base_id"), F.col("id").alias("product_id")).coalesce(1)
+    pairs = graph.family_pairs(products).withColumn("task", F.spark_partition_id()).collect()
+    assert len({(r.a, r.b) for r in pairs}) == len(pairs) == 60 * 59 // 2 and len({r.task for r in pairs}) > 1
+
+
+def test_values_of_a_small_file_are_dealt_to_tasks(spark):
+    found = registry.QUERIES["fn_normalize_values"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.rdd.getNumPartitions() >= 4 and "SortMergeJoin" not in plan
