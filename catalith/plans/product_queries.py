@@ -35,7 +35,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.when(_key() % 3 == 0, " mm").when(_key() % 3 == 1, " in").otherwise("")
     stock = F.when(size % 3 == 0, "Yes").when(size % 3 == 1, "no ").otherwise(F.col("p_name"))
     cells = {"width": _text(size, unit), "color": F.col("p_name"), "kinds": _text(F.col("p_type"), "; ", F.col("p_brand"), ";"), "title": _text("  ", F.col("p_brand"), "  ", F.col("p_name")), "stock": stock}
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[F.struct(F.lit(c).alias("code"), v.alias("raw")) for c, v in cells.items()])).alias("c")).select("p_partkey", "c.*")
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).select("p_partkey", F.explode(F.array(*[F.struct(F.lit(c).alias("code"), v.alias("raw")) for c, v in cells.items()])).alias("c")).select("p_partkey", "c.*")
     definitions = [
         ("width", "number", "single", "length", "mm", 5.0, 600.0, None, None, None),
         ("color", "enum", "single", None, None, None, None, ["Red", "Blue", "Steel"], None, None),
@@ -44,7 +44,8 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("stock", "boolean", "single", None, None, None, None, None, None, None),
     ]
     schema = "code string, " + ", ".join(f"{n} {k}" for n, k in values.DEFINITION.items())
-    return rows.join(spark.createDataFrame(definitions, schema), "code")
+    # five definitions: a join by shuffle would give each code's rows to one task
+    return rows.join(F.broadcast(spark.createDataFrame(definitions, schema)), "code")
 
 
 @query("fn_normalize_values", f"""WITH {_RAW}, n AS (SELECT p_partkey, code, raw, p_size, CASE WHEN code = 'width' THEN p_size * CASE WHEN p_partkey % 3 = 1 THEN 25.4::DOUBLE ELSE 1 END END AS v FROM raw JOIN part USING (p_partkey))
