@@ -264,7 +264,8 @@ def keyword_category(texts: DataFrame, id_col: str, text_col: str, keywords: dic
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     scores = []
     for place, (name, words) in enumerate(keywords.items()):
-        hits = [(w, F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(w)}(?![\p{{L}}\p{{N}}_])"))) for w in words if w]
+        # a text that doesn't hold the word at all needs no regular expression
+        hits = [(w, F.when(F.contains(lower, F.lit(w)), F.regexp_count(lower, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(w)}(?![\p{{L}}\p{{N}}_])"))).otherwise(F.lit(0))) for w in words if w]
         score = sum((n * (1.5 * len(w.split())) for w, n in hits), F.lit(0.0))
         longest = F.coalesce(*[F.when(n > 0, F.lit(w)) for w, n in sorted(hits, key=lambda h: -len(h[0]))], F.lit(None).cast("string"))
         scores.append(F.struct((-score).alias("below"), F.lit(place).alias("place"), F.lit(name).alias("category"), longest.alias("keyword")))

@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from catalith import registry
-from catalith.operators import graph
+from catalith.operators import graph, quality
 from catalith.plans import catalog_queries, product_queries, stream_queries, view_queries  # noqa: F401  they register their queries
 from catalith.streaming import arbitration
 
@@ -73,3 +73,10 @@ def test_values_of_a_small_file_are_dealt_to_tasks(spark):
     found = registry.QUERIES["fn_normalize_values"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert found.rdd.getNumPartitions() >= 4 and "SortMergeJoin" not in plan
+
+
+def test_keywords_that_a_text_does_not_hold_need_no_expression(spark):
+    texts = spark.createDataFrame([(1, "A pump, pumps and pump"), (2, "none")], "id int, text string")
+    found = quality.keyword_category(texts, "id", "text", {"pumps": ["pump"], "valves": ["valve"]})
+    assert [(r.category, r.score) for r in found.orderBy("id").collect()] == [("pumps", 3.0), ("industrial.generic", 0.0)]
+    assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
