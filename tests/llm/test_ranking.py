@@ -92,6 +92,22 @@ def test_pair_weights_order_and_cut():
     assert ranking.weighted_cut(np.array([3.0, 1.0]), np.array([3.0, 1.0]), 0.25) == 2.0
 
 
+def test_all_learnt_rows_set_the_cut(spark):
+    # more rows of each class than any sample; the first feature is a noisy label
+    noise = (F.pmod(F.xxhash64("id"), F.lit(1000003)) / 1000003).cast("float")
+    marked = spark.range(30000).withColumn("quality", (F.col("id") % 3 > 0).cast("int"))
+    rest = [F.lit(0.0).cast("float")] * (len(ranking.FEATURES) - 1)
+    features = marked.select("id", F.array(F.col("quality") * F.lit(0.5).cast("float") + noise, *rest).alias("features"))
+    found = ranking.fit(features, marked.withColumnRenamed("id", "doc_id"))
+    learnt = [r for r in features.join(marked, "id").collect() if zlib.crc32(str(r.id).encode()) % 4 != 2]
+    x = np.array([r.features for r in learnt], np.float64)
+    # as many learnt rows lie above the cut as are good
+    assert int((found.score(x) >= ranking.THRESHOLD).sum()) == sum(r.quality for r in learnt)
+    y = (x - found.centre) / found.spread
+    good = np.array([r.quality == 1 for r in learnt])
+    assert abs(found.weights[0] - ranking.pair_weights(y[good][:3000], y[~good][:3000])[0]) < 0.2 and np.allclose(found.centre, x.mean(0), atol=1e-6)
+
+
 def test_features_of_parts():
     whole = dict(zip(ranking.FEATURES, ranking.text_features("AB cd!! cd!! x9\nAB cd!! cd!! x9"), strict=True))
     assert whole["repeated_lines"] == 0.5 and np.isclose(whole["upper_of_letters"], 4 / 14) and np.isclose(whole["repeated_next"], 2 / 8)
