@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from catalith.plans import catalog
 from catalith.plans.catalog import ATTRIBUTES_SQL, PRODUCTS_SQL, table
 from catalith.registry import query
 from catalith.sources import files
+from catalith.sources.kept import kept
 
 
 def _definitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +153,16 @@ _PROFILE_SQL = " UNION ALL ".join(
 )
 
 
+def _checked(rows: DataFrame, middles: DataFrame) -> DataFrame:
+    """Of each column: exact distinct values, and for numbers how many there are, below the sketch's middle and up to it. Distinct values of one column are counted by many tasks; no task gets all values."""
+    at = rows.crossJoin(F.broadcast(middles))
+    counts = at.agg(*[x for c in _PROFILED[:4] for x in (F.count(c).alias(f"n_{c}"), F.count_if(F.col(c) < F.col(f"m_{c}")).alias(f"b_{c}"), F.count_if(F.col(c) <= F.col(f"m_{c}")).alias(f"u_{c}"))])
+    none = F.lit(None).cast("long")
+    placed = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), *[(F.col(f"{k}_{c}") if c in _PROFILED[:4] else none).alias(as_) for k, as_ in (("n", "filled"), ("b", "below"), ("u", "up_to"))]) for c in _PROFILED])))
+    distinct = [rows.agg(F.count_distinct(c).alias("exact")).select(F.lit(c).alias("column_name"), "exact") for c in _PROFILED]
+    return functools.reduce(DataFrame.unionByName, distinct).join(F.broadcast(placed), "column_name")
+
+
 @query("agg_profile", _PROFILE_SQL)
 def agg_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of four parts of the rows, combined; distinct values must be within 3 % of the exact ones, the middle within 2 % of the ranks."""
@@ -158,12 +171,10 @@ def agg_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = parts[0]
     for more in parts[1:]:
         whole = whole.unionByName(more)
-    found = profile.summarized(profile.combined(whole))
-    numbers = _PROFILED[:4]
-    ranks = [F.percentile(c, [0.48, 0.52]).alias(f"m_{c}") for c in numbers]
-    exact = rows.agg(*[F.count_distinct(c).alias(f"d_{c}") for c in _PROFILED], *ranks)
-    exact = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"d_{c}").alias("exact"), (F.col(f"m_{c}") if c in numbers else F.lit(None).cast("array<double>")).alias("middle")) for c in _PROFILED])))
+    found = kept(profile.summarized(profile.combined(whole)), "profile")
+    middles = found.agg(*[F.max(F.when(F.col("column_name") == c, F.col("q50"))).alias(f"m_{c}") for c in _PROFILED[:4]])
+    exact = _checked(rows, middles)
     close = F.abs(F.col("distinct_about") - F.col("exact")) <= 0.03 * F.col("exact")
-    middle = F.col("middle").isNull() | F.col("q50").between(F.col("middle")[0], F.col("middle")[1])
+    middle = F.col("filled").isNull() | ((F.col("below") <= 0.52 * F.col("filled")) & (F.col("up_to") >= 0.48 * F.col("filled")))
     nulls = F.round(F.col("null_share") * F.col("n")).cast("long")
     return found.join(exact, "column_name").select("column_name", "n", nulls.alias("nulls"), "low", "high", "first", "last", close.alias("distinct_close"), middle.alias("middle_close"))

@@ -80,3 +80,20 @@ def test_keywords_that_a_text_does_not_hold_need_no_expression(spark):
     found = quality.keyword_category(texts, "id", "text", {"pumps": ["pump"], "valves": ["valve"]})
     assert [(r.category, r.score) for r in found.orderBy("id").collect()] == [("pumps", 3.0), ("industrial.generic", 0.0)]
     assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_profile_is_checked_by_many_tasks(spark):
+    found = registry.QUERIES["agg_profile"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # neither all values of a column nor rows repeated for each column meet in one task
+    assert "percentile(" not in plan and "Expand" not in plan
+    assert all(r.distinct_close and r.middle_close for r in found.collect()) and found.count() == 6
+
+
+def test_profile_check_sees_a_wrong_middle(spark):
+    rows = spark.createDataFrame([(float(i), 1.0, 0.5, i, "a", "b") for i in range(100)], view_queries._PROFILED)
+    for middle, below, up_to in ((30.0, 30, 31), (49.5, 50, 50)):
+        at = spark.createDataFrame([(middle, 1.0, 0.5, 0)], [f"m_{c}" for c in view_queries._PROFILED[:4]])
+        got = {r.column_name: r for r in view_queries._checked(rows, at).collect()}
+        assert (got["l_quantity"].exact, got["l_quantity"].filled, got["l_quantity"].below, got["l_quantity"].up_to) == (100, 100, below, up_to)
+        assert (got["l_linestatus"].exact, got["l_linestatus"].filled) == (1, None) and len(got) == 6
