@@ -49,10 +49,10 @@ def number_groups(observations: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "value_number"))), lambda s: s["value_number"])
     lists = firsts.groupBy(*KEY).agg(ordered.alias("numbers"))
     leaders = F.aggregate("numbers", F.array().cast("array<double>"), lambda acc, x: F.when(F.exists(acc, lambda y: numbers_agree(y, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    led = lists.select(*KEY, "numbers", leaders.alias("leaders"))
-    joined = led.select(*KEY, F.explode("numbers").alias("value_number"), "leaders")
-    grouped = joined.select(*KEY, "value_number", F.array_position(F.transform("leaders", lambda y: numbers_agree(y, F.col("value_number"))), True).cast("long").alias("grp"))
-    return observations.join(grouped, [*KEY, "value_number"])
+    led = lists.select(*KEY, leaders.alias("leaders"))
+    # rows are dealt by their key alone, so that groups and winners need no further shuffle
+    grp = F.array_position(F.transform("leaders", lambda y: numbers_agree(y, F.col("value_number"))), True).cast("long")
+    return observations.where("value_number is not null").join(led, KEY).withColumn("grp", grp).drop("leaders")
 
 
 def text_groups(observations: DataFrame) -> DataFrame:
@@ -61,16 +61,15 @@ def text_groups(observations: DataFrame) -> DataFrame:
     With a column value_list (array of strings), lists agree if they hold the same strings; where a key has a
     list, a text counts as a list of one.
     """
-    observations = once(observations, "texts")
+    # rows are dealt by their key alone, so that groups and winners need no further shuffle; stored, as the planner doesn't see that of a code that is a constant
+    observations = once(observations, "texts").repartition(*KEY)
     key = F.lower(F.trim("value_text"))
     if "value_list" in observations.columns:
-        lists = observations.where("value_list is not null").select(*KEY).distinct().withColumn("has_list", F.lit(True))
-        observations = observations.join(lists, KEY, "left")
+        observations = observations.withColumn("has_list", F.bool_or(F.col("value_list").isNotNull()).over(Window.partitionBy(*KEY)))
         members = F.coalesce("value_list", F.array("value_text"))
         key = F.when(F.col("has_list"), F.to_json(F.array_sort(F.array_distinct(members)))).otherwise(key)
-    keyed = observations.withColumn("text_key", key).drop("has_list")
-    firsts = keyed.groupBy(*KEY, "text_key").agg(F.min("obs_seq").alias("grp"))
-    return keyed.join(firsts, [*KEY, "text_key"]).drop("text_key")
+    keyed = observations.withColumn("text_key", key).drop("has_list").where("text_key is not null")
+    return keyed.withColumn("grp", F.min("obs_seq").over(Window.partitionBy(*KEY, "text_key"))).drop("text_key")
 
 
 #: Columns of an observation that a winner keeps, where they are there.

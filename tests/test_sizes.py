@@ -6,8 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from catalith import registry
-from catalith.operators import graph, quality
-from catalith.plans import catalog_queries, product_queries, stream_queries, view_queries  # noqa: F401  they register their queries
+from catalith.operators import golden, graph, quality
+from catalith.plans import catalog, catalog_queries, product_queries, stream_queries, view_queries  # noqa: F401  they register their queries
 from catalith.streaming import arbitration
 
 
@@ -97,3 +97,18 @@ def test_profile_check_sees_a_wrong_middle(spark):
         got = {r.column_name: r for r in view_queries._checked(rows, at).collect()}
         assert (got["l_quantity"].exact, got["l_quantity"].filled, got["l_quantity"].below, got["l_quantity"].up_to) == (100, 100, below, up_to)
         assert (got["l_linestatus"].exact, got["l_linestatus"].filled) == (1, None) and len(got) == 6
+
+
+def test_arbitration_deals_rows_by_their_key_once(spark):
+    # after the shuffle for their order of arrival, texts go through one for groups, winners and rules
+    texts = golden.text_groups(catalog.text_observations(spark, "/root/testdata/sf0.001"))
+    assert golden.winners(texts)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    for name in ("agg_arbitrate_text", "golden_records", "agg_conflicts"):
+        assert rows_of(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) == sorted(duckdb_rows(name), key=repr)
+
+
+def duckdb_rows(name):
+    db = duckdb.connect()
+    for t in ("lineitem", "part"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    return db.execute(registry.ORACLE_SQL[name]).fetchall()
