@@ -19,6 +19,8 @@ from catalith.sources.kept import kept
 
 #: Rows of a block; 4096 rows of 1000 numbers are 32 MB.
 BLOCK_ROWS = 4096
+#: Queries that are scored or repeated for their lists at once: against a full block, 256 of them make 8 MB of scores.
+QUERY_ROWS = 256
 #: Rows that a task holds at most while it packs them by list.
 HELD_ROWS = 1 << 15
 #: Below so many vectors an exact search is as good.
@@ -86,10 +88,12 @@ def _scored(k: int):
         for batch in batches:
             for query_ids, queries, ids, vectors in zip(*batch.columns, strict=True):
                 asked, names = np.frombuffer(query_ids.as_py(), np.int64), np.frombuffer(ids.as_py(), np.int64)
-                found = np.frombuffer(queries.as_py()).reshape(len(asked), -1) @ np.frombuffer(vectors.as_py()).reshape(len(names), -1).T
-                least = np.partition(found, -k, axis=1)[:, -k] if k < len(names) else np.full(len(asked), -np.inf)
-                row, at = np.nonzero(found >= least[:, None])
-                held.append(_top(asked[row], names[at], found[row, at], k))
+                left, right = np.frombuffer(queries.as_py()).reshape(len(asked), -1), np.frombuffer(vectors.as_py()).reshape(len(names), -1).T
+                for first in range(0, len(asked), QUERY_ROWS):
+                    found = left[first : first + QUERY_ROWS] @ right
+                    least = np.partition(found, -k, axis=1)[:, -k] if k < len(names) else np.full(len(found), -np.inf)
+                    row, at = np.nonzero(found >= least[:, None])
+                    held.append(_top(asked[first + row], names[at], found[row, at], k))
             if sum(len(x[0]) for x in held) > BLOCK_ROWS * max(k, 16) * 4:
                 held = [best()]
                 if len(held[0][0]) > BLOCK_ROWS * k:  # queries of many blocks
@@ -161,11 +165,12 @@ class InvertedLists:
 def _probed(centroids: np.ndarray, probes: int):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                scores = _matrix(batch.column(1)) @ centroids.T if len(centroids) else np.zeros((batch.num_rows, 1))
+            for first in range(0, batch.num_rows, QUERY_ROWS):
+                rows = batch.slice(first, QUERY_ROWS)
+                scores = _matrix(rows.column(1)) @ centroids.T if len(centroids) else np.zeros((rows.num_rows, 1))
                 lists = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["list", "id", "vector"])
+                at = pa.array(np.repeat(np.arange(rows.num_rows), lists.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel().astype(np.int32)), rows.column(0).take(at), rows.column(1).take(at)], ["list", "id", "vector"])
 
     return probe
 

@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from catalith import registry
-from catalith.operators import golden, graph, quality
+from catalith.operators import golden, graph, nearest, quality
 from catalith.plans import catalog, catalog_queries, product_queries, stream_queries, view_queries  # noqa: F401  they register their queries
 from catalith.streaming import arbitration
 
@@ -82,6 +84,17 @@ def test_keywords_that_a_text_does_not_hold_need_no_expression(spark):
     assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_probed_queries_leave_python_in_small_batches():
+    vectors = np.random.default_rng(1).normal(size=(2000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(vectors.tolist())], ["id", "vector"])
+    found = list(nearest._probed(vectors[:20], 10)([batch]))
+    assert max(b.num_rows for b in found) <= 256 * 10 and sum(b.num_rows for b in found) == 2000 * 10
+    # each in the list of its nearest centroid
+    first = np.concatenate([b.column(0).to_numpy()[::10] for b in found])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert (first == (unit @ vectors[:20].T).argmax(1)).all()
+
+
 def test_profile_is_checked_by_many_tasks(spark):
     found = registry.QUERIES["agg_profile"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
