@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Predicates that hold both ways, and pairs that are each other's inverse.
@@ -14,13 +14,20 @@ EDGE = ["src", "predicate", "dst", "confidence"]
 
 
 def closed(edges: DataFrame) -> DataFrame:
-    """Edges without loops, with mirrored and inverse ones, each once with its best confidence."""
+    """Edges without loops, with mirrored and inverse ones, each once with its best confidence.
+
+    Most edges come once, so a task that reads them would gather nearly all it reads in memory to drop few. They are
+    dealt by edge to a given number of tasks instead, and each sorts its share, which needs less than a table of edges.
+    """
     own = edges.where("src <> dst").select(*EDGE)
     back = F.when(F.col("predicate").isin(SYMMETRIC), F.col("predicate"))
     for name, inverse in INVERSE.items():
         back = back.when(F.col("predicate") == name, F.lit(inverse))
     mirrored = own.select(F.col("dst").alias("src"), back.alias("predicate"), F.col("src").alias("dst"), "confidence").where("predicate is not null")
-    return own.unionByName(mirrored).groupBy("src", "predicate", "dst").agg(F.max("confidence").alias("confidence"))
+    key = ["src", "predicate", "dst"]
+    dealt = own.unionByName(mirrored).repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("confidence")))
+    return dealt.withColumn("place", place).where("place = 1").select(*EDGE)
 
 
 def build(products: DataFrame, sources: DataFrame, certifications: DataFrame) -> DataFrame:
@@ -38,8 +45,8 @@ def build(products: DataFrame, sources: DataFrame, certifications: DataFrame) ->
     sure = F.col("confidence") if "confidence" in certifications.columns else F.lit(1.0)
     out = edge(products.where("category_id is not null"), "belongs_to", F.col("category_id"))
     out = out.unionByName(edge(of_base, "variant_of", F.col("base_id"), 0.9))
-    out = out.unionByName(edge(sources.select("product_id", "source_id").distinct(), "documented_in", F.col("source_id")))
-    out = out.unionByName(edge(certifications.groupBy("product_id", "label").agg(F.max(sure).alias("confidence")), "certified_by", F.concat(F.lit("cert:"), "label"), F.col("confidence")))
+    out = out.unionByName(edge(sources, "documented_in", F.col("source_id")))
+    out = out.unionByName(edge(certifications, "certified_by", F.concat(F.lit("cert:"), "label"), sure))
     out = out.unionByName(edge(of_base, "compatible_with", F.concat(F.lit("family:"), "base_id"), 0.6))
     return closed(out)
 

@@ -71,6 +71,23 @@ def test_pairs_of_one_family_are_made_by_several_tasks(spark):
     assert len({(r.a, r.b) for r in pairs}) == len(pairs) == 60 * 59 // 2 and len({r.task for r in pairs}) > 1
 
 
+def test_edges_are_dealt_by_edge_before_any_task_gathers_them(spark):
+    plan = registry.QUERIES["gr_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    assert "Aggregate" not in plan.optimizedPlan().toString() and plan.executedPlan().toString().count("Exchange") == 1
+    assert "hashpartitioning(src" in plan.executedPlan().toString() and "REPARTITION_BY_NUM" in plan.executedPlan().toString()
+    rows = [("a", "is", "b", None), ("a", "is", "b", 0.2), ("a", "is", "b", 0.7), ("a", "is", "c", None), (None, "is", "b", 1.0), ("a", "compatible_with", "b", 0.1), ("b", "compatible_with", "a", 0.3)]
+    found = graph.closed(spark.createDataFrame(rows, "src string, predicate string, dst string, confidence double"))
+    assert rows_of(found) == sorted([("a", "is", "b", 0.7), ("a", "is", "c", None), ("a", "compatible_with", "b", 0.3), ("b", "compatible_with", "a", 0.3)], key=repr)
+
+
+def test_repeated_sources_and_certificates_give_one_edge(spark):
+    products = spark.createDataFrame([("a", "x", "B"), ("a", "x", "B")], "product_id string, category_id string, base_id string")
+    sources = spark.createDataFrame([("a", "s"), ("a", "s"), ("a", None)], "product_id string, source_id string")
+    certs = spark.createDataFrame([("a", "CE", 0.2), ("a", "CE", 0.9), ("a", None, 1.0)], "product_id string, label string, confidence double")
+    found = rows_of(graph.build(products, sources, certs))
+    assert found == sorted([("a", "belongs_to", "x", 1.0), ("a", "variant_of", "B", 0.9), ("a", "documented_in", "s", 1.0), ("a", "certified_by", "cert:CE", 0.9), ("a", "compatible_with", "family:B", 0.6), ("family:B", "compatible_with", "a", 0.6)], key=repr)
+
+
 def test_values_of_a_small_file_are_dealt_to_tasks(spark):
     found = registry.QUERIES["fn_normalize_values"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
