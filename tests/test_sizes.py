@@ -80,6 +80,15 @@ def test_edges_are_dealt_by_edge_before_any_task_gathers_them(spark):
     assert rows_of(found) == sorted([("a", "is", "b", 0.7), ("a", "is", "c", None), ("a", "compatible_with", "b", 0.3), ("b", "compatible_with", "a", 0.3)], key=repr)
 
 
+def test_stats_count_edges_that_no_task_gathered_before(spark, tmp_path):
+    spark.range(15).selectExpr("id AS p_partkey", "concat('T', id % 3) AS p_type", "concat('B', id % 2) AS p_brand", "id AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3000).selectExpr("id % 15 AS l_partkey", "id % 7 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.QUERIES["gr_stats"](spark, str(tmp_path))
+    below = found._jdf.queryExecution().optimizedPlan().toString().partition("RepartitionByExpression")[2]
+    assert "Union" in below and "Aggregate" not in below
+    assert rows_of(found) == rows_of_sql("gr_stats", tmp_path, "part", "lineitem")
+
+
 def test_repeated_sources_and_certificates_give_one_edge(spark):
     products = spark.createDataFrame([("a", "x", "B"), ("a", "x", "B")], "product_id string, category_id string, base_id string")
     sources = spark.createDataFrame([("a", "s"), ("a", "s"), ("a", None)], "product_id string, source_id string")
