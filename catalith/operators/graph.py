@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,31 +13,38 @@ INVERSE = {"replaces": "replaced_by", "replaced_by": "replaces"}
 #: Tasks that the pairs of one family are dealt to.
 PAIR_SLOTS = 8
 EDGE = ["src", "predicate", "dst", "confidence"]
+#: Edges that a task should sort at most: some 60 MB.
+TASK_EDGES = 500_000
+#: Most tasks that are added for that: above so many Spark gathers what it deals in memory.
+ADDED_TASKS = 200
 
 
-def closed(edges: DataFrame) -> DataFrame:
+def closed(edges: DataFrame, rows: int = 0) -> DataFrame:
     """Edges without loops, with mirrored and inverse ones, each once with its best confidence.
 
     Most edges come once, so a task that reads them would gather nearly all it reads in memory to drop few. They are
     dealt by edge to a given number of tasks instead, and each sorts its share, which needs less than a table of edges.
+    They are as many as the session's shuffle partitions; rows, the number of edges as far as it is known, makes them
+    more where a share would be larger than TASK_EDGES, so that a task's memory doesn't grow with the edges.
     """
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(ADDED_TASKS, math.ceil(rows / TASK_EDGES)))
     own = edges.where("src <> dst").select(*EDGE)
     back = F.when(F.col("predicate").isin(SYMMETRIC), F.col("predicate"))
     for name, inverse in INVERSE.items():
         back = back.when(F.col("predicate") == name, F.lit(inverse))
     mirrored = own.select(F.col("dst").alias("src"), back.alias("predicate"), F.col("src").alias("dst"), "confidence").where("predicate is not null")
     key = ["src", "predicate", "dst"]
-    dealt = own.unionByName(mirrored).repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    dealt = own.unionByName(mirrored).repartition(tasks, *key)
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("confidence")))
     return dealt.withColumn("place", place).where("place = 1").select(*EDGE)
 
 
-def build(products: DataFrame, sources: DataFrame, certifications: DataFrame) -> DataFrame:
+def build(products: DataFrame, sources: DataFrame, certifications: DataFrame, rows: int = 0) -> DataFrame:
     """Edges from products (product_id, category_id, base_id), their sources (product_id, source_id) and certifications (product_id, label, with a confidence if there is one).
 
     Products of one base are ``compatible_with`` each other; that edge runs between each and the family
     itself (``family:`` and its base), not between all pairs, which grow with the square of a family;
-    ``family_pairs`` gives those.
+    ``family_pairs`` gives those. rows: about how many edges these make, for ``closed``.
     """
     def edge(rows: DataFrame, predicate: str, dst, confidence: float | Column = 1.0) -> DataFrame:
         sure = F.lit(confidence) if isinstance(confidence, float) else confidence
@@ -48,7 +57,7 @@ def build(products: DataFrame, sources: DataFrame, certifications: DataFrame) ->
     out = out.unionByName(edge(sources, "documented_in", F.col("source_id")))
     out = out.unionByName(edge(certifications, "certified_by", F.concat(F.lit("cert:"), "label"), sure))
     out = out.unionByName(edge(of_base, "compatible_with", F.concat(F.lit("family:"), "base_id"), 0.6))
-    return closed(out)
+    return closed(out, rows)
 
 
 def family_pairs(products: DataFrame) -> DataFrame:

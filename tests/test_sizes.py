@@ -1,6 +1,7 @@
 """Queries on tables whose keys, order or partitions aren't those of the small test tables."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -89,6 +90,19 @@ def test_stats_count_edges_that_no_task_gathered_before(spark, tmp_path):
     assert rows_of(found) == rows_of_sql("gr_stats", tmp_path, "part", "lineitem")
 
 
+def test_more_edges_are_dealt_to_more_tasks(spark, tmp_path):
+    spark.range(900).selectExpr("id AS p_partkey", "concat('T', id % 3) AS p_type", "concat('B', id % 2) AS p_brand", "id AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3_200_000).selectExpr("id % 900 AS l_partkey", "id % 7 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    for name in ("gr_stats", "gr_edges"):
+        found = registry.QUERIES[name](spark, str(tmp_path))
+        # 3,200,000 rows and five edges of each part at most, half a million for a task
+        assert re.findall(r"hashpartitioning\(src.*?, (\d+)\), REPARTITION_BY_NUM", found._jdf.queryExecution().executedPlan().toString()) == ["7"]
+        assert rows_of(found) == rows_of_sql(name, tmp_path, "part", "lineitem")
+    edges = spark.createDataFrame([("a", "is", "b", 1.0)], "src string, predicate string, dst string, confidence double")
+    assert [graph.closed(edges, rows).rdd.getNumPartitions() for rows in (0, 2_000_000, 2_000_001, 10**10)] == [4, 4, 5, 200]
+
+
 def test_repeated_sources_and_certificates_give_one_edge(spark):
     products = spark.createDataFrame([("a", "x", "B"), ("a", "x", "B")], "product_id string, category_id string, base_id string")
     sources = spark.createDataFrame([("a", "s"), ("a", "s"), ("a", None)], "product_id string, source_id string")
