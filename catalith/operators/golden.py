@@ -81,24 +81,43 @@ def _kept(columns: list[str]) -> Column:
 
 
 def summaries(observations: DataFrame) -> DataFrame:
-    """Observations of one value from one source as one row for each key: first_seq, n, precedence, method_rank, best, human, human_seq, grave.
+    """Observations of one value from one source as one row for each key: first_seq, n, method_rank, best, human, grave.
 
-    best and human are observations, best_order is what ranks the best. Null values, blank texts and NaN are no observations.
+    best and human begin with what ranks them and have only what the row doesn't tell of an observation, as a stream stores
+    one for each row; ``restored`` gives the observations. Null values, blank texts and NaN are no observations.
     """
     rows = ranked(observations)
     number = F.when(~F.isnan("value_number"), F.col("value_number"))
     members = F.to_json(F.array_sort(F.array_distinct("value_list"))) if "value_list" in rows.columns else F.lit(None).cast("string")
     text = F.when(F.col("value_number").isNull() & (F.trim("value_text") != ""), F.col("value_text"))
     rows = rows.withColumns({"number": number, "text": text, "members": F.when(F.col("value_number").isNull(), members), "is_grave": F.coalesce(F.col("grave"), F.lit(False)) if "grave" in rows.columns else F.lit(False)})
-    order, kept, human = F.struct("precedence", "method_rank", -F.col("obs_seq")), _kept(rows.columns), F.when(F.col("method") == "human", F.col("obs_seq"))
+    # -0 and 0 are one number, and a text is kept beside a number or a list
+    odd = [F.when(F.col("value_number") == 0, F.col("value_number")).alias("value_number"), F.when(F.col("text").isNull(), F.col("value_text")).alias("value_text")]
+    kept = [*odd, *[c for c in CARRIED if c in rows.columns and c not in ("obs_seq", "value_number", "value_text", "source_id")]]
+    human = F.when((F.col("method") == "human") & F.col("obs_seq").isNotNull(), F.struct("obs_seq", *kept, "method_rank"))
     return rows.where("number is not null or text is not null or members is not null").groupBy(*KEY, *ENTRY).agg(
-        F.min("obs_seq").alias("first_seq"), F.count("*").alias("n"), F.max("precedence").alias("precedence"), F.max("method_rank").alias("method_rank"),
-        F.max_by(kept, order).alias("best"), F.max(order).alias("best_order"), F.max_by(kept, human).alias("human"), F.max(human).alias("human_seq"), F.bool_or("is_grave").alias("grave"),
+        F.min("obs_seq").alias("first_seq"), F.count("*").alias("n"), F.max("method_rank").alias("method_rank"),
+        F.max(F.struct("precedence", "method_rank", (-F.col("obs_seq")).alias("back"), *kept)).alias("best"), F.max(human).alias("human"), F.bool_or("is_grave").alias("grave"),
     )
 
 
+def restored(summed: DataFrame) -> DataFrame:
+    """Rows of ``summaries`` with best and human as observations, what ranks them as best_order and human_seq, and precedence."""
+    best, human = F.col("best"), F.col("human")
+
+    def observation(kept: Column, seq: Column) -> Column:
+        known = {"obs_seq": seq, "value_number": F.coalesce(kept["value_number"], "number"), "value_text": F.coalesce(kept["value_text"], "text"), "source_id": F.col("source_id")}
+        names = [c for c in CARRIED if c in known or c in summed.schema["best"].dataType.names]
+        return F.struct(*[known.get(c, kept[c]).alias(c) for c in names], kept["method_rank"].alias("method_rank"))
+
+    return summed.withColumns({
+        "best": observation(best, -best["back"]), "best_order": F.struct(best["precedence"], best["method_rank"], best["back"]), "precedence": best["precedence"],
+        "human": F.when(human.isNotNull(), observation(human, human["obs_seq"])), "human_seq": human["obs_seq"],
+    })
+
+
 def group_stats(summed: DataFrame) -> DataFrame:
-    """Groups of agreeing values for each key, from ``summaries``: grp (first arrival), grp_precedence, grp_sources, grp_method, best, human, human_seq, grave.
+    """Groups of agreeing values for each key, from ``summaries``, restored or not: grp (first arrival), grp_precedence, grp_sources, grp_method, best, human, human_seq, grave.
 
     The distinct numbers, texts and sources of a key meet in one row, as leaders depend on order; repeats don't
     count. A number belongs to the first leader it agrees with; texts agree by case and outer blanks; where a key
@@ -109,7 +128,11 @@ def group_stats(summed: DataFrame) -> DataFrame:
     numbers = F.array_sort(F.transform(F.filter("rows", lambda r: r["number"].isNotNull()), lambda r: F.struct(r["first_seq"], r["number"])))
     none = F.array().cast("array<struct<first_seq:bigint,number:double>>")
     leaders = F.aggregate(numbers, none, lambda acc, v: F.when(F.exists(acc, lambda y: numbers_agree(y["number"], v["number"])), acc).otherwise(F.concat(acc, F.array(v))))
-    rows = rows.select(*KEY, leaders.alias("leaders"), F.exists("rows", lambda r: r["members"].isNotNull()).alias("has_list"), F.explode("rows").alias("r")).select(*KEY, "leaders", "has_list", "r.*")
+    # leaders come before the rows are taken apart, else they are worked out for each row
+    rows = rows.select(*KEY, leaders.alias("leaders"), F.exists("rows", lambda r: r["members"].isNotNull()).alias("has_list"), "rows")
+    rows = rows.select(*KEY, "leaders", "has_list", F.explode("rows").alias("r")).select(*KEY, "leaders", "has_list", "r.*")
+    if "best_order" not in rows.columns:
+        rows = restored(rows)
     leader = F.get(F.filter("leaders", lambda y: numbers_agree(y["number"], F.col("number"))), F.lit(0))["first_seq"]
     text = F.when(F.col("has_list"), F.coalesce("members", F.to_json(F.array("text")))).otherwise(F.lower(F.trim("text")))
     rows = rows.withColumns({"leader": leader, "text_key": F.when(F.col("number").isNull(), text)})

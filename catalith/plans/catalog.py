@@ -26,11 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str, value: str = "l_discount", code: str = "discount") -> DataFrame:
     """Observations of one numeric attribute, in order of arrival within each product."""
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
-    rows = table(spark, sf_dir, "lineitem")
+    # numbered before all else is worked out: the columns of the table are what is dealt by product
+    rows = table(spark, sf_dir, "lineitem").withColumn("obs_seq", F.row_number().over(Window.partitionBy("l_partkey").orderBy(*order)).cast("long"))
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_suppkey") % 9 + 1).cast("int"))
     method = F.when(F.col("l_returnflag") == "A", "structured_feed").when(F.col("l_returnflag") == "N", "native_table").otherwise("ocr")
     return rows.select(
-        F.col("l_partkey").alias("product_id"), F.lit(code).alias("code"), F.row_number().over(Window.partitionBy("l_partkey").orderBy(*order)).cast("long").alias("obs_seq"),
+        F.col("l_partkey").alias("product_id"), F.lit(code).alias("code"), "obs_seq",
         F.col(value).alias("value_number"), F.lit(None).cast("string").alias("value_text"), F.col("l_suppkey").alias("source_id"), kind.alias("source_kind"), method.alias("method"), (F.col("l_linestatus") == "F").alias("quote_verified"),
     )
 

@@ -12,10 +12,14 @@ from catalith.plans import catalog
 from catalith.plans.catalog import table
 from catalith.plans.catalog_queries import _NUMBER_GROUPS, _SCORE, _WINNERS, _round, _unix
 from catalith.registry import ORACLE_SQL, query
-from catalith.sources.kept import shared_path
+from catalith.sources.kept import removed, shared_path
 from catalith.streaming import arbitration, events
 
-FILES = 4
+FILES, BATCHES = 4, 2
+#: A task's share of the observations is kept under so many by more tasks than the session's, up to ADDED_TASKS of them.
+TASK_ROWS, ADDED_TASKS = 500_000, 200
+#: For a stream of few large batches: a file for each task, no shuffle stays when what needed it has ended, and executors keep no copy of the state between batches.
+TIDY = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 
 
 @contextmanager
@@ -38,13 +42,27 @@ def _as_stream(rows: DataFrame, name: str, files: int = FILES) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(path)
 
 
+def _landed(rows: DataFrame, path: str) -> DataFrame:
+    """The rows, written once and dealt by their hash to two batches of files, read as a stream of those batches. They are not shuffled for that."""
+    spark = rows.sparkSession
+    rows.write.parquet(f"{path}/whole")
+    whole = spark.read.schema(rows.schema).parquet(f"{path}/whole")
+    for k in range(BATCHES):
+        whole.where(F.pmod(F.xxhash64(*whole.columns), F.lit(BATCHES)) == k).write.parquet(f"{path}/landed/{k}")
+    removed(spark, f"{path}/whole")
+    files = len(spark.read.parquet(f"{path}/landed/0").inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/landed/*")
+
+
 @query("st_arbitration", f"WITH {_NUMBER_GROUPS}, {_WINNERS} SELECT product_id, 'discount' AS code, value_number, source_id, agreeing, disagreeing, n_groups, rule, severity, {_round(_SCORE, 4)} AS confidence FROM won")
 def st_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog.observations(spark, sf_dir)
-    stream, out = _as_stream(rows, "observations"), shared_path(spark, "records")
-    with _settings(spark, arbitration.STORE):
-        events.run_available(arbitration.arbitrated(stream), shared_path(spark, "arbitration"), arbitration.written_batches(out, rows))
-    found = arbitration.current(spark, out)
+    rows, n = catalog.observations(spark, sf_dir), table(spark, sf_dir, "lineitem").count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(ADDED_TASKS, -(-n // TASK_ROWS)))
+    landed, state, out = (shared_path(spark, name) for name in ("observations", "arbitration", "records"))
+    with _settings(spark, arbitration.STORE | TIDY | {"spark.sql.shuffle.partitions": str(tasks)}):
+        events.run_available(arbitration.arbitrated(_landed(rows, landed)), state, arbitration.written_batches(out, rows))
+        found = arbitration.current(spark, out)
+    removed(spark, landed, state)
     return found.select("product_id", "code", "value_number", "source_id", "agreeing", "disagreeing", F.col("groups").alias("n_groups"), "rule", "severity", "confidence")
 
 

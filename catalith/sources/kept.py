@@ -22,6 +22,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/catalog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more."""
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The rows, written and read back: what reads them twice doesn't work them out twice, and a lost executor costs nothing done before."""
     path = shared_path(df.sparkSession, name)

@@ -1,5 +1,6 @@
 """Queries on tables whose keys, order or partitions aren't those of the small test tables."""
 
+import os
 import random
 import re
 
@@ -160,6 +161,44 @@ def test_arbitration_deals_rows_by_their_key_once(spark):
         assert rows_of(registry.QUERIES[name](spark, "/root/testdata/sf0.001")) == sorted(duckdb_rows(name), key=repr)
 
 
+def test_arbitration_stream_keeps_little_on_disk(spark, monkeypatch):
+    exchange = catalog.observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().partition("Exchange ")[2]
+    assert exchange and "datasheet" not in exchange and "discount AS code" not in exchange
+    folder, parts, remove = f"{spark.conf.get('spark.checkpoint.dir')}/catalog/{spark.sparkContext.applicationId}", [], stream_queries.removed
+
+    def removed(session, *paths):
+        parts.extend(len(os.listdir(f"{p}/state/0")) - 1 for p in paths if os.path.isdir(f"{p}/state/0"))
+        remove(session, *paths)
+
+    monkeypatch.setattr(stream_queries, "removed", removed)
+    monkeypatch.setattr(stream_queries, "TASK_ROWS", 1000)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = registry.QUERIES["st_arbitration"](spark, "/root/testdata/sf0.001")
+    # of 6000 rows, a task for each thousand; neither the state nor the stream's files stay
+    assert parts == [6] and {n.rpartition("-")[0] for n in set(os.listdir(folder)) - before} == {"records"}
+    # both batches have changed most keys
+    records = spark.read.parquet(next(f"{folder}/{n}" for n in set(os.listdir(folder)) - before))
+    assert records.select("product_id", "batch").distinct().groupBy("product_id").count().where("count = 2").count() > 150
+    # what tells an entry apart isn't kept again with its best observation
+    assert "precedence" not in records.columns and not {"source_id", "obs_seq"} & set(records.schema["best"].dataType.names)
+    assert rows_of(found) == sorted(duckdb_rows("st_arbitration"), key=repr)
+
+
+def test_summaries_restore_what_they_leave_out(spark):
+    schema = "product_id long, code string, obs_seq long, value_number double, value_text string, value_list array<string>, source_id long, source_kind string, method string, quote_verified boolean"
+    rows = [
+        (1, "x", 2, -0.0, "none", None, 7, "catalog", "structured_feed", True), (1, "x", 1, 0.0, None, None, 7, "catalog", "ocr", True),
+        (2, "x", 1, 5.0, "five", None, None, "catalog", "ocr", None), (2, "x", 2, 5.0, " 5", None, None, "datasheet", "ocr", None), (2, "x", 3, 5.0, None, None, 8, None, "human", False), (2, "x", 4, 5.0, "V", None, 8, None, "human", None),
+        (3, "x", 1, None, " ", ["b", "a"], 9, None, None, None), (3, "x", 2, None, "a", None, 9, None, None, None),
+    ]
+    for some in (rows, rows[:4], rows[1:2] + rows[6:]):
+        seen = spark.createDataFrame(some, schema)
+        summed, want = golden.summaries(seen), golden.golden_records(seen)
+        found = golden.confidence(golden.decided(golden.group_stats(summed))).select(*want.columns)
+        assert [tuple(map(str, r)) for r in found.orderBy("product_id").collect()] == [tuple(map(str, r)) for r in want.orderBy("product_id").collect()]
+        assert "-0.0" in str(found.collect()) or len(some) == 3
+
+
 def duckdb_rows(name):
     db = duckdb.connect()
     for t in ("lineitem", "part"):
