@@ -20,6 +20,8 @@ FILES, BATCHES = 4, 2
 TASK_ROWS, ADDED_TASKS = 500_000, 200
 #: For a stream of few large batches: a file for each task, no shuffle stays when what needed it has ended, and executors keep no copy of the state between batches.
 TIDY = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+#: A task for each file: stored observations are so small for their rows that Spark would give a task the rows of many.
+APART = {"spark.sql.files.openCostInBytes": "128m"}
 
 
 @contextmanager
@@ -47,8 +49,9 @@ def _landed(rows: DataFrame, path: str) -> DataFrame:
     spark = rows.sparkSession
     rows.write.parquet(f"{path}/whole")
     whole = spark.read.schema(rows.schema).parquet(f"{path}/whole")
-    for k in range(BATCHES):
-        whole.where(F.pmod(F.xxhash64(*whole.columns), F.lit(BATCHES)) == k).write.parquet(f"{path}/landed/{k}")
+    with _settings(spark, APART):
+        for k in range(BATCHES):
+            whole.where(F.pmod(F.xxhash64(*whole.columns), F.lit(BATCHES)) == k).write.parquet(f"{path}/landed/{k}")
     removed(spark, f"{path}/whole")
     files = len(spark.read.parquet(f"{path}/landed/0").inputFiles())
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/landed/*")
@@ -60,7 +63,9 @@ def st_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(ADDED_TASKS, -(-n // TASK_ROWS)))
     landed, state, out = (shared_path(spark, name) for name in ("observations", "arbitration", "records"))
     with _settings(spark, arbitration.STORE | TIDY | {"spark.sql.shuffle.partitions": str(tasks)}):
-        events.run_available(arbitration.arbitrated(_landed(rows, landed)), state, arbitration.written_batches(out, rows))
+        stream = _landed(rows, landed)
+        with _settings(spark, APART):
+            events.run_available(arbitration.arbitrated(stream), state, arbitration.written_batches(out, rows))
         found = arbitration.current(spark, out)
     removed(spark, landed, state)
     return found.select("product_id", "code", "value_number", "source_id", "agreeing", "disagreeing", F.col("groups").alias("n_groups"), "rule", "severity", "confidence")

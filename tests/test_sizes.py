@@ -165,8 +165,10 @@ def test_arbitration_stream_keeps_little_on_disk(spark, monkeypatch):
     exchange = catalog.observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().partition("Exchange ")[2]
     assert exchange and "datasheet" not in exchange and "discount AS code" not in exchange
     folder, parts, remove = f"{spark.conf.get('spark.checkpoint.dir')}/catalog/{spark.sparkContext.applicationId}", [], stream_queries.removed
+    files = []
 
     def removed(session, *paths):
+        files.extend(len([f for f in os.listdir(f"{p}/landed/{k}") if f.endswith(".parquet")]) for p in paths for k in range(2) if os.path.isdir(f"{p}/landed") and not os.path.isdir(f"{p}/whole"))
         parts.extend(len(os.listdir(f"{p}/state/0")) - 1 for p in paths if os.path.isdir(f"{p}/state/0"))
         remove(session, *paths)
 
@@ -175,7 +177,7 @@ def test_arbitration_stream_keeps_little_on_disk(spark, monkeypatch):
     before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     found = registry.QUERIES["st_arbitration"](spark, "/root/testdata/sf0.001")
     # of 6000 rows, a task for each thousand; neither the state nor the stream's files stay
-    assert parts == [6] and {n.rpartition("-")[0] for n in set(os.listdir(folder)) - before} == {"records"}
+    assert parts == [6] and files == [6, 6] and {n.rpartition("-")[0] for n in set(os.listdir(folder)) - before} == {"records"}
     # both batches have changed most keys
     records = spark.read.parquet(next(f"{folder}/{n}" for n in set(os.listdir(folder)) - before))
     assert records.select("product_id", "batch").distinct().groupBy("product_id").count().where("count = 2").count() > 150
