@@ -111,7 +111,7 @@ def written_batches(path: str, observations: DataFrame) -> Callable[[DataFrame,
     """For foreachBatch: what each batch changes in a folder of its own, entries or, with a time to live, records; a batch that is run again replaces its folder."""
 
     def apply(touched: DataFrame, batch: int) -> None:
-        rows = records(touched, observations) if "best_order" not in touched.columns and "best_seq" in touched.columns else touched
+        rows = records(touched, observations) if "best_seq" in touched.columns else touched
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return apply

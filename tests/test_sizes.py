@@ -165,7 +165,7 @@ def test_arbitration_stream_keeps_little_on_disk(spark, monkeypatch):
     exchange = catalog.observations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().partition("Exchange ")[2]
     assert exchange and "datasheet" not in exchange and "discount AS code" not in exchange
     folder, parts, remove = f"{spark.conf.get('spark.checkpoint.dir')}/catalog/{spark.sparkContext.applicationId}", [], stream_queries.removed
-    files = []
+    files: list[int] = []
 
     def removed(session, *paths):
         files.extend(len([f for f in os.listdir(f"{p}/landed/{k}") if f.endswith(".parquet")]) for p in paths for k in range(2) if os.path.isdir(f"{p}/landed") and not os.path.isdir(f"{p}/whole"))
